@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["metrics_q"]
+MODULES = ["labels_q", "metrics_q"]
 
 
 def load_all() -> None:

@@ -122,8 +122,8 @@ def met_12(spark, sf):
 
 
 @query("met_13_log_loss", """
-select member, task, round(coalesce(avg(case when not uncertain then -(2.0::double*t*ln(p) + (1-t)*ln(1-p)) end), 0), 9) as loss from
- (select *, y*0.95::double + 0.025::double as t, least(greatest(prob, 1e-7::double), 1 - 1e-7::double) as p from predictions) group by member, task""")
+select member, task, round(coalesce(avg(case when not uncertain then -(2.0::double*goal*ln(p) + (1-goal)*ln(1-p)) end), 0), 9) as loss from
+ (select *, y*0.95::double + 0.025::double as goal, least(greatest(prob, 1e-7::double), 1 - 1e-7::double) as p from predictions) group by member, task""")
 def met_13(spark, sf):
     y = F.when(~F.col("uncertain"), F.col("y"))
     return predictions(spark, sf).groupBy(*MT).agg(F.round(M.log_loss(y, F.col("prob"), 2.0, 0.05), 9).alias("loss"))
