@@ -80,19 +80,14 @@ def poisson_cuts(limit: int = 8) -> list[int]:
     return cuts
 
 
-def poisson_weight(key: Column, rep: Column) -> Column:
-    """Poisson(1) weight: the large-N form of drawing N of N rows with replacement."""
-    h = mix_column(key, rep)
-    weight = F.lit(0)
-    for cut in poisson_cuts():
-        weight = weight + (h >= F.lit(cut)).cast("int")
-    return weight
+def poisson_weight(mixed: Column) -> Column:
+    """Poisson(1) weight of a mixer value: the large-N form of drawing N of N rows with replacement."""
+    return sum(((mixed >= F.lit(cut)).cast("int") for cut in poisson_cuts()), F.lit(0))
 
 
 def poisson_weight_array(key: np.ndarray, rep: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.asarray(poisson_cuts()), mix_array(key, rep), side="right").astype(np.int64)
 
 
-def poisson_weight_sql(key: str, rep: str) -> str:
-    h = mix_sql(key, rep)
-    return "(" + " + ".join(f"(case when {h} >= {cut} then 1 else 0 end)" for cut in poisson_cuts()) + ")"
+def poisson_weight_sql(mixed: str) -> str:
+    return "(" + " + ".join(f"({mixed} >= {cut})::int" for cut in poisson_cuts()) + ")"

@@ -50,7 +50,7 @@ def _range_number(cuts: Column, value: Column) -> Column:
 
 
 def _attach(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(cuts, keys, "left") if keys else df.join(cuts, F.lit(True), "left")  # no keys: one row of cuts
+    return df.join(cuts, keys, "left") if keys else df.withColumn("_cuts", cuts.scalar())
 
 
 def with_range(df: DataFrame, keys: list[str], order: str, rows_per_range: int = ROWS_PER_RANGE, name: str = "_range") -> DataFrame:
@@ -184,4 +184,4 @@ def ranked(df: DataFrame, keys: list[str], value: str, rows_per_range: int | Non
     ranks = placed.select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias("avg_rank"))
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("group_rows"))
     joined = df.join(ranks, keys + [value], "left")
-    return joined.join(sizes, keys, "left") if keys else joined.join(sizes, on=F.lit(True), how="left")
+    return joined.join(sizes, keys, "left") if keys else joined.withColumn("group_rows", sizes.scalar())

@@ -50,8 +50,11 @@ def ranking_metrics(df: DataFrame, keys: list[str], score: str = "prob", y: str
 def curve(df: DataFrame, keys: list[str], score: str = "prob", y: str = "y", **kw) -> DataFrame:
     """Precision, recall, false-positive rate and F1 at every distinct score."""
     table = score_table(df, keys, score, y, **kw)
-    totals = table.groupBy(*keys).agg(F.sum("pos").alias("p_total"), F.sum("neg").alias("n_total"))
-    t = table.join(totals, keys) if keys else table.crossJoin(totals)
+    p, n = F.sum("pos").alias("p_total"), F.sum("neg").alias("n_total")
+    if keys:
+        t = table.join(table.groupBy(*keys).agg(p, n), keys)
+    else:
+        t = table.select("*", table.agg(p).scalar().alias("p_total"), table.agg(n).scalar().alias("n_total"))
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     recall = F.try_divide("tp", "p_total")
     return (

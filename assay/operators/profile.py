@@ -90,8 +90,7 @@ def split_drift(cells: DataFrame, key: str, split: str, a: str, b: str, y: str)
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage per value, NULL being a value of its own."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
-    return counts.crossJoin(total).select(column, "n", percent(F.col("n"), F.col("_total")).alias("pct"))
+    return counts.select(column, "n", percent(F.col("n"), counts.agg(F.sum("n")).scalar()).alias("pct"))
 
 
 def structure_stats(df: DataFrame, group: str, sub: str) -> DataFrame:
@@ -121,8 +120,8 @@ def ordinals(df: DataFrame, keys: list[str], value: str, **kw) -> DataFrame:
     """(value, n, below, total): the value histogram with the rows below each value."""
     counts = value_table(df, keys, value)
     placed = running(counts, keys, value, {"below": ("sum", "n")}, **kw)
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    return placed.join(totals, keys) if keys else placed.crossJoin(totals)
+    total = F.sum("n").alias("total")
+    return placed.join(counts.groupBy(*keys).agg(total), keys) if keys else placed.withColumn("total", counts.agg(total).scalar())
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float], **kw) -> DataFrame:
@@ -157,11 +156,10 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 def numeric_summary(df: DataFrame, column: str, above: float, **kw) -> DataFrame:
     c = F.col(column)
-    basics = df.agg(
+    return df.agg(
         F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.count_if(c == 0).alias("n_zero"),
         F.count_if(c > above).alias("n_above"), F.count_if(c.isNull()).alias("n_missing"),
-    )
-    return basics.crossJoin(exact_percentiles(df, [], column, [0.5], **kw).withColumnRenamed("p50", "median"))
+    ).withColumn("median", exact_percentiles(df, [], column, [0.5], **kw).scalar())
 
 
 def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int) -> DataFrame:
@@ -181,11 +179,10 @@ def grid_density(df: DataFrame, x: str, y: str, step: float) -> DataFrame:
 def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """The k most frequent values with share and running sum of the rounded shares."""
     counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))
     top = counts.orderBy(F.desc("n"), *columns).limit(k)
     w = Window.orderBy(F.desc("n"), *columns)  # k rows
-    out = top.crossJoin(total).withColumn("pct", F.bround(F.col("n") * 100.0 / F.col("_total"), 2))
-    return out.withColumn("rank", F.row_number().over(w)).withColumn("cum_pct", F.sum("pct").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_total")
+    out = top.withColumn("pct", F.bround(F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar(), 2))
+    return out.withColumn("rank", F.row_number().over(w)).withColumn("cum_pct", F.sum("pct").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def arg_extremes(df: DataFrame, measure: Column, tie: str, columns: list[str]) -> DataFrame:
@@ -211,11 +208,11 @@ def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     for a in columns:
         for b in columns:
             both = f"s_{a}" if a == b else (f"s_{a}_{b}" if columns.index(a) < columns.index(b) else f"s_{b}_{a}")
-            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(both).alias("both"), F.col(f"s_{a}").alias("sa"), F.col(f"s_{b}").alias("sb"), F.col("_n").alias("n")))
+            cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(both).alias("n_both"), F.col(f"s_{a}").alias("sa"), F.col(f"s_{b}").alias("sb"), F.col("_n").alias("n")))
     long = sums.select(F.inline(F.array(*cells)))
-    n, sa, sb, both = (F.col(c).cast("double") for c in ("n", "sa", "sb", "both"))
+    n, sa, sb, both = (F.col(c).cast("double") for c in ("n", "sa", "sb", "n_both"))
     phi = F.try_divide(n * both - sa * sb, F.sqrt(sa * (n - sa) * sb * (n - sb)))
-    return long.select("a", "b", "both", F.bround(F.try_divide(100.0 * both, sa), 1).alias("pct_b_given_a"), phi.alias("phi"))
+    return long.select("a", "b", "n_both", F.bround(F.try_divide(100.0 * both, sa), 1).alias("pct_b_given_a"), phi.alias("phi"))
 
 
 def correlations(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -279,7 +276,8 @@ def table_health(df: DataFrame, key: str | None = None) -> DataFrame:
     n = df.agg(F.count(F.lit(1)).alias("n"), *nulls)
     if key is None:
         return n
-    return n.crossJoin(df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") - 1).alias("n_duplicates")))
+    copies = df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") - 1))
+    return n.withColumn("n_duplicates", copies.scalar())
 
 
 def shard_profile(df: DataFrame, keys: list[str], size: str, mode: str, bad: Column) -> DataFrame:
