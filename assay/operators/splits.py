@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import md5_key, mix_column, poisson_weight
+from assay.functions.hashing import md5_key, mix_column, poisson_cuts, poisson_weight
 from assay.functions.ordered import row_index
 
 TOP_N_LIMIT = 10_000
@@ -85,8 +85,9 @@ def exact_draws(df: DataFrame, unit: str, reps: int, **kw) -> DataFrame:
 def poisson_draws(df: DataFrame, key: str, reps: int) -> DataFrame:
     """(rep, key, weight > 0) with independent Poisson(1) weights: no shuffle at all."""
     each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    mixed = each.withColumn("_mixed", mix_column(F.col(key), F.col("rep")))
-    return mixed.withColumn("weight", poisson_weight(F.col("_mixed"))).drop("_mixed").filter(F.col("weight") > 0)
+    # The weight is above 0 exactly when the mixer value passes the first cut: one cheap predicate.
+    mixed = each.withColumn("_mixed", mix_column(F.col(key), F.col("rep"))).filter(F.col("_mixed") >= poisson_cuts()[0])
+    return mixed.withColumn("weight", poisson_weight(F.col("_mixed"))).drop("_mixed")
 
 
 def size_tier(size: Column, tiers: list[tuple[float, str]]) -> Column:
