@@ -8,8 +8,8 @@ distribution, and the same data always give the same cuts. Running values are th
 inside each range and completed by the running value over the range totals, of which a group
 has (rows / rows_per_range). The result is exact. A small group is simply one range.
 
-When Spark's own estimate says that the whole input is smaller than ``SMALL_BYTES``, one plain
-window does the same with fewer shuffles, and is used. Pass ``rows_per_range`` to force ranges.
+When the tables behind the input are together smaller than ``SMALL_BYTES``, as Spark knows from
+their file sizes before running anything, one plain window does the same with fewer shuffles. Pass ``rows_per_range`` to force ranges.
 """
 
 from __future__ import annotations
@@ -18,15 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 65_536
-SMALL_BYTES = 8 << 20
+SMALL_BYTES = 16 << 20
 _SEARCH_STEPS = 26  # a group may have up to 2**26 ranges
 
 
 def is_small(df: DataFrame) -> bool:
-    """Does the optimizer's size estimate, which starts from file sizes, bound df tightly?"""
+    """Do all tables behind df together, by their file sizes, stay below SMALL_BYTES?"""
     try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(str(size)) <= SMALL_BYTES
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= SMALL_BYTES
     except AttributeError:  # no access to the plan (Spark Connect): take the safe way
         return False
 

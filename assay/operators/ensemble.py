@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from assay.functions.ordered import ranked, running
 from assay.operators.metrics import MACRO, ranking_metrics
 from assay.operators.profile import correlations, rank_columns
+from assay.session import small_table, staged
 
 CLIP = 1e-6
 TIE = 1e-9
@@ -190,7 +191,7 @@ def greedy_search(wide: DataFrame, members: list[str], rounds: int, fold: str, f
     spark, size = wide.sparkSession, len(members)
     counts = {(t, f): (0,) * size for t in tasks for f in range(folds)}
     last: dict = dict.fromkeys(counts)
-    base = wide.select("task", fold, y, *members)
+    base = staged(wide.select("task", fold, y, *members), "greedy")  # read once per round
 
     def plus(c, i):
         return c[:i] + (c[i] + 1,) + c[i + 1:]
@@ -212,7 +213,7 @@ def greedy_search(wide: DataFrame, members: list[str], rounds: int, fold: str, f
                 pick = min((c[i], i) for i, a in scored if a >= top - TIE)[1]
                 counts[(t, f)], last[(t, f)] = plus(c, pick), top
     out = [(t, f, last[(t, f)], *([x / rounds for x in c] if sum(c) else [1 / size] * size)) for (t, f), c in counts.items()]
-    return spark.createDataFrame(out, "task string, fold int, auroc double, " + ", ".join(f"{m} double" for m in members))
+    return small_table(spark, out, "task string, fold int, auroc double, " + ", ".join(f"{m} double" for m in members))
 
 
 def _weighted_columns(members: list[str]) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assay.session import small_table
+
 # The label policies and how many outputs each one needs per task.
 POLICY_WIDTH = {"ones": 1, "zeros": 1, "mask": 1, "selftrained": 1, "multiclass": 3}
 
@@ -96,7 +98,7 @@ def task_layout(spark: SparkSession, tasks: list[str], default: str, overrides:
             raise ValueError(f"unknown policy {policy!r} for task {task}")
         rows.append((pos, task, policy, POLICY_WIDTH[policy], start))
         start += POLICY_WIDTH[policy]
-    return spark.createDataFrame(rows, "pos int, task string, policy string, width int, start int")
+    return small_table(spark, rows, "pos int, task string, policy string, width int, start int")
 
 
 def encode(raw: Column, policy: Column) -> Column:

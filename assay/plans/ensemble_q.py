@@ -11,6 +11,7 @@ from assay.plans.metrics_q import REPORT, SPECIALIST, SPECIALIST_SQL
 from assay.plans.profile_q import rounded
 from assay.plans.registry import query
 from assay.plans.views import MEMBERS, TASKS, predictions, table, wide_predictions
+from assay.session import small_table
 
 CELL = ["item_id", "task"]
 FLAT = "((m0 + m1 + m2 + m3) / 4)"
@@ -46,7 +47,7 @@ WEIGHT_ROWS = ", ".join(f"('{t}', '{m}', {w}::double)" for t, ws in WEIGHTS.item
 @query("ens_4_weighted_blend", f"""select item_id, task, y, round(case when sum(w) > 0 then sum(w * prob) / sum(w) else avg(prob) end, 9) as prob from predictions join (select * from (values {WEIGHT_ROWS}) x(task, member, w)) using (task, member) group by all""".replace("group by all", "group by item_id, task, y"))
 def ens_4(spark, sf):
     rows = [(t, m, w) for t, ws in WEIGHTS.items() for m, w in zip(MEMBERS, ws)]
-    weights = spark.createDataFrame(rows, "task string, member string, w double")
+    weights = small_table(spark, rows, "task string, member string, w double")
     return rounded(E.weighted_blend(predictions(spark, sf), weights, CELL))
 
 
@@ -130,7 +131,7 @@ BLENDED = f"(select task, fold, y, w0 * m0 + w1 * m1 + w2 * m2 + w3 * m3 as prob
 
 
 def _fold_weights(spark):
-    return spark.createDataFrame(FOLD_WEIGHTS, "task string, fold int, m0 double, m1 double, m2 double, m3 double")
+    return small_table(spark, FOLD_WEIGHTS, "task string, fold int, m0 double, m1 double, m2 double, m3 double")
 
 
 @query("ens_11_out_of_fold", f"select task, round(avg(auroc), 9) as oof_auroc from {Q.ranking(BLENDED, ['task', 'fold'])} group by task")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "assay", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -52,3 +55,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Driver-side rows as a local relation: Spark knows its size and joins it by broadcast.
+
+    A table made from a plain list is an RDD of unknown size, which the planner takes for huge.
+    """
+    fields = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+    columns = zip(*rows) if rows else ([] for _ in arrow)
+    table = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, fields)
