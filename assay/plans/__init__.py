@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["labels_q", "profile_q", "metrics_q", "splits_q", "windows_q", "ensemble_q", "uncertainty_q", "runs_q", "sources_q", "streaming_q"]
+MODULES = ["labels_q", "profile_q", "metrics_q", "splits_q", "windows_q", "ensemble_q", "uncertainty_q", "runs_q", "sources_q", "streaming_q", "images_q"]
 
 
 def load_all() -> None:
