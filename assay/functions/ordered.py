@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.session import staged
+
 ROWS_PER_RANGE = 65_536
 SMALL_BYTES = 16 << 20
 _SEARCH_STEPS = 26  # a group may have up to 2**26 ranges
@@ -31,11 +33,22 @@ def is_small(df: DataFrame) -> bool:
         return False
 
 
+def settled(df: DataFrame, name: str = "small") -> DataFrame:
+    """A table with few rows that is about to meet a large one on few distinct keys.
+
+    The planner cannot know the size of an aggregate over large data, so it would shuffle the large
+    side on those hot keys. Written to the shared folder, its size is known, and it is broadcast
+    exactly when it is below Spark's own limit. Small inputs need no such help.
+    """
+    return df if is_small(df) else staged(df, name)
+
+
 def range_cuts(df: DataFrame, keys: list[str], order: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     # A conditional aggregate, not a filter: a filter would be pushed below df's own aggregation,
     # and the scan behind it would run once more instead of its shuffle being reused.
     cut = F.pmod(F.xxhash64(F.lit(17), order), F.lit(rows_per_range)) == 0
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(cut, F.col(order)))).alias("_cuts"))
+    cuts = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(cut, F.col(order)))).alias("_cuts"))
+    return cuts.filter(F.size("_cuts") > 0) if keys else cuts  # small groups have no row here
 
 
 def _range_number(cuts: Column, value: Column) -> Column:

@@ -12,7 +12,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import ranked, running
+from assay.functions.ordered import ranked, running, settled
 from assay.operators.metrics import MACRO, ranking_metrics
 from assay.operators.profile import correlations, rank_columns
 from assay.session import small_table, staged
@@ -60,7 +60,7 @@ def weighted_blend(df: DataFrame, weights: DataFrame, cell: list[str], score: st
 
     A (task, member) without a weight raises.
     """
-    j = df.join(weights.select("task", "member", "w"), ["task", "member"], "left")
+    j = df.join(settled(weights.select("task", "member", "w"), "weights"), ["task", "member"], "left")
     w = F.when(F.col("w").isNull(), F.raise_error(F.concat(F.lit("no weight for "), "task", F.lit(" / "), "member"))).otherwise(F.col("w"))
     total, blend = F.sum("_w"), F.sum(F.col("_w") * F.col(score))
     return j.withColumn("_w", w).groupBy(*cell).agg(
@@ -226,7 +226,7 @@ def _weighted_columns(members: list[str]) -> Column:
 def out_of_fold(wide: DataFrame, fold_weights: DataFrame, members: list[str], fold: str, y: str = "y") -> DataFrame:
     """AUROC of each fold's weights on its held-out rows, averaged per task over defined folds."""
     w = fold_weights.select("task", F.col("fold").alias(fold), *[F.col(m).alias(f"_w_{m}") for m in members])
-    scored = wide.join(w, ["task", fold]).withColumn("_score", _weighted_columns(members))
+    scored = wide.join(settled(w, "weights"), ["task", fold]).withColumn("_score", _weighted_columns(members))
     per = ranking_metrics(scored, ["task", fold], "_score", y)
     return per.groupBy("task").agg(F.avg("auroc").alias("oof_auroc"))
 
@@ -239,7 +239,7 @@ def fold_average(fold_weights: DataFrame, members: list[str]) -> DataFrame:
 def search_summary(wide: DataFrame, fold_weights: DataFrame, members: list[str], fold: str, y: str = "y") -> DataFrame:
     """Out-of-fold, in-sample and flat AUROC per task, with the gain of the search over flat."""
     mean_w = fold_weights.groupBy("task").agg(*[F.avg(m).alias(f"_w_{m}") for m in members])
-    fitted = ranking_metrics(wide.join(mean_w, "task").withColumn("_score", _weighted_columns(members)), ["task"], "_score", y)
+    fitted = ranking_metrics(wide.join(settled(mean_w, "weights"), "task").withColumn("_score", _weighted_columns(members)), ["task"], "_score", y)
     flat = ranking_metrics(wide.withColumn("_score", mean_of(members)), ["task"], "_score", y)
     return (
         out_of_fold(wide, fold_weights, members, fold, y)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import running
+from assay.functions.ordered import running, settled
 
 EPS_F1 = 1e-12
 MACRO = ["auroc", "auprc", "f1", "precision", "recall", "specificity"]
@@ -18,7 +18,8 @@ def score_table(df: DataFrame, keys: list[str], score: str = "prob", y: str = "y
     one row per task before the shuffle; the running sums are taken over ranges of scores.
     """
     w = F.col(weight) if weight else F.lit(1)
-    counts = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, score).agg(
+    known = F.col(score).isNotNull() & ~F.isnan(score) & F.col(y).isNotNull()
+    counts = df.filter(known).groupBy(*keys, score).agg(
         F.sum((w * F.col(y)).cast("double")).alias("pos"), F.sum((w * (1 - F.col(y))).cast("double")).alias("neg")
     )
     falling = counts.withColumn("_falling", -F.col(score))
@@ -80,7 +81,7 @@ def best_f1(df: DataFrame, keys: list[str], score: str = "prob", y: str = "y", d
 def with_threshold(df: DataFrame, threshold, on: list[str], default: float | None = None) -> DataFrame:
     """Attach a cut: a number for all rows, or a table joined on ``on``."""
     if isinstance(threshold, DataFrame):
-        out = df.join(threshold.select(*on, "threshold"), on, "left")
+        out = df.join(settled(threshold.select(*on, "threshold"), "cuts"), on, "left")
         return out if default is None else out.withColumn("threshold", F.coalesce("threshold", F.lit(default)))
     return df.withColumn("threshold", F.lit(float(threshold)))
 

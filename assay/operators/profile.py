@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import ranked, running
+from assay.functions.ordered import ranked, running, settled
 
 
 def percent(num: Column, den: Column) -> Column:
@@ -252,7 +252,7 @@ def ecdf(df: DataFrame, keys: list[str], value: str, **kw) -> DataFrame:
 
 def positives_at(df: DataFrame, keys: list[str], score: str, calibrated: DataFrame, on: list[str]) -> DataFrame:
     """Rows at or above 0.5 and at or above the calibrated cut where one is known."""
-    j = df.join(calibrated.select(*on, "threshold"), on, "left")
+    j = df.join(settled(calibrated.select(*on, "threshold"), "cuts"), on, "left")
     s, n = F.col(score), F.count(F.lit(1))
     half, cal = F.count_if(s >= 0.5), F.count_if(s >= F.col("threshold"))
     known = F.max("threshold").isNotNull()

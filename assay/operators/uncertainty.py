@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.hashing import poisson_weight_array
-from assay.functions.ordered import _range_number, is_small, running
+from assay.functions.ordered import _range_number, is_small, running, settled
 from assay.operators.metrics import ranking_metrics
 from assay.operators.splits import exact_draws
 
@@ -29,6 +29,7 @@ def _chunked(df: DataFrame, keys: list[str], score: str, unit: str, rows: int) -
     starts = placed.groupBy(*keys, "_block").agg(F.min(score).alias("_start"), F.max(F.when(heavy, F.struct(F.col(score).alias("s"), F.ceil(F.col("_n") / rows).alias("salts")))).alias("_heavy"))
     # One entry per block of ``rows`` rows.
     cuts = starts.groupBy(*keys).agg(F.array_sort(F.collect_list("_start")).alias("_cuts"), F.collect_list("_heavy").alias("_hot"))
+    cuts = settled(cuts, "cuts")
     j = df.join(cuts, keys) if keys else df.select("*", cuts.select("_cuts").scalar().alias("_cuts"), cuts.select("_hot").scalar().alias("_hot"))
     salts = F.get(F.filter("_hot", lambda h: h["s"] == F.col(score)), F.lit(0))["salts"]
     j = j.withColumn("_salts", salts).withColumn("_block", _range_number(F.col("_cuts"), F.col(score)))
@@ -74,7 +75,9 @@ def bootstrap_auroc(df: DataFrame, keys: list[str], unit: str, reps: int, score:
         return out[[*group, "rep", "_p", "_n", "_pairs"]]
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in group) + ", rep int, _p double, _n double, _pairs double"
-    parts = chunked.groupBy(*group).applyInPandas(weigh, schema)
+    # A number given here is kept: few bytes, much work, so partitions must not be merged by size.
+    spread = chunked.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+    parts = spread.groupBy(*group).applyInPandas(weigh, schema)
     merged = parts.groupBy(*keys, "rep", "_chunk").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_pairs").alias("_pairs"))
     hot = F.col("_chunk") % 2 == 1
     merged = merged.withColumn("_pairs", F.when(hot, F.col("_p") * F.col("_n") / 2).otherwise(F.col("_pairs")))

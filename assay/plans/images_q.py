@@ -23,6 +23,7 @@ cells as (select image_id, w, h, (image_id * 31 + r * 7 + c * 13) % 256 as v fro
 def pixels(spark, sf):
     """Gray images of about 40 x 40, one per part."""
     base = table(spark, sf, "part").selectExpr("p_partkey as image_id", "cast(24 + (p_partkey * 37) % 5 * 6 as int) as w", "cast(32 + (p_size % 3) * 8 as int) as h")
+    base = base.repartition(spark.sparkContext.defaultParallelism, "image_id")  # few bytes per row, much work
 
     def draw(batches):
         for pdf in batches:
