@@ -66,8 +66,16 @@ def _attach(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(cuts, keys, "left") if keys else df.withColumn("_cuts", cuts.scalar())
 
 
-def with_range(df: DataFrame, keys: list[str], order: str, rows_per_range: int = ROWS_PER_RANGE, name: str = "_range") -> DataFrame:
+def with_range(df: DataFrame, keys: list[str], order: str, rows_per_range: int = ROWS_PER_RANGE, name: str = "_range", stored: bool = False) -> DataFrame:
+    """Add the number of each row's range within its group.
+
+    ``stored`` says that df is a stored table with few steps on top. Its cuts are then settled
+    first, by a scan of the key and order columns, and the rows go straight to their ranges. The
+    cuts of an aggregate stay in the same job, where they reuse its shuffle.
+    """
     cuts = range_cuts(df, keys, order, rows_per_range)
+    if stored:
+        cuts = settled(cuts, "cuts")
     return _attach(df, cuts, keys).withColumn(name, _range_number(F.col("_cuts"), F.col(order))).drop("_cuts")
 
 
@@ -105,6 +113,7 @@ def running(
     order: str,
     before: dict[str, tuple[str, str]],
     rows_per_range: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Add, per row, aggregates over the rows of its group that come strictly before it.
 
@@ -115,7 +124,7 @@ def running(
         whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         plain = {name: _over(kind, col, whole) for name, (kind, col) in before.items()}
         return df.select("*", *[(F.coalesce(v, F.lit(0)) if before[name][0] == "sum" else v).alias(name) for name, v in plain.items()])
-    ranged = with_range(df, keys, order, rows_per_range or ROWS_PER_RANGE)
+    ranged = with_range(df, keys, order, rows_per_range or ROWS_PER_RANGE, stored=stored)
     totals = ranged.groupBy(*keys, "_range").agg(*[_total(kind, col, order).alias(f"_t_{name}") for name, (kind, col) in before.items()])
     # One row per range of a cut group: rows / rows_per_range of them.
     over_ranges = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,9 +134,9 @@ def running(
     return out.select(*df.columns, *[_merge(kind, F.col(f"_o_{name}"), _over(kind, col, inside)).alias(name) for name, (kind, col) in before.items()])
 
 
-def row_index(df: DataFrame, keys: list[str], order: str, name: str = "row_index", rows_per_range: int | None = None) -> DataFrame:
+def row_index(df: DataFrame, keys: list[str], order: str, name: str = "row_index", rows_per_range: int | None = None, stored: bool = False) -> DataFrame:
     """Add the 0-based position of each row in its group."""
-    return running(df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {name: ("sum", "_one")}, rows_per_range).drop("_one")
+    return running(df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {name: ("sum", "_one")}, rows_per_range, stored).drop("_one")
 
 
 def trailing(
@@ -154,7 +163,7 @@ def trailing(
     block = F.floor(pos / size)
     near = F.floor((pos + halo) / size) if behind else F.floor((pos - halo) / size)
     first, last = (block, near) if behind else (F.greatest(near, F.lit(0)), block)
-    spread = row_index(df, keys, order, "_pos", rows_per_range).withColumn("_home", block).withColumn("_block", F.explode(F.sequence(first, last)))
+    spread = row_index(df, keys, order, "_pos", rows_per_range, stored=True).withColumn("_home", block).withColumn("_block", F.explode(F.sequence(first, last)))
     window = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(*frame)
     out = spread
     for name, agg in aggs.items():

@@ -66,11 +66,11 @@ def epoch_order(df: DataFrame, unit: str, seed: int, epoch: int, skip: int = 0,
 
 
 def round_robin(df: DataFrame, order: str, shards: int, **kw) -> DataFrame:
-    return row_index(df, [], order, "_pos", **kw).withColumn("shard", F.pmod("_pos", F.lit(shards))).drop("_pos")
+    return row_index(df, [], order, "_pos", stored=True, **kw).withColumn("shard", F.pmod("_pos", F.lit(shards))).drop("_pos")
 
 
 def chunks(df: DataFrame, order: str, size: int, **kw) -> DataFrame:
-    return row_index(df, [], order, "_pos", **kw).withColumn("shard", F.floor(F.col("_pos") / size)).drop("_pos")
+    return row_index(df, [], order, "_pos", stored=True, **kw).withColumn("shard", F.floor(F.col("_pos") / size)).drop("_pos")
 
 
 def exact_draws(df: DataFrame, unit: str, reps: int, **kw) -> DataFrame:

@@ -13,7 +13,7 @@ from assay.operators.metrics import ranking_metrics
 from assay.operators.splits import exact_draws
 
 CHUNK_ROWS = 32_768
-REP_BLOCK = 64
+BLOCK_CELLS = 2_000_000  # rows x replicates held at once
 
 
 def _chunked(df: DataFrame, keys: list[str], score: str, unit: str, rows: int) -> DataFrame:
@@ -62,8 +62,9 @@ def bootstrap_auroc(df: DataFrame, keys: list[str], unit: str, reps: int, score:
         s, truth, units = pdf["_s"].to_numpy(), pdf["_y"].to_numpy(), pdf["_unit"].to_numpy()
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         parts = []
-        for lo in range(0, reps, REP_BLOCK):
-            rep = np.arange(lo, min(lo + REP_BLOCK, reps))
+        block = max(1, BLOCK_CELLS // len(pdf))
+        for lo in range(0, reps, block):
+            rep = np.arange(lo, min(lo + block, reps))
             w = poisson_weight_array(units[:, None], rep[None, :]).astype(float)
             pos = np.add.reduceat(w * truth[:, None], first, axis=0)
             neg = np.add.reduceat(w * (1 - truth)[:, None], first, axis=0)

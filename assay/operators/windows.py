@@ -20,7 +20,7 @@ def changes(df: DataFrame, keys: list[str], order: str, column: str, **kw) -> Da
 
 def delta_to_last(df: DataFrame, keys: list[str], order: str, value: str, name: str = "delta", **kw) -> DataFrame:
     """value minus the last non-null value before it; NULL for the first or an undefined value."""
-    seen = running(df, keys, order, {"_last": ("last", value)}, **kw)
+    seen = running(df, keys, order, {"_last": ("last", value)}, stored=True, **kw)
     return seen.withColumn(name, F.col(value) - F.col("_last")).drop("_last")
 
 
@@ -75,7 +75,7 @@ def best_so_far(df: DataFrame, keys: list[str], order: str, value: str, mode: st
     ``order`` counts rows (1, 2, ...), so the counter is a difference of positions.
     """
     signed = F.col(value) if mode == "max" else -F.col(value)
-    seen = running(df.withColumn("_s", signed), keys, order, {"_best": ("max", "_s")}, **kw)
+    seen = running(df.withColumn("_s", signed), keys, order, {"_best": ("max", "_s")}, stored=True, **kw)
     improved = F.col("_s").isNotNull() & (F.col("_best").isNull() | (F.col("_s") > F.col("_best")))
     marked = seen.withColumn("improved", improved).withColumn("_at", F.when(F.col("improved"), F.col(order)))
     marked = running(marked, keys, order, {"_last_at": ("max", "_at")}, **kw)

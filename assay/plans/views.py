@@ -90,7 +90,7 @@ def metric_log(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").selectExpr(
         "user_id as run", "struct(ts, event_id) as _at", "event_id", "ts", "event_type as stage", "value as metric"
     )
-    return row_index(events, ["run"], "_at", "_i").selectExpr("run", "_i + 1 as step", "stage", "metric", "event_id", "ts")
+    return row_index(events, ["run"], "_at", "_i", stored=True).selectExpr("run", "_i + 1 as step", "stage", "metric", "event_id", "ts")
 
 
 def run_scores(spark: SparkSession, sf: str) -> DataFrame:
