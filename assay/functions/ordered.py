@@ -34,18 +34,17 @@ def is_small(df: DataFrame) -> bool:
 
 
 def settled(df: DataFrame, name: str = "small") -> DataFrame:
-    """A table with few rows that is about to meet a large one on few distinct keys.
+    """An aggregate of large data, written to the shared folder; small inputs stay as they are.
 
-    The planner cannot know the size of an aggregate over large data, so it would shuffle the large
-    side on those hot keys. Written to the shared folder, its size is known, and it is broadcast
-    exactly when it is below Spark's own limit. Small inputs need no such help.
+    What is read several times is computed once. And its size is known from then on: a histogram
+    that turns out small takes the plain window, a small side of a join is broadcast exactly when
+    it is below Spark's own limit, where an aggregate of unknown size would make the planner
+    shuffle the large side on a few hot keys.
     """
     return df if is_small(df) else staged(df, name)
 
 
 def range_cuts(df: DataFrame, keys: list[str], order: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    # A conditional aggregate, not a filter: a filter would be pushed below df's own aggregation,
-    # and the scan behind it would run once more instead of its shuffle being reused.
     cut = F.pmod(F.xxhash64(F.lit(17), order), F.lit(rows_per_range)) == 0
     cuts = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(cut, F.col(order)))).alias("_cuts"))
     return cuts.filter(F.size("_cuts") > 0) if keys else cuts  # small groups have no row here
@@ -70,8 +69,7 @@ def with_range(df: DataFrame, keys: list[str], order: str, rows_per_range: int =
     """Add the number of each row's range within its group.
 
     ``stored`` says that df is a stored table with few steps on top. Its cuts are then settled
-    first, by a scan of the key and order columns, and the rows go straight to their ranges. The
-    cuts of an aggregate stay in the same job, where they reuse its shuffle.
+    first, by a scan of the key and order columns, and the rows go straight to their ranges.
     """
     cuts = range_cuts(df, keys, order, rows_per_range)
     if stored:
@@ -201,9 +199,9 @@ def ranked(df: DataFrame, keys: list[str], value: str, rows_per_range: int | Non
         whole, tied = Window.partitionBy(*keys), Window.partitionBy(*keys, value)
         rank = F.rank().over(whole.orderBy(F.asc_nulls_last(value))) + (F.count(F.lit(1)).over(tied) - 1) / 2
         return df.withColumn("avg_rank", F.when(F.col(value).isNotNull(), rank)).withColumn("group_rows", F.count(value).over(whole))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    placed = running(counts, keys, value, {"_below": ("sum", "_c")}, rows_per_range)
+    counts = settled(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "values")
+    placed = running(counts, keys, value, {"_below": ("sum", "_c")}, rows_per_range, stored=True)
     ranks = placed.select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias("avg_rank"))
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("group_rows"))
     joined = df.join(ranks, keys + [value], "left")
-    return joined.join(sizes, keys, "left") if keys else joined.withColumn("group_rows", sizes.scalar())
+    return joined.join(settled(sizes, "sizes"), keys, "left") if keys else joined.withColumn("group_rows", sizes.scalar())

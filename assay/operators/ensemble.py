@@ -154,7 +154,7 @@ def fold_auroc(df: DataFrame, keys: list[str], score: str, y: str, fold: str, fo
     counts = df.groupBy(*keys, score).agg(
         *[F.sum(e * F.col(y)).alias(f"_p{f}") for f, e in enumerate(each)], *[F.sum(e * (1 - F.col(y))).alias(f"_n{f}") for f, e in enumerate(each)]
     )
-    seen = running(counts, keys, score, {f"_b{f}": ("sum", f"_n{f}") for f in range(folds)}, **kw)
+    seen = running(settled(counts, "scores"), keys, score, {f"_b{f}": ("sum", f"_n{f}") for f in range(folds)}, stored=True, **kw)
 
     def others(prefix, f):
         return sum((F.col(f"{prefix}{g}") for g in range(folds) if g != f), F.lit(0.0))

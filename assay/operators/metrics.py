@@ -11,20 +11,25 @@ EPS_F1 = 1e-12
 MACRO = ["auroc", "auprc", "f1", "precision", "recall", "specificity"]
 
 
-def score_table(df: DataFrame, keys: list[str], score: str = "prob", y: str = "y", weight: str | None = None, **kw) -> DataFrame:
-    """One row per (group, distinct score) with pos, neg there and tp, fp at ``score >= it``.
+def score_counts(df: DataFrame, keys: list[str], score: str = "prob", y: str = "y", weight: str | None = None) -> DataFrame:
+    """pos and neg per (group, distinct score), from one pass over the rows.
 
-    Counting per distinct score combines map-side, so a score shared by a third of all rows is
-    one row per task before the shuffle; the running sums are taken over ranges of scores.
+    Counting combines map-side, so a score shared by a third of all rows is one row per task before
+    the shuffle. For large inputs the counts are written once; what follows reads them, not df.
     """
     w = F.col(weight) if weight else F.lit(1)
     known = F.col(score).isNotNull() & ~F.isnan(score) & F.col(y).isNotNull()
     counts = df.filter(known).groupBy(*keys, score).agg(
         F.sum((w * F.col(y)).cast("double")).alias("pos"), F.sum((w * (1 - F.col(y))).cast("double")).alias("neg")
     )
+    return settled(counts, "scores")
+
+
+def score_table(counts: DataFrame, keys: list[str], score: str, **kw) -> DataFrame:
+    """Score counts with tp and fp at ``score >= it``, running sums over ranges of scores."""
     falling = counts.withColumn("_falling", -F.col(score))
     return (
-        running(falling, keys, "_falling", {"_pos_above": ("sum", "pos"), "_neg_above": ("sum", "neg")}, **kw)
+        running(falling, keys, "_falling", {"_pos_above": ("sum", "pos"), "_neg_above": ("sum", "neg")}, stored=True, **kw)
         .withColumn("tp", F.col("_pos_above") + F.col("pos"))
         .withColumn("fp", F.col("_neg_above") + F.col("neg"))
         .drop("_falling", "_pos_above", "_neg_above")
@@ -45,17 +50,18 @@ def ranking_from_table(table: DataFrame, keys: list[str]) -> DataFrame:
 
 def ranking_metrics(df: DataFrame, keys: list[str], score: str = "prob", y: str = "y", weight: str | None = None, **kw) -> DataFrame:
     """AUROC (ties count half, NULL for one class) and average precision (NULL without positives)."""
-    return ranking_from_table(score_table(df, keys, score, y, weight, **kw), keys)
+    return ranking_from_table(score_table(score_counts(df, keys, score, y, weight), keys, score, **kw), keys)
 
 
 def curve(df: DataFrame, keys: list[str], score: str = "prob", y: str = "y", **kw) -> DataFrame:
     """Precision, recall, false-positive rate and F1 at every distinct score."""
-    table = score_table(df, keys, score, y, **kw)
+    counts = score_counts(df, keys, score, y)
+    table = score_table(counts, keys, score, **kw)
     p, n = F.sum("pos").alias("p_total"), F.sum("neg").alias("n_total")
     if keys:
-        t = table.join(table.groupBy(*keys).agg(p, n), keys)
+        t = table.join(settled(counts.groupBy(*keys).agg(p, n), "totals"), keys)
     else:
-        t = table.select("*", table.agg(p).scalar().alias("p_total"), table.agg(n).scalar().alias("n_total"))
+        t = table.select("*", counts.agg(p).scalar().alias("p_total"), counts.agg(n).scalar().alias("n_total"))
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     recall = F.try_divide("tp", "p_total")
     return (

@@ -118,10 +118,10 @@ def value_table(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def ordinals(df: DataFrame, keys: list[str], value: str, **kw) -> DataFrame:
     """(value, n, below, total): the value histogram with the rows below each value."""
-    counts = value_table(df, keys, value)
-    placed = running(counts, keys, value, {"below": ("sum", "n")}, **kw)
+    counts = settled(value_table(df, keys, value), "values")
+    placed = running(counts, keys, value, {"below": ("sum", "n")}, stored=True, **kw)
     total = F.sum("n").alias("total")
-    return placed.join(counts.groupBy(*keys).agg(total), keys) if keys else placed.withColumn("total", counts.agg(total).scalar())
+    return placed.join(settled(counts.groupBy(*keys).agg(total), "totals"), keys) if keys else placed.withColumn("total", counts.agg(total).scalar())
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float], **kw) -> DataFrame:

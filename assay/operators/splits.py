@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.hashing import md5_key, mix_column, poisson_cuts, poisson_weight
-from assay.functions.ordered import row_index
+from assay.functions.ordered import row_index, settled
 
 TOP_N_LIMIT = 10_000
 
 
 def _placed_keys(df: DataFrame, unit: str, seed, **kw) -> DataFrame:
     keys = df.select(unit).filter(F.col(unit).isNotNull()).distinct().select(md5_key(seed, unit).alias("_key"))
-    return row_index(keys, [], "_key", "_pos", **kw)
+    return row_index(settled(keys, "keys"), [], "_key", "_pos", stored=True, **kw)
 
 
 def _count_units(df: DataFrame, unit: str) -> Column:
@@ -62,7 +62,7 @@ def group_sample(df: DataFrame, group: str, n: int, seed, **kw) -> DataFrame:
 def epoch_order(df: DataFrame, unit: str, seed: int, epoch: int, skip: int = 0, **kw) -> DataFrame:
     """Position of each row in the epoch's permutation, without the first ``skip`` rows."""
     keyed = df.withColumn("_key", F.struct(md5_key(seed + epoch, unit).alias("h"), F.col(unit).alias("u")))
-    return row_index(keyed, [], "_key", "position", **kw).drop("_key").filter(F.col("position") >= skip)
+    return row_index(keyed, [], "_key", "position", stored=True, **kw).drop("_key").filter(F.col("position") >= skip)
 
 
 def round_robin(df: DataFrame, order: str, shards: int, **kw) -> DataFrame:
@@ -75,7 +75,7 @@ def chunks(df: DataFrame, order: str, size: int, **kw) -> DataFrame:
 
 def exact_draws(df: DataFrame, unit: str, reps: int, **kw) -> DataFrame:
     """(rep, unit, weight): how often each unit is drawn in N draws with replacement per replicate."""
-    placed = row_index(df.select(unit), [], unit, "_pos", **kw)
+    placed = row_index(df.select(unit), [], unit, "_pos", stored=True, **kw)
     n = df.select(F.count(F.lit(1))).scalar()
     draws = placed.select("_pos", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     counts = draws.select("rep", F.pmod(mix_column(F.col("_pos"), F.col("rep")), n).alias("_pos")).groupBy("rep", "_pos").agg(F.count(F.lit(1)).alias("weight"))

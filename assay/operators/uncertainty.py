@@ -23,8 +23,8 @@ def _chunked(df: DataFrame, keys: list[str], score: str, unit: str, rows: int) -
     share one score need no common order. Only the cut scores travel, the rows are not joined
     with their histogram.
     """
-    counts = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running(counts, keys, score, {"_below": ("sum", "_n")}).withColumn("_block", F.floor(F.col("_below") / rows))
+    counts = settled(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n")), "scores")
+    placed = running(counts, keys, score, {"_below": ("sum", "_n")}, stored=True).withColumn("_block", F.floor(F.col("_below") / rows))
     heavy = F.col("_n") > rows
     starts = placed.groupBy(*keys, "_block").agg(F.min(score).alias("_start"), F.max(F.when(heavy, F.struct(F.col(score).alias("s"), F.ceil(F.col("_n") / rows).alias("salts")))).alias("_heavy"))
     # One entry per block of ``rows`` rows.
