@@ -18,10 +18,12 @@ def score_counts(df: DataFrame, keys: list[str], score: str = "prob", y: str = "
     the shuffle. For large inputs the counts are written once; what follows reads them, not df.
     """
     w = F.col(weight) if weight else F.lit(1)
-    known = F.col(score).isNotNull() & ~F.isnan(score) & F.col(y).isNotNull()
-    counts = df.filter(known).groupBy(*keys, score).agg(
-        F.sum((w * F.col(y)).cast("double")).alias("pos"), F.sum((w * (1 - F.col(y))).cast("double")).alias("neg")
-    )
+    # Undefined scores add nothing and their group is dropped after counting. A filter before it
+    # would be merged with the score's own expression and evaluate that several times per row.
+    defined = F.col(score).isNotNull() & ~F.isnan(score)
+    counts = df.groupBy(*keys, score).agg(
+        F.sum(F.when(defined, w * F.col(y)).cast("double")).alias("pos"), F.sum(F.when(defined, w * (1 - F.col(y))).cast("double")).alias("neg")
+    ).filter(F.col("pos") + F.col("neg") > 0)
     return settled(counts, "scores")
 
 

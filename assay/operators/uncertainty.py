@@ -58,7 +58,9 @@ def bootstrap_auroc(df: DataFrame, keys: list[str], unit: str, reps: int, score:
     kinds = dict(chunked.dtypes)
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_s", kind="stable")
+        pdf = pdf.dropna(subset=["_s"]).sort_values("_s", kind="stable")
+        if pdf.empty:
+            return pd.DataFrame(columns=[*group, "rep", "_p", "_n", "_pairs"])
         s, truth, units = pdf["_s"].to_numpy(), pdf["_y"].to_numpy(), pdf["_unit"].to_numpy()
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         parts = []

@@ -195,6 +195,12 @@ def test_bootstrap_with_a_hot_score(spark, chunk):
         assert boot[rep] == pytest.approx(auroc(y, s, w), abs=1e-12)
 
 
+def test_bootstrap_ignores_undefined_scores(spark):
+    df = spark.createDataFrame([("a", 1, 0.9, 1), ("a", 0, 0.1, 2), ("a", 1, float("nan"), 3), ("a", None, 0.5, 4), ("b", 1, float("nan"), 5)], "task string, y int, prob double, item long")
+    got = U.bootstrap_auroc(df, ["task"], "item", 20).collect()
+    assert {r["task"] for r in got} == {"a"} and {r["auroc"] for r in got} <= {None, 1.0}
+
+
 def test_exact_bootstrap_draws_n_rows(spark):
     from assay.operators.splits import exact_draws
     d = exact_draws(spark.range(500).withColumnRenamed("id", "item"), "item", 6)
