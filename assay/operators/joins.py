@@ -6,7 +6,7 @@ from functools import reduce
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.ordered import row_index, running

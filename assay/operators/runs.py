@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from assay.operators.joins import fallback
 from assay.operators.labels import POLICY_WIDTH
 
+# Words in a stage's name that mark the stage to score.
+SCORED_STAGES = ("finetune", "chexpert")
 SUMMARY = "struct<stages: map<string,string>, best_metrics: map<string,string>, best_value: double, monitor: string>"
 
 
 def pick_stage(doc: Column) -> Column:
-    """JSON text of the snapshot to score: the finetune / chexpert stage, else the last, else doc."""
+    """JSON text of the snapshot to score: the first marked stage, else the last, else doc."""
     stages = F.from_json(doc, F.lit(SUMMARY))["stages"]
     entries = F.map_entries(stages)
-    tagged = F.filter(entries, lambda e: e["key"].contains("finetune") | e["key"].contains("chexpert"))
+    tagged = F.filter(entries, lambda e: e["key"].rlike("|".join(SCORED_STAGES)))
     chosen = F.when(F.size(tagged) > 0, F.get(tagged, F.lit(0))["value"]).otherwise(F.get(entries, F.size(entries) - 1)["value"])
     return F.when(F.size(stages) > 0, chosen).otherwise(doc)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import following, previous, running, trailing
+from assay.functions.ordered import previous, running, trailing
 
 
 def rolling_mean(df: DataFrame, keys: list[str], order: str, value: str, width: int = 50, name: str = "rolling", **kw) -> DataFrame:

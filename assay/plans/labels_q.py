@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from assay.operators import labels as L
 from assay.plans.registry import query
-from assay.plans.views import MEMBERS, TASKS, finding_sets, items, label_cells, predictions, soft_labels, table, wide_labels, wide_predictions
+from assay.plans.views import MEMBERS, TASKS, finding_sets, items, label_cells, soft_labels, table, wide_labels, wide_predictions
 
 POLICY = {"t0": "ones", "t1": "zeros", "t2": "multiclass", "t3": "mask", "t4": "selftrained"}
 POLICY_SQL = "(case task when 't0' then 'ones' when 't1' then 'zeros' when 't2' then 'multiclass' when 't3' then 'mask' else 'selftrained' end)"

@@ -6,7 +6,7 @@ from assay.operators import labels as L
 from assay.operators import profile as P
 from assay.plans import sqltext as Q
 from assay.plans.registry import query
-from assay.plans.views import MEMBERS, TASKS, finding_sets, image_sizes, items, label_cells, predictions, soft_labels, table, wide_labels, wide_predictions
+from assay.plans.views import MEMBERS, TASKS, finding_sets, image_sizes, items, label_cells, predictions, soft_labels, wide_labels, wide_predictions
 
 
 def rounded(df, *keep):

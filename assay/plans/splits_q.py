@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from assay.functions.hashing import md5_key_sql, mix_sql, poisson_weight_sql
 from assay.operators import joins as J
-from assay.operators import labels as L
 from assay.operators import splits as S
 from assay.plans.profile_q import rounded
 from assay.plans.registry import query

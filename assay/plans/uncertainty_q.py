@@ -10,7 +10,7 @@ from assay.plans import sqltext as Q
 from assay.plans.ensemble_q import FLAT
 from assay.plans.profile_q import rounded
 from assay.plans.registry import query
-from assay.plans.views import MEMBERS, predictions, run_scores, wide_predictions
+from assay.plans.views import MEMBERS, run_scores, wide_predictions
 
 REPS = 40
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from assay.operators import windows as W
 from assay.plans.profile_q import rounded
 from assay.plans.registry import query
-from assay.plans.views import metric_log, predictions, run_scores, soft_labels
+from assay.plans.views import metric_log, run_scores, soft_labels
 
 ROLL = "select run, step, round(avg(metric) over (partition by run order by step rows between 49 preceding and current row), 9) as rolling from metric_log"
 
