@@ -6,11 +6,10 @@ import html
 import re
 
 RAW = "script|style|title|textarea|xmp|iframe|noembed|noframes"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[a-zA-Z/!?](?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|<[a-zA-Z/!?][^<>]*>|[^<]+|<",
-    re.S | re.I,
-)
+QUOTED = r"""[^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*>"""
+#: Comments, and elements whose content is not markup.
+DROPPED = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){QUOTED}.*?(?:</\1\s*>|\Z)", re.S | re.I)
+TAG = re.compile(rf"(<[a-zA-Z/!?]{QUOTED}|<[a-zA-Z/!?][^<>]*>)")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 MARKS = re.compile(r"""\s(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements that end a block of text where they begin and end.
@@ -41,6 +40,7 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+NEITHER: tuple = ((), ())
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -50,6 +50,39 @@ def _marks(tag: str) -> tuple[str, bool]:
     return ".".join(sorted(words)), any(w in ASIDE_WORDS or ASIDE_WORDS.intersection(SPLIT.split(w)) for w in words)
 
 
+def decoded(text: str) -> str:
+    """Character references to characters, white space to one space, trimmed."""
+    if "&" in text:
+        text = "&".join([html.unescape(p) if "&" in p else p for p in text.split("&amp;")])
+    return " ".join(text.split())
+
+
+#: What is known of tags seen before: (kind, name, is a block, label, set aside).
+TAGS: dict[str, tuple] = {}
+OPEN, CLOSE, BREAK, SKIP = range(4)
+
+
+def _tag(text: str) -> tuple:
+    """kind, name, whether it is a block, label of its node, whether it is set aside."""
+    name = NAME.match(text)
+    tag = name.group(1).lower() if name else ""
+    block = tag in BLOCK
+    if not tag:
+        known = (SKIP, tag, False, "", False)
+    elif text[1] == "/":
+        known = (CLOSE, tag, block, "", False)
+    elif tag in VOID or text.endswith("/>"):
+        known = (BREAK if block or tag == "br" else SKIP, tag, block, "", False)
+    else:
+        marks, named = _marks(text) if "=" in text else ("", False)
+        aside = tag in ASIDE or (named and tag not in ("html", "body", "article", "main"))
+        known = (OPEN, tag, block, f"{tag}.{marks}" if marks else tag, aside)
+    if len(TAGS) > 20_000:
+        TAGS.clear()
+    TAGS[text] = known
+    return known
+
+
 class Page:
     """Blocks (node, text, link characters, set aside, in article) in page order, and the tree of their elements.
 
@@ -57,79 +90,67 @@ class Page:
     """
 
     def __init__(self, source: str):
-        self.nodes: list[tuple[int, str]] = [(-1, "")]
+        nodes = self.nodes = [(-1, "")]
         self.blocks: list[tuple[int, str, int, bool, bool]] = []
         folded: dict[tuple[int, str], int] = {}
         # open elements: (tag, node, aside, article); inline ones keep the node of their block
         stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         parts: list[str] = []
-        linked = 0
-        links = 0
-
-        def flush():
-            nonlocal linked
-            if parts:
-                text = " ".join(html.unescape("".join(parts)).split())
-                parts.clear()
-                if text:
-                    self.blocks.append((stack[-1][1], text, linked, stack[-1][2], stack[-1][3]))
-            linked = 0
-
-        for token in TOKEN.finditer(source):
-            text = token.group()
-            if text[0] != "<" or len(text) == 1:
-                parts.append(text)
-                if links:
-                    linked += len(text.strip())
-                continue
-            if token.group(1) or text.startswith("<!"):
-                continue
-            name = NAME.match(text)
-            if not name:
-                continue
-            tag = name.group(1).lower()
-            if text[1] != "/":
-                if tag == "br":
-                    parts.append(" ")
-                    continue
-                block = tag in BLOCK
+        linked = links = 0
+        pieces = TAG.split(DROPPED.sub("", source))
+        if pieces[0]:
+            parts.append(pieces[0])
+        for at in range(1, len(pieces), 2):
+            text = pieces[at]
+            kind, tag, block, label, named = TAGS.get(text) or _tag(text)
+            if block:
+                if parts:
+                    said = decoded("".join(parts))
+                    parts.clear()
+                    if said:
+                        _, node, aside, article = stack[-1]
+                        self.blocks.append((node, said, linked, aside, article))
+                linked = 0
+            if kind == OPEN:
                 if block:
-                    flush()
                     # a block ends an open paragraph; list items, cells and the like end their neighbours
-                    ends, within = CLOSES.get(tag, (set(), set()))
+                    ends, within = CLOSES.get(tag, NEITHER)
                     for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == "p" or stack[i][0] in ends:
+                        over = stack[i][0]
+                        if over == "p" or over in ends:
                             del stack[i:]
-                        elif stack[i][0] in within or (stack[i][0] in BLOCK and not ends):
+                        elif over in within or (not ends and over in BLOCK):
                             break
-                if tag in VOID or text.endswith("/>"):
-                    continue
                 _, node, aside, article = stack[-1]
-                marks, named = _marks(text) if "=" in text else ("", False)
                 if block:
-                    label = f"{tag}.{marks}" if marks else tag
                     key = (node, label)
                     if tag in FOLDED and key in folded:
                         node = folded[key]
                     else:
-                        self.nodes.append((node, label))
-                        node = folded[key] = len(self.nodes) - 1
-                outside = aside or tag in ASIDE or (tag == "header" and not article) or (named and tag not in ("html", "body", "article", "main"))
-                stack.append((tag, node, outside, article or tag in ("article", "main")))
+                        nodes.append(key)
+                        node = folded[key] = len(nodes) - 1
+                stack.append((tag, node, aside or named or (tag == "header" and not article), article or tag == "article" or tag == "main"))
                 links += tag == "a"
-            else:
+            elif kind == CLOSE:
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        if tag in BLOCK:
-                            flush()
+                    over = stack[i][0]
+                    if over == tag:
                         del stack[i:]
                         break
                     # an inline end tag does not reach beyond its block
-                    if stack[i][0] in BLOCK and tag not in BLOCK:
+                    if not block and over in BLOCK:
                         break
                 if tag == "a" and links:
                     links -= 1
-        flush()
+            elif kind == BREAK and not block:
+                parts.append(" ")
+            if after := pieces[at + 1]:
+                parts.append(after)
+                if links:
+                    linked += len(after.strip())
+        if parts and (said := decoded("".join(parts))):
+            _, node, aside, article = stack[-1]
+            self.blocks.append((node, said, linked, aside, article))
 
     def skeleton(self) -> str:
         """The tree as text: parent and label of each node, in order."""

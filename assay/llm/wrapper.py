@@ -27,8 +27,7 @@ HELD = 200_000
 #: Blocks with more of their text in links are menus.
 LINKED = 0.5
 
-TREES = "host string, skeleton string, pages long"
-PLACES = "host string, place string, text long, pages long, size long"
+SUMS = "host string, skeleton string, node long, text long, pages long, size long"
 
 
 def host_of(url):
@@ -48,29 +47,34 @@ def _names(reference: str) -> list[str]:
     return names
 
 
+def place_names(skeleton: str, tree: str) -> list[str]:
+    """Names of the nodes of a page in the tree of its host."""
+    match, names = aligned(skeleton, tree), _names(tree)
+    out: list[str] = []
+    seen: Counter = Counter()
+    for i, line in enumerate(["", *(skeleton.split("\n") if skeleton else [])]):
+        if i in match:
+            out.append(names[match[i]])
+        else:  # not in the common tree: named after its parent, apart from the names there
+            parent, label = line.split("\t", 1)
+            name = f"{out[int(parent)]}+{label}"
+            out.append(f"{name}[{seen[name]}]")
+            seen[name] += 1
+    return out
+
+
 class Places:
-    """Names of the nodes of pages in the tree of their host."""
+    """place_names of the trees seen last."""
 
     def __init__(self):
         self.known: dict[tuple[str, str], list[str]] = {}
 
-    def of(self, page: Page, reference: str) -> list[str]:
-        skeleton = page.skeleton()
-        key = (skeleton, reference)
+    def of(self, page: Page, tree: str) -> list[str]:
+        key = (page.skeleton(), tree)
         if key not in self.known:
             if len(self.known) > 5000:
                 self.known.clear()
-            match, names = aligned(skeleton, reference), _names(reference)
-            out: list[str] = []
-            seen: Counter = Counter()
-            for i, (parent, label) in enumerate(page.nodes):
-                if i in match:
-                    out.append(names[match[i]])
-                else:  # not in the common tree: named after its parent, apart from the names there
-                    name = f"{out[parent]}+{label}"
-                    out.append(f"{name}[{seen[name]}]")
-                    seen[name] += 1
-            self.known[key] = out
+            self.known[key] = place_names(*key)
         return self.known[key]
 
 
@@ -78,57 +82,57 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _container(place: str) -> str:
-    return place.rpartition("/")[0]
-
-
 def wrappers(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """Per host: its common tree, the hashes of constant places and the place with most varying text."""
+    """Per host: its common tree, the hashes of constant places and the place with most varying text.
 
-    def trees(batches):
-        found: Counter = Counter()
-        for batch in slices(batches, html):
-            for h, text in zip(batch.column(host).to_pylist(), batch.column(html).to_pylist()):
-                found[h, Page(text or "").skeleton()] += 1
-            if len(found) > HELD // 20:
-                yield _rows(TREES, [(*k, n) for k, n in found.items()])
-                found.clear()
-        yield _rows(TREES, [(*k, n) for k, n in found.items()])
-
-    bare = pages.select(host, html)
-    counted = bare.mapInArrow(trees, TREES.replace("host", host, 1)).groupBy(host, "skeleton").agg(F.sum("pages").alias("pages"))
-    common = staged(counted.groupBy(host).agg(F.max_by("skeleton", F.struct("pages", "skeleton")).alias("tree"), F.sum("pages").alias("pages")), "trees")
+    Pages are read once: tasks add up blocks per host, tree, node and text, so a host with a third of all
+    pages arrives as sums. Trees are aligned on those sums, each tree of a host once.
+    """
 
-    def places(batches):
-        named = Places()
+    def sums(batches):
         found: dict = defaultdict(lambda: [0, 0])
         for batch in slices(batches, html):
-            for h, text, tree in zip(*(batch.column(c).to_pylist() for c in (host, html, "tree"))):
+            for h, text in zip(batch.column(host).to_pylist(), batch.column(html).to_pylist()):
                 page = Page(text or "")
-                names = named.of(page, tree)
+                tree = page.skeleton()
+                found[h, tree, -1, 0][0] += 1
                 seen = set()
                 for node, block, linked, aside, _ in page.blocks:
                     if not aside and linked <= LINKED * len(block):
-                        key = (h, names[node], _hash(block))
+                        key = (h, tree, node, _hash(block))
                         entry = found[key]
                         entry[0] += key not in seen
                         entry[1] += len(block)
                         seen.add(key)
             if len(found) > HELD:
-                yield _rows(PLACES, [(*k, *v) for k, v in found.items()])
+                yield _rows(SUMS, [(*k, *v) for k, v in found.items()])
                 found.clear()
-        yield _rows(PLACES, [(*k, *v) for k, v in found.items()])
-
-    met = bare.join(common.select(host, "tree"), host)
-    entries = met.mapInArrow(places, PLACES.replace("host", host, 1)).groupBy(host, "place", "text").agg(F.sum("pages").alias("n"), F.sum("size").alias("size"))
-    entries = staged(entries.join(common.select(host, "pages"), host), "places")
+        yield _rows(SUMS, [(*k, *v) for k, v in found.items()])
+
+    tree_id = F.xxhash64("skeleton").alias("tree_id")
+    counted = pages.select(host, html).mapInArrow(sums, SUMS)
+    summed = staged(counted.groupBy("host", "skeleton", "node", "text").agg(F.sum("pages").alias("n"), F.sum("size").alias("size")), "sums")
+    trees = summed.where("node = -1").select("host", "skeleton", "n")
+    common = staged(trees.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("tree"), F.sum("n").alias("pages")), "trees")
+
+    def align(batches):
+        for batch in batches:
+            rows = [(h, i, place_names(own, tree)) for h, i, own, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "tree_id", "skeleton", "tree")))]
+            hosts, ids, names = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(names, pa.list_(pa.string()))], names=["host", "tree_id", "names"])
+
+    named = trees.join(common.select("host", "tree"), "host").select("host", tree_id, "skeleton", "tree").mapInArrow(align, "host string, tree_id long, names array<string>")
+    blocks = summed.where("node >= 0").select("host", tree_id, "node", "text", "n", "size")
+    placed = blocks.join(named, ["host", "tree_id"]).select("host", F.element_at("names", F.col("node").cast("int") + 1).alias("place"), "text", "n", "size")
+    entries = placed.groupBy("host", "place", "text").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    entries = staged(entries.join(common.select("host", "pages"), "host"), "places")
     constant = (F.col("n") == F.col("pages")) & (F.col("pages") >= LEAST_PAGES)
     # a constant entry stands on every page, so there are at most as many as one page has blocks
-    fixed = entries.where(constant).groupBy(host).agg(F.collect_list(F.struct("place", "text")).alias("fixed"))
+    fixed = entries.where(constant).groupBy("host").agg(F.collect_list(F.struct("place", "text")).alias("fixed"))
     parent = F.regexp_replace("place", "/[^/]*$", "")
-    varying = entries.where(~constant).groupBy(host, parent.alias("inside")).agg(F.sum("size").alias("size"))
-    most = varying.groupBy(host).agg(F.max_by("inside", F.struct("size", "inside")).alias("inside"))
-    return staged(common.select(host, "tree").join(fixed, host, "left").join(most, host, "left"), "wrappers")
+    varying = entries.where(~constant).groupBy("host", parent.alias("inside")).agg(F.sum("size").alias("size"))
+    most = varying.groupBy("host").agg(F.max_by("inside", F.struct("size", "inside")).alias("inside"))
+    return staged(common.select("host", "tree").join(fixed, "host", "left").join(most, "host", "left"), "wrappers")
 
 
 def _rows(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -164,7 +168,7 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", name: str
     ready = pages.withColumn(host, host_of(F.col(url)))
     rules = fresh_name(ready, "rules")
     found = wrappers(ready, host, html)
-    met = ready.join(found.select(host, F.struct("tree", "fixed", "inside").alias(rules)), host)
+    met = ready.join(found.select(F.col("host").alias(host), F.struct("tree", "fixed", "inside").alias(rules)), host)
 
     def make():
         places = Places()
