@@ -4,7 +4,7 @@ from importlib import import_module
 
 from assay.llm.registry import ORACLES, QUERIES
 
-MODULES = ["benchmark_q", "tokens_q", "dedup_q", "repeats_q", "pages_q"]
+MODULES = ["benchmark_q", "tokens_q", "dedup_q", "repeats_q", "pages_q", "language_q"]
 
 
 def load_all() -> tuple[dict, dict]:
