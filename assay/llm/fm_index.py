@@ -199,7 +199,6 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def search_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[list, list, list]:
     """(words, spans, items) of each text."""
-    numbers: dict[bytes, int] = {}
     fresh = count(1)
 
     class Numbers(dict):
