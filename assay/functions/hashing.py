@@ -5,7 +5,7 @@ rand(seed) depends on how rows are partitioned and on task retries; these do not
 
 from __future__ import annotations
 
-import math
+from decimal import Decimal, localcontext
 
 import numpy as np
 from pyspark.sql import Column
@@ -37,47 +37,79 @@ def md5_uniform_sql(seed, *cols) -> str:
     return f"(cast('0x' || substr({md5_key_sql(seed, *cols)}, 1, 8) as bigint) / 4294967296.0::double)"
 
 
-def _mix(key, rep, mod):
-    """Quadratic mixing of two non-negative integers below MIX_MODULUS."""
-    a = mod(key * MIX_FIRST + MIX_OFFSET)
-    b = mod((rep + 1) * MIX_SECOND + MIX_OFFSET)
-    c = mod(a * mod(a + b))
-    d = mod(c * mod(c + b) + a)
-    return mod(d * MIX_FIRST + b)
+def unit_key(unit: Column) -> tuple[Column, Column]:
+    """Two 28-bit integers from the md5 of a unit's text: any type is a unit, and NULL is one."""
+    digest = F.md5(F.coalesce(unit.cast("string"), F.lit("")))
+    return tuple(F.conv(F.substring(digest, at, 7), 16, 10).cast("bigint") for at in (1, 8))
 
 
-def mix_column(key: Column, rep: Column) -> Column:
-    """Integer in [0, MIX_MODULUS) from an integer key and a replicate number."""
+def unit_key_sql(unit: str, high: str, low: str) -> str:
+    digest = f"md5(coalesce(cast({unit} as varchar), ''))"
+    return f"cast('0x' || substr({digest}, 1, 7) as bigint) as {high}, cast('0x' || substr({digest}, 8, 7) as bigint) as {low}"
+
+
+#: Steps of the mixer: name and expression over high, low, rep and the steps before, each modulo MIX_MODULUS.
+MIX_STEPS = [
+    ("ma", lambda v, mod: mod(v["high"] * MIX_FIRST + MIX_OFFSET)),
+    ("mb", lambda v, mod: mod((v["rep"] + 1) * MIX_SECOND + MIX_OFFSET)),
+    ("mc", lambda v, mod: mod(v["low"] * MIX_SECOND + MIX_OFFSET)),
+    ("md", lambda v, mod: mod(v["ma"] * mod(v["ma"] + v["mb"]))),
+    ("me", lambda v, mod: mod(v["md"] * mod(v["md"] + v["mc"]) + v["ma"])),
+    ("mf", lambda v, mod: mod(v["me"] * mod(v["me"] + v["mb"]) + v["mc"])),
+    ("mg", lambda v, mod: mod(v["mf"] * mod(v["mf"] + v["md"]) + v["mb"])),
+]
+#: Mixed values are below this: two steps side by side.
+MIX_TOP = MIX_MODULUS * MIX_MODULUS
+
+
+def with_mixed(df, high: Column, low: Column, rep: Column, name: str):
+    """df with a number in [0, MIX_TOP) that is a function of the unit and the replicate."""
     def mod(x):
         return F.pmod(x, F.lit(MIX_MODULUS).cast("bigint"))
-    return _mix(mod(key.cast("bigint")), rep.cast("bigint"), mod)
 
+    df = df.withColumns({"_high": high, "_low": low, "_rep": rep.cast("bigint")})
+    for step, make in MIX_STEPS:
+        at = {"high": F.col("_high"), "low": F.col("_low"), "rep": F.col("_rep")} | {s: F.col(f"_{s}") for s, _ in MIX_STEPS}
+        df = df.withColumn(f"_{step}", make(at, mod))
+    return df.withColumn(name, F.col("_mf") * MIX_MODULUS + F.col("_mg")).drop("_high", "_low", "_rep", *[f"_{s}" for s, _ in MIX_STEPS])
 
-def mix_array(key: np.ndarray, rep: np.ndarray) -> np.ndarray:
-    """mix_column for numpy integers; key and rep broadcast."""
-    def mod(x):
-        return x % MIX_MODULUS
-    return _mix(mod(key.astype(np.int64)), rep.astype(np.int64), mod)
 
+def mix_array(high: np.ndarray, low: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """The same for numpy integers; the arguments broadcast."""
+    at = {"high": high.astype(np.int64), "low": low.astype(np.int64), "rep": rep.astype(np.int64)}
+    for step, make in MIX_STEPS:
+        at[step] = make(at, lambda x: x % MIX_MODULUS)
+    return at["mf"] * MIX_MODULUS + at["mg"]
 
-def mix_sql(key: str, rep: str) -> str:
-    def mod(x):
-        return f"(({x}) % {MIX_MODULUS})"
-    k, r = mod(f"cast({key} as bigint)"), f"cast({rep} as bigint)"
-    a = mod(f"{k} * {MIX_FIRST} + {MIX_OFFSET}")
-    b = mod(f"({r} + 1) * {MIX_SECOND} + {MIX_OFFSET}")
-    c = mod(f"{a} * {mod(f'{a} + {b}')}")
-    d = mod(f"{c} * {mod(f'{c} + {b}')} + {a}")
-    return mod(f"{d} * {MIX_FIRST} + {b}")
+
+class _Sql(str):
+    def __mul__(self, other):
+        return _Sql(f"({self} * {other})")
+
+    def __add__(self, other):
+        return _Sql(f"({self} + {other})")
+
+
+def mix_sql(high: str, low: str, rep: str, name: str) -> str:
+    """Select items of the same number; each step is a column that the next ones name."""
+    at = {"high": _Sql(f"cast({high} as bigint)"), "low": _Sql(f"cast({low} as bigint)"), "rep": _Sql(f"cast({rep} as bigint)")} | {s: _Sql(s) for s, _ in MIX_STEPS}
+    items = [f"{make(at, lambda x: _Sql(f'({x} % {MIX_MODULUS})'))} as {step}" for step, make in MIX_STEPS]
+    return ", ".join([*items, f"mf * {MIX_MODULUS} + mg as {name}"])
 
 
-def poisson_cuts(limit: int = 8) -> list[int]:
-    """Mixer values at which a Poisson(1) weight steps from k to k + 1."""
-    total, cuts = 0.0, []
-    for k in range(limit):
-        total += math.exp(-1.0) / math.factorial(k)
-        cuts.append(int(total * MIX_MODULUS))
-    return cuts
+def poisson_cuts() -> list[int]:
+    """Mixer values at which a Poisson(1) weight steps from k to k + 1, as far as its 62 bits tell them apart."""
+    with localcontext() as context:
+        context.prec = 60
+        total, term, cuts, k = Decimal(0), Decimal(-1).exp(), [], 0
+        while True:
+            total += term
+            cut = int(total * MIX_TOP)
+            if cut >= MIX_TOP or (cuts and cut == cuts[-1]):
+                return cuts
+            cuts.append(cut)
+            k += 1
+            term /= k
 
 
 def poisson_weight(mixed: Column) -> Column:
@@ -85,8 +117,8 @@ def poisson_weight(mixed: Column) -> Column:
     return sum(((mixed >= F.lit(cut)).cast("int") for cut in poisson_cuts()), F.lit(0))
 
 
-def poisson_weight_array(key: np.ndarray, rep: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.asarray(poisson_cuts()), mix_array(key, rep), side="right").astype(np.int64)
+def poisson_weight_array(high: np.ndarray, low: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.asarray(poisson_cuts()), mix_array(high, low, rep), side="right").astype(np.int64)
 
 
 def poisson_weight_sql(mixed: str) -> str:

@@ -5,11 +5,11 @@ third of all rows becomes one task holding a third of all rows. Here every group
 ranges of the order column first. The cuts are the order values whose hash falls on zero
 modulo ``rows_per_range``: about one row in every ``rows_per_range`` is a cut, whatever the
 distribution, and the same data always give the same cuts. Running values are then taken
-inside each range and completed by the running value over the range totals, of which a group
-has (rows / rows_per_range). The result is exact. A small group is simply one range.
+inside each range and completed by the running value over the range totals. The result is exact.
 
-When the tables behind the input are together smaller than ``SMALL_BYTES``, as Spark knows from
-their file sizes before running anything, one plain window does the same with fewer shuffles. Pass ``rows_per_range`` to force ranges.
+Cuts have two levels: one cut in ``FAN`` is coarse, and a row meets the coarse cuts of its group and
+the fine ones of its coarse range, so no array and no window over ranges grows beyond a few
+thousand entries. The cuts are written first; where none was drawn, all groups are one range.
 """
 
 from __future__ import annotations
@@ -20,61 +20,86 @@ from pyspark.sql import functions as F
 from assay.session import staged
 
 ROWS_PER_RANGE = 65_536
-SMALL_BYTES = 16 << 20
-_SEARCH_STEPS = 26  # a group may have up to 2**26 ranges
+#: Fine ranges in a coarse one, about.
+FAN = 4_096
+_SEARCH_STEPS = 20
+_SHIFT = 24  # a range number is the coarse number, shifted, plus the fine one
 
 
-def is_small(df: DataFrame) -> bool:
-    """Do all tables behind df together, by their file sizes, stay below SMALL_BYTES?"""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= SMALL_BYTES
-    except AttributeError:  # no access to the plan (Spark Connect): take the safe way
-        return False
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """An aggregate written to the shared folder.
 
-
-def settled(df: DataFrame, name: str = "small") -> DataFrame:
-    """An aggregate of large data, written to the shared folder; small inputs stay as they are.
-
-    What is read several times is computed once. And its size is known from then on: a histogram
-    that turns out small takes the plain window, a small side of a join is broadcast exactly when
-    it is below Spark's own limit, where an aggregate of unknown size would make the planner
-    shuffle the large side on a few hot keys.
+    What is read several times is computed once. And its size is known from then on: a small side
+    of a join is broadcast exactly when it is below Spark's own limit, where an aggregate of unknown
+    size would make the planner shuffle the large side on a few hot keys.
     """
-    return df if is_small(df) else staged(df, name)
+    return staged(df, name)
 
 
-def range_cuts(df: DataFrame, keys: list[str], order: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    cut = F.pmod(F.xxhash64(F.lit(17), order), F.lit(rows_per_range)) == 0
-    cuts = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(cut, F.col(order)))).alias("_cuts"))
-    return cuts.filter(F.size("_cuts") > 0) if keys else cuts  # small groups have no row here
+def drawn_cuts(df: DataFrame, keys: list[str], order: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """(keys, _cut, _coarse, _extra): order values whose hash makes them a cut."""
+    mark = F.xxhash64(F.lit(17), order)
+    cuts = df.filter(F.pmod(mark, F.lit(rows_per_range)) == 0).select(*keys, F.col(order).alias("_cut"), (F.pmod(mark, F.lit(rows_per_range * FAN)) == 0).alias("_coarse"))
+    return cuts.distinct().withColumn("_extra", F.lit(None).cast("long"))
 
 
-def _range_number(cuts: Column, value: Column) -> Column:
-    """How many cuts are <= value, by binary search in the sorted array."""
+def _position(cuts: Column, value: Column) -> Column:
+    """How many entries of a sorted array of cuts are <= value, by binary search."""
     powers = F.array(*[F.lit(1 << s) for s in range(_SEARCH_STEPS - 1, -1, -1)])
     found = F.aggregate(
         powers,
         F.lit(0),
-        lambda acc, p: F.when(F.get(cuts, acc + p - F.lit(1)) <= value, acc + p).otherwise(acc),
+        lambda acc, p: F.when(F.get(cuts, acc + p - F.lit(1))["_cut"] <= value, acc + p).otherwise(acc),
     )
     return F.when(cuts.isNull() | (F.size(cuts) == 0), F.lit(0)).otherwise(found)
 
 
-def _attach(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(cuts, keys, "left") if keys else df.withColumn("_cuts", cuts.scalar())
-
+def place(df: DataFrame, cuts: DataFrame, keys: list[str], value: str, name: str = "_range", extra: str | None = None) -> tuple[DataFrame, bool]:
+    """Add the number of each row's range, given a stored table of cuts; and tell whether coarse cuts exist.
 
-def with_range(df: DataFrame, keys: list[str], order: str, rows_per_range: int = ROWS_PER_RANGE, name: str = "_range", stored: bool = False) -> DataFrame:
-    """Add the number of each row's range within its group.
-
-    ``stored`` says that df is a stored table with few steps on top. Its cuts are then settled
-    first, by a scan of the key and order columns, and the rows go straight to their ranges.
+    ``extra`` names a column for the ``_extra`` of the cut that a row's value equals.
+    """
+    if cuts.isEmpty():
+        out = df.withColumn(name, F.lit(0).cast("long"))
+        return (out.withColumn(extra, F.lit(None).cast("long")) if extra else out), False
+    one = F.lit(0).alias("_all")
+    join = keys or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    own = cuts if keys else cuts.select("*", one)
+    coarse = own.filter("_coarse")
+    deep = not coarse.isEmpty()
+    if deep:
+        lists = settled(coarse.groupBy(*join).agg(F.array_sort(F.collect_list(F.struct("_cut"))).alias("_list")), "coarse")
+        rows = rows.join(lists, join, "left").withColumn("_high", _position(F.col("_list"), F.col(value))).drop("_list")
+        own = own.join(lists, join, "left").withColumn("_high", _position(F.col("_list"), F.col("_cut"))).drop("_list")
+    else:
+        rows, own = rows.withColumn("_high", F.lit(0)), own.withColumn("_high", F.lit(0))
+    lists = settled(own.groupBy(*join, "_high").agg(F.array_sort(F.collect_list(F.struct("_cut", "_extra"))).alias("_list")), "cuts")
+    rows = rows.join(lists, [*join, "_high"], "left").withColumn("_low", _position(F.col("_list"), F.col(value)))
+    if extra:
+        at = F.get("_list", F.col("_low") - 1)
+        rows = rows.withColumn(extra, F.when(at["_cut"] == F.col(value), at["_extra"]))
+    number = F.shiftleft(F.col("_high").cast("long"), _SHIFT) + F.col("_low")
+    return rows.withColumn(name, number).drop("_list", "_high", "_low", *([] if keys else ["_all"])), deep
+
+
+def before_ranges(totals: DataFrame, keys: list[str], number: str, before: dict[str, tuple[str, str]], deep: bool) -> DataFrame:
+    """(keys, number, and per new column the aggregate over earlier ranges), from one row per range.
+
+    With coarse ranges, their totals are ordered on their own, so that a window holds the ranges of one of them.
     """
-    cuts = range_cuts(df, keys, order, rows_per_range)
-    if stored:
-        cuts = settled(cuts, "cuts")
-    return _attach(df, cuts, keys).withColumn(name, _range_number(F.col("_cuts"), F.col(order))).drop("_cuts")
+    high = F.shiftright(F.col(number), _SHIFT)
+    if not deep:
+        w = Window.partitionBy(*keys).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(*keys, number, *[_over(kind, col, w).alias(new) for new, (kind, col) in before.items()])
+    totals = settled(totals.withColumn("_high", high), "totals")
+    tops = totals.groupBy(*keys, "_high").agg(*[_total(kind, col, number).alias(f"_s_{new}") for new, (kind, col) in before.items()])
+    w = Window.partitionBy(*keys).orderBy("_high").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "_high", *[_over(kind, f"_s_{new}", w).alias(f"_s_{new}") for new, (kind, _) in before.items()])
+    w = Window.partitionBy(*keys, "_high").orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    inner = totals.select(*keys, "_high", number, *[_over(kind, col, w).alias(new) for new, (kind, col) in before.items()])
+    both = inner.join(tops, [*keys, "_high"])
+    return both.select(*keys, number, *[_merge(kind, F.col(f"_s_{new}"), F.col(new)).alias(new) for new, (kind, _) in before.items()])
 
 
 def _total(kind: str, column: str, order: str) -> Column:
@@ -116,18 +141,18 @@ def running(
     """Add, per row, aggregates over the rows of its group that come strictly before it.
 
     ``before`` maps a new column to (kind, column), kind being sum, max, min or last (the last
-    non-null value). ``order`` must be unique within a group.
+    non-null value). ``order`` must be unique within a group. ``stored`` says that df is a stored table with
+    few steps on top, which may be read three times; other inputs are written first.
     """
-    if rows_per_range is None and is_small(df):
-        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        plain = {name: _over(kind, col, whole) for name, (kind, col) in before.items()}
-        return df.select("*", *[(F.coalesce(v, F.lit(0)) if before[name][0] == "sum" else v).alias(name) for name, v in plain.items()])
-    ranged = with_range(df, keys, order, rows_per_range or ROWS_PER_RANGE, stored=stored)
-    totals = ranged.groupBy(*keys, "_range").agg(*[_total(kind, col, order).alias(f"_t_{name}") for name, (kind, col) in before.items()])
-    # One row per range of a cut group: rows / rows_per_range of them.
-    over_ranges = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_range", *[_over(kind, f"_t_{name}", over_ranges).alias(f"_o_{name}") for name, (kind, _) in before.items()])
+    source = df if stored else settled(df, "rows")
+    cuts = settled(drawn_cuts(source, keys, order, rows_per_range or ROWS_PER_RANGE), "drawn")
+    ranged, deep = place(source, cuts, keys, order)
     inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if cuts.isEmpty():
+        plain = {name: _over(kind, col, inside) for name, (kind, col) in before.items()}
+        return ranged.select(*df.columns, *[(F.coalesce(v, F.lit(0)) if before[name][0] == "sum" else v).alias(name) for name, v in plain.items()])
+    totals = ranged.groupBy(*keys, "_range").agg(*[_total(kind, col, order).alias(f"_t_{name}") for name, (kind, col) in before.items()])
+    offsets = before_ranges(totals, keys, "_range", {f"_o_{name}": (kind, f"_t_{name}") for name, (kind, _) in before.items()}, deep)
     out = ranged.join(offsets, keys + ["_range"], "left")
     return out.select(*df.columns, *[_merge(kind, F.col(f"_o_{name}"), _over(kind, col, inside)).alias(name) for name, (kind, col) in before.items()])
 
@@ -137,6 +162,13 @@ def row_index(df: DataFrame, keys: list[str], order: str, name: str = "row_index
     return running(df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {name: ("sum", "_one")}, rows_per_range, stored).drop("_one")
 
 
+def numbered(df: DataFrame, keys: list[str], value: str, tie: str, name: str = "rank", rows_per_range: int | None = None) -> DataFrame:
+    """Add 1-based places: highest value first, missing ones last, equal values by ``tie``, which is unique in its group."""
+    place_of = F.struct(F.col(value).isNull().alias("none"), (-F.col(value)).alias("value"), F.col(tie).alias("tie"))
+    out = row_index(df.withColumn("_place", place_of), keys, "_place", name, rows_per_range)
+    return out.withColumn(name, (F.col(name) + 1).cast("int")).drop("_place")
+
+
 def trailing(
     df: DataFrame,
     keys: list[str],
@@ -145,6 +177,7 @@ def trailing(
     aggs: dict[str, Column],
     rows_per_range: int | None = None,
     behind: bool = True,
+    stored: bool = False,
 ) -> DataFrame:
     """Add window aggregates over the last ``width`` rows, the current one included.
 
@@ -154,14 +187,11 @@ def trailing(
     """
     halo = width - 1
     frame = (-halo, 0) if behind else (0, halo)
-    if rows_per_range is None and is_small(df):
-        plain = Window.partitionBy(*keys).orderBy(order).rowsBetween(*frame)
-        return df.select("*", *[agg.over(plain).alias(name) for name, agg in aggs.items()])
     size, pos = max(rows_per_range or ROWS_PER_RANGE, width), F.col("_pos")
     block = F.floor(pos / size)
     near = F.floor((pos + halo) / size) if behind else F.floor((pos - halo) / size)
     first, last = (block, near) if behind else (F.greatest(near, F.lit(0)), block)
-    spread = row_index(df, keys, order, "_pos", rows_per_range, stored=True).withColumn("_home", block).withColumn("_block", F.explode(F.sequence(first, last)))
+    spread = row_index(df, keys, order, "_pos", rows_per_range, stored).withColumn("_home", block).withColumn("_block", F.explode(F.sequence(first, last)))
     window = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(*frame)
     out = spread
     for name, agg in aggs.items():
@@ -189,19 +219,49 @@ def _neighbour(df, keys, order, columns, rows_per_range, behind):
     return out.select(*df.columns, *columns)
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, rows_per_range: int | None = None) -> DataFrame:
-    """Add ``avg_rank`` (ties share the mean rank) and ``group_rows`` to each row.
+def value_ranks(df: DataFrame, keys: list[str], values: list[str], rows_per_range: int | None = None) -> DataFrame:
+    """(keys, _column, _value, avg_rank, group_rows): one row per distinct value of each column.
 
-    Equal values are counted once, ranks are running sums over the distinct values, and the rows
-    pick them up by an equi-join whose ranked side has one row per (group, value).
+    All columns are unpivoted and counted in one pass, so their ranks are running sums over one table.
     """
-    if rows_per_range is None and is_small(df):
-        whole, tied = Window.partitionBy(*keys), Window.partitionBy(*keys, value)
-        rank = F.rank().over(whole.orderBy(F.asc_nulls_last(value))) + (F.count(F.lit(1)).over(tied) - 1) / 2
-        return df.withColumn("avg_rank", F.when(F.col(value).isNotNull(), rank)).withColumn("group_rows", F.count(value).over(whole))
-    counts = settled(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "values")
-    placed = running(counts, keys, value, {"_below": ("sum", "_c")}, rows_per_range, stored=True)
-    ranks = placed.select(*keys, value, (F.col("_below") + (F.col("_c") + 1) / 2).alias("avg_rank"))
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("group_rows"))
-    joined = df.join(ranks, keys + [value], "left")
-    return joined.join(settled(sizes, "sizes"), keys, "left") if keys else joined.withColumn("group_rows", sizes.scalar())
+    kind = "double" if len(values) > 1 else dict(df.dtypes)[values[0]]
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("_column"), F.col(v).cast(kind).alias("_value")) for i, v in enumerate(values)]))
+    long = df.select(*keys, cells).filter(F.col("_value").isNotNull())
+    own = [*keys, "_column"]
+    counts = settled(long.groupBy(*own, "_value").agg(F.count(F.lit(1)).alias("_c")), "values")
+    placed = running(counts, own, "_value", {"_below": ("sum", "_c")}, rows_per_range, stored=True)
+    sizes = settled(counts.groupBy(*own).agg(F.sum("_c").alias("group_rows")), "sizes")
+    ranks = placed.select(*own, "_value", (F.col("_below") + (F.col("_c") + 1) / 2).alias("avg_rank"))
+    return settled(ranks.join(sizes, own), "ranks")
+
+
+def with_ranks(df: DataFrame, keys: list[str], values: dict[str, str], rows_per_range: int | None = None, share: bool = False) -> DataFrame:
+    """Add average ranks (ties share the mean rank, NULL has none): values maps a column to its rank's name.
+
+    With ``share`` ranks are divided by the values of the group.
+
+    The rows pick the ranks up by equi-joins whose ranked side has one row per (group, value).
+    """
+    columns = list(values)
+    ranks = value_ranks(df, keys, columns, rows_per_range)
+    rank = F.col("avg_rank") / F.col("group_rows") if share else F.col("avg_rank")
+    out = df
+    for i, c in enumerate(columns):
+        one = ranks.filter(F.col("_column") == i).select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_value").alias("_v"), rank.alias(f"_rank{i}"))
+        same = F.col(c) == F.col("_v")
+        for j, k in enumerate(keys):
+            same = same & (F.col(k) == F.col(f"_k{j}"))
+        out = out.join(one, same, "left").drop("_v", *[f"_k{j}" for j in range(len(keys))])
+    return out.withColumns({name: F.col(f"_rank{i}") for i, name in enumerate(values.values())}).drop(*[f"_rank{i}" for i in range(len(columns))])
+
+
+def ranked(df: DataFrame, keys: list[str], value: str, rows_per_range: int | None = None) -> DataFrame:
+    """Add ``avg_rank`` (ties share the mean rank) and ``group_rows`` to each row."""
+    ranks = value_ranks(df, keys, [value], rows_per_range)
+    sizes = settled(ranks.groupBy(*keys).agg(F.max("group_rows").alias("group_rows")), "sizes")
+    one = ranks.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_value").alias("_v"), "avg_rank")
+    same = F.col(value) == F.col("_v")
+    for j, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{j}"))
+    out = df.join(one, same, "left").drop("_v", *[f"_k{j}" for j in range(len(keys))])
+    return out.join(sizes, keys, "left") if keys else out.withColumn("group_rows", sizes.select("group_rows").scalar())

@@ -12,10 +12,10 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import ranked, running, settled
+from assay.functions.ordered import running, settled, with_ranks
 from assay.operators.metrics import MACRO, ranking_metrics
 from assay.operators.profile import correlations, rank_columns
-from assay.session import small_table, staged
+from assay.session import small_table
 
 CLIP = 1e-6
 TIE = 1e-9
@@ -39,8 +39,7 @@ def to_space(df: DataFrame, space: str, keys: list[str], score: str = "prob", **
     if space == "logit":
         return df.withColumn(score, logit(F.col(score)))
     if space == "rank":
-        r = ranked(df, keys, score, **kw)
-        return r.withColumn(score, F.col("avg_rank") / F.col("group_rows")).drop("avg_rank", "group_rows")
+        return to_rank_columns(df, keys, [score], **kw)
     raise ValueError(f"space must be one of {SPACES}, not {space!r}")
 
 
@@ -76,6 +75,14 @@ def member_label(node) -> str:
     return ("avg" if space == "prob" else f"avg-{space}") + "(" + " + ".join(member_label(c) for c in children) + ")"
 
 
+def label_groups(members: DataFrame, group: str, space: str, member: str, order: str) -> DataFrame:
+    """(group, label, n_twice) of a member table: labels as in member_label, and members listed again."""
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, member))), lambda s: s[member]), " + ")
+    head = F.when(F.min(space) == "prob", F.lit("avg(")).otherwise(F.concat(F.lit("avg-"), F.min(space), F.lit("(")))
+    twice = (F.count(member) - F.count_distinct(member)).alias("n_twice")
+    return members.groupBy(group).agg(F.concat(head, names, F.lit(")")).alias("label"), twice)
+
+
 def check_labels(nodes: list) -> list[str]:
     labels = [member_label(n) for n in nodes]
     twice = [name for name, n in Counter(labels).items() if n > 1]
@@ -106,9 +113,10 @@ def nested_blend(wide: DataFrame, node, keys: list[str], name: str, **kw) -> Dat
 
 
 def to_rank_columns(wide: DataFrame, keys: list[str], columns: list[str], **kw) -> DataFrame:
-    for c in columns:
-        wide = to_space(wide, "rank", keys, c, **kw)
-    return wide
+    """Replace each column by its average rank over the group's rows; all are ranked in one pass."""
+    ranks = {c: f"_r_{c}" for c in columns}
+    out = with_ranks(wide, keys, ranks, share=True, **kw)
+    return out.withColumns({c: F.col(r) for c, r in ranks.items()}).drop(*ranks.values())
 
 
 def specialist_member(df: DataFrame, specialists: dict[str, str], name: str) -> DataFrame:
@@ -145,15 +153,17 @@ def distance_to_even(members: int, units: int, prefix: str = "u") -> Column:
     return sum(((F.col(f"{prefix}{i}") * members - units) * (F.col(f"{prefix}{i}") * members - units) for i in range(members)), F.lit(0))
 
 
-def fold_auroc(df: DataFrame, keys: list[str], score: str, y: str, fold: str, folds: int, **kw) -> DataFrame:
+def fold_auroc(df: DataFrame, keys: list[str], score: str, y: str, fold: str, folds: int, weight: str | None = None, **kw) -> DataFrame:
     """Training-side AUROC per (group, fold) where fold f trains on all other folds.
 
     One histogram and one order serve all folds: per distinct score there are counts per fold.
+    Undefined scores (NULL, NaN) are left out, as in ranking_metrics. ``weight`` holds row counts.
     """
-    each = [(F.col(fold) == f).cast("double") for f in range(folds)]
+    w = F.col(weight) if weight else F.lit(1)
+    each = [F.when(F.col(fold) == f, w).otherwise(0).cast("double") for f in range(folds)]
     counts = df.groupBy(*keys, score).agg(
         *[F.sum(e * F.col(y)).alias(f"_p{f}") for f, e in enumerate(each)], *[F.sum(e * (1 - F.col(y))).alias(f"_n{f}") for f, e in enumerate(each)]
-    )
+    ).filter(F.col(score).isNotNull() & ~F.isnan(score))
     seen = running(settled(counts, "scores"), keys, score, {f"_b{f}": ("sum", f"_n{f}") for f in range(folds)}, stored=True, **kw)
 
     def others(prefix, f):
@@ -168,11 +178,16 @@ def fold_auroc(df: DataFrame, keys: list[str], score: str, y: str, fold: str, fo
     return wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"_a{f}").alias("auroc")) for f in range(folds)])))
 
 
+def counted_rows(wide: DataFrame, members: list[str], fold: str, y: str) -> DataFrame:
+    """Equal rows of a search as one row with their number: what every weight vector would repeat is done once."""
+    return settled(wide.groupBy("task", fold, y, *members).agg(F.count(F.lit(1)).alias("_rows")), "search")
+
+
 def grid_search(wide: DataFrame, members: list[str], units: int, fold: str, folds: int, y: str = "y", **kw) -> DataFrame:
     """Best lattice vector per (task, fold); within 1e-9 of the best the most even vector wins."""
     us = [f"u{i}" for i in range(len(members))]
-    scored = each_lattice_vector(wide.select("task", fold, y, *members), len(members), units).withColumn("_score", lattice_blend(members, units))
-    aucs = fold_auroc(scored, ["task", *us], "_score", y, fold, folds, **kw)
+    scored = each_lattice_vector(counted_rows(wide, members, fold, y), len(members), units).withColumn("_score", lattice_blend(members, units))
+    aucs = fold_auroc(scored, ["task", *us], "_score", y, fold, folds, "_rows", **kw)
     w = Window.partitionBy("task", "fold")  # one row per lattice vector, bounded by LATTICE_LIMIT
     near = aucs.withColumn("_max", F.max("auroc").over(w)).filter(F.col("auroc") >= F.col("_max") - TIE)
     order = F.struct(distance_to_even(len(members), units).alias("d"), *us)
@@ -191,7 +206,7 @@ def greedy_search(wide: DataFrame, members: list[str], rounds: int, fold: str, f
     spark, size = wide.sparkSession, len(members)
     counts = {(t, f): (0,) * size for t in tasks for f in range(folds)}
     last: dict = dict.fromkeys(counts)
-    base = staged(wide.select("task", fold, y, *members), "greedy")  # read once per round
+    base = counted_rows(wide, members, fold, y)  # read once per round
 
     def plus(c, i):
         return c[:i] + (c[i] + 1,) + c[i + 1:]
@@ -203,7 +218,7 @@ def greedy_search(wide: DataFrame, members: list[str], rounds: int, fold: str, f
         score = F.col("vec")[0] * F.col(members[0])
         for i, m in enumerate(members[1:], 1):
             score = score + F.col("vec")[i] * F.col(m)
-        aucs = fold_auroc(tries.withColumn("_score", score), ["task", "vec"], "_score", y, fold, folds, **kw)
+        aucs = fold_auroc(tries.withColumn("_score", score), ["task", "vec"], "_score", y, fold, folds, "_rows", **kw)
         seen = {(r["task"], r["fold"], tuple(r["vec"])): r["auroc"] for r in aucs.collect()}  # one row per candidate and fold
         for (t, f), c in counts.items():
             scored = [(i, seen[(t, f, plus(c, i))]) for i in range(size)]
@@ -257,8 +272,7 @@ def null_threshold_metrics(report: DataFrame, space: Column) -> DataFrame:
 def topk_sweep(wide: DataFrame, ordered: list[str], y: str = "y", **kw) -> DataFrame:
     """Macro AUROC of the best K members for every K and space, scored in one job."""
     ranks = {m: f"_r_{m}" for m in ordered}
-    df = wide.withColumns({r: F.col(m) for m, r in ranks.items()})
-    df = to_rank_columns(df, ["task"], list(ranks.values()), **kw)
+    df = with_ranks(wide, ["task"], ranks, share=True, **kw)
     cells = []
     for k in range(1, len(ordered) + 1):
         top = ordered[:k]

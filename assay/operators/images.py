@@ -23,24 +23,6 @@ PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 JPEG_FRAMES = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
 
-# The deterministic test views.
-VIEWS = [
-    {"name": "identity"},
-    {"name": "zoom_in", "scale": 1.06},
-    {"name": "zoom_out", "scale": 0.94},
-    {"name": "shift_right", "translate": (0.03, 0.0)},
-    {"name": "shift_left", "translate": (-0.03, 0.0)},
-    {"name": "shift_down", "translate": (0.0, 0.03)},
-    {"name": "shift_up", "translate": (0.0, -0.03)},
-    {"name": "rotate_+5", "rotate": 5.0},
-    {"name": "rotate_-5", "rotate": -5.0},
-    {"name": "brighter", "brightness": 1.10},
-    {"name": "darker", "brightness": 0.90},
-    {"name": "contrast_up", "contrast": 1.10},
-    {"name": "contrast_dn", "contrast": 0.90},
-    {"name": "clahe", "clahe": True},
-]
-
 
 def header(content: bytes) -> tuple[int, int, str] | None:
     """(width, height, mode) from a PNG or JPEG header, None when there is none."""
@@ -83,6 +65,13 @@ def png_is_whole(content: bytes) -> bool:
     return False
 
 
+def is_whole(content: bytes) -> bool:
+    """Is a PNG complete and unharmed, or a JPEG complete from its header to its end marker?"""
+    if content[:2] == b"\xff\xd8":
+        return header(content) is not None and content.rstrip(b"\0")[-2:] == b"\xff\xd9"
+    return png_is_whole(content)
+
+
 def header_profile(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     """Width, height, mode, size in KiB and readability per file, from the header alone."""
     kind = dict(files.dtypes)[key]
@@ -109,12 +98,12 @@ def decode_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_check(files: DataFrame, key: str, fraction: float, seed, content: str = "content") -> DataFrame:
-    """Fully check a seeded fraction of PNG files and flag the corrupt ones."""
+    """Check a seeded fraction of PNG and JPEG files whole and flag the corrupt ones. Pixels are decoded by decode_folder."""
     kind = dict(files.dtypes)[key]
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "corrupt": [not png_is_whole(bytes(c)) for c in pdf[content]]})
+            yield pd.DataFrame({key: pdf[key], "corrupt": [not is_whole(bytes(c)) for c in pdf[content]]})
 
     picked = files.filter(md5_uniform(seed, key) < fraction).select(key, content)
     return picked.mapInPandas(check, f"{key} {kind}, corrupt boolean")
@@ -128,107 +117,12 @@ def fit_geometry(w: Column, h: Column, width: int, height: int) -> dict[str, Col
     return {"new_w": new_w, "new_h": new_h, "left": F.floor((F.lit(width) - new_w) / 2).cast("int"), "top": F.floor((F.lit(height) - new_h) / 2).cast("int")}
 
 
-def _axis_weights(src: int, dst: int) -> np.ndarray:
-    """dst x src weights: covered share of each source pixel when shrinking, linear when growing."""
-    scale = src / dst
-    if scale >= 1:
-        lo = np.arange(dst)[:, None] * scale
-        cover = np.minimum(lo + scale, np.arange(src) + 1) - np.maximum(lo, np.arange(src))
-        return np.clip(cover, 0, None) / scale
-    at = np.clip((np.arange(dst) + 0.5) * scale - 0.5, 0, src - 1)
-    return np.clip(1 - np.abs(at[:, None] - np.arange(src)), 0, None)
-
-
-def resize_pad(img: np.ndarray, width: int, height: int) -> np.ndarray:
-    h, w = img.shape
-    scale = min(width / w, height / h)
-    nw, nh = max(1, round(w * scale)), max(1, round(h * scale))
-    small = _axis_weights(h, nh) @ img.astype(float) @ _axis_weights(w, nw).T
-    out = np.zeros((height, width), np.uint8)
-    top, left = (height - nh) // 2, (width - nw) // 2
-    out[top:top + nh, left:left + nw] = np.clip(np.rint(small), 0, 255)
-    return out
-
-
 def to_channels(img: np.ndarray, mean: tuple, std: tuple) -> np.ndarray:
     """Gray 0..255 to three normalized float channels."""
     unit = img.astype(np.float32) / 255
     return np.stack([(unit - m) / s for m, s in zip(mean, std)]).astype(np.float32)
 
 
-def clahe(img: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
-    """Contrast-limited histogram equalization over a grid of tiles, blended bilinearly."""
-    h, w = img.shape
-    th, tw = -(-h // tiles), -(-w // tiles)
-    full = np.pad(img, ((0, th * tiles - h), (0, tw * tiles - w)), mode="reflect" if min(h, w) > max(th, tw) else "edge")
-    blocks = full.reshape(tiles, th, tiles, tw).swapaxes(1, 2).reshape(tiles * tiles, th * tw)
-    hist = np.zeros((tiles * tiles, 256), np.int64)
-    np.add.at(hist, (np.arange(tiles * tiles)[:, None], blocks), 1)
-    limit = max(int(clip * th * tw / 256), 1)
-    excess = np.clip(hist - limit, 0, None).sum(axis=1)
-    hist = np.minimum(hist, limit) + (excess // 256)[:, None]
-    for t, left in enumerate(excess % 256):
-        if left:
-            hist[t, np.arange(left) * max(256 // left, 1)] += 1
-    maps = np.clip(np.rint(np.cumsum(hist, axis=1) * 255.0 / (th * tw)), 0, 255).reshape(tiles, tiles, 256)
-
-    def places(n, size):
-        at = np.arange(n) / size - 0.5
-        low = np.floor(at).astype(int)
-        return np.clip(low, 0, tiles - 1), np.clip(low + 1, 0, tiles - 1), at - low
-
-    y0, y1, fy = places(h, th)
-    x0, x1, fx = places(w, tw)
-
-    def look(y, x):
-        return maps[y[:, None], x[None, :], img]
-
-    top = look(y0, x0) * (1 - fx) + look(y0, x1) * fx
-    low = look(y1, x0) * (1 - fx) + look(y1, x1) * fx
-    return np.clip(np.rint(top * (1 - fy)[:, None] + low * fy[:, None]), 0, 255).astype(np.uint8)
-
-
-def warp(img: np.ndarray, rotate: float = 0.0, translate: tuple = (0.0, 0.0), scale: float = 1.0) -> np.ndarray:
-    """Rotate, scale and shift about the centre with bilinear sampling; outside is 0."""
-    h, w = img.shape
-    tx, ty = round(translate[0] * w), round(translate[1] * h)
-    a = np.deg2rad(rotate)
-    y, x = np.mgrid[0:h, 0:w].astype(float)
-    dx, dy = x - (w - 1) / 2 - tx, y - (h - 1) / 2 - ty
-    sx = (np.cos(a) * dx + np.sin(a) * dy) / scale + (w - 1) / 2
-    sy = (-np.sin(a) * dx + np.cos(a) * dy) / scale + (h - 1) / 2
-    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-    fx, fy = sx - x0, sy - y0
-    padded = np.pad(img.astype(float), 1)
-
-    def at(yy, xx):
-        inside = (yy >= -1) & (yy <= h) & (xx >= -1) & (xx <= w)
-        return np.where(inside, padded[np.clip(yy, -1, h) + 1, np.clip(xx, -1, w) + 1], 0.0)
-
-    top = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx
-    low = at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
-    return np.clip(np.rint(top * (1 - fy) + low * fy), 0, 255).astype(np.uint8)
-
-
-def photometric(img: np.ndarray, brightness: float = 1.0, contrast: float = 1.0) -> np.ndarray:
-    out = img.astype(float) * brightness
-    out = np.clip(out, 0, 255)
-    if contrast != 1.0:
-        out = (out - out.mean()) * contrast + out.mean()
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
-
-
-def apply_view(img: np.ndarray, view: dict) -> np.ndarray:
-    """Geometry first, then brightness and contrast; CLAHE where the view asks for it."""
-    if view.get("clahe"):
-        return clahe(img)
-    if any(k in view for k in ("rotate", "translate", "scale")):
-        img = warp(img, view.get("rotate", 0.0), view.get("translate", (0.0, 0.0)), view.get("scale", 1.0))
-    if "brightness" in view or "contrast" in view:
-        img = photometric(img, view.get("brightness", 1.0), view.get("contrast", 1.0))
-    return img
-
-
 def map_pixels(images: DataFrame, fn: Callable[[np.ndarray], list[dict]], schema: str, key: str = "image_id", extra: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``fn`` to the gray pixels of every image; it returns any number of rows.
 
@@ -264,19 +158,9 @@ def drawn_parameters(df: DataFrame, key: str, seed, epoch: int, ops: dict[str, t
     return out
 
 
-def score_batches(df: DataFrame, predict: Callable[[pd.DataFrame], np.ndarray], keep: list[str], outputs: list[str]) -> DataFrame:
-    """Deterministic batch scoring: ``predict`` maps a batch to an array with a column per output."""
-    kinds = dict(df.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores = np.asarray(predict(pdf), dtype=float).reshape(len(pdf), len(outputs))
-            out = pdf[keep].copy()
-            for i, name in enumerate(outputs):
-                out[name] = scores[:, i]
-            yield out
-
-    return df.mapInPandas(run, ", ".join([f"{c} {kinds[c]}" for c in keep] + [f"{o} double" for o in outputs]))
+def score_columns(df: DataFrame, keep: list[str], outputs: dict[str, Column]) -> DataFrame:
+    """Deterministic batch scoring: every output is a column expression over the row."""
+    return df.select(*keep, *[c.alias(n) for n, c in outputs.items()])
 
 
 def closest(df: DataFrame, key: str, value: str, target: float) -> DataFrame:

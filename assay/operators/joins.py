@@ -92,24 +92,28 @@ def nearest(targets: DataFrame, candidates: DataFrame, keys: list[str], at: str,
     return out.withColumn("gap", F.col("chosen") - F.col(at))
 
 
-def assign_distinct(targets: DataFrame, candidates: DataFrame, run: str, at: str, rank: str, most: int, **kw) -> DataFrame:
-    """Per run, targets in rank order each take the nearest candidate not yet taken.
+def assign_distinct(targets: DataFrame, candidates: DataFrame, run: str, at: str, rank: str, **kw) -> DataFrame:
+    """Per run, targets in rank order each take the nearest candidate not yet taken; NULL where none is left.
 
-    A target loses at most ``most - 1`` candidates to better ranks, so its ``most`` neighbours on
-    either side decide: a run's group has at most 2 * most * most rows.
+    With ``most`` targets in the largest run, a target loses at most ``most - 1`` candidates to better ranks, so
+    its ``most`` neighbours on either side decide: a run's group has at most 2 * most * most rows. Targets
+    are meant to be few per run (a top-k list); their number is taken from the data.
     """
+    most = targets.groupBy(run).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     cand = row_index(candidates.select(run, F.col(at).alias("_c")).distinct(), [run], "_c", "_pos", **kw)
     line = targets.select(run, F.struct(F.col(at).alias("a"), F.lit(1).alias("s"), F.col(rank).alias("r")).alias("_o"), F.lit(None).cast("bigint").alias("_pos"))
     line = line.unionByName(cand.select(run, F.struct(F.col("_c").alias("a"), F.lit(0).alias("s"), F.lit(0).alias("r")).alias("_o"), "_pos"))
     placed = running(line, [run], "_o", {"_prev": ("max", "_pos")}, **kw).filter(F.col("_o.s") == 1)
     near = F.sequence(F.coalesce("_prev", F.lit(-1)) - (most - 1), F.coalesce("_prev", F.lit(-1)) + most)
-    options = placed.select(run, F.col("_o.a").alias("target"), F.col("_o.r").alias("rank"), F.explode(near).alias("_pos")).join(cand, [run, "_pos"])
+    options = placed.select(run, F.col("_o.a").alias("target"), F.col("_o.r").alias("rank"), F.explode(near).alias("_pos")).join(cand, [run, "_pos"], "left")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, rows = set(), []
         for (r, t), g in pdf.sort_values("_c").groupby(["rank", "target"], sort=True):
-            free = g[~g["_c"].isin(taken)]
-            if len(free):
+            free = g[g["_c"].notna() & ~g["_c"].isin(taken)]
+            if not len(free):
+                rows.append((pdf[run].iloc[0], r, t, None, None))
+            else:
                 best = free["_c"].iloc[int((free["_c"] - t).abs().to_numpy().argmin())]
                 taken.add(best)
                 rows.append((pdf[run].iloc[0], r, t, best, best - t))

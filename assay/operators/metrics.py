@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import running, settled
+from assay.functions.ordered import numbered, running, settled
 
 EPS_F1 = 1e-12
 MACRO = ["auroc", "auprc", "f1", "precision", "recall", "specificity"]
@@ -95,9 +95,9 @@ def with_threshold(df: DataFrame, threshold, on: list[str], default: float | Non
 
 
 def confusion(df: DataFrame, keys: list[str], score: str = "prob", y: str = "y", excluded: str | None = None) -> DataFrame:
-    """tp, fp, tn, fn at ``score >= threshold`` and the number of excluded cells."""
+    """tp, fp, tn, fn at ``score >= threshold`` and the number of excluded cells; a NULL score is below any cut."""
     keep = ~F.col(excluded) if excluded else F.lit(True)
-    hit, pos = F.col(score) >= F.col("threshold"), F.col(y) == 1
+    hit, pos = F.coalesce(F.col(score) >= F.col("threshold"), F.lit(False)), F.col(y) == 1
 
     def count(cond):
         return F.count_if(keep & cond)
@@ -172,7 +172,8 @@ def size_label(n: Column) -> Column:
 
 def compare_scorings(a: DataFrame, b: DataFrame, run: str, score: str) -> DataFrame:
     """Same runs under two scorings (one row per run): delta, both ranks, who stands at each place."""
-    # One row per run in a catalogue of runs: the ranking window is over runs, not data rows.
     j = a.select(run, F.col(score).alias("score_a")).join(b.select(run, F.col(score).alias("score_b")), run)
-    ra, rb = (Window.orderBy(F.desc_nulls_last(c), run) for c in ("score_a", "score_b"))
-    return j.withColumn("delta", F.col("score_b") - F.col("score_a")).withColumn("rank_a", F.row_number().over(ra)).withColumn("rank_b", F.row_number().over(rb))
+    out = settled(j.withColumn("delta", F.col("score_b") - F.col("score_a")), "pairs")
+    for side in ("a", "b"):
+        out = numbered(out, [], f"score_{side}", run, f"rank_{side}")
+    return out

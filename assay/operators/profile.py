@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import ranked, running, settled
+from assay.functions.ordered import running, settled, with_ranks
 
 
 def percent(num: Column, den: Column) -> Column:
@@ -263,11 +263,10 @@ def positives_at(df: DataFrame, keys: list[str], score: str, calibrated: DataFra
 
 
 def rank_columns(df: DataFrame, keys: list[str], columns: list[str], **kw) -> DataFrame:
-    """Replace each column by its average rank within the group."""
-    out = df
-    for c in columns:
-        out = ranked(out, keys, c, **kw).withColumn(c, F.col("avg_rank")).drop("avg_rank", "group_rows")
-    return out
+    """Replace each column by its average rank within the group; all are ranked in one pass."""
+    ranks = {c: f"_r_{c}" for c in columns}
+    out = with_ranks(df, keys, ranks, **kw)
+    return out.withColumns({c: F.col(r) for c, r in ranks.items()}).drop(*ranks.values())
 
 
 def table_health(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions.ordered import numbered
 from assay.operators.joins import fallback
 from assay.operators.labels import POLICY_WIDTH
 
@@ -57,8 +58,7 @@ def board(sources: list[tuple[str, DataFrame]], splits: list[str], primary: str,
         here = F.col("split") == s
         cells += [F.max(F.when(here, F.col("value"))).alias(s), F.max(F.when(here & F.col("fell_back"), F.lit("*"))).alias(f"{s}_mark")]
     wide = best.groupBy(run).agg(*cells).fillna("", [f"{s}_mark" for s in splits])
-    w = Window.orderBy(F.desc_nulls_last(primary), run)  # one row per run
-    return wide.withColumn("rank", F.row_number().over(w))
+    return numbered(wide, [], primary, run)
 
 
 def consistency(top: DataFrame, recorded: DataFrame, run: str = "run") -> DataFrame:

@@ -11,10 +11,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import md5_key, mix_column, poisson_cuts, poisson_weight
-from assay.functions.ordered import row_index, settled
-
-TOP_N_LIMIT = 10_000
+from assay.functions.hashing import md5_key, poisson_cuts, poisson_weight, unit_key, with_mixed
+from assay.functions.ordered import row_index, running, settled
 
 
 def _placed_keys(df: DataFrame, unit: str, seed, **kw) -> DataFrame:
@@ -44,11 +42,21 @@ def kfold(df: DataFrame, unit: str, k: int, seed, name: str = "fold", **kw) -> D
     return df.withColumn(name, sum(passed, F.lit(0)))
 
 
-def simple_sample(df: DataFrame, unit: str, n: int, seed) -> DataFrame:
-    """Exactly n rows (all when there are fewer), chosen by seeded hash order of a unique unit."""
-    if n <= TOP_N_LIMIT:
-        return df.orderBy(md5_key(seed, unit)).limit(n)
-    return group_sample(df, unit, n, seed)
+def simple_sample(df: DataFrame, unit: str, n: int, seed, **kw) -> DataFrame:
+    """Exactly n rows (all when there are fewer), in seeded hash order of the unit; NULL is a unit.
+
+    Of the unit at the cut as many rows are taken as are missing, in the order of a hash of the whole row.
+    """
+    if n <= 0:
+        return df.limit(0)
+    counts = settled(df.groupBy(md5_key(seed, unit).alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "units")
+    placed = running(counts, [], "_key", {"_below": ("sum", "_n")}, stored=True, **kw)
+    cut = placed.filter((F.col("_below") < n) & (F.col("_below") + F.col("_n") >= n)).select("_key", "_below").first()
+    if cut is None:
+        return df
+    key = md5_key(seed, unit)
+    last = df.filter(key == cut["_key"]).orderBy(F.xxhash64(*df.columns), *df.columns).limit(n - cut["_below"])
+    return df.filter(key < cut["_key"]).unionByName(last)
 
 
 def group_sample(df: DataFrame, group: str, n: int, seed, **kw) -> DataFrame:
@@ -78,7 +86,8 @@ def exact_draws(df: DataFrame, unit: str, reps: int, **kw) -> DataFrame:
     placed = row_index(df.select(unit), [], unit, "_pos", stored=True, **kw)
     n = df.select(F.count(F.lit(1))).scalar()
     draws = placed.select("_pos", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    counts = draws.select("rep", F.pmod(mix_column(F.col("_pos"), F.col("rep")), n).alias("_pos")).groupBy("rep", "_pos").agg(F.count(F.lit(1)).alias("weight"))
+    drawn = with_mixed(draws, *unit_key(F.col("_pos")), F.col("rep"), "_mixed")
+    counts = drawn.select("rep", F.pmod(F.col("_mixed"), n).alias("_pos")).groupBy("rep", "_pos").agg(F.count(F.lit(1)).alias("weight"))
     return counts.join(placed, "_pos").select("rep", unit, "weight")
 
 
@@ -86,7 +95,7 @@ def poisson_draws(df: DataFrame, key: str, reps: int) -> DataFrame:
     """(rep, key, weight > 0) with independent Poisson(1) weights: no shuffle at all."""
     each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     # The weight is above 0 exactly when the mixer value passes the first cut: one cheap predicate.
-    mixed = each.withColumn("_mixed", mix_column(F.col(key), F.col("rep"))).filter(F.col("_mixed") >= poisson_cuts()[0])
+    mixed = with_mixed(each, *unit_key(F.col(key)), F.col("rep"), "_mixed").filter(F.col("_mixed") >= poisson_cuts()[0])
     return mixed.withColumn("weight", poisson_weight(F.col("_mixed"))).drop("_mixed")
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import poisson_weight_array
-from assay.functions.ordered import _range_number, is_small, running, settled
+from assay.functions.hashing import poisson_weight_array, unit_key
+from assay.functions.ordered import FAN, before_ranges, place, running, settled
 from assay.operators.metrics import ranking_metrics
 from assay.operators.splits import exact_draws
 
@@ -16,58 +16,52 @@ CHUNK_ROWS = 32_768
 BLOCK_CELLS = 2_000_000  # rows x replicates held at once
 
 
-def _chunked(df: DataFrame, keys: list[str], score: str, unit: str, rows: int) -> DataFrame:
-    """Give every row a chunk of at most about ``rows`` rows with neighbouring scores.
+def _chunked(df: DataFrame, keys: list[str], score: str, unit: str, rows: int) -> tuple[DataFrame, bool]:
+    """Give every row a chunk of at most about ``rows`` rows with neighbouring scores; and tell whether chunks have two levels.
 
     A score held by more than ``rows`` rows is a chunk of its own, spread over salts: rows that
     share one score need no common order. Only the cut scores travel, the rows are not joined
     with their histogram.
     """
     counts = settled(df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n")), "scores")
-    placed = running(counts, keys, score, {"_below": ("sum", "_n")}, stored=True).withColumn("_block", F.floor(F.col("_below") / rows))
-    heavy = F.col("_n") > rows
-    starts = placed.groupBy(*keys, "_block").agg(F.min(score).alias("_start"), F.max(F.when(heavy, F.struct(F.col(score).alias("s"), F.ceil(F.col("_n") / rows).alias("salts")))).alias("_heavy"))
-    # One entry per block of ``rows`` rows.
-    cuts = starts.groupBy(*keys).agg(F.array_sort(F.collect_list("_start")).alias("_cuts"), F.collect_list("_heavy").alias("_hot"))
-    cuts = settled(cuts, "cuts")
-    j = df.join(cuts, keys) if keys else df.select("*", cuts.select("_cuts").scalar().alias("_cuts"), cuts.select("_hot").scalar().alias("_hot"))
-    salts = F.get(F.filter("_hot", lambda h: h["s"] == F.col(score)), F.lit(0))["salts"]
-    j = j.withColumn("_salts", salts).withColumn("_block", _range_number(F.col("_cuts"), F.col(score)))
-    return (
-        j.withColumn("_chunk", F.col("_block") * 2 + F.col("_salts").isNotNull().cast("int"))
-        .withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(unit), F.col("_salts"))).otherwise(F.lit(0)))
-        .drop("_cuts", "_hot", "_salts", "_block")
+    placed = running(counts, keys, score, {"_below": ("sum", "_n"), "_last": ("last", "_n")}, stored=True)
+    heavy, after = F.col("_n") > rows, F.coalesce(F.col("_last") > rows, F.lit(False))
+    block, last = F.floor(F.col("_below") / rows), F.floor((F.col("_below") - F.col("_last")) / rows)
+    # a chunk begins where the count passes a multiple of rows, at a heavy score and right after one
+    begins = placed.filter((block != last) | heavy | after).select(
+        *keys, F.col(score).alias("_cut"), (F.pmod(block, F.lit(FAN)) == 0).alias("_coarse"), F.when(heavy, F.ceil(F.col("_n") / rows)).cast("long").alias("_extra")
     )
+    spread, deep = place(df, settled(begins, "chunks"), keys, score, "_chunk", "_salts")
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(unit), F.col("_salts"))).otherwise(F.lit(0))
+    return spread.withColumn("_salt", salt).withColumn("_hot", F.col("_salts").isNotNull()).drop("_salts"), deep
 
 
-def bootstrap_auroc(df: DataFrame, keys: list[str], unit: str, reps: int, score: str = "prob", y: str = "y", chunk_rows: int | None = None) -> DataFrame:
+def bootstrap_auroc(df: DataFrame, keys: list[str], unit: str, reps: int, score: str = "prob", y: str = "y", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """AUROC of every group in every replicate, with Poisson(1) weights per unit.
 
-    A unit's weight is a function of its key and the replicate, so all members and tasks see the
+    A unit is any value; NULL is one unit. Its weight is a function of its key and the replicate, so all members and tasks see the
     same draws and no draw is ever shuffled: the rows are shuffled once, by chunk of neighbouring
     scores, whatever the number of replicates. Each chunk returns, per replicate, its positives,
     negatives and ordered pairs; chunks are then combined like one score table.
     """
-    slim = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(unit).cast("bigint").alias("_unit"), F.col(score).cast("double").alias("_s"), F.col(y).cast("double").alias("_y"))
-    if chunk_rows is None and is_small(df):
-        chunked = slim.withColumn("_chunk", F.lit(0)).withColumn("_salt", F.lit(0).cast("bigint"))
-    else:
-        chunked = _chunked(slim, keys, "_s", "_unit", chunk_rows or CHUNK_ROWS)
-    chunked = chunked.withColumn("_chunk", F.col("_chunk").cast("int"))
-    group = [*keys, "_chunk", "_salt"]
+    high, low = unit_key(F.col(unit))
+    slim = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*keys, high.alias("_high"), low.alias("_low"), F.col(score).cast("double").alias("_s"), F.col(y).cast("double").alias("_y"))
+    slim = settled(slim.filter(~F.isnan("_s")), "cells")
+    chunked, deep = _chunked(slim, keys, "_s", "_low", chunk_rows)
+    group = [*keys, "_chunk", "_salt", "_hot"]
     kinds = dict(chunked.dtypes)
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["_s"]).sort_values("_s", kind="stable")
         if pdf.empty:
             return pd.DataFrame(columns=[*group, "rep", "_p", "_n", "_pairs"])
-        s, truth, units = pdf["_s"].to_numpy(), pdf["_y"].to_numpy(), pdf["_unit"].to_numpy()
+        s, truth, highs, lows = (pdf[c].to_numpy() for c in ("_s", "_y", "_high", "_low"))
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         parts = []
         block = max(1, BLOCK_CELLS // len(pdf))
         for lo in range(0, reps, block):
             rep = np.arange(lo, min(lo + block, reps))
-            w = poisson_weight_array(units[:, None], rep[None, :]).astype(float)
+            w = poisson_weight_array(highs[:, None], lows[:, None], rep[None, :]).astype(float)
             pos = np.add.reduceat(w * truth[:, None], first, axis=0)
             neg = np.add.reduceat(w * (1 - truth)[:, None], first, axis=0)
             pairs = (pos * (np.cumsum(neg, axis=0) - neg / 2)).sum(axis=0)
@@ -81,14 +75,12 @@ def bootstrap_auroc(df: DataFrame, keys: list[str], unit: str, reps: int, score:
     # A number given here is kept: few bytes, much work, so partitions must not be merged by size.
     spread = chunked.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
     parts = spread.groupBy(*group).applyInPandas(weigh, schema)
-    merged = parts.groupBy(*keys, "rep", "_chunk").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_pairs").alias("_pairs"))
-    hot = F.col("_chunk") % 2 == 1
-    merged = merged.withColumn("_pairs", F.when(hot, F.col("_p") * F.col("_n") / 2).otherwise(F.col("_pairs")))
-    # One row per chunk: rows / chunk_rows of them in a window.
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "rep").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    merged = parts.groupBy(*keys, "rep", "_chunk", "_hot").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.sum("_pairs").alias("_pairs"))
+    merged = settled(merged.withColumn("_pairs", F.when(F.col("_hot"), F.col("_p") * F.col("_n") / 2).otherwise(F.col("_pairs"))), "replicates")
+    below = before_ranges(merged.select(*keys, "rep", "_chunk", "_n"), [*keys, "rep"], "_chunk", {"_below": ("sum", "_n")}, deep)
     p, n = F.sum("_p"), F.sum("_n")
-    return merged.withColumn("_below", below).groupBy(*keys, "rep").agg(
-        F.when((p > 0) & (n > 0), F.sum(F.col("_pairs") + F.col("_p") * F.col("_below")) / (p * n)).alias("auroc")
+    return merged.join(below, [*keys, "rep", "_chunk"]).groupBy(*keys, "rep").agg(
+        F.when((p > 0) & (n > 0), F.sum(F.col("_pairs") + F.col("_p") * F.coalesce("_below", F.lit(0.0))) / (p * n)).alias("auroc")
     )
 
 
@@ -130,18 +122,18 @@ def verdict(low: Column, high: Column) -> Column:
     return F.when(low > 0, "better").when(high < 0, "worse").otherwise("within noise")
 
 
-def seed_noise(df: DataFrame, config: str, score: str) -> DataFrame:
-    """Mean and sd over the seeds of a configuration; sd is NULL for a single seed."""
-    return df.groupBy(config).agg(F.count(score).alias("n_seeds"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("sd"))
+def seed_noise(df: DataFrame, config: list[str], score: str) -> DataFrame:
+    """Mean and sd over the seeds of a configuration and split; sd is NULL for a single seed."""
+    return df.groupBy(*config).agg(F.count(score).alias("n_seeds"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("sd"))
 
 
-def seed_spread(df: DataFrame, config: str, score: str) -> DataFrame:
-    """max - min per configuration that has at least two seeds."""
-    return df.groupBy(config).agg(F.count(score).alias("n"), (F.max(score) - F.min(score)).alias("spread")).filter("n >= 2")
+def seed_spread(df: DataFrame, config: list[str], score: str) -> DataFrame:
+    """max - min per configuration and split that has at least two seeds."""
+    return df.groupBy(*config).agg(F.count(score).alias("n"), (F.max(score) - F.min(score)).alias("spread")).filter("n >= 2")
 
 
-def noise_floor(spread: DataFrame) -> DataFrame:
-    return spread.agg(F.count(F.lit(1)).alias("n_configs"), F.min("spread").alias("min_spread"), F.max("spread").alias("max_spread"), F.avg("spread").alias("mean_spread"))
+def noise_floor(spread: DataFrame, keys: list[str]) -> DataFrame:
+    return spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_configs"), F.min("spread").alias("min_spread"), F.max("spread").alias("max_spread"), F.avg("spread").alias("mean_spread"))
 
 
 def tie_call(diff: Column, floor: float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import previous, running, trailing
+from assay.functions.ordered import numbered, previous, running, trailing
 
 
 def rolling_mean(df: DataFrame, keys: list[str], order: str, value: str, width: int = 50, name: str = "rolling", **kw) -> DataFrame:
@@ -130,5 +130,4 @@ def eta(elapsed: Column, step: Column, total: Column) -> Column:
 
 def leaderboard(df: DataFrame, split: str, run: str, score: str) -> DataFrame:
     """Rank runs per split: best first, missing scores last in name order."""
-    w = Window.partitionBy(split).orderBy(F.desc_nulls_last(score), F.col(run))  # one row per run and split
-    return df.withColumn("rank", F.row_number().over(w))
+    return numbered(df, [split], score, run)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from assay.functions.hashing import md5_key_sql
+from assay.functions.ordered import settled
 from assay.operators import ensemble as E
 from assay.operators import metrics as M
 from assay.operators.splits import kfold
@@ -70,10 +71,8 @@ def ens_5(spark, sf):
 def ens_6(spark, sf):
     """Labels of the groups in a member table: children in order, and repeated members counted."""
     tree = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    names = F.expr("listagg(n_name, ' + ') within group (order by n_nationkey)")
-    head = F.when(F.col("r_regionkey") % 2 == 0, "avg(").otherwise("avg-logit(")
-    g = tree.groupBy("r_regionkey").agg(names.alias("_l"), (F.count("n_name") - F.count_distinct("n_name")).alias("n_twice"))
-    return g.select(F.col("r_regionkey").alias("node"), F.concat(head, F.col("_l"), F.lit(")")).alias("label"), "n_twice")
+    space = F.when(F.col("r_regionkey") % 2 == 0, "prob").otherwise("logit")
+    return E.label_groups(tree.withColumn("space", space), "r_regionkey", "space", "n_name", "n_nationkey").withColumnRenamed("r_regionkey", "node")
 
 
 @query("ens_7_specialist_member", f"select item_id, task, 'specialists' as member, y, prob from predictions where member = {SPECIALIST_SQL}")
@@ -124,35 +123,38 @@ def ens_10(spark, sf):
     return rounded(E.greedy_search(_folded(spark, sf), MEMBERS, 4, "fold", FOLDS, TASKS))
 
 
-# Example weights per fold, so that these queries do not repeat the search.
-FOLD_WEIGHTS = [(t, f, (i + 1) / (i + f + 4), 1 / (i + f + 4), f / (i + f + 4), 2 / (i + f + 4)) for i, t in enumerate(TASKS) for f in range(FOLDS)]
-FW_SQL = "(select * from (values " + ", ".join("('%s', %d, %r::double, %r::double, %r::double, %r::double)" % r for r in FOLD_WEIGHTS) + ") x(task, fold, w0, w1, w2, w3))"
-BLENDED = f"(select task, fold, y, w0 * m0 + w1 * m1 + w2 * m2 + w3 * m3 as prob from wide_predictions join {FOLD_SQL} using (item_id) join {FW_SQL} using (task, fold))"
+# Weights per task and fold as the search finds them.
+FOUND = _search_sql() + f"""select * from (select task, fold, {', '.join(f'u{i} / 4.0::double as w{i}' for i in range(4))} from best where rn = 1)"""
+WITH_FOUND = f"with fw as materialized ({FOUND})"
+BLENDED = f"(select task, fold, y, w0 * m0 + w1 * m1 + w2 * m2 + w3 * m3 as prob from wide_predictions join {FOLD_SQL} using (item_id) join fw using (task, fold))"
+MEAN_W = "(select task, avg(w0) as a0, avg(w1) as a1, avg(w2) as a2, avg(w3) as a3 from fw group by task)"
 
 
-def _fold_weights(spark):
-    return small_table(spark, FOLD_WEIGHTS, "task string, fold int, m0 double, m1 double, m2 double, m3 double")
+def _searched(spark, sf):
+    """Folded rows and the weights that the grid search finds on them."""
+    rows = _folded(spark, sf)
+    return rows, settled(E.grid_search(rows, MEMBERS, UNITS, "fold", FOLDS).select("task", "fold", *MEMBERS), "weights")
 
 
-@query("ens_11_out_of_fold", f"select task, round(avg(auroc), 9) as oof_auroc from {Q.ranking(BLENDED, ['task', 'fold'])} group by task")
+@query("ens_11_out_of_fold", f"{WITH_FOUND} select task, round(avg(auroc), 9) as oof_auroc from {Q.ranking(BLENDED, ['task', 'fold'])} group by task")
 def ens_11(spark, sf):
-    return rounded(E.out_of_fold(_folded(spark, sf), _fold_weights(spark), MEMBERS, "fold"))
+    rows, found = _searched(spark, sf)
+    return rounded(E.out_of_fold(rows, found, MEMBERS, "fold"))
 
 
-@query("ens_12_fold_average", f"with w as (select task, avg(w0) as m0, avg(w1) as m1, avg(w2) as m2, avg(w3) as m3 from {FW_SQL} group by task) "
-       + "select p.task, p.member, round(max(case p.member when 'm0' then m0 when 'm1' then m1 when 'm2' then m2 else m3 end), 9) as w, count(*) as n_cells from predictions p join w using (task) group by 1, 2")
+@query("ens_12_fold_average", f"{WITH_FOUND} " + " union all ".join(f"select task, 'm{i}' as member, round(a{i}, 9) as w from {MEAN_W}" for i in range(4)))
 def ens_12(spark, sf):
-    cells = predictions(spark, sf).groupBy("task", "member").agg(F.count(F.lit(1)).alias("n_cells"))
-    return rounded(E.fold_average(_fold_weights(spark), MEMBERS).join(cells, ["task", "member"]))
+    return rounded(E.fold_average(_searched(spark, sf)[1], MEMBERS))
 
 
-MEAN_BLEND = f"(select p.task, p.y, a0 * m0 + a1 * m1 + a2 * m2 + a3 * m3 as prob from wide_predictions p join (select task, avg(w0) as a0, avg(w1) as a1, avg(w2) as a2, avg(w3) as a3 from {FW_SQL} group by task) using (task))"
+MEAN_BLEND = f"(select p.task, p.y, a0 * m0 + a1 * m1 + a2 * m2 + a3 * m3 as prob from wide_predictions p join {MEAN_W} using (task))"
 
 
-@query("ens_13_search_summary", f"""select task, round(oof, 9) as oof_auroc, round(i.auroc, 9) as in_sample, round(f.auroc, 9) as flat, round(oof - f.auroc, 9) as gain
+@query("ens_13_search_summary", f"""{WITH_FOUND} select task, round(oof, 9) as oof_auroc, round(i.auroc, 9) as in_sample, round(f.auroc, 9) as flat, round(oof - f.auroc, 9) as gain
  from (select task, avg(auroc) as oof from {Q.ranking(BLENDED, ['task', 'fold'])} group by task) join {Q.ranking(MEAN_BLEND, ['task'])} i using (task) join {Q.ranking(f'(select task, y, {FLAT} as prob from wide_predictions)', ['task'])} f using (task)""")
 def ens_13(spark, sf):
-    return rounded(E.search_summary(_folded(spark, sf), _fold_weights(spark), MEMBERS, "fold"))
+    rows, found = _searched(spark, sf)
+    return rounded(E.search_summary(rows, found, MEMBERS, "fold"))
 
 
 CUT = [m for m in REPORT if m in ("f1", "precision", "recall", "specificity")]

@@ -82,15 +82,6 @@ def img_3(spark, sf):
     return image_sizes(spark, sf).select("image_id", *[c.alias(n) for n, c in g.items()])
 
 
-@query("img_3_resize_pad")
-def img_3_pixels(spark, sf):
-    def fit(img):
-        out = I.resize_pad(img, 28, 24)
-        return [{"n_dark": int((out == 0).sum()), "total": int(out.sum())}]
-
-    return I.map_pixels(pixels(spark, sf), fit, "image_id bigint, n_dark bigint, total bigint")
-
-
 # Channel means and deviations of the usual image normalization.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
@@ -108,28 +99,12 @@ def img_4(spark, sf):
 INTENSITY = "image_id bigint, kind string, low int, high int, mean double, hist array<bigint>"
 
 
-def _both_kinds(img):
-    return [{"kind": "original", **I.intensity_row(img)}, {"kind": "clahe", **I.intensity_row(I.clahe(img))}]
-
-
-@query("img_5_clahe")
-def img_5(spark, sf):
-    return I.map_pixels(pixels(spark, sf), lambda img: [{"kind": "clahe", **I.intensity_row(I.clahe(img))}], INTENSITY)
-
-
 @query("img_6_intensity", f"with {PIXELS_SQL} select image_id, min(v)::int as low, max(v)::int as high, round(avg(v), 6) as mean, count(*) filter (where v * 50 // 256 = 0) as n_first_bin from cells group by image_id")
 def img_6(spark, sf):
     rows = I.map_pixels(pixels(spark, sf), lambda img: [{"kind": "original", **I.intensity_row(img)}], INTENSITY)
     return rows.select("image_id", "low", "high", F.round("mean", 6).alias("mean"), F.get("hist", F.lit(0)).alias("n_first_bin"))
 
 
-@query("agg_27_intensity_ranges")
-def agg_27(spark, sf):
-    """Range and mean per kind over all images, original against CLAHE."""
-    rows = I.map_pixels(pixels(spark, sf), _both_kinds, INTENSITY)
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.round(F.avg("mean"), 6).alias("mean"))
-
-
 OPS = {"rotate": (0.5, -5.0, 5.0), "shift_x": (0.5, -0.05, 0.05), "shift_y": (0.5, -0.05, 0.05), "scale": (0.5, 0.95, 1.05), "brightness": (0.3, 0.9, 1.1), "contrast": (0.3, 0.9, 1.1)}
 OPS_SQL = ", ".join(f"round(case when {md5_uniform_sql(f'42:3:{op}:roll', 'image_id')} < {p}::double then {lo}::double + {md5_uniform_sql(f'42:3:{op}:value', 'image_id')} * ({hi}::double - {lo}::double) end, 9) as {op}" for op, (p, lo, hi) in OPS.items())
 
@@ -139,23 +114,11 @@ def img_7(spark, sf):
     return rounded(I.drawn_parameters(image_sizes(spark, sf).select("image_id"), "image_id", 42, 3, OPS))
 
 
-@query("img_7_views")
-def img_7_views(spark, sf):
-    """The 14 fixed views of every image."""
-    def views(img):
-        return [{"view": v["name"], "mean": round(float(I.apply_view(img, v).mean()), 6)} for v in I.VIEWS]
-
-    return I.map_pixels(pixels(spark, sf), views, "image_id bigint, view string, mean double")
-
-
 @query("img_8_batch_scorer", "select vec_id, round(1 / (1 + exp(-z)), 6) as p_first, round(z, 6) as margin from (select vec_id, list_sum(list_transform(embedding, lambda e, i: e::double * ((i * 7) % 5 - 2)))::double as z from embeddings)")
 def img_8(spark, sf):
-    def linear(pdf):
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        z = x @ ((np.arange(1, x.shape[1] + 1) * 7) % 5 - 2)
-        return np.column_stack([1 / (1 + np.exp(-z)), z])
-
-    out = I.score_batches(table(spark, sf, "embeddings").select("vec_id", "embedding"), linear, ["vec_id"], ["p_first", "margin"])
+    """A linear scorer as a column expression."""
+    z = F.aggregate(F.transform("embedding", lambda e, i: e.cast("double") * (F.pmod((i + 1) * 7, F.lit(5)) - 2)), F.lit(0.0), lambda s, x: s + x)
+    out = I.score_columns(table(spark, sf, "embeddings"), ["vec_id"], {"p_first": 1 / (1 + F.exp(-z)), "margin": z})
     return out.select("vec_id", F.round("p_first", 6).alias("p_first"), F.round("margin", 6).alias("margin"))
 
 
@@ -172,8 +135,5 @@ def img_10(spark, sf):
 @query("lab_12_soft_generation", "select item_id, path, " + ", ".join(f"((item_id * 5011 + {t} * 37) % 1000)::double / 1000 as p_t{t}" for t in range(5)) + " from wide_labels where t0 = -1 or t1 = -1 or t2 = -1 or t3 = -1 or t4 = -1")
 def lab_12(spark, sf):
     """Score the rows with an uncertain cell and emit every task's probability."""
-    def predict(pdf):
-        return (pdf["item_id"].to_numpy()[:, None] * 5011 + np.arange(5) * 37) % 1000 / 1000
-
     rows = wide_labels(spark, sf).filter(L.any_uncertain(TASKS)).select("item_id", "path")
-    return I.score_batches(rows, predict, ["item_id", "path"], [f"p_{t}" for t in TASKS])
+    return I.score_columns(rows, ["item_id", "path"], {f"p_{t}": F.pmod(F.col("item_id") * 5011 + i * 37, F.lit(1000)).cast("double") / 1000 for i, t in enumerate(TASKS)})

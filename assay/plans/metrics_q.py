@@ -164,8 +164,8 @@ def met_16(spark, sf):
     p = predictions(spark, sf)
     frontal = F.lower("path").contains("frontal")
     ranks = M.macro(M.ranking_metrics(p.filter(frontal), MST), ["member", "split"], ["auroc", "auprc"])
-    # One task's rows stand for the items: no distinct count is needed.
-    sizes = p.filter(F.col("t") == 0).groupBy("member", "split").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(frontal).alias("n_used"))
+    each = p.groupBy("member", "split", "item_id").agg(F.max(frontal).alias("used"))
+    sizes = each.groupBy("member", "split").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("used").alias("n_used"))
     return sizes.join(ranks, ["member", "split"]).select("member", "split", "n_all", "n_used", *r9("mean_auroc", "mean_auprc"))
 
 

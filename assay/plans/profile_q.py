@@ -145,13 +145,13 @@ def agg_18(spark, sf):
 
 
 @query("agg_19_positives_at", f"""
-with c as (select * from {Q.best_f1("(select * from predictions where member = 'm0')", ['task'])} where task <> 't4')
+with c as (select * from {Q.best_f1('predictions', ['task'])} where task <> 't4')
 select task, count(*) as n, count(*) filter (where prob >= 0.5::double) as n_half, round(100.0::double * count(*) filter (where prob >= 0.5::double) / count(*), 9) as pct_half,
  case when max(threshold) is not null then count(*) filter (where prob >= threshold) end as n_calibrated, case when max(threshold) is not null then round(100.0::double * count(*) filter (where prob >= threshold) / count(*), 9) end as pct_calibrated
 from soft_labels left join c using (task) group by task""")
 def agg_19(spark, sf):
     from assay.operators.metrics import best_f1
-    cuts = best_f1(predictions(spark, sf).filter(F.col("member") == "m0"), ["task"]).filter(F.col("task") != "t4")
+    cuts = best_f1(predictions(spark, sf), ["task"]).filter(F.col("task") != "t4")
     return rounded(P.positives_at(soft_labels(spark, sf), ["task"], "prob", cuts, ["task"]))
 
 
@@ -164,14 +164,14 @@ def agg_20(spark, sf):
     return rounded(P.correlations(ranks, ["task"], MEMBERS))
 
 
-RANK_SQL = "select item_id, task, round(avg_rank, 9) as avg_rank, round(avg_rank / n, 9) as norm_rank from (select item_id, task, rank() over (partition by task order by prob) + (count(*) over (partition by task, prob) - 1) / 2.0::double as avg_rank, count(*) over (partition by task) as n from predictions where member = 'm1')"
+RANK_SQL = "select item_id, task, member, round(avg_rank, 9) as avg_rank, round(avg_rank / n, 9) as norm_rank from (select item_id, task, member, rank() over (partition by member, task order by prob) + (count(*) over (partition by member, task, prob) - 1) / 2.0::double as avg_rank, count(*) over (partition by member, task) as n from predictions)"
 
 
 def _average_rank(spark, sf, **kw):
     from assay.functions.ordered import ranked
-    df = predictions(spark, sf).filter(F.col("member") == "m1").select("item_id", "task", "prob")
-    r = ranked(df, ["task"], "prob", **kw)
-    return rounded(r.select("item_id", "task", "avg_rank", (F.col("avg_rank") / F.col("group_rows")).alias("norm_rank")))
+    df = predictions(spark, sf).select("item_id", "task", "member", "prob")
+    r = ranked(df, ["member", "task"], "prob", **kw)
+    return rounded(r.select("item_id", "task", "member", "avg_rank", (F.col("avg_rank") / F.col("group_rows")).alias("norm_rank")))
 
 
 @query("agg_21_average_rank", RANK_SQL)
@@ -181,7 +181,7 @@ def agg_21(spark, sf):
 
 @query("agg_21_average_rank_ranged", RANK_SQL)
 def agg_21_ranged(spark, sf):
-    """The same ranks through ranges of about 100 distinct scores: the plan used for large inputs."""
+    """The same ranks through ranges of about 100 distinct scores."""
     return _average_rank(spark, sf, rows_per_range=100)
 
 

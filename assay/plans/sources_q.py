@@ -65,16 +65,16 @@ def src_5(spark, sf):
     return rounded(S.read_thresholds(spark, path, TASKS))
 
 
-@query("src_6_weights", """with w as (select split as run, task, member, avg(prob) as w from predictions where split <> 'train' group by 1, 2, 3)
+@query("src_6_weights", """with w as (select split as run, task, member, avg(prob) as w from predictions group by 1, 2, 3)
 select run, task, member, round(case when run = 'test500' then 0.25::double else w end, 9) as w from w""")
 def src_6(spark, sf):
     path = fresh_path(spark, "weights")
-    p = predictions(spark, sf).where("split <> 'train'").groupBy(F.col("split").alias("run"), "task", "member").agg(F.avg("prob").alias("w"))
+    p = predictions(spark, sf).groupBy(F.col("split").alias("run"), "task", "member").agg(F.avg("prob").alias("w"))
     per = p.groupBy("run", "task").agg(F.map_from_entries(F.collect_list(F.struct("member", "w"))).alias("m"))
     maps = per.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("task", "m"))).alias("w"))
     docs = maps.select(
         "run", F.lit("prob").alias("combine_space"), F.array(*[F.lit(m) for m in MEMBERS]).alias("members"),
-        F.when(F.col("run") == "val19k", F.col("w")).alias("weights_per_class"), F.when(F.col("run") == "val200", F.col("w")).alias("class_weights"),
+        F.when(F.col("run").isin("train", "val19k"), F.col("w")).alias("weights_per_class"), F.when(F.col("run") == "val200", F.col("w")).alias("class_weights"),
     )
     docs.write.partitionBy("run").json(path)
     return rounded(S.read_weights(spark, path, TASKS, space="prob"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import md5_key_sql, mix_sql, poisson_weight_sql
+from assay.functions.hashing import md5_key_sql, mix_sql, poisson_weight_sql, unit_key_sql
 from assay.operators import joins as J
 from assay.operators import splits as S
 from assay.plans.profile_q import rounded
@@ -61,13 +61,13 @@ def spl_7(spark, sf):
 
 @query("spl_8_exact_draws", f"""
 with p as (select item_id, row_number() over (order by item_id) - 1 as pos, count(*) over () as n from items),
-d as (select rep, {mix_sql('pos', 'rep')} % n as pos, count(*) as weight from p, (select unnest(range(5))::int as rep) group by 1, 2)
+d as (select rep, h % n as pos, count(*) as weight from (select rep, n, {mix_sql('uh', 'ul', 'rep', 'h')} from (select n, {unit_key_sql('pos', 'uh', 'ul')} from p), (select unnest(range(5))::int as rep)) group by 1, 2)
 select rep, item_id, weight from d join p using (pos)""")
 def spl_8(spark, sf):
     return S.exact_draws(items(spark, sf), "item_id", 5)
 
 
-@query("spl_8_poisson_draws", f"select rep, count(*) as n_drawn, sum(w)::bigint as total, sum(w * w)::bigint as squares from (select rep, {poisson_weight_sql('h')} as w from (select rep, {mix_sql('item_id', 'rep')} as h from items, (select unnest(range(20))::int as rep))) where w > 0 group by rep")
+@query("spl_8_poisson_draws", f"select rep, count(*) as n_drawn, sum(w)::bigint as total, sum(w * w)::bigint as squares from (select rep, {poisson_weight_sql('h')} as w from (select rep, {mix_sql('uh', 'ul', 'rep', 'h')} from (select {unit_key_sql('item_id', 'uh', 'ul')} from items), (select unnest(range(20))::int as rep))) where w > 0 group by rep")
 def spl_8_poisson(spark, sf):
     d = S.poisson_draws(items(spark, sf).select("item_id"), "item_id", 20)
     return d.groupBy("rep").agg(F.count(F.lit(1)).alias("n_drawn"), F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("weight")).alias("squares"))
@@ -141,10 +141,10 @@ def jn_7(spark, sf):
     return J.collision_audit([(f.lower(), lines.where(f"flag = '{f}'").select("name")) for f in "ANR"], "name")
 
 
-@query("jn_8_disjoint_union", "with u as (select item_id from items where split = 'train' union all select item_id from items where split in ('val19k', 'val200')), c as (select item_id, count(*) as c from u group by 1) select sum(c)::bigint as n_rows, count(*) as n_names, count(*) filter (where c > 1) as n_repeated from c")
+@query("jn_8_disjoint_union", "with u as (select item_id from items where split = 'train' union all select item_id from items where split in ('val19k', 'val200') union all select item_id from items where split = 'test500'), c as (select item_id, count(*) as c from u group by 1) select sum(c)::bigint as n_rows, count(*) as n_names, count(*) filter (where c > 1) as n_repeated from c")
 def jn_8(spark, sf):
     i = items(spark, sf).select("item_id", "split")
-    return J.duplicate_audit(i.where("split = 'train'").unionByName(i.where("split in ('val19k', 'val200')")), "item_id")
+    return J.duplicate_audit(i.where("split = 'train'").unionByName(i.where("split in ('val19k', 'val200')")).unionByName(i.where("split = 'test500'")), "item_id")
 
 
 @query("jn_9_alignment", "select count(*) as n_cells, min(m) as least, max(m) as most, sum(c)::bigint as n_rows, sum(c) = count(*) * max(m) and min(m) = max(m) as aligned from (select item_id, task, count(distinct member) as m, count(*) as c from predictions where not (member = 'm2' and item_id % 1000 = 7) group by 1, 2)")
@@ -186,7 +186,7 @@ def jn_12(spark, sf):
     from assay.operators.windows import top_n
     log = metric_log(spark, sf).select("run", "step", "metric", "stage")
     best = top_n(log.where("stage <> 'view'"), ["run"], "metric", "step", 5)
-    return J.assign_distinct(best.select("run", "step", "rank"), log.where("stage = 'view'"), "run", "step", "rank", 5)
+    return J.assign_distinct(best.select("run", "step", "rank"), log.where("stage = 'view'"), "run", "step", "rank")
 
 
 @query("jn_13_all_pairs", "with w as (select * from wide_predictions) " + " union all ".join(f"select task, '{a}' as a, '{b}' as b, round(avg(abs({a} - {b})), 9) as mean_diff from w group by task" for i, a in enumerate(MEMBERS) for b in MEMBERS[i + 1:]))

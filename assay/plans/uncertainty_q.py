@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import mix_sql, poisson_weight_sql
+from assay.functions.hashing import mix_sql, poisson_weight_sql, unit_key_sql
 from assay.operators import ensemble as E
 from assay.operators import metrics as M
 from assay.operators import uncertainty as U
@@ -18,7 +18,7 @@ REPS = 40
 def _boot_sql(src, unit, extra, reps=REPS):
     """src has task, y, prob, ``unit`` and the columns in extra."""
     keys = ", ".join(extra + ["task", "rep"])
-    return f"""wts as materialized (select u, rep, {poisson_weight_sql('h')} as w from (select u, rep, {mix_sql('u', 'rep')} as h from (select distinct {unit} as u from items), (select unnest(range({reps}))::int as rep))),
+    return f"""wts as materialized (select u, rep, {poisson_weight_sql('h')} as w from (select u, rep, {mix_sql('uh', 'ul', 'rep', 'h')} from (select u, {unit_key_sql('u', 'uh', 'ul')} from (select distinct {unit} as u from items)), (select unnest(range({reps}))::int as rep))),
 h as (select {keys}, prob, sum(w * y)::double as pos, sum(w * (1 - y))::double as neg from {src} s join (select * from wts where w > 0) d on s.{unit} = d.u group by {keys}, prob),
 c as (select *, coalesce(sum(neg) over (partition by {keys} order by prob rows between unbounded preceding and 1 preceding), 0) as below from h),
 boot as materialized (select {keys}, case when sum(pos) > 0 and sum(neg) > 0 then sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) end as auroc from c group by {keys})"""
@@ -47,7 +47,7 @@ def sta_1_chunked(spark, sf):
 
 @query("sta_1_bootstrap_exact", f"""
 with p as (select item_id, row_number() over (order by item_id) - 1 as pos, count(*) over () as n from items),
-d as (select rep, pos, count(*) as w from (select rep, {mix_sql('pos', 'rep')} % n as pos from p, (select unnest(range(5))::int as rep)) group by 1, 2),
+d as (select rep, h % n as pos, count(*) as w from (select rep, n, {mix_sql('uh', 'ul', 'rep', 'h')} from (select n, {unit_key_sql('pos', 'uh', 'ul')} from p), (select unnest(range(5))::int as rep)) group by 1, 2),
 h as (select task, rep, prob, sum(w * y)::double as pos, sum(w * (1 - y))::double as neg from {BLEND} s join p using (item_id) join d using (pos) group by 1, 2, 3),
 c as (select *, coalesce(sum(neg) over (partition by task, rep order by prob rows between unbounded preceding and 1 preceding), 0) as below from h)
 select task, rep, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 9) as auroc from c group by 1, 2""")
@@ -96,21 +96,21 @@ def sta_5(spark, sf):
     return rounded(U.paired_summary(macro, []).select("verdict", "mean_diff"))
 
 
-@query("sta_6_seed_noise", "select run % 40 as config, count(score) as n_seeds, round(avg(score), 9) as mean, round(stddev_samp(score), 9) as sd from run_scores where split = 'click' group by 1")
+@query("sta_6_seed_noise", "select run % 40 as config, split, count(score) as n_seeds, round(avg(score), 9) as mean, round(stddev_samp(score), 9) as sd from run_scores group by 1, 2")
 def sta_6(spark, sf):
-    return rounded(U.seed_noise(run_scores(spark, sf).where("split = 'click'").selectExpr("run % 40 as config", "score"), "config", "score"))
+    return rounded(U.seed_noise(run_scores(spark, sf).selectExpr("run % 40 as config", "split", "score"), ["config", "split"], "score"))
 
 
-SPREAD = "with s as (select run % 40 as config, count(score) as n, max(score) - min(score) as spread from run_scores where split = 'click' group by 1 having count(score) >= 2)"
+SPREAD = "with s as (select run % 40 as config, split, count(score) as n, max(score) - min(score) as spread from run_scores group by 1, 2 having count(score) >= 2)"
 
 
 def _spread(spark, sf):
-    return U.seed_spread(run_scores(spark, sf).where("split = 'click'").selectExpr("run % 40 as config", "score"), "config", "score")
+    return U.seed_spread(run_scores(spark, sf).selectExpr("run % 40 as config", "split", "score"), ["config", "split"], "score")
 
 
-@query("sta_7_noise_floor", SPREAD + " select count(*) as n_configs, round(min(spread), 9) as min_spread, round(max(spread), 9) as max_spread, round(avg(spread), 9) as mean_spread from s")
+@query("sta_7_noise_floor", SPREAD + " select split, count(*) as n_configs, round(min(spread), 9) as min_spread, round(max(spread), 9) as max_spread, round(avg(spread), 9) as mean_spread from s group by split")
 def sta_7(spark, sf):
-    return rounded(U.noise_floor(_spread(spark, sf)))
+    return rounded(U.noise_floor(_spread(spark, sf), ["split"]))
 
 
 @query("sta_8_tie_call", "with p as (select run, max(case when split = 'click' then score end) - max(case when split = 'view' then score end) as diff from run_scores group by run) select run, round(diff, 9) as diff, case when abs(diff) < 0.015 then 'tie' when diff > 0 then 'better' else 'worse' end as call from p where diff is not null")

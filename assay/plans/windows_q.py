@@ -57,10 +57,10 @@ def win_6(spark, sf):
     return rounded(W.top_n(metric_log(spark, sf).select("run", "step", "metric"), ["run"], "metric", "step", 10))
 
 
-@query("win_7_step_spacing", """with g as (select run, step - lag(step) over (partition by run order by step) as gap from metric_log where stage = 'click'), p as (select run, gap, count(*) as n from g where gap is not null group by 1, 2)
-select run, sum(n)::bigint as n_gaps, min(gap) as min_gap, arg_max(gap, (n, -gap)) as mode_gap, count(*) as n_distinct from p group by run""")
+@query("win_7_step_spacing", """with g as (select run, stage, step - lag(step) over (partition by run, stage order by step) as gap from metric_log), p as (select run, stage, gap, count(*) as n from g where gap is not null group by 1, 2, 3)
+select run, stage, sum(n)::bigint as n_gaps, min(gap) as min_gap, arg_max(gap, (n, -gap)) as mode_gap, count(*) as n_distinct from p group by run, stage""")
 def win_7(spark, sf):
-    return W.step_spacing(metric_log(spark, sf).where("stage = 'click'").select("run", "step"), ["run"], "step")
+    return W.step_spacing(metric_log(spark, sf).select("run", "stage", "step"), ["run", "stage"], "step")
 
 
 @query("win_8_leaderboard", "select split, run, score, row_number() over (partition by split order by score desc nulls last, run)::int as rank from (select split, run, case when n % 3 = 0 then null else score end as score from run_scores)")

@@ -63,30 +63,55 @@ def test_global_index(log):
     np.testing.assert_array_equal(got["i"], got["at"])
 
 
-def test_large_inputs_take_ranges(spark, tmp_path):
-    """Beyond the size limit the plan has no sort of a whole group in one task."""
-    spark.range(2000).selectExpr("id % 2 as run", "id as at", "id * 1.5 as v").write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    assert O.is_small(df)
-    limit, O.SMALL_BYTES = O.SMALL_BYTES, 0
-    try:
-        plan = O.running(df, ["run"], "at", {"s": ("sum", "v")})._jdf.queryExecution().optimizedPlan().toString()
-        glob = O.row_index(df, [], "at")._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        O.SMALL_BYTES = limit
-    for p in (plan, glob):
-        assert all("_range" in line for line in p.splitlines() if "Window [" in line)
+def test_two_levels_of_cuts(log, monkeypatch):
+    """Many ranges under several coarse ones give the same values."""
+    monkeypatch.setattr(O, "FAN", 5)
+    df, pdf = log
+    got = collect(O.running(df, ["run"], "at", {"n": ("sum", "at"), "last": ("last", "v")}, rows_per_range=7))
+    g = pdf.groupby("run")
+    np.testing.assert_array_equal(got["n"], g["at"].cumsum() - pdf["at"])
+    np.testing.assert_allclose(got["last"].astype(float), g["v"].transform(lambda v: v.ffill().shift()).astype(float), atol=1e-9)
+    glob = O.row_index(df, [], "at", "i", 7).toPandas()
+    np.testing.assert_array_equal(glob["i"], glob["at"])
+
+
+def test_every_window_is_over_ranges(log):
+    df, _ = log
+    for out in (O.running(df, ["run"], "at", {"s": ("sum", "v")}), O.row_index(df, [], "at"), O.ranked(df, ["run"], "v", 13)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert all("_range" in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_places(spark):
+    df = spark.createDataFrame([("a", 1, 0.5), ("a", 2, None), ("a", 3, 0.9), ("a", 4, 0.5), ("b", 5, 0.1)], "k string, run int, v double")
+    got = {r["run"]: r["rank"] for r in O.numbered(df, ["k"], "v", "run").collect()}
+    assert got == {3: 1, 1: 2, 4: 3, 2: 4, 5: 1}
 
 
 def test_mixer_agrees_between_engines_and_looks_random(spark):
+    import duckdb
+
     ids, reps = np.arange(4000), np.arange(30)
-    w = H.poisson_weight_array(ids[:, None], reps[None, :])
-    grid = spark.range(4000).select("id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("rep"))
-    got = grid.withColumn("m", H.mix_column(F.col("id"), F.col("rep"))).select("id", "rep", H.poisson_weight(F.col("m")).alias("w")).toPandas()
-    np.testing.assert_array_equal(got.sort_values(["id", "rep"])["w"].to_numpy().reshape(4000, 30), w)
+    grid = spark.range(4000).select("id", *[c.alias(n) for c, n in zip(H.unit_key(F.col("id")), ("h", "l"))])
+    keys = grid.orderBy("id").toPandas()
+    w = H.poisson_weight_array(keys["h"].to_numpy()[:, None], keys["l"].to_numpy()[:, None], reps[None, :])
+    each = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("rep"))
+    got = H.with_mixed(each, F.col("h"), F.col("l"), F.col("rep"), "m").select("id", "rep", "m", H.poisson_weight(F.col("m")).alias("w")).toPandas().sort_values(["id", "rep"])
+    np.testing.assert_array_equal(got["w"].to_numpy().reshape(4000, 30), w)
+    sql = f"select m from (select id, rep, {H.mix_sql('h', 'l', 'rep', 'm')} from (select range as id, {H.unit_key_sql('range', 'h', 'l')} from range(50)), (select unnest(range(30)) as rep)) order by id, rep"
+    assert [r[0] for r in duckdb.sql(sql).fetchall()] == got["m"].tolist()[:1500]
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
     off = np.corrcoef(w.T)[~np.eye(30, dtype=bool)]
     assert np.abs(off).max() < 0.08
+    assert len(H.poisson_cuts()) > 15
+
+
+def test_units_of_any_type(spark):
+    text = spark.createDataFrame([("patient50",), ("patient51",), (None,)], "u string")
+    rows = text.select("u", *[c.alias(n) for c, n in zip(H.unit_key(F.col("u")), ("h", "l"))]).collect()
+    assert len({(r["h"], r["l"]) for r in rows}) == 3 and all(r["h"] is not None for r in rows)
+    near = spark.range(2).selectExpr("id * 2147483647 as u").select(*[c.alias(n) for c, n in zip(H.unit_key(F.col("u")), ("h", "l"))]).collect()
+    assert near[0] != near[1]
 
 
 def test_md5_uniform(spark):

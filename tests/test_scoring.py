@@ -2,6 +2,8 @@
 
 import itertools
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -97,11 +99,11 @@ def test_known_macro(spark):
 def test_known_seed_noise(spark):
     # Published scores of three seeds of two configurations.
     rows = [("a", 0.8743), ("a", 0.8809), ("a", 0.8780), ("b", 0.8566), ("b", 0.8533), ("b", 0.8461), ("c", 0.9)]
-    got = {r["config"]: r for r in U.seed_noise(small_table(spark, rows, "config string, s double"), "config", "s").collect()}
+    got = {r["config"]: r for r in U.seed_noise(small_table(spark, rows, "config string, s double"), ["config"], "s").collect()}
     assert (round(got["a"]["mean"], 4), round(got["a"]["sd"], 4)) == (0.8777, 0.0033)
     assert (round(got["b"]["mean"], 4), round(got["b"]["sd"], 4)) == (0.8520, 0.0054)
     assert got["c"]["sd"] is None
-    assert {r["config"] for r in U.seed_spread(small_table(spark, rows, "config string, s double"), "config", "s").collect()} == {"a", "b"}
+    assert {r["config"] for r in U.seed_spread(small_table(spark, rows, "config string, s double"), ["config"], "s").collect()} == {"a", "b"}
 
 
 MEMBERS = ["m0", "m1", "m2"]
@@ -181,7 +183,22 @@ def test_labels_and_nesting(spark):
         E.to_space(wide, "odds", ["task"], "a")
 
 
-@pytest.mark.parametrize("chunk", [None, 37])
+def unit_numbers(unit):
+    digest = hashlib.md5(str(unit).encode()).hexdigest()
+    return int(digest[:7], 16), int(digest[7:14], 16)
+
+
+def test_bootstrap_chunks_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(U, "FAN", 3)
+    rng = np.random.default_rng(5)
+    n = 600
+    df = frame(spark, rng.integers(0, 2, n), np.round(rng.random(n), 2), task=["a"] * n, item=[f"patient{i}" for i in range(n)])
+    one = U.bootstrap_auroc(df, ["task"], "item", 9)
+    many = U.bootstrap_auroc(df, ["task"], "item", 9, chunk_rows=20)
+    assert sorted((r["rep"], round(r["auroc"], 12)) for r in one.collect()) == sorted((r["rep"], round(r["auroc"], 12)) for r in many.collect())
+
+
+@pytest.mark.parametrize("chunk", [32_768, 37])
 def test_bootstrap_with_a_hot_score(spark, chunk):
     rng = np.random.default_rng(2)
     n, reps = 900, 70
@@ -190,8 +207,9 @@ def test_bootstrap_with_a_hot_score(spark, chunk):
     df = frame(spark, y, s, task=["a"] * n, item=list(range(n)))
     boot = {r["rep"]: r["auroc"] for r in U.bootstrap_auroc(df, ["task"], "item", reps, chunk_rows=chunk).collect()}
     assert len(boot) == reps
+    keys = [unit_numbers(i) for i in range(n)]
     for rep in (0, 1, 63, 64, 69):
-        w = poisson_weight_array(np.arange(n), np.array(rep)).astype(float)
+        w = poisson_weight_array(np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), np.array(rep)).astype(float)
         assert boot[rep] == pytest.approx(auroc(y, s, w), abs=1e-12)
 
 
@@ -213,3 +231,25 @@ def test_interval_and_verdict(spark):
     assert (r["low"], r["median"], r["high"], r["n_undefined"]) == (2.5, 50.0, 97.5, 1)
     v = small_table(spark, [(0.1, 0.2), (-0.2, -0.1), (-0.1, 0.1)], "low double, high double").select(U.verdict(F.col("low"), F.col("high")).alias("v"))
     assert [x["v"] for x in v.collect()] == ["better", "worse", "within noise"]
+
+
+def test_fold_auroc_leaves_undefined_scores_out(spark):
+    df = spark.createDataFrame([("a", 0, 1, 0.9), ("a", 0, 0, 0.1), ("a", 0, 0, float("nan")), ("a", 0, 0, None)], "task string, fold int, y int, s double")
+    got = E.fold_auroc(df, ["task"], "s", "y", "fold", 2).where("fold = 1").first()
+    assert got["auroc"] == 1.0
+
+
+def test_null_score_counts_as_not_predicted(spark):
+    df = spark.createDataFrame([("a", 1, None, 0.5), ("a", 0, None, 0.5), ("a", 1, 0.7, 0.5)], "task string, y int, prob double, threshold double")
+    r = M.confusion(df, ["task"]).first()
+    assert (r["tp"], r["fp"], r["tn"], r["fn"]) == (1, 0, 1, 1)
+
+
+def test_nearly_all_scores_distinct(spark):
+    """Continuous scores: the score table is as long as the input."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    y, s = rng.integers(0, 2, n), rng.random(n)
+    df = frame(spark, y, s, task=["a"] * n)
+    for rows in (None, 150):
+        assert M.ranking_metrics(df, ["task"], rows_per_range=rows).first()["auroc"] == pytest.approx(auroc(y, s, np.ones(n)), abs=1e-12)

@@ -91,6 +91,21 @@ def test_folds_and_samples(spark, ranges):
     assert S.simple_sample(df, "id", 5000, 3).count() == 1003
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 9_999, 10_001, 20_004])
+def test_sample_size_is_exact(spark, n):
+    """Units twice, and a null unit many times."""
+    df = spark.range(10_000).union(spark.range(10_000)).union(spark.range(4).selectExpr("cast(null as bigint)"))
+    got = S.simple_sample(df, "id", n, 3)
+    assert got.count() == n and rows(got) == rows(S.simple_sample(df.repartition(5), "id", n, 3))
+
+
+def test_targets_without_candidates_are_kept(spark):
+    t = small_table(spark, [("r", 1, 1), ("r", 2, 2), ("r", 3, 3), ("q", 5, 1)], "run string, step long, rank int")
+    c = small_table(spark, [("r", 2), ("r", 9)], "run string, step long")
+    got = {(r["run"], r["rank"]): r["chosen"] for r in J.assign_distinct(t, c, "run", "step", "rank").collect()}
+    assert got == {("r", 1): 2, ("r", 2): 9, ("r", 3): None, ("q", 1): None}
+
+
 # ---- joins ----
 
 def test_nearest_prefers_the_earlier_step(spark):
@@ -110,7 +125,7 @@ def test_distinct_assignment(spark):
         best = min(free, key=lambda x: (abs(x - step), x))
         free.remove(best)
         want.append((rank, best))
-    got = J.assign_distinct(small_table(spark, t, "run string, step long, rank int"), small_table(spark, [("r", x) for x in c], "run string, step long"), "run", "step", "rank", 6)
+    got = J.assign_distinct(small_table(spark, t, "run string, step long, rank int"), small_table(spark, [("r", x) for x in c], "run string, step long"), "run", "step", "rank")
     assert [(r["rank"], r["chosen"]) for r in got.orderBy("rank").collect()] == want
 
 
@@ -223,6 +238,7 @@ def test_headers_and_decoding(spark, tmp_path):
     assert I.header(b"nothing") is None and not I.png_is_whole(whole[:60]) and not I.png_is_whole(whole[:-20] + b"x" * 20)
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x14\x00\x1e\x03" + b"\0" * 9
     assert I.header(jpeg) == (30, 20, "RGB")
+    assert I.is_whole(jpeg + b"\xff\xd9") and not I.is_whole(jpeg) and I.is_whole(whole) and not I.is_whole(whole[:60])
     (tmp_path / "a.png").write_bytes(whole)
     (tmp_path / "b.png").write_bytes(b"broken")
     got = {r["origin"].rsplit("/", 1)[1]: r for r in I.decode_folder(spark, str(tmp_path)).collect()}
@@ -231,26 +247,6 @@ def test_headers_and_decoding(spark, tmp_path):
     assert readers.list_files(spark, str(tmp_path)).count() == 2
 
 
-def test_pixel_maths():
-    rng = np.random.default_rng(1)
-    img = rng.integers(0, 256, (40, 48)).astype(np.uint8)
-    np.testing.assert_array_equal(I.resize_pad(img, 48, 40), img)
-    half = I.resize_pad(img, 24, 20)
-    np.testing.assert_allclose(half, np.rint(img.reshape(20, 2, 24, 2).mean(axis=(1, 3))), atol=1)
-    padded = I.resize_pad(img, 48, 50)
-    assert (padded[:5] == 0).all() and (padded[45:] == 0).all()
-    for view in I.VIEWS:
-        out = I.apply_view(img, view)
-        assert out.shape == img.shape and out.dtype == np.uint8
-    np.testing.assert_array_equal(I.warp(img), img)
-    shifted = I.warp(img, translate=(3 / 48, 0.0))
-    np.testing.assert_array_equal(shifted[:, 3:], img[:, :-3])
-    dull = (100 + rng.integers(0, 20, (64, 64))).astype(np.uint8)
-    assert I.clahe(dull).std() > dull.std()
-    flat = np.full((64, 64), 77, np.uint8)
-    assert len(np.unique(I.clahe(flat))) == 1
-
-
 # ---- streams ----
 
 def test_tracker_goes_on_after_restart_and_ignores_rows_after_the_stop(spark, tmp_path):
