@@ -45,9 +45,9 @@ def bootstrap_auroc(df: DataFrame, keys: list[str], unit: str, reps: int, score:
     negatives and ordered pairs; chunks are then combined like one score table.
     """
     high, low = unit_key(F.col(unit))
-    slim = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*keys, high.alias("_high"), low.alias("_low"), F.col(score).cast("double").alias("_s"), F.col(y).cast("double").alias("_y"))
+    slim = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*keys, high.alias("_uh"), low.alias("_ul"), F.col(score).cast("double").alias("_s"), F.col(y).cast("double").alias("_y"))
     slim = settled(slim.filter(~F.isnan("_s")), "cells")
-    chunked, deep = _chunked(slim, keys, "_s", "_low", chunk_rows)
+    chunked, deep = _chunked(slim, keys, "_s", "_ul", chunk_rows)
     group = [*keys, "_chunk", "_salt", "_hot"]
     kinds = dict(chunked.dtypes)
 
@@ -55,7 +55,7 @@ def bootstrap_auroc(df: DataFrame, keys: list[str], unit: str, reps: int, score:
         pdf = pdf.dropna(subset=["_s"]).sort_values("_s", kind="stable")
         if pdf.empty:
             return pd.DataFrame(columns=[*group, "rep", "_p", "_n", "_pairs"])
-        s, truth, highs, lows = (pdf[c].to_numpy() for c in ("_s", "_y", "_high", "_low"))
+        s, truth, highs, lows = (pdf[c].to_numpy() for c in ("_s", "_y", "_uh", "_ul"))
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         parts = []
         block = max(1, BLOCK_CELLS // len(pdf))

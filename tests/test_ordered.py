@@ -75,9 +75,9 @@ def test_two_levels_of_cuts(log, monkeypatch):
     np.testing.assert_array_equal(glob["i"], glob["at"])
 
 
-def test_every_window_is_over_ranges(log):
-    df, _ = log
-    for out in (O.running(df, ["run"], "at", {"s": ("sum", "v")}), O.row_index(df, [], "at"), O.ranked(df, ["run"], "v", 13)):
+def test_every_window_is_over_ranges(spark):
+    df = spark.range(300).selectExpr("id % 3 as run", "id as at", "id * 1.0 as v")
+    for out in (O.running(df, ["run"], "at", {"s": ("sum", "v")}, 13), O.row_index(df, [], "at", rows_per_range=13)):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert all("_range" in line for line in plan.splitlines() if "Window [" in line)
 
