@@ -30,8 +30,8 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 CHUNK = "n_words long, ids binary, sizes binary, data binary"
 ANCHORS = "bucket int, chunk long, n long, keys binary, indexed binary"
 SHARED = "chunk long, bucket int, bits binary"
-WINDOWS = "bucket int, chunk long, high binary, low binary, docs binary, ids binary"
-SMALLEST = "chunk long, high binary, low binary, ids binary"
+WINDOWS = "bucket int, chunk long, n long, high binary, low binary, docs binary, several binary, ids binary"
+SMALLEST = "chunk long, high binary, low binary, docs binary, ids binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>"
 
 
@@ -124,20 +124,35 @@ def unpack(row: dict) -> Chunk:
 
 
 def _small(values: np.ndarray) -> bytes:
-    """Non-negative integers in as few bytes each as the largest needs; the first byte says how many."""
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + raw.tobytes()
+    """Non-negative integers in as few bits each as the largest needs; width and number go before."""
+    width = max(1, int(values.max()).bit_length()) if len(values) else 1
+    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : (width + 7) // 8]
+    bits = np.unpackbits(raw, axis=1, count=width, bitorder="little")
+    return bytes([width]) + len(values).to_bytes(7, "little") + np.packbits(bits.ravel(), bitorder="little").tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
+    width, n = data[0], int.from_bytes(data[1:8], "little")
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=8), count=n * width, bitorder="little").reshape(n, width)
+    out = np.zeros((n, 8), np.uint8)
+    packed = np.packbits(bits, axis=1, bitorder="little")
+    out[:, : packed.shape[1]] = packed
     return out.view("<u8").ravel()
 
 
+def _sorted(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of pairs by (high, low) and the first place of each distinct pair in it."""
+    order = np.argsort(high)
+    a, b = high[order], low[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # equal first hashes of different windows, or pairs out of order
+        order = np.lexsort((low, high))
+        a, b = high[order], low[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    first = np.flatnonzero(np.append(True, ~same)) if len(high) else np.zeros(0, np.int64)
+    return order, first
+
+
 def _up(values: np.ndarray) -> bytes:
     """Ascending integers as differences."""
     return _small(np.diff(values, prepend=values[:1] * 0))
@@ -161,8 +176,20 @@ class Plan:
     def __init__(self, total: int, bucket_words: int = BUCKET_WORDS):
         self.bucket_bits = max(0, (total // bucket_words).bit_length())
         self.buckets = 1 << self.bucket_bits
-        # 13 bits beyond the words make one chance hit in some thousands; hits are verified
-        self.key_bits = min(63, max(32, total.bit_length() + 13))
+        # 8 bits beyond the words make one chance hit in some thousands; hits are verified
+        self.key_bits = min(63, max(32, total.bit_length() + 8))
+        # with the 64 bits of the first hash, one chance that any two of all windows agree in a million
+        self.low_bits = min(32, max(16, 2 * total.bit_length() + 20 - 64))
+
+
+def keys_of(chunk: Chunk, anchors: Anchors, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """(keys ascending and distinct, whether each is indexed)."""
+    at, indexed, _ = anchors.propose(chunk)
+    key = chunk.hashes(anchors.words, 0, at) >> np.uint64(64 - plan.key_bits)
+    marked = np.sort(key << np.uint64(1) | indexed)
+    key = marked >> np.uint64(1)
+    last = np.append(key[1:] != key[:-1], True) if len(key) else np.zeros(0, bool)
+    return key[last], (marked[last] & np.uint64(1)).astype(bool)
 
 
 def anchors_of(chunk: Chunk, anchors: Anchors, plan: Plan):
@@ -191,25 +218,23 @@ def share(rows: pa.Table) -> pa.Table:
 
 
 def smallest(rows: pa.Table) -> pa.Table:
-    """For a bucket of windows: the smallest document of each, to the chunks that hold only larger ones."""
+    """For a bucket of windows: the smallest document of each, to the chunks that hold a larger one."""
     rows = rows.to_pylist()
     high = np.concatenate([np.cumsum(_wide(r["high"])) for r in rows])
     low = np.concatenate([_wide(r["low"]) for r in rows])
     doc = np.concatenate([np.frombuffer(r["ids"], np.int64)[_wide(r["docs"]).astype(np.int64)] for r in rows])
-    who = np.repeat(np.arange(len(rows)), [(len(r["low"]) - 1) // r["low"][0] for r in rows])
-    order = np.lexsort((doc, low, high))
-    high, low, doc, who = high[order], low[order], doc[order], who[order]
-    new = np.ones(len(high), bool)
-    new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-    least = doc[new][np.cumsum(new) - 1]
-    late = np.flatnonzero(least < doc)
-    late = late[np.lexsort((high[late], who[late]))]
-    cuts = np.searchsorted(who[late], np.arange(len(rows) + 1))
+    several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=r["n"]).astype(bool) for r in rows])
+    ends = np.cumsum([r["n"] for r in rows])
+    order, first = _sorted(high, low)
+    least = np.empty_like(doc)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(doc))))
+    late = several | (least < doc)
     out = []
-    for k, r in enumerate(rows):
-        own = late[cuts[k] : cuts[k + 1]]
+    for r, end in zip(rows, ends.tolist()):
+        own = np.flatnonzero(late[end - r["n"] : end]) + end - r["n"]
         if len(own):
-            out.append((r["chunk"], high[own].tobytes(), low[own].astype("<u4").tobytes(), least[own].tobytes()))
+            used, of = np.unique(least[own], return_inverse=True)
+            out.append((r["chunk"], _up(high[own]), _small(low[own]), _small(of.astype(np.uint64)), used.tobytes()))
     return _table(SMALLEST, out)
 
 
@@ -228,7 +253,7 @@ def removed(docs: DataFrame, anchors: Anchors, text: str = "text", doc_id: str =
     def propose(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, keys, _, indexed, _ = anchors_of(unpack(row), anchors, plan)
+                keys, indexed = keys_of(unpack(row), anchors, plan)
                 cut = _slots(keys, drop, plan.buckets)
                 out = [(b, row["chunk"], q - p, _up(keys[p:q]), np.packbits(indexed[p:q]).tobytes()) for b, (p, q) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if q > p]
                 yield from _table(ANCHORS, out).to_batches()
@@ -254,19 +279,18 @@ def removed(docs: DataFrame, anchors: Anchors, text: str = "text", doc_id: str =
             start = anchors.candidates(chunk, at, flags, more)
             if not len(start):
                 continue
-            high, low = chunk.hashes(anchors.window, 0, start), chunk.hashes(anchors.window, 1, start) >> np.uint64(32)
+            high, low = chunk.hashes(anchors.window, 0, start), chunk.hashes(anchors.window, 1, start) >> np.uint64(64 - plan.low_bits)
             ids, doc = np.unique(chunk.ids, return_inverse=True)
             doc = doc[chunk.docs(start)]
-            order = np.lexsort((doc, low, high))
-            high, low, doc = high[order], low[order], doc[order]
-            new = np.ones(len(high), bool)
-            new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-            high, low, doc = high[new], low[new], doc[new]
+            order, first = _sorted(high, low)
+            least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+            high, low = high[order[first]], low[order[first]]
             cut = _slots(high, 64 - plan.bucket_bits, plan.buckets) if plan.bucket_bits else np.array([0, len(high)])
             for b, (p, q) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
                 if q > p:
-                    used, of = np.unique(doc[p:q], return_inverse=True)
-                    out.append((b, row["chunk"], _up(high[p:q]), _small(low[p:q]), _small(of.astype(np.uint64)), ids[used].tobytes()))
+                    used, of = np.unique(least[p:q], return_inverse=True)
+                    several = np.packbits(most[p:q] > least[p:q]).tobytes()
+                    out.append((b, row["chunk"], q - p, _up(high[p:q]), _small(low[p:q]), _small(of.astype(np.uint64)), several, ids[used].tobytes()))
         return _table(WINDOWS, out)
 
     windows = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(extend, WINDOWS)
@@ -274,28 +298,38 @@ def removed(docs: DataFrame, anchors: Anchors, text: str = "text", doc_id: str =
 
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = right.to_pylist()
-        far = [np.concatenate([np.frombuffer(r[c], t) for r in answers] or [np.zeros(0, t)]) for c, t in (("high", np.uint64), ("low", np.uint32), ("ids", np.int64))]
-        return pa.concat_tables([_kept(unpack(row), anchors.window, *far) for row in left.to_pylist()])
+        none = np.zeros(0, np.uint64)
+        high = np.concatenate([np.cumsum(_wide(r["high"])) for r in answers] or [none])
+        low = np.concatenate([_wide(r["low"]) for r in answers] or [none])
+        ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[_wide(r["docs"]).astype(np.int64)] for r in answers] or [none.astype(np.int64)])
+        return pa.concat_tables([_kept(unpack(row), anchors.window, plan.low_bits, high, low, ids) for row in left.to_pylist()])
 
     return chunks.groupBy("chunk").cogroup(least.groupBy("chunk")).applyInArrow(cut_out, KEPT)
 
 
-def _kept(chunk: Chunk, window: int, high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> pa.Table:
-    """The documents of a chunk without repeats, given windows that stand in smaller documents elsewhere."""
+def _kept(chunk: Chunk, window: int, low_bits: int, high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """The documents of a chunk without repeats, given the smallest documents of windows that larger ones repeat."""
     n = len(chunk.words)
-    start = np.flatnonzero(chunk.left >= window)
-    own_high, own_low = chunk.hashes(window, 0, start), (chunk.hashes(window, 1, start) >> np.uint64(32)).astype(np.uint32)
-    own_id = chunk.ids[chunk.docs(start)]
-    mine = len(start)
-    all_high, all_low, all_id = np.concatenate([own_high, high]), np.concatenate([own_low, low]), np.concatenate([own_id, ids])
-    order = np.lexsort((all_low, all_high))
-    all_high, all_low, all_id = all_high[order], all_low[order], all_id[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (all_high[1:] != all_high[:-1]) | (all_low[1:] != all_low[:-1])
-    first = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(all_id, first), np.diff(np.append(first, len(order)))) if len(order) else all_id
-    late = order[least < all_id]
-    late = start[late[late < mine]]
+    order = np.lexsort((low, high))
+    high, low, ids = high[order], low[order], ids[order]
+    late = np.zeros(0, np.int64)
+    if len(high):
+        start = np.flatnonzero(chunk.left >= window)
+        own = chunk.hashes(window, 0, start)
+        at = np.searchsorted(high, own)
+        at[at == len(high)] = 0
+        known = high[at] == own
+        start, at = start[known], at[known]
+        own_low, doc = chunk.hashes(window, 1, start) >> np.uint64(64 - low_bits), chunk.ids[chunk.docs(start)]
+        hit = np.zeros(len(start), bool)
+        todo = np.arange(len(start))
+        while len(todo):  # once, but for windows that share a first hash
+            hit[todo] |= (low[at[todo]] == own_low[todo]) & (ids[at[todo]] < doc[todo])
+            more = np.minimum(at[todo] + 1, len(high) - 1)
+            again = (more > at[todo]) & (high[more] == high[at[todo]])
+            at[todo] = more
+            todo = todo[again]
+        late = start[hit]
     edge = np.bincount(late, minlength=n + window + 1) - np.bincount(late + window, minlength=n + window + 1)
     gone = np.cumsum(edge[:n]) > 0
     turn = np.diff(gone.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
