@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.ordered import running, settled, with_ranks
-from assay.operators.metrics import MACRO, ranking_metrics
+from assay.operators.metrics import MACRO, ranking_metrics, report, with_threshold
 from assay.operators.profile import correlations, rank_columns
 from assay.session import small_table
 
@@ -47,6 +47,26 @@ def flat_blend(df: DataFrame, cell: list[str], score: str = "prob", carry: list[
     return df.groupBy(*cell).agg(F.avg(score).alias(score), *[F.first(c).alias(c) for c in carry])
 
 
+def aligned(predictions: DataFrame, cell: list[str], members: list[str], score: str = "prob", carry: list[str] = ("y",), strict: bool = True) -> DataFrame:
+    """Long predictions (cell, member, score) as one row per cell with a column per member.
+
+    A cell that a member misses or scores twice raises, with the cell and member in the message. With
+    ``strict`` off such cells stay, with NULL or the mean, and ``aligned`` tells them apart. Rows of other
+    members are not looked at.
+    """
+    mine = [F.col("member") == m for m in members]
+    wide = predictions.filter(F.col("member").isin(members)).groupBy(*cell).agg(
+        *[F.avg(F.when(c, F.col(score))).alias(m) for c, m in zip(mine, members)],
+        *[F.first(c).alias(c) for c in carry],
+        F.array(*[F.count_if(c) for c in mine]).alias("_n"),
+    )
+    whole = F.forall("_n", lambda n: n == 1)
+    if not strict:
+        return wide.withColumn("aligned", whole).drop("_n")
+    text = F.concat(F.lit("members not aligned at "), F.concat_ws(" / ", *[F.col(c).cast("string") for c in cell]), F.lit(": rows per member "), F.col("_n").cast("string"))
+    return wide.withColumn("_n", F.when(whole, True).otherwise(F.raise_error(text).cast("boolean"))).filter("_n").drop("_n")
+
+
 def mean_of(columns: list[str]) -> Column:
     total = F.col(columns[0])
     for c in columns[1:]:
@@ -264,6 +284,16 @@ def search_summary(wide: DataFrame, fold_weights: DataFrame, members: list[str],
     )
 
 
+def evaluate_blend(blends: DataFrame, cuts: DataFrame, members: DataFrame, space: str, keys: list[str] = ("task",)) -> DataFrame:
+    """Report of a blend (keys, y, prob) at frozen cuts per task, with the mean AUROC of its members beside.
+
+    ``members`` holds their long predictions. In rank space, cut-dependent metrics are NULL.
+    """
+    rep = null_threshold_metrics(report(with_threshold(blends, cuts, ["task"]), list(keys)), F.lit(space))
+    own = ranking_metrics(members, ["member", *keys]).groupBy(*keys).agg(F.avg("auroc").alias("members_auroc"))
+    return rep.join(own, list(keys))
+
+
 def null_threshold_metrics(report: DataFrame, space: Column) -> DataFrame:
     """Cut-dependent metrics do not exist in rank space: the cuts were set on probabilities."""
     return report.withColumns({m: F.when(space != "rank", F.col(m)) for m in MACRO[2:]})

@@ -102,6 +102,17 @@ def interval(boot: DataFrame, keys: list[str], value: str = "auroc", low: float
     )
 
 
+def result_block(df: DataFrame, unit: str, reps: int, score: str = "prob", y: str = "y", **kw) -> DataFrame:
+    """Per task and for their mean ('mean'): number of units, point AUROC and its bootstrap interval."""
+    boot = settled(bootstrap_auroc(df, ["task"], unit, reps, score, y, **kw), "boot")
+    spread = interval(boot, ["task"]).unionByName(interval(macro_by_rep(boot, []), []).withColumn("task", F.lit("mean")))
+    points = settled(ranking_metrics(df, ["task"], score, y).select("task", F.col("auroc").alias("point")), "points")
+    points = points.unionByName(points.agg(F.avg("point").alias("point")).withColumn("task", F.lit("mean")))
+    sizes = df.groupBy("task", unit).agg(F.lit(1).alias("_one")).groupBy("task").agg(F.count(F.lit(1)).alias("n_units"))
+    sizes = sizes.unionByName(df.select(unit).distinct().agg(F.count(F.lit(1)).alias("n_units")).withColumn("task", F.lit("mean")))
+    return points.join(spread, "task").join(sizes, "task").select("task", "n_units", "point", "low", "high", "sd")
+
+
 def paired_difference(boot: DataFrame, member: str, a: str, b: str, keys: list[str]) -> DataFrame:
     """a - b on the same draws; undefined where either is."""
     def side(name, col):

@@ -52,6 +52,18 @@ def ens_4(spark, sf):
     return rounded(E.weighted_blend(predictions(spark, sf), weights, CELL))
 
 
+def _aligned(spark, sf):
+    """One row per cell with a column per member, out of the long predictions."""
+    return E.aligned(predictions(spark, sf).select(*CELL, "member", "y", "prob"), CELL, MEMBERS)
+
+
+@query("ens_0_aligned_members", "select item_id, task, y, m0, m1, case when item_id % 1000 <> 7 then m2 end as m2, m3, item_id % 1000 <> 7 as aligned from wide_predictions")
+def ens_0(spark, sf):
+    """Long predictions made wide; cells that a member misses are told apart."""
+    p = predictions(spark, sf).where("not (member = 'm2' and item_id % 1000 = 7)")
+    return E.aligned(p, CELL, MEMBERS, strict=False)
+
+
 TREE = ("prob", [("logit", ["m0", "m1"]), ("rank", ["m2", "m3"]), "m1"])
 NESTED = f"""
 with g as (select item_id, task, y, m1, 1 / (1 + exp(-(({LOGIT.format('m0')} + {LOGIT.format('m1')}) / 2))) as a,
@@ -62,7 +74,7 @@ select item_id, task, y, round((a + b + m1) / 3, 9) as prob from g"""
 
 @query("ens_5_nested_blend", NESTED)
 def ens_5(spark, sf):
-    wide = wide_predictions(spark, sf).select("item_id", "task", "y", *MEMBERS)
+    wide = _aligned(spark, sf)
     return rounded(E.nested_blend(wide, TREE, ["task"], "prob").select("item_id", "task", "y", "prob"))
 
 
@@ -110,7 +122,7 @@ best as (select *, row_number() over (partition by task, fold order by {dist}, u
 
 
 def _folded(spark, sf):
-    return kfold(wide_predictions(spark, sf).select("item_id", "task", "y", *MEMBERS), "item_id", FOLDS, 42)
+    return kfold(settled(_aligned(spark, sf), "aligned"), "item_id", FOLDS, 42)
 
 
 @query("ens_9_grid_search", _search_sql() + "select task, fold, round(auroc, 9) as auroc, u0 / 4.0::double as m0, u1 / 4.0::double as m1, u2 / 4.0::double as m2, u3 / 4.0::double as m3 from best where rn = 1")
@@ -168,6 +180,21 @@ def ens_14(spark, sf):
     return rounded(E.null_threshold_metrics(rep, F.col("space")).select("member", "task", "space", "auroc", "auprc", *CUT))
 
 
+VAL_FLAT = f"(select task, y, {FLAT} as prob from wide_predictions where split = 'val19k')"
+TEST_FLAT = f"(select b.task, b.y, {FLAT} as prob, c.threshold from wide_predictions b join {Q.best_f1(VAL_FLAT, ['task'])} c using (task) where b.split = 'test500')"
+
+
+@query("ens_14_blend_evaluation", f"""select task, {', '.join(f'round({m}, 9) as {m}' for m in ('auroc', 'auprc', 'f1', 'precision', 'recall', 'specificity', 'threshold'))}, n_pos, round(members_auroc, 9) as members_auroc
+ from {Q.report(TEST_FLAT, ['task'])} join (select task, avg(auroc) as members_auroc from {Q.ranking("(select * from predictions where split = 'test500')", ['member', 'task'])} group by task) using (task)""")
+def ens_14_blend(spark, sf):
+    """A flat blend with cuts frozen on the validation split, scored on the test split."""
+    p = predictions(spark, sf)
+    flat = E.flat_blend(p, ["item_id", "task", "split"])
+    cuts = M.best_f1(flat.where("split = 'val19k'"), ["task"])
+    out = E.evaluate_blend(flat.where("split = 'test500'"), cuts, p.where("split = 'test500'"), "prob")
+    return rounded(out.select("task", "auroc", "auprc", "f1", "precision", "recall", "specificity", "threshold", "n_pos", "members_auroc"))
+
+
 ORDERED = f"(select member, row_number() over (order by avg(auroc) desc, member) as rk from {Q.ranking('predictions', ['member', 'task'])} group by member)"
 
 
@@ -187,7 +214,7 @@ select k, space, round(a, 9) as mean_auroc, row_number() over (order by round(a,
 def ens_15(spark, sf):
     per = M.macro(M.ranking_metrics(predictions(spark, sf), ["member", "task"]), ["member"], ["auroc"])
     ordered = [r["member"] for r in per.orderBy(F.desc("mean_auroc"), "member").collect()]  # one row per member
-    return rounded(E.topk_sweep(wide_predictions(spark, sf), ordered))
+    return rounded(E.topk_sweep(_aligned(spark, sf), ordered))
 
 
 R4 = ", ".join(f"rank() over (partition by task order by {m}) + (count(*) over (partition by task, {m}) - 1) / 2.0::double as {m}" for m in MEMBERS)
@@ -196,7 +223,7 @@ PAIRS = f"with r as (select task, {R4} from wide_predictions), p as (" + " union
 
 @query("ens_16_member_correlation", PAIRS + ", o as (select *, row_number() over (order by round(corr, 9) desc, a, b) as hi, row_number() over (order by round(corr, 9), a, b) as lo from p) select a, b, round(corr, 9) as corr, case when hi <= 2 then 'closest' else 'most different' end as side from o where hi <= 2 or lo <= 2")
 def ens_16(spark, sf):
-    pairs = rounded(E.member_correlation(wide_predictions(spark, sf), MEMBERS))
+    pairs = rounded(E.member_correlation(_aligned(spark, sf), MEMBERS))
     close = pairs.orderBy(F.desc("corr"), "a", "b").limit(2).withColumn("side", F.lit("closest"))
     far = pairs.orderBy("corr", "a", "b").limit(2).withColumn("side", F.lit("most different"))
     return close.unionByName(far)
@@ -204,7 +231,7 @@ def ens_16(spark, sf):
 
 @query("ens_16_mean_correlation", PAIRS + " select member, round(avg(corr), 9) as mean_corr from (select a as member, corr from p union all select b, corr from p) group by member")
 def ens_16_mean(spark, sf):
-    return rounded(E.mean_correlation(E.member_correlation(wide_predictions(spark, sf), MEMBERS)))
+    return rounded(E.mean_correlation(E.member_correlation(_aligned(spark, sf), MEMBERS)))
 
 
 @query("ens_17_view_average", """with v as (select item_id, task, member, y, prob * (1 - 0.01::double * v) as prob from predictions, (select unnest(range(3))::int as v)),

@@ -68,6 +68,19 @@ def sta_2(spark, sf):
     return rounded(ci.select(point.alias("macro_auroc"), "low", "high", F.lit(len(MEMBERS)).cast("bigint").alias("n_members")))
 
 
+BLOCK = f"""{BOOT}, {MACRO}, pt as (select task, auroc as point from {Q.ranking(BLEND, ['task'])}),
+b as (select task, rep, auroc from boot union all select 'mean', rep, auroc from m),
+p as (select * from pt union all select 'mean', avg(point) from pt), n as (select count(*) as n_units from items)
+select task, n_units, round(any_value(point), 9) as point, round(quantile_cont(auroc, 0.025), 9) as low, round(quantile_cont(auroc, 0.975), 9) as high, round(stddev_samp(auroc), 9) as sd
+from b join p using (task), n group by task, n_units"""
+
+
+@query("sta_2_result_block", BLOCK)
+def sta_2_block(spark, sf):
+    """Point, interval and number of items per task and for their mean."""
+    return rounded(U.result_block(_blend(spark, sf), "item_id", REPS))
+
+
 @query("sta_3_spread", BOOT + " select task, round(quantile_cont(auroc, 0.025), 9) as low, round(quantile_cont(auroc, 0.975), 9) as high, round(median(auroc), 9) as median, round(stddev_samp(auroc), 9) as sd, count(*) filter (where auroc is null) as n_undefined from boot group by task")
 def sta_3(spark, sf):
     return rounded(U.interval(U.bootstrap_auroc(_blend(spark, sf), ["task"], "item_id", REPS), ["task"]))

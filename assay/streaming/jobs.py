@@ -122,22 +122,27 @@ def stream_rows(spark: SparkSession, out: str) -> DataFrame:
 BOARD_SALTS = 16
 
 
-def board_stream(stream: DataFrame, out: str, run: str, step: str, value: str, k: int) -> None:
+def board_stream(stream: DataFrame, out: str, run: str, step: str, value: str, k: int, order: str | None = None) -> None:
     """Top-k board per run as keyed state of at most k entries.
 
     A run is spread over salts of its step, so a run with a third of all rows is not one state
     machine; a step logged again meets its own entry and replaces it. Rows are folded into the
-    board batch by batch in any order, the group is never held whole.
+    board batch by batch, the group is never held whole. ``order`` is a numeric place in the log: of a
+    step logged twice in one batch the later value stands. Without it the higher value does.
     """
-    keyed = stream.select(F.col(run).cast("bigint").alias("run"), F.pmod(F.col(step), F.lit(BOARD_SALTS)).cast("int").alias("salt"), F.col(step).cast("bigint").alias("step"), F.col(value).cast("double").alias("score"))
+    later = F.col(order).cast("double") if order else F.col(value).cast("double")
+    keyed = stream.select(F.col(run).cast("bigint").alias("run"), F.pmod(F.col(step), F.lit(BOARD_SALTS)).cast("int").alias("salt"), F.col(step).cast("bigint").alias("step"), F.col(value).cast("double").alias("score"), later.alias("at"))
 
     def fold(key, frames, state: GroupState):
         steps, scores = state.get if state.exists else ([], [])
         board = dict(zip(steps, scores))
+        newest: dict[int, tuple[float, float]] = {}
         for pdf in frames:
             pdf = pdf.dropna(subset=["score"])
-            board.update(zip(pdf["step"].tolist(), pdf["score"].tolist()))
-            board = dict(sorted(board.items(), key=lambda e: (-e[1], e[0]))[:k])
+            for s, score, at in zip(pdf["step"].tolist(), pdf["score"].tolist(), pdf["at"].tolist()):
+                newest[s] = max(newest.get(s, (at, score)), (at, score))
+        board.update({s: score for s, (_, score) in newest.items()})
+        board = dict(sorted(board.items(), key=lambda e: (-e[1], e[0]))[:k])
         state.update((list(board), list(board.values())))
         yield pd.DataFrame({"run": key[0], "salt": key[1], "step": list(board), "score": list(board.values())})
 

@@ -253,3 +253,27 @@ def test_nearly_all_scores_distinct(spark):
     df = frame(spark, y, s, task=["a"] * n)
     for rows in (None, 150):
         assert M.ranking_metrics(df, ["task"], rows_per_range=rows).first()["auroc"] == pytest.approx(auroc(y, s, np.ones(n)), abs=1e-12)
+
+
+def test_alignment_raises_or_tells(spark):
+    rows = [(1, "a", "m0", 1, 0.1), (1, "a", "m1", 1, 0.2), (2, "a", "m0", 0, 0.3)]
+    df = spark.createDataFrame(rows, "item long, task string, member string, y int, prob double")
+    told = {r["item"]: (r["m0"], r["m1"], r["aligned"]) for r in E.aligned(df, ["item", "task"], ["m0", "m1"], strict=False).collect()}
+    assert told == {1: (0.1, 0.2, True), 2: (0.3, None, False)}
+    with pytest.raises(Exception, match="not aligned at 2 / a"):
+        E.aligned(df, ["item", "task"], ["m0", "m1"]).collect()
+    assert E.aligned(df.where("item = 1"), ["item", "task"], ["m0", "m1"]).count() == 1
+
+
+def test_staged_tables_can_be_released(spark, tmp_path):
+    import os
+
+    from assay import session
+
+    df = session.staged(spark.range(3))
+    path = session._STAGED[spark.sparkContext.applicationId][-1]
+    assert df.count() == 3 and os.path.exists(path)
+    kept = session._STAGED[spark.sparkContext.applicationId][:-1]
+    session._STAGED[spark.sparkContext.applicationId] = [path]
+    assert session.release_staged(spark) == 1 and not os.path.exists(path)
+    session._STAGED[spark.sparkContext.applicationId] = kept

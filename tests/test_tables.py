@@ -268,3 +268,10 @@ def test_late_rows_are_dropped(spark, tmp_path):
         jobs.run_to_end(jobs.windowed(stream, "ts", "k", "v", "1 hour"), out)
     got = rows(spark.read.parquet(out).selectExpr("hour(start)", "n"))
     assert got == [(0, 1), (3, 1)]
+
+
+def test_a_step_logged_twice_in_one_batch(spark, tmp_path):
+    folder, out = str(tmp_path / "log"), str(tmp_path / "out")
+    small_table(spark, [("1", 5, 0.9, 1), ("1", 5, 0.2, 2), ("1", 6, 0.5, 3)], "run string, step long, v double, at long").repartition(3).write.parquet(folder)
+    jobs.board_stream(jobs.read_log_stream(spark, folder, "run string, step long, v double, at long"), out, "run", "step", "v", 2, "at")
+    assert [(r["step"], r["score"]) for r in jobs.merged_board(spark, out, 2).orderBy("rank").collect()] == [(6, 0.5), (5, 0.2)]
