@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
@@ -21,8 +20,7 @@ _LOWER = bytes(range(97, 123))
 LOWER = bytes.maketrans(_UPPER, _LOWER)
 #: A-Z to a-z; ASCII that is neither letter nor digit to a space. Bytes from 0x80 on belong to words.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-#: Vertical tab and form feed are white space for bytes.split() already: [\x20\x09-\x0D].
-WHITE = None
+# bytes.split() splits at [\x20\x09-\x0D], which is what the operators call white space.
 
 
 def fresh_name(df: DataFrame, name: str) -> str:
@@ -67,8 +65,3 @@ def annotate(docs: DataFrame, name: str, fields: StructType, make: Callable[[],
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
-
-
-def pick(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Only the id and the text, under these names."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
