@@ -49,6 +49,20 @@ def summary_scores(docs: DataFrame, run: str, doc: str) -> DataFrame:
     return newer.unionByName(primary).unionByName(reviewed)
 
 
+def primary_scores(docs: DataFrame, run: str, doc: str) -> DataFrame:
+    """(run, auroc, fell_back): the primary validation score; the recorded best value where a summary holds no metrics."""
+    best = docs.select(run, F.from_json(pick_stage(F.col(doc)), F.lit(SUMMARY))["best_value"].alias("_best"))
+    known = summary_scores(docs, run, doc).filter(F.col("split") == "val19k").select(run, "auroc")
+    return best.join(known, run, "left").select(run, F.coalesce("auroc", "_best").alias("auroc"), F.col("auroc").isNull().alias("fell_back"))
+
+
+def mean_board(scores: DataFrame, run: str, task: str, score: str) -> DataFrame:
+    """Runs ranked by their mean over tasks. A run of one task has no such mean: it is listed without a rank."""
+    per = scores.groupBy(run).agg(F.count_distinct(task).alias("n_tasks"), F.avg(score).alias("mean_score"))
+    per = per.withColumn("omitted", F.col("n_tasks") < 2).withColumn("mean_score", F.when(~F.col("omitted"), F.col("mean_score")))
+    return numbered(per, [], "mean_score", run).withColumn("rank", F.when(~F.col("omitted"), F.col("rank")))
+
+
 def board(sources: list[tuple[str, DataFrame]], splits: list[str], primary: str, run: str = "run") -> DataFrame:
     """Runs ranked on the primary split with the other splits beside; * marks a fallback source."""
     tagged = [(tag, df.withColumn("_key", F.struct(run, "split"))) for tag, df in sources]

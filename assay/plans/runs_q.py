@@ -45,6 +45,24 @@ def run_2(spark, sf):
     return R.summary_scores(_docs(spark, sf), "run", "doc")
 
 
+@query("run_2_primary", f"select run, case when run % 5 = 0 or {IS_NEW} then a else b end as auroc, run % 5 = 0 as fell_back from {ABC}")
+def run_2_primary(spark, sf):
+    """Summaries of which every fifth lacks its metrics and keeps only the best value."""
+    docs = _docs(spark, sf).join(run_scores(spark, sf).groupBy("run").agg(F.coalesce(F.max(F.when(F.col("split") == "click", F.col("score"))), F.lit(0.5)).alias("a")), "run")
+    bare = docs.selectExpr("run", "case when run % 5 = 0 then concat('{\"best_value\": ', cast(a as string), '}') else doc end as doc")
+    return R.primary_scores(bare, "run", "doc")
+
+
+@query("run_1_mean_board", """with m as (select run, count(distinct split) as n_tasks, avg(score) as s from run_scores group by run),
+r as (select *, row_number() over (order by case when n_tasks > 1 then s end desc nulls last, run) as rn from (select run, n_tasks, round(s, 9) as s from m))
+select run, n_tasks, case when n_tasks > 1 then s end as mean_score, n_tasks < 2 as omitted, case when n_tasks > 1 then rn::int end as rank from r""")
+def run_1_mean(spark, sf):
+    """Splits stand for tasks; runs with one of them are omitted."""
+    s = run_scores(spark, sf)
+    rounded_scores = s.groupBy("run").agg(F.round(F.avg("score"), 9).alias("score"), F.collect_set("split").alias("split")).select("run", "score", F.explode("split").alias("split"))
+    return R.mean_board(rounded_scores, "run", "split", "score").withColumn("mean_score", F.round("mean_score", 9))
+
+
 @query("run_3_stage_pick", f"select run, {IS_NEW} as keyed_by_set from {ABC}")
 def run_3(spark, sf):
     return _docs(spark, sf).select("run", R.pick_stage(F.col("doc")).contains("monitored").alias("keyed_by_set"))
