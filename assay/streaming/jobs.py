@@ -1,8 +1,9 @@
 """Metric logs as streams: ingest, trackers, boards, rolling values, event-time windows.
 
-Step-ordered trackers run the batch operators on each micro-batch together with a state table of
-a few rows per run from the batch before. State is written per batch id, so a batch that is run
-again after a failure reads the same state and overwrites the same output.
+Step-ordered trackers run the batch operators on each micro-batch together with the states, of a few
+rows per run, of the runs it brings. State is written per batch id, only for those runs; every
+SNAPSHOT batches the states of all runs are written together and those of older batches go. A batch that
+is run again after a failure reads the same state and overwrites the same output.
 """
 
 from __future__ import annotations
@@ -41,8 +42,33 @@ def _each_batch(stream: DataFrame, out: str, fn: Callable[[DataFrame, int], None
     query.awaitTermination()
 
 
-def _state_before(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    return spark.read.parquet(f"{out}/state/batch={batch_id - 1}") if batch_id > 0 else None
+SNAPSHOT = 16
+
+
+def _state_before(spark: SparkSession, out: str, batch_id: int, run: str, batch: DataFrame | None = None) -> DataFrame | None:
+    """State rows of each run from the last batch that brought it; only of the runs in ``batch`` if given."""
+    if batch_id == 0:
+        return None
+    first = (batch_id - 1) // SNAPSHOT * SNAPSHOT
+    paths = [f"{out}/state/batch={b}" for b in range(first, batch_id)]
+    states = spark.read.option("basePath", f"{out}/state").parquet(*paths)
+    if batch is not None:
+        states = states.join(batch.select(run).distinct(), run, "left_semi")
+    last = states.groupBy(F.col(run).alias("_run")).agg(F.max("batch").alias("_batch"))
+    return states.join(last, (F.col(run) == F.col("_run")) & (F.col("batch") == F.col("_batch"))).drop("_run", "_batch", "batch")
+
+
+def _put_state(state: DataFrame, out: str, batch_id: int, run: str) -> None:
+    """Write the states of the runs of this batch, or at a snapshot those of all runs."""
+    spark = state.sparkSession
+    if batch_id and batch_id % SNAPSHOT == 0:
+        rest = _state_before(spark, out, batch_id, run).join(state.select(run).distinct(), run, "left_anti")
+        state = state.unionByName(rest)
+    _put(state, f"{out}/state/batch={batch_id}")
+    if batch_id % SNAPSHOT == 0:
+        for b in range(max(0, batch_id - 2 * SNAPSHOT), batch_id - SNAPSHOT):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/state/batch={b}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _put(df: DataFrame, path: str) -> None:
@@ -56,8 +82,7 @@ def track_best(stream: DataFrame, out: str, run: str, step: str, value: str, pat
     the row that came before, so the batch tracker needs no special case.
     """
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        old = _state_before(spark, out, batch_id)
+        old = _state_before(df.sparkSession, out, batch_id, run, df)
         rows = df.select(run, step, F.col(value).alias("_v"))
         if old is not None:
             before = old.select(run, F.col("best_step").alias(step), F.col("best").alias("_v"))
@@ -72,30 +97,31 @@ def track_best(stream: DataFrame, out: str, run: str, step: str, value: str, pat
             # A run without new live rows only sees its own best row again: its old state stands.
             keep = old.select(run, F.struct("best", "best_step", "last_step", "stop_step").alias("_old"))
             done = F.col("_old.stop_step").isNotNull() | (F.col("_old.last_step") > F.col("last_step"))
-            new = new.join(keep, run, "full").select(
+            new = keep.join(new, run, "full").select(
                 run, *[F.when(done | F.col("last_step").isNull(), F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) for c in ("best", "best_step", "last_step", "stop_step")]
             )
-        _put(new, f"{out}/state/batch={batch_id}")
+        _put_state(new, out, batch_id, run)
 
     _each_batch(stream, out, batch)
 
 
-def latest_state(spark: SparkSession, out: str) -> DataFrame:
-    states = spark.read.parquet(f"{out}/state")
-    return states.filter(F.col("batch") == states.agg(F.max("batch")).scalar()).drop("batch")
+def latest_state(spark: SparkSession, out: str, run: str = "run") -> DataFrame:
+    """State rows of every run."""
+    last = spark.read.parquet(f"{out}/state").agg(F.max("batch")).first()[0]
+    return _state_before(spark, out, last + 1, run)
 
 
 def rolling_stream(stream: DataFrame, out: str, run: str, step: str, columns: list[str], width: int, finish: Callable[[DataFrame], DataFrame]) -> None:
     """Rolling sums over the last ``width`` steps; the last width - 1 rows of a run are the state."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        old = _state_before(df.sparkSession, out, batch_id)
+        old = _state_before(df.sparkSession, out, batch_id, run, df)
         rows = df.select(run, step, *columns).withColumn("_new", F.lit(True))
         if old is not None:
             rows = rows.unionByName(old.withColumn("_new", F.lit(False)))
         sums = trailing(rows, [run], step, width, {f"sum_{c}": F.sum(c) for c in columns})
         _put(finish(sums.filter("_new").drop("_new")), f"{out}/rows/batch={batch_id}")
         last = top_n(rows.drop("_new"), [run], step, step, width - 1)
-        _put(last.select(run, step, *columns), f"{out}/state/batch={batch_id}")
+        _put_state(last.select(run, step, *columns), out, batch_id, run)
 
     _each_batch(stream, out, batch)
 
@@ -103,14 +129,14 @@ def rolling_stream(stream: DataFrame, out: str, run: str, step: str, columns: li
 def delta_stream(stream: DataFrame, out: str, run: str, step: str, value: str) -> None:
     """Difference to the run's last defined value; that value is the state."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        old = _state_before(df.sparkSession, out, batch_id)
+        old = _state_before(df.sparkSession, out, batch_id, run, df)
         rows = df.select(run, step, value).withColumn("_new", F.lit(True))
         if old is not None:
             rows = rows.unionByName(old.withColumn("_new", F.lit(False)))
         _put(delta_to_last(rows, [run], step, value).filter("_new").drop("_new"), f"{out}/rows/batch={batch_id}")
         last = F.max(F.when(F.col(value).isNotNull(), F.struct(step, value)))
         known = rows.groupBy(run).agg(last.alias("_l")).filter("_l is not null")
-        _put(known.select(run, f"_l.{step}", f"_l.{value}"), f"{out}/state/batch={batch_id}")
+        _put_state(known.select(run, f"_l.{step}", f"_l.{value}"), out, batch_id, run)
 
     _each_batch(stream, out, batch)
 
