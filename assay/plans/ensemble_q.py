@@ -130,7 +130,26 @@ def ens_9(spark, sf):
     return rounded(E.grid_search(_folded(spark, sf), MEMBERS, UNITS, "fold", FOLDS))
 
 
-@query("ens_10_greedy")
+def _greedy_sql(rounds=4):
+    """The rounds unrolled: candidates, their distinct vectors, scores per fold, and the pick."""
+    per = ", ".join(f"sum((fold <> {f})::int * y)::double as p{f}, sum((fold <> {f})::int * (1 - y))::double as n{f}" for f in range(FOLDS))
+    below = ", ".join(f"coalesce(sum(n{f}) over w, 0) as b{f}" for f in range(FOLDS))
+    vec, parts = "c0, c1, c2, c3", []
+    for r in range(1, rounds + 1):
+        plus = ", ".join(f"c{i} + (i = {i})::int as c{i}" for i in range(4))
+        aucs = " union all ".join(f"select task, {f} as fold, {vec}, case when sum(p{f}) > 0 and sum(n{f}) > 0 then sum(p{f} * (b{f} + n{f} / 2)) / (sum(p{f}) * sum(n{f})) end as auroc from s{r} group by task, {vec}" for f in range(FOLDS))
+        parts.append(f"""k{r} as (select task, fold, i, {plus}, case i when 0 then c0 when 1 then c1 when 2 then c2 else c3 end as own from r{r - 1}, (select unnest(range(4))::int as i)),
+h{r} as (select f.task, {vec}, c0 * m0 + c1 * m1 + c2 * m2 + c3 * m3 as score, {per} from f join (select distinct task, {vec} from k{r}) using (task) group by 1, 2, 3, 4, 5, 6),
+s{r} as materialized (select *, {below} from h{r} window w as (partition by task, {vec} order by score rows between unbounded preceding and 1 preceding)),
+p{r} as (select k.*, a.auroc, max(a.auroc) over (partition by k.task, k.fold) as top from k{r} k join ({aucs}) a using (task, fold, {vec})),
+r{r} as materialized (select task, fold, {vec}, top from (select *, row_number() over (partition by task, fold order by own, i) as rn from p{r} where auroc >= top - 1e-9::double) where rn = 1)""")
+    return f"""with f as materialized (select task, y, fold, m0, m1, m2, m3 from wide_predictions join {FOLD_SQL} using (item_id)),
+r0 as (select distinct task, fold, 0 as c0, 0 as c1, 0 as c2, 0 as c3 from f),
+{', '.join(parts)}
+select task, fold, round(top, 9) as auroc, {', '.join(f'c{i} / {rounds}.0::double as m{i}' for i in range(4))} from r{rounds}"""
+
+
+@query("ens_10_greedy", _greedy_sql())
 def ens_10(spark, sf):
     return rounded(E.greedy_search(_folded(spark, sf), MEMBERS, 4, "fold", FOLDS, TASKS))
 
