@@ -181,7 +181,16 @@ def jn_11_ranged(spark, sf):
     return _nearest(spark, sf, rows_per_range=20)
 
 
-@query("jn_12_distinct_nearest")
+@query("jn_12_distinct_nearest", """select run, rank, target, chosen, chosen - target as gap from (
+with recursive t as materialized (select run, step as target, rank from (select *, row_number() over (partition by run order by metric desc, step)::int as rank from metric_log where stage <> 'view') where rank <= 5),
+c as materialized (select run, list(distinct step) as steps from metric_log where stage = 'view' group by run),
+r(run, rank, target, taken, chosen) as (
+ select distinct run, 0, null::bigint, []::bigint[], null::bigint from t
+ union all
+ select run, rank, target, case when chosen is null then taken else list_append(taken, chosen) end, chosen from (
+  select n.run, n.rank, n.target, n.taken, list_sort(list_transform(list_filter(coalesce(c.steps, []::bigint[]), lambda s: not list_contains(n.taken, s)), lambda s: {'d': abs(s - n.target), 's': s}))[1].s as chosen
+  from (select t.run, t.rank, t.target, r.taken from r join t on t.run = r.run and t.rank = r.rank + 1) n left join c on c.run = n.run))
+select * from r where rank > 0)""")
 def jn_12(spark, sf):
     from assay.operators.windows import top_n
     log = metric_log(spark, sf).select("run", "step", "metric", "stage")
