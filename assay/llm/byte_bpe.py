@@ -9,7 +9,7 @@ shortened or taken back, and a position that was given up is not tried again.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -23,7 +23,9 @@ from assay.llm.text import annotate, fresh_name
 
 #: Pre-tokens longer than this, and pairs or pre-tokens beyond the next number, are not remembered.
 CACHED_LENGTH = 48
-CACHED = 400_000
+CACHED = 250_000
+#: Bytes of text encoded at once inside a task.
+SHARD = 6 << 20
 
 
 class Codec:
@@ -33,17 +35,13 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.tokens: dict[int, bytes] = {}
         self.rank: dict[str, int] = {}
-        self.automaton = ahocorasick.Automaton()
         for line in ranks.splitlines():
             if not line.strip():
                 continue
             token, number = line.split()
             raw = base64.b64decode(token)
             self.tokens[int(number)] = raw
-            key = raw.decode("latin-1")
-            self.rank[key] = int(number)
-            self.automaton.add_word(key, (len(key), int(number)))
-        self.automaton.make_automaton()
+            self.rank[raw.decode("latin-1")] = int(number)
         size = max(self.tokens) + 1
         self.pieces = [self.tokens.get(i, b"") for i in range(size)]
         self.names = [p.decode("latin-1") for p in self.pieces]
@@ -51,6 +49,14 @@ class Codec:
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        found = ahocorasick.Automaton()
+        for key, number in self.rank.items():
+            found.add_word(key, (len(key), number))
+        found.make_automaton()
+        return found
+
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes token; None for one byte, (-1, -1) if no merges make it."""
         if token in self.parts:
@@ -183,7 +189,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", name: s
             return [[own.encode(t) if t else b"" for t in batch.column(text).to_pylist()]]
         return work
 
-    return annotate(docs, name, StructType([StructField("ids", BinaryType(), False)]), make, text), name
+    return annotate(docs, name, StructType([StructField("ids", BinaryType(), False)]), make, text, SHARD), name
 
 
 def decode(frame: DataFrame, path: str, pattern: str, ids: str = "ids", name: str = "decoded") -> tuple[DataFrame, str]:
@@ -198,7 +204,7 @@ def decode(frame: DataFrame, path: str, pattern: str, ids: str = "ids", name: st
             return [[own.decode(x or b"") for x in batch.column(ids).to_pylist()]]
         return work
 
-    return annotate(frame, name, StructType([StructField("bytes", BinaryType(), False)]), make, ids), name
+    return annotate(frame, name, StructType([StructField("bytes", BinaryType(), False)]), make, ids, SHARD), name
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
