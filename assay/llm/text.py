@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text handled at once inside a task. One longer text is handled alone.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 6 << 20
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))

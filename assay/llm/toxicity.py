@@ -33,7 +33,7 @@ LEAST_TOXIC = 4
 #: Lengths of word beginnings that may become features.
 STEMS = (4, 5, 6)
 #: Words that a task remembers.
-CACHED = 400_000
+CACHED = 120_000
 
 # fixed values: insults by kind
 INSULT = "idiot idiots moron morons stupid dumb imbecile fool clown loser losers dumbass jackass cretin dimwit idiota imbécil estúpido estúpida tonto payaso idiote imbécile crétin débile abruti blöd dumm dummkopf trottel depp vollidiot".split()
