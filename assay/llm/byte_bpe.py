@@ -23,9 +23,9 @@ from assay.llm.text import annotate, fresh_name
 
 #: Pre-tokens longer than this, and pairs or pre-tokens beyond the next number, are not remembered.
 CACHED_LENGTH = 48
-CACHED = 250_000
+CACHED = 120_000
 #: Bytes of text encoded at once inside a task.
-SHARD = 6 << 20
+SHARD = 3 << 20
 
 
 class Codec:

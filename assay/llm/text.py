@@ -7,13 +7,17 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text handled at once inside a task. One longer text is handled alone.
 SHARD_BYTES = 6 << 20
 
+#: Bytes of an Arrow batch between Spark and Python. Texts are long, and rows alone do not bound a batch.
+BATCH_BYTES = 6 << 20
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 #: A-Z to a-z, everything else unchanged.
@@ -48,12 +52,20 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES; a lower one stays."""
+    now = spark.conf.get(BATCH, None)
+    if now is None or not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 def annotate(docs: DataFrame, name: str, fields: StructType, make: Callable[[], Callable[[pa.RecordBatch], list]], text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
     """docs with one more struct column ``name``.
 
     make() runs once per task; what it returns takes a batch and gives one column of values per field.
     Rows keep their other columns, so nothing has to be joined back.
     """
+    bound_batches(docs.sparkSession)
     schema = StructType([*docs.schema.fields, StructField(name, fields, True)])
     inner = to_arrow_schema(fields)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from assay.llm.text import annotate, fresh_name, slices
+from assay.llm.text import annotate, bound_batches, fresh_name, slices
 from assay.session import staged
 
 #: Labelled rows that features and classifier are fitted on, at most: those with the smallest hash.
@@ -204,6 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     labelled rows the word lists and patterns alone make the classifier.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     rows = known.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     order = np.argsort(rows.column("id").to_numpy())

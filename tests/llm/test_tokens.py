@@ -93,3 +93,15 @@ def test_odd_rows(odd, empty):
     assert counted.where(f"coalesce(text, '') = '' and {name}.n_tokens = 0 and {name}.n_bytes = 0").count() == 2
     assert byte_bpe.digests(empty, P.path(RANKS), P.PATTERN).count() == 0
     assert token_counts.counts(empty, P.path(PIECES), 5).count() == 0
+
+
+def test_batches_are_bounded(spark, odd):
+    from assay.llm.text import BATCH, BATCH_BYTES
+
+    spark.conf.set(BATCH, "67108864b")
+    byte_bpe.encode(odd, P.path(RANKS), P.PATTERN)
+    assert int(spark.conf.get(BATCH).rstrip("b")) == BATCH_BYTES
+    spark.conf.set(BATCH, "1000")
+    byte_bpe.encode(odd, P.path(RANKS), P.PATTERN)
+    assert int(spark.conf.get(BATCH).rstrip("b")) == 1000
+    spark.conf.unset(BATCH)
