@@ -144,7 +144,8 @@ class Page:
                     links -= 1
             elif kind == BREAK and not block:
                 parts.append(" ")
-            if after := pieces[at + 1]:
+            # what is set aside is no text of the block around it either
+            if (after := pieces[at + 1]) and not stack[-1][2]:
                 parts.append(after)
                 if links:
                     linked += len(after.strip())

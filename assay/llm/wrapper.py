@@ -2,8 +2,7 @@
 
 Pages of a host are aligned with its most common tree by simple tree matching. A block whose text is the
 same in its place on every page of the host is template; what varies is content. Elements that say what they are
-(navigation, forms, adverts, comments and so on) are never main text, and of the varying places those
-inside an article, or else inside the element with most varying text, are kept.
+(navigation, forms, adverts, comments and so on) are never main text. All that varies otherwise is.
 """
 
 from __future__ import annotations
@@ -83,7 +82,7 @@ def _hash(text: str) -> int:
 
 
 def wrappers(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """Per host: its common tree, the hashes of constant places and the place with most varying text.
+    """Per host: its common tree, the hashes of constant places and whether anything varies.
 
     Pages are read once: tasks add up blocks per host, tree, node and text, so a host with a third of all
     pages arrives as sums. Trees are aligned on those sums, each tree of a host once.
@@ -129,10 +128,8 @@ def wrappers(pages: DataFrame, host: str, html: str) -> DataFrame:
     constant = (F.col("n") == F.col("pages")) & (F.col("pages") >= LEAST_PAGES)
     # a constant entry stands on every page, so there are at most as many as one page has blocks
     fixed = entries.where(constant).groupBy("host").agg(F.collect_list(F.struct("place", "text")).alias("fixed"))
-    parent = F.regexp_replace("place", "/[^/]*$", "")
-    varying = entries.where(~constant).groupBy("host", parent.alias("inside")).agg(F.sum("size").alias("size"))
-    most = varying.groupBy("host").agg(F.max_by("inside", F.struct("size", "inside")).alias("inside"))
-    return staged(common.select("host", "tree").join(fixed, "host", "left").join(most, "host", "left"), "wrappers")
+    varying = entries.where(~constant).select("host", F.lit(True).alias("varies")).distinct()
+    return staged(common.select("host", "tree").join(fixed, "host", "left").join(varying, "host", "left"), "wrappers")
 
 
 def _rows(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -141,18 +138,14 @@ def _rows(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in ddl.split(", ")])
 
 
-def main_text(source: str, tree: str, fixed: set, inside: str | None, places: Places) -> str:
+def main_text(source: str, tree: str, fixed: set, varies: bool, places: Places) -> str:
     """Blocks of the main text of one page, two line feeds between them."""
     page = Page(source)
     names = places.of(page, tree)
-    usable = [(names[n], text, article) for n, text, linked, aside, article in page.blocks if not aside and linked <= LINKED * len(text)]
-    if inside is not None:  # where nothing varies on a host, nothing tells the template from the text
+    usable = [(names[n], text) for n, text, linked, aside, _ in page.blocks if not aside and linked <= LINKED * len(text)]
+    if varies:  # where nothing varies on a host, nothing tells the template from the text
         usable = [b for b in usable if (b[0], _hash(b[1])) not in fixed]
-    if any(article for _, _, article in usable):
-        usable = [b for b in usable if b[2]]
-    elif inside:
-        usable = [b for b in usable if b[0].startswith(inside + "/")] or usable
-    return "\n\n".join(text for _, text, _ in usable)
+    return "\n\n".join(text for _, text in usable)
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html", name: str = "main") -> tuple[DataFrame, str]:
@@ -168,7 +161,7 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", name: str
     ready = pages.withColumn(host, host_of(F.col(url)))
     rules = fresh_name(ready, "rules")
     found = wrappers(ready, host, html)
-    met = ready.join(found.select(F.col("host").alias(host), F.struct("tree", "fixed", "inside").alias(rules)), host)
+    met = ready.join(found.select(F.col("host").alias(host), F.struct("tree", "fixed", "varies").alias(rules)), host)
 
     def make():
         places = Places()
@@ -181,7 +174,7 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", name: str
                     if len(fixed) > 5000:
                         fixed.clear()
                     fixed[h] = {(f["place"], f["text"]) for f in rule["fixed"] or ()}
-                out.append(main_text(text or "", rule["tree"], fixed[h], rule["inside"], places))
+                out.append(main_text(text or "", rule["tree"], fixed[h], bool(rule["varies"]), places))
             return [out]
         return work
 

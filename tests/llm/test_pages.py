@@ -38,6 +38,14 @@ def test_alignment_survives_missing_parts(spark):
     assert got[2] == "Text 2" and got[0].endswith("Text 0") and "Site" not in got[0]
 
 
+def test_all_that_varies_is_text(spark):
+    """Tags do not choose among varying places: several places count, and cards in articles do not hide the text."""
+    plain = "<body><div><p>Site</p></div><div><h1>Title {0}</h1><div><p>One {0}</p><p>Two {0}</p></div></div><section>More {0}</section></body>"
+    assert extract(spark, [plain.format(i) for i in range(4)]) == [f"Title {i}\n\nOne {i}\n\nTwo {i}\n\nMore {i}" for i in range(4)]
+    cards = "<body><div><p>Site</p></div><article><p>Card {0}</p></article><div><p>Text {0}</p></div><article><p>Other card {0}</p></article></body>"
+    assert extract(spark, [cards.format(i) for i in range(4)]) == [f"Card {i}\n\nText {i}\n\nOther card {i}" for i in range(4)]
+
+
 @pytest.mark.parametrize("bad", [
     "<nav><p>x</p></nav>", "<aside>x</aside>", "<form>x</form>", "<div class='comments'><p>x</p></div>", "<div id=sidebar><p>x</p></div>", "<script>x</p></script>",
     "<style>x</style>", "<!-- x -->", "<footer>x</footer>", "<div class=\"cookie-notice\">x</div>", "<header>x</header>", "<div class='ad'>x</div>", "<noscript>x</noscript>", "<ul><li><a href='a>b'>x</a></li></ul>",
