@@ -1,12 +1,14 @@
 """Main text of pages by wrapper induction.
 
 Pages of a host are aligned with its most common tree by simple tree matching. A block whose text is the
-same in its place on every page of the host is template; what varies is content. Elements that say what they are
+same in its place on most pages that have the place is template; what varies is content. Copies, also with other
+headings, are one page there, and pages without text none. An article only raises the evidence needed. Elements that say what they are
 (navigation, forms, adverts, comments and so on) are never main text. All that varies otherwise is.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from assay.llm.html_pages import Page, aligned, children_of
-from assay.llm.text import annotate, fresh_name, slices
+from assay.llm.text import annotate, bound_batches, fresh_name, slices
 from assay.session import staged
 
 #: With fewer pages nothing can be told to be constant.
@@ -26,7 +28,14 @@ HELD = 200_000
 #: Blocks with more of their text in links are menus.
 LINKED = 0.5
 
-SUMS = "host string, skeleton string, node long, text long, pages long, size long"
+#: Share of the pages with a place that say the same there when it is template.
+CONSTANT = 0.8
+#: Pages that must say the same before text inside an article counts as template.
+LEAST_IN_ARTICLE = 10
+HEADING = re.compile(r"(?:h[1-6]|hgroup)(?:\.|$)")
+
+BODIES = "host string, tree_id long, body long, skeleton string, nodes array<int>, texts array<long>"
+SUMS = "host string, place long, position int, text long, n long"
 
 
 def host_of(url):
@@ -63,17 +72,17 @@ def place_names(skeleton: str, tree: str) -> list[str]:
 
 
 class Places:
-    """place_names of the trees seen last."""
+    """place_names of the trees seen last, as hashes."""
 
     def __init__(self):
-        self.known: dict[tuple[str, str], list[str]] = {}
+        self.known: dict[tuple[str, str], list[int]] = {}
 
-    def of(self, page: Page, tree: str) -> list[str]:
+    def of(self, page: Page, tree: str) -> list[int]:
         key = (page.skeleton(), tree)
         if key not in self.known:
             if len(self.known) > 5000:
                 self.known.clear()
-            self.known[key] = place_names(*key)
+            self.known[key] = [_hash(name) for name in place_names(*key)]
         return self.known[key]
 
 
@@ -81,78 +90,123 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def wrappers(pages: DataFrame, host: str, html: str) -> DataFrame:
-    """Per host: its common tree, the hashes of constant places and whether anything varies.
+def usable(page: Page) -> list[tuple[int, str, bool]]:
+    """(node, text, in article) of the blocks that may be main text by themselves."""
+    return [(n, text, article) for n, text, linked, aside, article in page.blocks if not aside and linked <= LINKED * len(text)]
+
+
+def positions(nodes: list[int]) -> list[tuple[int, int]]:
+    """Per block its positions among the blocks of its node: 1, 2, .. from the first and -1, -2, .. from the last."""
+    left, seen, out = Counter(nodes), Counter(), []
+    for n in nodes:
+        seen[n] += 1
+        out.append((seen[n], -left[n]))
+        left[n] -= 1
+    return out
 
-    Pages are read once: tasks add up blocks per host, tree, node and text, so a host with a third of all
-    pages arrives as sums. Trees are aligned on those sums, each tree of a host once.
+
+def bodies(pages: DataFrame, host: str, html: str) -> DataFrame:
+    """Distinct page bodies: per host, tree and texts other than headings, the nodes and text hashes of their blocks.
+
+    Copies, also those with another title, are one body. Pages without a usable block have none.
     """
 
-    def sums(batches):
-        found: dict = defaultdict(lambda: [0, 0])
+    def parse(batches):
+        sent: set = set()  # each tree is sent once, its other pages name it
         for batch in slices(batches, html):
+            rows = []
             for h, text in zip(batch.column(host).to_pylist(), batch.column(html).to_pylist()):
                 page = Page(text or "")
+                blocks = usable(page)
+                if not blocks:
+                    continue
                 tree = page.skeleton()
-                found[h, tree, -1, 0][0] += 1
-                seen = set()
-                for node, block, linked, aside, _ in page.blocks:
-                    if not aside and linked <= LINKED * len(block):
-                        key = (h, tree, node, _hash(block))
-                        entry = found[key]
-                        entry[0] += key not in seen
-                        entry[1] += len(block)
-                        seen.add(key)
-            if len(found) > HELD:
-                yield _rows(SUMS, [(*k, *v) for k, v in found.items()])
-                found.clear()
-        yield _rows(SUMS, [(*k, *v) for k, v in found.items()])
-
-    tree_id = F.xxhash64("skeleton").alias("tree_id")
-    counted = pages.select(host, html).mapInArrow(sums, SUMS)
-    summed = staged(counted.groupBy("host", "skeleton", "node", "text").agg(F.sum("pages").alias("n"), F.sum("size").alias("size")), "sums")
-    trees = summed.where("node = -1").select("host", "skeleton", "n")
-    common = staged(trees.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("tree"), F.sum("n").alias("pages")), "trees")
+                tree_id = _hash(tree)
+                texts = [_hash(said) for _, said, _ in blocks]
+                plain = [t for (n, _, _), t in zip(blocks, texts) if not HEADING.match(page.nodes[n][1])]
+                body = _hash(",".join(map(str, plain or texts)))
+                rows.append((h, tree_id, body, None if (h, tree_id) in sent else tree, [n for n, _, _ in blocks], texts))
+                if len(sent) > HELD:
+                    sent.clear()
+                sent.add((h, tree_id))
+            yield _rows(BODIES, rows)
+
+    found = pages.select(host, html).mapInArrow(parse, BODIES)
+    # of the copies the smallest stands for all, so that headings do not depend on the order of rows
+    one = found.groupBy("host", "tree_id", "body").agg(F.max("skeleton").alias("skeleton"), F.min(F.struct("nodes", "texts")).alias("blocks"))
+    return staged(one.select("host", "tree_id", "body", "skeleton", "blocks.*"), "bodies")
+
+
+def wrappers(pages: DataFrame, host: str, html: str) -> DataFrame:
+    """Per host: its common tree and its constant places as (place, position, text, pages that say so).
+
+    A place is a node of the aligned trees and a position among its blocks. It is constant if at least
+    LEAST_PAGES distinct bodies, and the share CONSTANT of those whose tree has the node, say the same there.
+    Trees of a host are aligned once each. Tasks add up what they pass on, so that template texts of a host
+    with a third of all pages arrive as sums.
+    """
+    found = bodies(pages, host, html)
+    trees = staged(found.groupBy("host", "tree_id").agg(F.max("skeleton").alias("skeleton"), F.count(F.lit(1)).alias("n")), "trees")
+    common = trees.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("tree"))
 
     def align(batches):
         for batch in batches:
-            rows = [(h, i, place_names(own, tree)) for h, i, own, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "tree_id", "skeleton", "tree")))]
-            hosts, ids, names = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(names, pa.list_(pa.string()))], names=["host", "tree_id", "names"])
-
-    named = trees.join(common.select("host", "tree"), "host").select("host", tree_id, "skeleton", "tree").mapInArrow(align, "host string, tree_id long, names array<string>")
-    blocks = summed.where("node >= 0").select("host", tree_id, "node", "text", "n", "size")
-    placed = blocks.join(named, ["host", "tree_id"]).select("host", F.element_at("names", F.col("node").cast("int") + 1).alias("place"), "text", "n", "size")
-    entries = placed.groupBy("host", "place", "text").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-    entries = staged(entries.join(common.select("host", "pages"), "host"), "places")
-    constant = (F.col("n") == F.col("pages")) & (F.col("pages") >= LEAST_PAGES)
-    # a constant entry stands on every page, so there are at most as many as one page has blocks
-    fixed = entries.where(constant).groupBy("host").agg(F.collect_list(F.struct("place", "text")).alias("fixed"))
-    varying = entries.where(~constant).select("host", F.lit(True).alias("varies")).distinct()
-    return staged(common.select("host", "tree").join(fixed, "host", "left").join(varying, "host", "left"), "wrappers")
+            rows = [(h, i, [_hash(name) for name in place_names(own, tree)]) for h, i, own, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "tree_id", "skeleton", "tree")))]
+            yield _rows("host string, tree_id long, names array<long>", rows)
+
+    named = staged(trees.join(common, "host").select("host", "tree_id", "skeleton", "tree").mapInArrow(align, "host string, tree_id long, names array<long>"), "names")
+
+    def sums(batches):
+        total: Counter = Counter()
+        for batch in batches:
+            for h, nodes, texts, names in zip(*(batch.column(c).to_pylist() for c in ("host", "nodes", "texts", "names"))):
+                total.update((h, names[n], 0, 0) for n in set(nodes))
+                for n, text, (first, last) in zip(nodes, texts, positions(nodes)):
+                    total[h, names[n], first, text] += 1
+                    total[h, names[n], last, text] += 1
+                if len(total) > HELD:
+                    yield _rows(SUMS, [(*k, n) for k, n in total.items()])
+                    total.clear()
+        yield _rows(SUMS, [(*k, n) for k, n in total.items()])
+
+    bound_batches(pages.sparkSession)
+    placed = found.select("host", "tree_id", "nodes", "texts").join(named, ["host", "tree_id"]).select("host", "nodes", "texts", "names").mapInArrow(sums, SUMS)
+    # what fewer pages say than can be constant takes no part any more
+    entries = staged(placed.groupBy("host", "place", "position", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES), "places")
+    having = entries.where("position = 0").select("host", "place", F.col("n").alias("pages"))
+    same = entries.where("position <> 0").join(having, ["host", "place"]).where(F.col("n") >= CONSTANT * F.col("pages"))
+    # at most one text of a position is constant, so a host has no more than its layouts have blocks
+    fixed = same.groupBy("host").agg(F.collect_list(F.struct("place", "position", "text", "n")).alias("fixed"))
+    return staged(common.join(fixed, "host", "left"), "wrappers")
 
 
 def _rows(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string() if f.split()[1] == "string" else pa.int64() for f in ddl.split(", ")]
-    columns = list(zip(*rows)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in ddl.split(", ")])
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in ddl.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[name for name, _ in fields])
 
 
-def main_text(source: str, tree: str, fixed: set, varies: bool, places: Places) -> str:
+def main_text(source: str, tree: str, fixed: dict, places: Places) -> str:
     """Blocks of the main text of one page, two line feeds between them."""
     page = Page(source)
-    names = places.of(page, tree)
-    usable = [(names[n], text) for n, text, linked, aside, _ in page.blocks if not aside and linked <= LINKED * len(text)]
-    if varies:  # where nothing varies on a host, nothing tells the template from the text
-        usable = [b for b in usable if (b[0], _hash(b[1])) not in fixed]
-    return "\n\n".join(text for _, text in usable)
+    blocks = usable(page)
+    if fixed:
+        names = places.of(page, tree)
+        kept = []
+        for (n, text, article), at in zip(blocks, positions([n for n, _, _ in blocks])):
+            pages = max(fixed.get((names[n], p, _hash(text)), 0) for p in at)
+            if pages < (LEAST_IN_ARTICLE if article else LEAST_PAGES):
+                kept.append((n, text, article))
+        blocks = kept
+    return "\n\n".join(text for _, text, _ in blocks)
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html", name: str = "main") -> tuple[DataFrame, str]:
     """pages with a struct column holding the main ``text``; and its name.
 
     Null and empty html give the empty text; pages without a host count as one host ''. Hosts with fewer
-    than LEAST_PAGES pages have no constant places. Rows that repeat are extracted alike. An empty table
+    than LEAST_PAGES distinct bodies have no constant places. Rows that repeat are extracted alike. An empty table
     gives no rows. Wrappers meet the pages of their host in an ordinary join: Spark broadcasts them only
     below its size limit.
     """
@@ -161,11 +215,11 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", name: str
     ready = pages.withColumn(host, host_of(F.col(url)))
     rules = fresh_name(ready, "rules")
     found = wrappers(ready, host, html)
-    met = ready.join(found.select(F.col("host").alias(host), F.struct("tree", "fixed", "varies").alias(rules)), host)
+    met = ready.join(found.select(F.col("host").alias(host), F.struct("tree", "fixed").alias(rules)), host, "left")
 
     def make():
         places = Places()
-        fixed: dict[str, set] = {}
+        fixed: dict[str, dict] = {}
 
         def work(batch: pa.RecordBatch):
             out = []
@@ -173,8 +227,9 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", name: str
                 if h not in fixed:
                     if len(fixed) > 5000:
                         fixed.clear()
-                    fixed[h] = {(f["place"], f["text"]) for f in rule["fixed"] or ()}
-                out.append(main_text(text or "", rule["tree"], fixed[h], bool(rule["varies"]), places))
+                    # a host without a usable page has no rule
+                    fixed[h] = {(f["place"], f["position"], f["text"]): f["n"] for f in (rule and rule["fixed"]) or ()}
+                out.append(main_text(text or "", rule["tree"] if rule else "", fixed[h], places))
             return [out]
         return work
 

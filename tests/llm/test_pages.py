@@ -46,6 +46,29 @@ def test_all_that_varies_is_text(spark):
     assert extract(spark, [cards.format(i) for i in range(4)]) == [f"Card {i}\n\nText {i}\n\nOther card {i}" for i in range(4)]
 
 
+def test_copies_keep_their_text(spark):
+    """Pages with the same body and another title are one page, with and without an article."""
+    for tag in ("article", "div"):
+        page = f"<body><{tag}><h1>Title {{0}}</h1><p>First paragraph.</p><p>Second paragraph.</p></{tag}></body>"
+        assert extract(spark, [page.format(i) for i in range(5)] * 2) == [f"Title {i}\n\nFirst paragraph.\n\nSecond paragraph." for i in range(5)] * 2
+
+
+def test_shared_paragraph_of_articles_stays(spark):
+    page = "<body><div><p>Site</p></div><article><h1>T{0}</h1><p>Shared words</p><p>Own {0}</p></article></body>"
+    assert extract(spark, [page.format(i) for i in range(4)]) == [f"T{i}\n\nShared words\n\nOwn {i}" for i in range(4)]
+    # elsewhere among its neighbours a text is no template
+    moved = ["<div><p>A{0}</p><p>Same</p><p>B{0}</p><p>C{0}</p></div>", "<div><p>A{0}</p><p>B{0}</p><p>Same</p><p>C{0}</p><p>D{0}</p><p>E{0}</p></div>"]
+    got = extract(spark, [moved[i % 2].format(i) for i in range(6)])
+    assert all("Same" in text for text in got)
+
+
+@pytest.mark.parametrize("other", [None, "", "<body><table><tr><td>Old layout</td></tr></table></body>"])
+def test_odd_page_leaves_template_detection_on(spark, other):
+    page = "<body><div><p>Site name</p></div><div><p>Title {0}</p><p>Body {0}</p><p>Read more</p></div><div><p>All rights</p></div></body>"
+    got = extract(spark, [page.format(i) for i in range(5)] + [other])
+    assert got == [f"Title {i}\n\nBody {i}" for i in range(5)] + ["Old layout" if other else ""]
+
+
 @pytest.mark.parametrize("bad", [
     "<nav><p>x</p></nav>", "<aside>x</aside>", "<form>x</form>", "<div class='comments'><p>x</p></div>", "<div id=sidebar><p>x</p></div>", "<script>x</p></script>",
     "<style>x</style>", "<!-- x -->", "<footer>x</footer>", "<div class=\"cookie-notice\">x</div>", "<header>x</header>", "<div class='ad'>x</div>", "<noscript>x</noscript>", "<ul><li><a href='a>b'>x</a></li></ul>",
