@@ -30,6 +30,11 @@ ASIDE_WORDS = frozenset(
     "notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets complementary alert dialog".split()
 )
+#: Inside an article only forms, adverts, navigation and comments, and whole names: parts of names say little there.
+ASIDE_IN_ARTICLE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored nav navbar navigation breadcrumb breadcrumbs pager pagination menu "
+    "comment comments comment-list commentlist disqus respond form search search-form".split()
+)
 #: An element that begins one of these ends an open element of its group inside the nearest of its parents.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -44,10 +49,10 @@ NEITHER: tuple = ((), ())
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _marks(tag: str) -> tuple[str, bool]:
-    """Words of class, id and role, and whether they name something that is not main text."""
+def _marks(tag: str) -> tuple[str, bool, bool]:
+    """Words of class, id and role, and whether they name something that is not main text, outside and inside an article."""
     words = " ".join("".join(m) for m in MARKS.findall(tag)).lower().split()
-    return ".".join(sorted(words)), any(w in ASIDE_WORDS or ASIDE_WORDS.intersection(SPLIT.split(w)) for w in words)
+    return ".".join(sorted(words)), any(w in ASIDE_WORDS or ASIDE_WORDS.intersection(SPLIT.split(w)) for w in words), not ASIDE_IN_ARTICLE.isdisjoint(words)
 
 
 def decoded(text: str) -> str:
@@ -63,20 +68,20 @@ OPEN, CLOSE, BREAK, SKIP = range(4)
 
 
 def _tag(text: str) -> tuple:
-    """kind, name, whether it is a block, label of its node, whether it is set aside."""
+    """kind, name, whether it is a block, label of its node, whether it is set aside outside and inside an article."""
     name = NAME.match(text)
     tag = name.group(1).lower() if name else ""
     block = tag in BLOCK
     if not tag:
-        known = (SKIP, tag, False, "", False)
+        known = (SKIP, tag, False, "", False, False)
     elif text[1] == "/":
-        known = (CLOSE, tag, block, "", False)
+        known = (CLOSE, tag, block, "", False, False)
     elif tag in VOID or text.endswith("/>"):
-        known = (BREAK if block or tag == "br" else SKIP, tag, block, "", False)
+        known = (BREAK if block or tag == "br" else SKIP, tag, block, "", False, False)
     else:
-        marks, named = _marks(text) if "=" in text else ("", False)
-        aside = tag in ASIDE or (named and tag not in ("html", "body", "article", "main"))
-        known = (OPEN, tag, block, f"{tag}.{marks}" if marks else tag, aside)
+        marks, *named = _marks(text) if "=" in text else ("", False, False)
+        aside = [tag in ASIDE or (n and tag not in ("html", "body", "article", "main")) for n in named]
+        known = (OPEN, tag, block, f"{tag}.{marks}" if marks else tag, *aside)
     if len(TAGS) > 20_000:
         TAGS.clear()
     TAGS[text] = known
@@ -102,7 +107,7 @@ class Page:
             parts.append(pieces[0])
         for at in range(1, len(pieces), 2):
             text = pieces[at]
-            kind, tag, block, label, named = TAGS.get(text) or _tag(text)
+            kind, tag, block, label, named, inside = TAGS.get(text) or _tag(text)
             if block:
                 if parts:
                     said = decoded("".join(parts))
@@ -129,7 +134,7 @@ class Page:
                     else:
                         nodes.append(key)
                         node = folded[key] = len(nodes) - 1
-                stack.append((tag, node, aside or named or (tag == "header" and not article), article or tag == "article" or tag == "main"))
+                stack.append((tag, node, aside or (inside if article else named) or (tag == "header" and not article), article or tag == "article" or tag == "main"))
                 links += tag == "a"
             elif kind == CLOSE:
                 for i in range(len(stack) - 1, 0, -1):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from assay.llm.html_pages import Page, aligned, children_of
+from assay.llm.html_pages import FOLDED, Page, aligned, children_of
 from assay.llm.text import annotate, bound_batches, fresh_name, slices
 from assay.session import staged
 
@@ -25,13 +25,15 @@ from assay.session import staged
 LEAST_PAGES = 3
 #: Entries that a task adds up before it passes them on.
 HELD = 200_000
-#: Blocks with more of their text in links are menus.
+#: What has more of its text in links is a menu, outside of articles.
 LINKED = 0.5
 
 #: Share of the pages with a place that say the same there when it is template.
 CONSTANT = 0.8
 #: Pages that must say the same before text inside an article counts as template.
 LEAST_IN_ARTICLE = 10
+#: Elements that are a part of the text around them.
+LINES = FOLDED | {"h1"}
 HEADING = re.compile(r"(?:h[1-6]|hgroup)(?:\.|$)")
 
 BODIES = "host string, tree_id long, body long, skeleton string, nodes array<int>, texts array<long>"
@@ -92,7 +94,25 @@ def _hash(text: str) -> int:
 
 def usable(page: Page) -> list[tuple[int, str, bool]]:
     """(node, text, in article) of the blocks that may be main text by themselves."""
-    return [(n, text, article) for n, text, linked, aside, article in page.blocks if not aside and linked <= LINKED * len(text)]
+    menus: set[int] = set()
+    if any(linked > LINKED * len(text) and not aside and not article for _, text, linked, aside, article in page.blocks):
+        menus = _menus(page)
+    return [(n, text, article) for n, text, linked, aside, article in page.blocks if not aside and (article or n not in menus or linked <= LINKED * len(text))]
+
+
+def _menus(page: Page) -> set[int]:
+    """Nodes whose text is mostly links. Of a paragraph, heading or item that holds for what stands around it."""
+    size, links = [0] * len(page.nodes), [0] * len(page.nodes)
+    for n, text, linked, aside, _ in page.blocks:
+        if not aside:
+            size[n] += len(text)
+            links[n] += linked
+    for n in range(len(page.nodes) - 1, 0, -1):  # children have larger numbers than their parents
+        size[page.nodes[n][0]] += size[n]
+        links[page.nodes[n][0]] += links[n]
+    full = [k > LINKED * s for k, s in zip(links, size)]
+    around = [p if label.split(".", 1)[0] in LINES else n for n, (p, label) in enumerate(page.nodes)]
+    return {n for n, at in enumerate(around) if full[at]}
 
 
 def positions(nodes: list[int]) -> list[tuple[int, int]]:

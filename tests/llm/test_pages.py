@@ -69,6 +69,14 @@ def test_odd_page_leaves_template_detection_on(spark, other):
     assert got == [f"Title {i}\n\nBody {i}" for i in range(5)] + ["Old layout" if other else ""]
 
 
+def test_links_and_class_names_inside_text(spark):
+    page = "<body><{0}><h1><a href=x>Title</a></h1><p>Some words of the text itself.</p><p><a href=y>Linked</a></p>{1}</{0}></body>"
+    assert extract(spark, [page.format("div", "")]) == ["Title\n\nSome words of the text itself.\n\nLinked"]
+    more = "<ul><li><a href=z>Reference</a></li></ul><header class='entry-header'>Head</header><div class='share-price notice'>Price</div><div class='big comments'>no</div>"
+    assert extract(spark, [page.format("article", more)]) == ["Title\n\nSome words of the text itself.\n\nLinked\n\nReference\n\nHead\n\nPrice"]
+    assert extract(spark, ["<body><ul><li><a href=z>Menu</a></li></ul><div><a href=z>Menu</a></div><div class='page-header'>x</div><p>Long text</p></body>"]) == ["Long text"]
+
+
 @pytest.mark.parametrize("bad", [
     "<nav><p>x</p></nav>", "<aside>x</aside>", "<form>x</form>", "<div class='comments'><p>x</p></div>", "<div id=sidebar><p>x</p></div>", "<script>x</p></script>",
     "<style>x</style>", "<!-- x -->", "<footer>x</footer>", "<div class=\"cookie-notice\">x</div>", "<header>x</header>", "<div class='ad'>x</div>", "<noscript>x</noscript>", "<ul><li><a href='a>b'>x</a></li></ul>",
