@@ -2,8 +2,9 @@
 
 For every language, counts of bytes after contexts of up to three bytes become a tree of variable order: a
 context that saw the byte gives its share, one that did not escapes (method C, with exclusion) to the
-next shorter context. The statistics are frozen into one table of code lengths, so that a text is
-scored exactly: the sum of the code lengths of all its bytes, per language, in whole-array steps.
+next shorter context. All contexts are kept. The statistics are frozen into sorted tables of the observed
+sequences, with code lengths and escapes per language, so that a text is scored exactly: the sum of the code
+lengths of all its bytes, per language, in whole-array steps.
 """
 
 from __future__ import annotations
@@ -20,10 +21,6 @@ from assay.llm.text import annotate, fresh_name, slices
 from assay.session import staged
 
 ORDER = 3
-#: Cells of the frozen table: contexts x bytes x languages. The most frequent long contexts are kept within it.
-CELLS = 1 << 22
-#: Contexts of two bytes that are kept.
-PAIRS = 1 << 12
 #: Bytes of text scored at once.
 SHARD = 4 << 20
 UNKNOWN = "und"
@@ -64,67 +61,46 @@ def gathered(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 class Model:
-    """Frozen code lengths. symbols: byte to symbol; nodes: last three symbols to context; bits: [context, symbol, language]."""
+    """Frozen code lengths of all sequences that any language has.
 
-    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """tables: for orders 0 .. 3 arrays (language, code, n) over codes of order + 1 bytes, contexts already chosen."""
+    codes[k]: sorted sequences of k + 1 bytes, bits[k]: [language, sequence] bits of the last byte after the others.
+    contexts[k]: sorted contexts of k bytes, escapes[k]: [language, context] bits of leaving it for the next
+    shorter one; 0 where the language does not have the context.
+    """
+
+    def __init__(self, langs: list[str], who: np.ndarray, code: np.ndarray, n: np.ndarray):
+        """who, code, n: language, sequence of ORDER + 1 bytes and how often it occurs there."""
         self.langs = langs
-        seen = np.zeros(256, bool)
-        seen[tables[0][1]] = True
-        seen[0] = True
-        self.symbols = np.cumsum(seen).astype(np.uint8) - 1
-        size = int(seen.sum()) + 1  # the last symbol is any byte that was never seen
-        self.symbols[~seen] = size - 1
-        self.size = size
-        lower = np.full((1, size, len(langs)), 1.0 / 256)
-        below = np.zeros(1, np.int64)  # row of each context code in lower
-        ids = np.zeros(1, np.int64)
-        kept = [(np.zeros(1, np.int64), lower)]
-        for order in range(ORDER + 1):
-            who, code, n = tables[order]
-            sym = [self.symbols[(code >> (8 * k)) & 255].astype(np.int64) for k in range(order + 1)]
-            context = np.zeros(len(code), np.int64)
-            for k in range(order, 0, -1):
-                context = context * size + sym[k]
-            ids = np.unique(context)
-            count = np.zeros((len(ids), size, len(langs)))
-            np.add.at(count, (np.searchsorted(ids, context), sym[0], who), n)
-            # the next shorter context, or the next one that was kept
-            parent = self._rows(kept, ids, order, size)
-            total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-            free = np.where(count > 0, 0, parent).sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own = np.where(count > 0, count / (total + kinds), kinds / (total + kinds) * parent / free)
-            own = np.where(total > 0, own, parent)
-            kept.append((ids, own))
-        self.nodes = np.zeros(size**ORDER, np.int32)
-        rows, at = [], 0
-        whole = np.arange(size**ORDER)
+        self.codes, self.bits, self.contexts, self.escapes = [], [], [], []
+        # bytes that occur, the zero before texts, and one for any other byte
+        size = len(np.union1d(code & 255, [0])) + 1
+        who = who.astype(np.int64) << 32
+        before = None
         for order in range(ORDER + 1):
-            ids, own = kept[order + 1]
-            place = np.full(size**order, -1, np.int64)
-            place[ids] = np.arange(len(ids)) + at
-            found = place[whole % size**order]
-            self.nodes[found >= 0] = found[found >= 0]
-            rows.append(own)
-            at += len(ids)
-        self.bits = (-np.log2(np.concatenate(rows))).astype(np.float32).reshape(-1, len(langs))
-
-    @staticmethod
-    def _rows(kept, ids, order, size):
-        """Probabilities of the longest kept proper suffix of each context."""
-        if order == 0:
-            return kept[0][1]
-        out = np.empty((len(ids), *kept[0][1].shape[1:]))
-        todo = np.ones(len(ids), bool)
-        for shorter in range(order - 1, -1, -1):
-            known, own = kept[shorter + 1]
-            suffix = ids % size**shorter
-            at = np.minimum(np.searchsorted(known, suffix), len(known) - 1)
-            hit = todo & (known[at] == suffix)
-            out[hit] = own[at[hit]]
-            todo &= ~hit
-        return out
+            keys, at = np.unique(who | (code & ((1 << 8 * (order + 1)) - 1)), return_inverse=True)
+            count = np.bincount(at, n, len(keys))
+            lang, own = keys >> 32, keys & 0xFFFFFFFF
+            _, start, group, kinds = np.unique((lang << 32) | (own >> 8), return_index=True, return_inverse=True, return_counts=True)
+            mass = np.bincount(group, count, len(start)) + kinds
+            if order == 0:
+                free = (size - kinds).astype(float)
+            else:  # share of the shorter context that the bytes of this one leave
+                keys0, count0, group0, mass0 = before
+                up = np.searchsorted(keys0, (lang << 32) | (own & ((1 << 8 * order) - 1)))
+                parent = mass0[group0[up[start]]]
+                free = (parent - np.bincount(group, count0[up], len(start))) / parent
+            codes, contexts = np.unique(own), np.unique(own >> 8)
+            escapes = np.zeros((len(langs), len(contexts)), np.float32)
+            escapes[lang[start], np.searchsorted(contexts, own[start] >> 8)] = -np.log2(kinds / mass / free)
+            bits = escapes[:, np.searchsorted(contexts, codes >> 8)]
+            if order:
+                bits += self.bits[-1][:, np.searchsorted(self.codes[-1], (codes & ((1 << 8 * order) - 1)).astype(np.uint32))]
+            bits[lang, np.searchsorted(codes, own)] = -np.log2(count / mass[group])
+            before = keys, count, group, mass
+            self.codes.append(codes.astype(np.uint32))
+            self.contexts.append(contexts.astype(np.uint32))
+            self.bits.append(bits)
+            self.escapes.append(escapes)
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """[text, language] code lengths in bits."""
@@ -132,38 +108,46 @@ class Model:
         data, real, starts = _stream(texts)
         if not real.any():
             return out
-        s = self.symbols[data].astype(np.int64)
-        context = (s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]
-        cell = self.nodes[context].astype(np.int64) * self.size + s[ORDER:]
-        cost = self.bits[cell[real[ORDER:]]]
+        code = np.zeros(len(data) - ORDER, np.uint32)
+        for k in range(ORDER + 1):
+            code = (code << np.uint32(8)) | data[k : k + len(code)]
+        code = code[real[ORDER:]]
+        # per order: bytes found there and where; bytes that leave a context there and which
+        steps, left = [], np.arange(len(code))
+        for order in range(ORDER, -1, -1):
+            own = code[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at, hit = _found(self.codes[order], own)
+            gone = left[~hit]
+            where, known = _found(self.contexts[order], own[~hit] >> np.uint32(8))
+            steps.append((order, left[hit], at[hit], gone[known], where[known]))
+            left = gone
         n = np.diff(np.append(starts, len(data))) - ORDER
         some = np.flatnonzero(n)
-        out[some] = np.add.reduceat(cost, (np.cumsum(n) - n)[some], axis=0, dtype=np.float64)
+        first = (np.cumsum(n) - n)[some]
+        for lang in range(len(self.langs)):
+            cost = np.zeros(len(code), np.float32)
+            for order, found, at, gone, where in steps:
+                cost[found] += self.bits[order][lang, at]
+                cost[gone] += self.escapes[order][lang, where]
+            out[some, lang] = np.add.reduceat(cost, first, dtype=np.float64)
         return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", cells: int = CELLS, pairs: int = PAIRS) -> Model | None:
+def _found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of values in a sorted table, and whether they are there."""
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1).astype(np.int32)
+    return at, table[at] == values
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """The model of the rows of docs with a text and a language; None if there are none."""
     counts = staged(gathered(docs, text, lang), "contexts")
     langs = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
-    # every order sums the same counts; contexts beyond the table's bound are left to shorter ones
-    kept = []
-    for order in range(ORDER + 1):
-        code = F.col("code").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
-        own = counts.groupBy("lang", code.alias("code")).agg(F.sum("n").alias("n"))
-        if order >= 2:
-            most = pairs if order == 2 else max(1, cells // (size * len(langs)) - pairs - size)
-            context = F.shiftright("code", 8)
-            best = own.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(most)
-            own = own.join(best.select("context"), context == F.col("context")).select("lang", "code", "n")
-        found = own.toArrow()
-        who = np.searchsorted(langs, found.column("lang").to_numpy(zero_copy_only=False).astype(str)) if found.num_rows else np.zeros(0, np.int64)
-        kept.append((who, found.column("code").to_numpy(), found.column("n").to_numpy()))
-        if order == 0:
-            size = len(np.unique(kept[0][1])) + 2
-    return Model(langs, kept)
+    who = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
+    found = counts.select(who.cast("int").alias("who"), "code", "n").toArrow()
+    return Model(langs, *(found.column(c).to_numpy() for c in ("who", "code", "n")))
 
 
 def identified(docs: DataFrame, model: Model | None, text: str = "text", name: str = "language") -> tuple[DataFrame, str]:

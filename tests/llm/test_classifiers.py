@@ -62,6 +62,23 @@ def test_code_lengths_follow_the_definition(spark):
         assert model.lengths([text])[0, 0] == pytest.approx(slow_bits(texts, text), rel=1e-4)
 
 
+def test_all_contexts_of_many_languages_count(spark):
+    """Sixteen languages in several scripts, one of them with a small share of the text."""
+    import random
+
+    draw = random.Random(5)
+    texts = {}
+    for k in range(16):
+        letters = [chr(0x100 + 0x60 * k + j) for j in range(40)] + list(" ab")
+        texts[f"l{k:02}"] = ["".join(draw.choice(letters) for _ in range(40 if k == 3 else 800)) for _ in range(2)]
+    docs = spark.createDataFrame([(t, k) for k, own in texts.items() for t in own], "text string, lang string")
+    model = ppm.fit(docs)
+    assert model.langs == sorted(texts)
+    for i, own in enumerate(texts.values()):
+        seen = own[0][5:25]
+        assert model.lengths([seen])[0, i] == pytest.approx(slow_bits(own, seen), rel=1e-4)
+
+
 def test_language_odd_rows(spark, odd, empty):
     docs = spark.createDataFrame([("der Hund und die Katze", "de"), ("the dog and the cat", "en"), (None, "fr"), ("x", None)], "text string, lang string")
     model = ppm.fit(docs)
