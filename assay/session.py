@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -61,6 +62,18 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_files(df: DataFrame, number: str, content: str) -> str:
+    """Write the bytes of every row to a file of its own in the shared folder, under number=..; and their path.
+
+    The text writer copies bytes as they are and adds a line feed, which follows the end of an image.
+    """
+    path = fresh_path(df.sparkSession, "files")
+    lines = df.select(F.col(number), F.col(content).cast("string").alias("value"))
+    lines.write.partitionBy(number).option("compression", "none").text(path)
+    _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables that this session has staged so far; call it when no result that reads them is needed any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -247,6 +247,25 @@ def test_headers_and_decoding(spark, tmp_path):
     assert readers.list_files(spark, str(tmp_path)).count() == 2
 
 
+def test_decode_check_decodes(spark):
+    """A JPEG with a readable header, an end marker and a damaged middle is corrupt, and so is a cut one."""
+    java = spark._jvm.java
+    img, out = java.awt.image.BufferedImage(64, 64, 10), java.io.ByteArrayOutputStream()
+    for x in range(64):
+        for y in range(64):
+            img.getRaster().setSample(x, y, 0, x * y * 7 % 256)
+    spark._jvm.javax.imageio.ImageIO.write(img, "jpg", out)
+    jpeg = bytes(out.toByteArray())
+    half = len(jpeg) // 2
+    png = encode_png(np.zeros((20, 30), np.uint8))
+    cases = [("jpeg", jpeg), ("middle", jpeg[:half] + b"\xff" * 200 + jpeg[half + 200:]), ("cut", jpeg[:half]), ("png", png), ("png", png), ("png cut", png[:60]), ("none", None), ("", b"text")]
+    assert I.is_whole(cases[1][1])
+    files = spark.createDataFrame([(k, c) for k, c in cases], "name string, content binary")
+    got = sorted((r["name"], r["corrupt"]) for r in I.decode_check(files, "name", 1.1, 7).collect())
+    assert got == sorted((k, k not in ("jpeg", "png")) for k, _ in cases)
+    assert I.decode_check(files.where("false"), "name", 1.1, 7).count() == 0
+
+
 # ---- streams ----
 
 def test_tracker_goes_on_after_restart_and_ignores_rows_after_the_stop(spark, tmp_path):
