@@ -2,8 +2,8 @@
 
 Each document indexes its non-overlapping blocks of BLOCK words and probes with every rolling window of as many
 words. A repeat of WINDOW = 2 * BLOCK - 1 words or more holds a whole block of either document, so each
-repeat is hit; hits are extended left and right to all windows around them, and windows that are
-equal word for word merge into the maximal exact repeats.
+repeat is hit. Hits name all windows around them; windows with equal hashes (80 to 96 bits, not compared word
+for word) merge into the maximal repeats.
 """
 
 from __future__ import annotations

@@ -1,9 +1,9 @@
-"""Substring dedup by a sparse suffix array.
+"""Substring dedup by window hashes at sparse suffixes.
 
-Only suffixes that start at minimisers are kept: of all ANCHOR-word sequences in a window of WINDOW words the
+Only places of minimisers are kept: of all ANCHOR-word sequences in a window of WINDOW words the
 one with the smallest hash. Equal windows choose equal minimisers, so each repeat of WINDOW words keeps a
-common suffix in both places. Suffixes are sorted by their first ANCHOR words, neighbours compared, and
-those that agree are extended left and right as far as they choose the same minimiser.
+common place in both. Hashes of the ANCHOR words there are matched in buckets, and windows that chose a shared
+minimiser are compared by hash; no suffixes are sorted and no match is extended word by word.
 """
 
 from __future__ import annotations
