@@ -4,7 +4,7 @@ from importlib import import_module
 
 from assay.llm.registry import ORACLES, QUERIES
 
-MODULES = ["benchmark_q", "repeats_q", "dedup_q", "toxicity_q", "language_q", "pages_q", "tokens_q", "phrases_q", "conversations_q"]
+MODULES = ["benchmark_q", "repeats_q", "dedup_q", "toxicity_q", "language_q", "pages_q", "tokens_q", "phrases_q", "conversations_q", "personal_q"]
 
 
 def load_all() -> tuple[dict, dict]:

@@ -32,8 +32,8 @@ _WHITE = " \t\n\x0b\x0c\r"
 _LEGAL = {"su", "ua", "au"}
 _NUMBERS = "n_blank long, n_duplicate long, n_truncated long, illegal long, low long, high long, n_turns long, first_turn long, last_turn long"
 _BLOCK = f"first string, last string, letters string, {_NUMBERS}, paths array<struct<start:int,end:int,cost:long,edits:string>>"
-BLOCKS = StructType.fromDDL(f"none boolean, id string, block long, {_BLOCK}")
-FOUND = StructType.fromDDL("none boolean, id string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
+BLOCKS = f"none boolean, id string, block long, {_BLOCK}"
+FOUND = "none boolean, id string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
 
 
 def _text(c: str) -> Column:
@@ -98,7 +98,7 @@ def _block(rows: list[dict], number: int, size: int) -> dict:
 
 
 def blocks(placed: DataFrame, size: int) -> DataFrame:
-    schema = to_arrow_schema(BLOCKS)
+    schema = to_arrow_schema(StructType.fromDDL(BLOCKS))
     rows = placed.groupBy("none", "id", F.floor(F.col("place") / size).alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "turn", "initial", "fault"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +188,8 @@ class _Conversation:
                 "cost": self.cost, "audit": self.edits, "repaired_sha256": self.digest.hexdigest()}
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Blocks, then texts, of each conversation in order, to one row per conversation."""
-    schema = to_arrow_schema(FOUND)
     open_, done = None, []
     for batch in batches:
         for r in batch.to_pylist():
@@ -221,11 +220,11 @@ def repaired(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     bound_batches(rows.sparkSession)
     placed, texts = lettered(damaged(rows, conv, turn, role, text))
     own = blocks(placed, size)
-    named = [f.name for f in BLOCKS if f.name not in ("none", "id", "block")]
-    own = own.select("none", "id", "block", F.struct(*named).alias("own"))
+    own = own.select("none", "id", "block", F.struct(*own.columns[3:]).alias("own"))
     both = own.unionByName(texts, allowMissingColumns=True)
     in_order = both.repartition("none", "id").sortWithinPartitions("none", "id", F.col("own").isNull(), "block", "at").select("none", "id", "own", "role", "text")
-    found = in_order.mapInArrow(_joined, FOUND)
+    schema = to_arrow_schema(StructType.fromDDL(FOUND))
+    found = in_order.mapInArrow(lambda batches: _joined(batches, schema), FOUND)
     names = rows.select(F.col(conv).alias("conv_id")).distinct().select("conv_id", F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("id"))
     zeros = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     nothing = hashlib.sha256().hexdigest()

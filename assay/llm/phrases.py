@@ -40,9 +40,9 @@ _FOLD = bytes.maketrans(bytes(range(65, 91)) + _SEPARATORS + b"\t", bytes(range(
 _EDGE = 0  # the number of the place between two pieces in every vocabulary
 _NEVER = np.iinfo(np.int32).max
 
-CHUNKS = StructType.fromDDL("chunk long, shard int, lang string, ids binary, words array<string>, counts array<int>")
-PAIRS = StructType.fromDDL("chunk long, shard int, a long, b long, start int, n long")
-TRIPLES = StructType.fromDDL("a long, b long, c long, n long")
+CHUNKS = "chunk long, shard int, lang string, ids binary, words array<string>, counts array<int>"
+PAIRS = "chunk long, shard int, a long, b long, start int, n long"
+TRIPLES = "a long, b long, c long, n long"
 
 
 def words_of(texts: list[bytes]) -> list[bytes]:
@@ -82,7 +82,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 def coded(docs: DataFrame, text: str, lang: str, shards: int, size: int) -> DataFrame:
     """One row per chunk and language: packed numbers of its words, and its vocabulary with counts."""
     bound_batches(docs.sparkSession)
-    schema = to_arrow_schema(CHUNKS)
+    schema = to_arrow_schema(StructType.fromDDL(CHUNKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -182,7 +182,7 @@ def _counts(batches, work, schema) -> Iterator[pa.RecordBatch]:
 
 def pairs_at(chunks: DataFrame, step: int, shards: int) -> DataFrame:
     """Pairs that are active at a step, counted in each chunk of its shard."""
-    schema = to_arrow_schema(PAIRS)
+    schema = to_arrow_schema(StructType.fromDDL(PAIRS))
 
     def work(row):
         ids, id_of, reach = _local(row, _size)
@@ -198,7 +198,7 @@ def pairs_at(chunks: DataFrame, step: int, shards: int) -> DataFrame:
 
 def triples_at(chunks: DataFrame, pairs: DataFrame, step: int, shards: int) -> DataFrame:
     """Triples that are active at a step, counted in each chunk of its shard; pairs tell the step at which each reached the threshold."""
-    schema = to_arrow_schema(TRIPLES)
+    schema = to_arrow_schema(StructType.fromDDL(TRIPLES))
     mine = F.col("shard") == step % shards
     known = pairs.where(mine & (F.col("reach") < step)).groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "reach")).alias("pairs"))
 

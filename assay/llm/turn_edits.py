@@ -58,8 +58,8 @@ def estimates(rows: str, goals: dict[int, int]) -> list[list[int]]:
             now = list(gone)
             for state in (NOTHING, SYSTEM, USER, ASSISTANT):
                 kept = kept_state(state, letter)
-                cost = RELABEL + after[turned(state)] if kept is None else after[kept]
-                now[state] = min(now[state], cut + cost)
+                cost = RELABEL + after[turned(state)]
+                now[state] = min(now[state], cut + (cost if kept is None else min(cost, after[kept])))
         # an inserted turn leads to the state after it, a second one from there to the next
         for _ in range(2):
             now = [min(now[s], now[turned(s)] + INSERT) for s in range(4)]
