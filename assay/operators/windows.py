@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import numbered, previous, running, trailing
+from assay.functions.ordered import numbered, previous, running, settled, trailing
 
 
 def rolling_mean(df: DataFrame, keys: list[str], order: str, value: str, width: int = 50, name: str = "rolling", **kw) -> DataFrame:
@@ -20,10 +20,29 @@ def changes(df: DataFrame, keys: list[str], order: str, column: str, **kw) -> Da
 
 def delta_to_last(df: DataFrame, keys: list[str], order: str, value: str, name: str = "delta", **kw) -> DataFrame:
     """value minus the last non-null value before it; NULL for the first or an undefined value."""
-    seen = running(df, keys, order, {"_last": ("last", value)}, stored=True, **kw)
+    seen = running(df, keys, order, {"_last": ("last", value)}, **kw)
     return seen.withColumn(name, F.col(value) - F.col("_last")).drop("_last")
 
 
+def counter_gains(df: DataFrame, keys: list[str], order: str, counters: list[str], **kw) -> DataFrame:
+    """What each cumulative counter gained since the row before, under its own name.
+
+    Counters begin at zero; a reading below the one before has begun again from zero (a restarted job), so it is a gain.
+    """
+    seen = previous(df, keys, order, {f"_p_{c}": c for c in counters}, **kw)
+    gain = lambda c: F.when(F.col(c) < F.col(f"_p_{c}"), F.col(c)).otherwise(F.col(c) - F.coalesce(F.col(f"_p_{c}"), F.lit(0)))
+    return seen.withColumns({c: gain(c) for c in counters}).drop(*[f"_p_{c}" for c in counters])
+
+
+def retrieval_rates(gains: DataFrame, images: str, data: str, busy: str, elapsed: str) -> DataFrame:
+    """Images and megabytes a second, and milliseconds of reading an image, from the gains of four counters (busy in nanoseconds)."""
+    return gains.withColumns({
+        "images_per_s": F.try_divide(F.col(images), F.col(elapsed)),
+        "mb_per_s": F.try_divide(F.col(data) / 1e6, F.col(elapsed)),
+        "ms_per_image": F.try_divide(F.col(busy) / 1e6, F.col(images)),
+    })
+
+
 def extreme_step(df: DataFrame, keys: list[str], order: str, value: str, mode: str = "max") -> DataFrame:
     """First step holding the extreme value, undefined values ignored."""
     signed = F.col(value) if mode == "max" else -F.col(value)
@@ -69,33 +88,65 @@ def step_spacing(df: DataFrame, keys: list[str], order: str, **kw) -> DataFrame:
     return per.groupBy(*keys).agg(F.sum("n").alias("n_gaps"), F.min("gap").alias("min_gap"), (-mode["g"]).alias("mode_gap"), F.count(F.lit(1)).alias("n_distinct"))
 
 
-def best_so_far(df: DataFrame, keys: list[str], order: str, value: str, mode: str = "max", **kw) -> DataFrame:
+def best_so_far(df: DataFrame, keys: list[str], order: str, value: str, mode: str = "max", phase: str | None = None, **kw) -> DataFrame:
     """Running best, whether the row strictly improves it, and rows since the last improvement.
 
-    ``order`` counts rows (1, 2, ...), so the counter is a difference of positions.
+    ``order`` counts rows (1, 2, ...), so the counter is a difference of positions. ``phase`` never falls; with it
+    the counter also begins anew at the first row of a phase. One pass: the largest (value, -order) before a row is
+    the first row with the best value, and the largest (phase, -order) the first row of the latest phase.
     """
-    signed = F.col(value) if mode == "max" else -F.col(value)
-    seen = running(df.withColumn("_s", signed), keys, order, {"_best": ("max", "_s")}, stored=True, **kw)
-    improved = F.col("_s").isNotNull() & (F.col("_best").isNull() | (F.col("_s") > F.col("_best")))
-    marked = seen.withColumn("improved", improved).withColumn("_at", F.when(F.col("improved"), F.col(order)))
-    marked = running(marked, keys, order, {"_last_at": ("max", "_at")}, **kw)
-    last_at = F.coalesce("_at", "_last_at")
-    top = F.greatest("_best", "_s")
-    return (
-        marked.withColumn("best", top if mode == "max" else -top)
-        .withColumn("best_step", last_at)
-        .withColumn("no_improve", F.col(order) - F.coalesce(last_at, F.lit(0)))
-        .drop("_s", "_best", "_at", "_last_at")
-    )
+    signed = (F.col(value) if mode == "max" else -F.col(value)).alias("s")
+    back = (-F.col(order)).alias("o")
+    marked = df.withColumn("_mark", F.when(F.col(value).isNotNull(), F.struct(signed, back)))
+    before = {"_top": ("max", "_mark")}
+    if phase:
+        marked = marked.withColumn("_begin", F.struct(F.col(phase).alias("p"), back))
+        before["_phase"] = ("max", "_begin")
+    seen = running(marked, keys, order, before, **kw)
+    improved = F.col("_mark").isNotNull() & (F.col("_top").isNull() | (F.col("_mark.s") > F.col("_top.s")))
+    top = F.greatest("_top", "_mark")
+    since = F.coalesce(-top["o"], F.lit(0))
+    if phase:
+        since = F.greatest(since, -F.greatest("_phase", "_begin")["o"] - 1)
+    out = seen.withColumns({"improved": improved, "best": top["s"] if mode == "max" else -top["s"], "best_step": -top["o"], "no_improve": F.col(order) - since})
+    return out.drop("_mark", "_begin", "_top", "_phase")
+
+
+def _ends(tracked: DataFrame, keys: list[str], order: str, stops: Column) -> DataFrame:
+    """Per group: best value and step at the first row that stops it, or at its last row; and the stop step."""
+    state = F.struct(order, "best", "best_step")
+    ends = tracked.groupBy(*keys).agg(F.min(F.when(stops, state)).alias("_stop"), F.max(state).alias("_last"))
+    end = F.coalesce("_stop", "_last")
+    return ends.select(*keys, end["best"].alias("best"), end["best_step"].alias("best_step"), F.col("_stop")[order].alias("stop_step"))
 
 
 def early_stop(df: DataFrame, keys: list[str], order: str, value: str, patience: int, mode: str = "max", **kw) -> DataFrame:
     """Per group: best value and step reached before the stop, and the stop step (NULL: never)."""
-    b = best_so_far(df, keys, order, value, mode, **kw)
-    stop = b.groupBy(*keys).agg(F.min(F.when(F.col("no_improve") >= patience, F.col(order))).alias("stop_step"))
-    live = b.join(stop, keys).filter(F.col("stop_step").isNull() | (F.col(order) <= F.col("stop_step")))
-    at_end = F.max(F.struct(order, "best", "best_step"))
-    return live.groupBy(*keys).agg(at_end["best"].alias("best"), at_end["best_step"].alias("best_step"), F.max("stop_step").alias("stop_step"))
+    tracked = best_so_far(df, keys, order, value, mode, **kw)
+    return _ends(tracked, keys, order, F.col("no_improve") >= patience)
+
+
+def phased_tracker(
+    df: DataFrame, keys: list[str], order: str, value: str, patience: int, phase: str, stops_from: int, sets: list[str], mode: str = "max", **kw
+) -> DataFrame:
+    """Early stopping over phases, and what every set scored at the best step.
+
+    Phases before ``stops_from`` track the best but never stop a group, and patience begins anew with each phase.
+    For each of ``sets`` the value at the best step, NULL where the set was not scored there; ``<set>_last_step``
+    is then the last step before at which it was scored, and else the best step itself.
+    """
+    rows = df.withColumns({f"_at_{c}": F.when(F.col(c).isNotNull(), F.col(order)) for c in sets})
+    tracked = best_so_far(rows.select(*keys, order, value, phase), keys, order, value, mode, phase, **kw)
+    ends = settled(_ends(tracked, keys, order, (F.col("no_improve") >= patience) & (F.col(phase) >= stops_from)), "ends")
+    # one row per group: small enough to be sent to the rows, or met by a join that splits a hot group
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = rows[order] <= F.col("_best_step")
+    for i, k in enumerate(keys):
+        same = same & (rows[k] == F.col(f"_k{i}"))
+    upto = rows.join(ends.select(*own, F.col("best_step").alias("_best_step")), same)
+    at_best = F.col(order) == F.col("_best_step")
+    scored = upto.groupBy(*keys).agg(*[e for c in sets for e in (F.max(F.when(at_best, F.col(c))).alias(c), F.max(f"_at_{c}").alias(f"{c}_last_step"))])
+    return ends.join(scored, keys, "left")
 
 
 def top_board(df: DataFrame, keys: list[str], order: str, step: str, value: str, k: int, mode: str = "max") -> DataFrame:

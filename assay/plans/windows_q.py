@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from assay.functions.ordered import running
 from assay.operators import windows as W
 from assay.plans.profile_q import rounded
 from assay.plans.registry import query
@@ -131,3 +132,50 @@ def win_14(spark, sf):
 def win_15(spark, sf):
     log = metric_log(spark, sf).selectExpr("run", "step", "step - 1 as done")
     return log.select("run", "step", F.round(W.eta(F.col("done") * 1.5, F.col("done"), F.lit(100)), 9).alias("eta"))
+
+
+COUNTERS = """(select run, step, sum(32) over w as images, sum(1000000 + event_id % 7919) over w as bytes, sum(event_id % 31 + 1) over w * 1000000 as busy, sum(1 + event_id % 4) over w as elapsed
+ from (select *, (step - 1) // 37 as job from metric_log) window w as (partition by run, job order by step))"""
+
+
+def counter_log(spark, sf):
+    """Cumulative counters of each run's jobs: every 37 steps a job ends and the next one counts from zero again."""
+    log = metric_log(spark, sf).selectExpr("run", "(step - 1) div 37 as job", "step", "32L as images", "1000000 + event_id % 7919 as bytes", "(event_id % 31 + 1) * 1000000 as busy", "1 + event_id % 4 as elapsed")
+    names = ["images", "bytes", "busy", "elapsed"]
+    before = running(log, ["run", "job"], "step", {f"_b_{c}": ("sum", c) for c in names})
+    return before.select("run", "step", *[(F.col(f"_b_{c}") + F.col(c)).cast("double").alias(c) for c in names])
+
+
+GAINS = f"""with p as (select *, lag(images) over w as pi, lag(bytes) over w as pb, lag(busy) over w as pn, lag(elapsed) over w as pe from {COUNTERS} window w as (partition by run order by step)),
+g as (select run, step, case when images < pi then images else images - coalesce(pi, 0) end::double as i, case when bytes < pb then bytes else bytes - coalesce(pb, 0) end::double as b,
+ case when busy < pn then busy else busy - coalesce(pn, 0) end::double as n, case when elapsed < pe then elapsed else elapsed - coalesce(pe, 0) end::double as e from p)
+select run, step, round(i / nullif(e, 0), 9) as images_per_s, round(b / 1e6::double / nullif(e, 0), 9) as mb_per_s, round(n / 1e6::double / nullif(i, 0), 9) as ms_per_image from g"""
+
+
+def rates(gains):
+    named = W.retrieval_rates(gains, "images", "bytes", "busy", "elapsed")
+    return named.select("run", "step", *[F.round(c, 9).alias(c) for c in ("images_per_s", "mb_per_s", "ms_per_image")])
+
+
+@query("win_5_counter_rates", GAINS)
+def win_5_counters(spark, sf):
+    """Counters differenced over the whole log, across restarts."""
+    return rates(W.counter_gains(counter_log(spark, sf), ["run"], "step", ["images", "bytes", "busy", "elapsed"]))
+
+
+PHASED_COLUMNS = ["run", "step", "metric", "case when step <= 20 then 0 else 1 end as phase", "case when step % 3 <> 0 then metric / 2 end as val19k", "case when step % 4 = 0 then metric / 4 end as val200"]
+PATIENCE = 15
+PHASED = f"""with p as (select {', '.join(PHASED_COLUMNS)} from metric_log),
+b as (select *, max(metric) over (partition by run order by step rows between unbounded preceding and 1 preceding) as prev from p),
+l as (select *, max(case when prev is null or metric > prev then step end) over w as best_step, greatest(metric, coalesce(prev, metric)) as best, min(step) over (partition by run, phase) as begun,
+ max(case when val19k is not null then step end) over w as s19, max(case when val200 is not null then step end) over w as s200 from b window w as (partition by run order by step)),
+s as (select run, min(case when phase >= 1 and step - greatest(best_step, begun - 1) >= {PATIENCE} then step end) as stop_step, max(step) as last_step from l group by run),
+e as (select l.run, best, l.best_step, stop_step from l join s on l.run = s.run and step = coalesce(stop_step, last_step))
+select e.run, e.best, e.best_step, stop_step, val19k, s19 as val19k_last_step, val200, s200 as val200_last_step from e join l on l.run = e.run and l.step = e.best_step"""
+
+
+@query("win_10_phased_tracker", PHASED)
+def win_10_phased(spark, sf):
+    """Warm-up steps cannot stop a run, patience begins anew after them, and the sets' values at the best step are kept."""
+    log = metric_log(spark, sf).selectExpr(*PHASED_COLUMNS)
+    return W.phased_tracker(log, ["run"], "step", "metric", PATIENCE, "phase", 1, ["val19k", "val200"])

@@ -1,9 +1,8 @@
 """Metric logs as streams: ingest, trackers, boards, rolling values, event-time windows.
 
-Step-ordered trackers run the batch operators on each micro-batch together with the states, of a few
-rows per run, of the runs it brings. State is written per batch id, only for those runs; every
-SNAPSHOT batches the states of all runs are written together and those of older batches go. A batch that
-is run again after a failure reads the same state and overwrites the same output.
+Step-ordered trackers are state machines, one per run, whose small state Spark keeps in its state store and
+checkpoint (processors.py). They add their rows to a folder exactly once: a batch that is run again after a
+failure starts from the state that it started from before.
 """
 
 from __future__ import annotations
@@ -11,16 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from assay.functions.ordered import trailing
-from assay.operators.windows import best_so_far, delta_to_last, top_n
+from assay.operators.windows import top_n
+from assay.sources import growing
+from assay.streaming.processors import BestTracker, Counters, Deltas, Rolling
 
 
 def read_log_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
-    """Tail an append-only folder of log files."""
+    """Follow a folder to which whole log files are added."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -29,9 +30,19 @@ def read_log_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "p
     return reader.load(folder)
 
 
-def run_to_end(stream: DataFrame, out: str, fmt: str = "parquet") -> None:
-    """Append everything that has arrived to ``out``; a later call goes on from there."""
-    query = stream.writeStream.format(fmt).option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start()
+def read_growing_log(spark: SparkSession, folder: str, schema: str, split_bytes: int = growing.SPLIT) -> DataFrame:
+    """Follow the CSV files of a folder as they grow, and new ones as they come."""
+    growing.register(spark)
+    return spark.readStream.format(growing.FORMAT).schema(schema).option("splitBytes", split_bytes).load(folder)
+
+
+def run_to_end(stream: DataFrame, out: str, fmt: str = "parquet", once: bool = False) -> None:
+    """Append everything that has arrived to ``out``; a later call goes on from there.
+
+    ``once`` takes it in one batch: streams whose state has a time to live would go on to check it for ever.
+    """
+    trigger = {"once": True} if once else {"availableNow": True}
+    query = stream.writeStream.format(fmt).option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(**trigger).start()
     query.awaitTermination()
 
 
@@ -42,107 +53,69 @@ def _each_batch(stream: DataFrame, out: str, fn: Callable[[DataFrame, int], None
     query.awaitTermination()
 
 
-SNAPSHOT = 16
+#: State that grows with the runs lives on the executors' disks and in the checkpoint, not on the heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _state_before(spark: SparkSession, out: str, batch_id: int, run: str, batch: DataFrame | None = None) -> DataFrame | None:
-    """State rows of each run from the last batch that brought it; only of the runs in ``batch`` if given."""
-    if batch_id == 0:
-        return None
-    first = (batch_id - 1) // SNAPSHOT * SNAPSHOT
-    paths = [f"{out}/state/batch={b}" for b in range(first, batch_id)]
-    states = spark.read.option("basePath", f"{out}/state").parquet(*paths)
-    if batch is not None:
-        states = states.join(batch.select(run).distinct(), run, "left_semi")
-    last = states.groupBy(F.col(run).alias("_run")).agg(F.max("batch").alias("_batch"))
-    return states.join(last, (F.col(run) == F.col("_run")) & (F.col("batch") == F.col("_batch"))).drop("_run", "_batch", "batch")
+def keyed(stream: DataFrame, run: str, step: str, columns: dict[str, str | Column], processor: StatefulProcessor, output: str, ttl: bool = False) -> DataFrame:
+    """Rows of each run in a state machine of its own; columns maps the processor's names to those of the stream, output names what follows the run."""
+    output = f"run {stream.schema[run].dataType.simpleString()}, {output}"
+    rows = stream.select(F.col(run).alias("run"), F.col(step).cast("bigint").alias("step"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+    return rows.groupBy("run").transformWithStateInPandas(processor, output, "Append", "ProcessingTime" if ttl else "None")
 
 
-def _put_state(state: DataFrame, out: str, batch_id: int, run: str) -> None:
-    """Write the states of the runs of this batch, or at a snapshot those of all runs."""
-    spark = state.sparkSession
-    if batch_id and batch_id % SNAPSHOT == 0:
-        rest = _state_before(spark, out, batch_id, run).join(state.select(run).distinct(), run, "left_anti")
-        state = state.unionByName(rest)
-    _put(state, f"{out}/state/batch={batch_id}")
-    if batch_id % SNAPSHOT == 0:
-        for b in range(max(0, batch_id - 2 * SNAPSHOT), batch_id - SNAPSHOT):
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/state/batch={b}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def run_keyed(rows: DataFrame, out: str, once: bool) -> None:
+    """Append what the state machines give to ``out``, exactly once, until all that has arrived is read."""
+    spark = rows.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, STATE_STORE)
+    try:
+        run_to_end(rows, out, once=once)
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
-def _put(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def track_best(
+    stream: DataFrame, out: str, run: str, step: str, value: str, patience: int, mode: str = "max",
+    phase: str | None = None, stops_from: int = 0, sets: list[str] | None = None, ttl_ms: int | None = None,
+) -> None:
+    """Best value so far, its step, and the step at which patience ran out, per run; with phases and sets as in the batch tracker."""
+    sets = sets or []
+    number = {f"set{i}": F.col(c).cast("double") for i, c in enumerate(sets)}
+    columns = {"value": F.col(value).cast("double"), "phase": F.col(phase).cast("bigint") if phase else F.lit(0).cast("bigint"), **number}
+    tracker = BestTracker(patience, 1 if mode == "max" else -1, stops_from, list(number), ttl_ms)
+    output = "last_step bigint, best double, best_step bigint, idle bigint, stop_step bigint, at_best array<double>, seen_at_best array<bigint>"
+    run_keyed(keyed(stream, run, step, columns, tracker, output, ttl_ms is not None), out, ttl_ms is not None)
 
 
-def track_best(stream: DataFrame, out: str, run: str, step: str, value: str, patience: int, mode: str = "max") -> None:
-    """Best value so far, its step, and the step at which patience ran out, per run.
+def latest_state(spark: SparkSession, out: str, sets: list[str] | None = None) -> DataFrame:
+    """The tracker's last word on every run."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("run").agg(F.max_by(F.struct("best", "best_step", "stop_step", "at_best", "seen_at_best"), "last_step").alias("_s"), F.max("last_step").alias("last_step"))
+    scored = [c for i, n in enumerate(sets or []) for c in (F.get("_s.at_best", F.lit(i)).alias(n), F.get("_s.seen_at_best", F.lit(i)).alias(f"{n}_last_step"))]
+    return last.select("run", "_s.best", "_s.best_step", "_s.stop_step", "last_step", *scored)
 
-    The state of a run is one row (best, best_step, last_step, stop_step). It joins the batch as
-    the row that came before, so the batch tracker needs no special case.
-    """
-    def batch(df: DataFrame, batch_id: int) -> None:
-        old = _state_before(df.sparkSession, out, batch_id, run, df)
-        rows = df.select(run, step, F.col(value).alias("_v"))
-        if old is not None:
-            before = old.select(run, F.col("best_step").alias(step), F.col("best").alias("_v"))
-            stopped = old.filter("stop_step is not null").select(run)
-            rows = rows.join(stopped, run, "left_anti").unionByName(before)
-        tracked = best_so_far(rows, [run], step, "_v", mode)
-        stop = tracked.groupBy(run).agg(F.min(F.when(F.col("no_improve") >= patience, F.col(step))).alias("stop_step"))
-        live = tracked.join(stop, run).filter(F.col("stop_step").isNull() | (F.col(step) <= F.col("stop_step")))
-        end = F.max(F.struct(step, "best", "best_step"))
-        new = live.groupBy(run).agg(end["best"].alias("best"), end["best_step"].alias("best_step"), end[step].alias("last_step"), F.max("stop_step").alias("stop_step"))
-        if old is not None:
-            # A run without new live rows only sees its own best row again: its old state stands.
-            keep = old.select(run, F.struct("best", "best_step", "last_step", "stop_step").alias("_old"))
-            done = F.col("_old.stop_step").isNotNull() | (F.col("_old.last_step") > F.col("last_step"))
-            new = keep.join(new, run, "full").select(
-                run, *[F.when(done | F.col("last_step").isNull(), F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) for c in ("best", "best_step", "last_step", "stop_step")]
-            )
-        _put_state(new, out, batch_id, run)
-
-    _each_batch(stream, out, batch)
-
-
-def latest_state(spark: SparkSession, out: str, run: str = "run") -> DataFrame:
-    """State rows of every run."""
-    last = spark.read.parquet(f"{out}/state").agg(F.max("batch")).first()[0]
-    return _state_before(spark, out, last + 1, run)
-
-
-def rolling_stream(stream: DataFrame, out: str, run: str, step: str, columns: list[str], width: int, finish: Callable[[DataFrame], DataFrame]) -> None:
-    """Rolling sums over the last ``width`` steps; the last width - 1 rows of a run are the state."""
-    def batch(df: DataFrame, batch_id: int) -> None:
-        old = _state_before(df.sparkSession, out, batch_id, run, df)
-        rows = df.select(run, step, *columns).withColumn("_new", F.lit(True))
-        if old is not None:
-            rows = rows.unionByName(old.withColumn("_new", F.lit(False)))
-        sums = trailing(rows, [run], step, width, {f"sum_{c}": F.sum(c) for c in columns})
-        _put(finish(sums.filter("_new").drop("_new")), f"{out}/rows/batch={batch_id}")
-        last = top_n(rows.drop("_new"), [run], step, step, width - 1)
-        _put_state(last.select(run, step, *columns), out, batch_id, run)
 
-    _each_batch(stream, out, batch)
+def rolling_stream(stream: DataFrame, out: str, run: str, step: str, columns: list[str], width: int, ttl_ms: int | None = None) -> None:
+    """(run, step, sum_<column>): sums over the last ``width`` steps of each run."""
+    output = "step bigint, " + ", ".join(f"sum_{c} double" for c in columns)
+    run_keyed(keyed(stream, run, step, {c: F.col(c).cast("double") for c in columns}, Rolling(columns, width, ttl_ms), output, ttl_ms is not None), out, ttl_ms is not None)
 
 
-def delta_stream(stream: DataFrame, out: str, run: str, step: str, value: str) -> None:
-    """Difference to the run's last defined value; that value is the state."""
-    def batch(df: DataFrame, batch_id: int) -> None:
-        old = _state_before(df.sparkSession, out, batch_id, run, df)
-        rows = df.select(run, step, value).withColumn("_new", F.lit(True))
-        if old is not None:
-            rows = rows.unionByName(old.withColumn("_new", F.lit(False)))
-        _put(delta_to_last(rows, [run], step, value).filter("_new").drop("_new"), f"{out}/rows/batch={batch_id}")
-        last = F.max(F.when(F.col(value).isNotNull(), F.struct(step, value)))
-        known = rows.groupBy(run).agg(last.alias("_l")).filter("_l is not null")
-        _put_state(known.select(run, f"_l.{step}", f"_l.{value}"), out, batch_id, run)
+def delta_stream(stream: DataFrame, out: str, run: str, step: str, value: str, ttl_ms: int | None = None) -> None:
+    """(run, step, delta): difference to the run's last defined value."""
+    run_keyed(keyed(stream, run, step, {"value": F.col(value).cast("double")}, Deltas(ttl_ms), "step bigint, delta double", ttl_ms is not None), out, ttl_ms is not None)
 
-    _each_batch(stream, out, batch)
 
+def counter_stream(stream: DataFrame, out: str, run: str, step: str, counters: list[str], ttl_ms: int | None = None) -> None:
+    """(run, step, counters): what each cumulative counter gained since the run's row before, across restarts from zero."""
+    output = "step bigint, " + ", ".join(f"{c} double" for c in counters)
+    run_keyed(keyed(stream, run, step, {c: F.col(c).cast("double") for c in counters}, Counters(counters, ttl_ms), output, ttl_ms is not None), out, ttl_ms is not None)
 
-def stream_rows(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+def _put(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
 
 
 BOARD_SALTS = 16

@@ -294,18 +294,3 @@ def test_a_step_logged_twice_in_one_batch(spark, tmp_path):
     small_table(spark, [("1", 5, 0.9, 1), ("1", 5, 0.2, 2), ("1", 6, 0.5, 3)], "run string, step long, v double, at long").repartition(3).write.parquet(folder)
     jobs.board_stream(jobs.read_log_stream(spark, folder, "run string, step long, v double, at long"), out, "run", "step", "v", 2, "at")
     assert [(r["step"], r["score"]) for r in jobs.merged_board(spark, out, 2).orderBy("rank").collect()] == [(6, 0.5), (5, 0.2)]
-
-
-def test_states_survive_snapshots(spark, tmp_path, monkeypatch):
-    """A run that comes in the first batch only keeps its state; old batches go."""
-    import os
-
-    monkeypatch.setattr(jobs, "SNAPSHOT", 2)
-    folder, out = str(tmp_path / "log"), str(tmp_path / "out")
-    for i in range(7):
-        part = [("r", i + 1, float(i % 4))] + ([("old", 1, 0.5)] if i == 0 else [])
-        small_table(spark, part, "run string, step long, v double").write.mode("append").parquet(folder)
-        jobs.track_best(jobs.read_log_stream(spark, folder, "run string, step long, v double"), out, "run", "step", "v", patience=9)
-    got = {r["run"]: (r["best"], r["best_step"], r["last_step"]) for r in jobs.latest_state(spark, out).collect()}
-    assert got == {"r": (3.0, 4, 7), "old": (0.5, 1, 1)}
-    assert len([d for d in os.listdir(f"{out}/state") if d.startswith("batch=")]) <= 5
