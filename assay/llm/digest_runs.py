@@ -91,8 +91,8 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: l
     values = {"digest": F.unhex(F.sha2(F.col(norm).cast("binary"), 256)), "size": F.octet_length(norm).cast("long"), "check": F.xxhash64(norm)}
     rows, name = numbered(ready, values, carry, fresh_name(ready, "exact"))
     answers = staged(merged_runs(rows, name, doc_id).select("digest", "least", "rows"), "digests")
-    found = brought(rows, name, "digest", answers)
-    of, answer = F.col(name), F.col("_answer")
+    found, answer = brought(rows, name, "digest", answers)
+    of, answer = F.col(name), F.col(answer)
     made = F.struct(
         answer["least"]["id"].alias("keep_id"),
         answer["rows"].alias("group_size"),

@@ -25,16 +25,17 @@ def order_of(doc_id: Column, row: Column) -> Column:
     return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), row.alias("row"))
 
 
-def brought(rows: DataFrame, name: str, key: str, answers: DataFrame) -> DataFrame:
-    """rows with the columns of answers for their key, whatever share of the rows has one key.
+def brought(rows: DataFrame, name: str, key: str, answers: DataFrame) -> tuple[DataFrame, str]:
+    """rows with the columns of answers for their key in a struct, whatever share of the rows has one key; and its name.
 
     answers has one row per key, in a column of that name. A key is first answered once per run, then rows
     meet the answer of their run and key: a hot key is spread over all runs.
     """
+    run_, key_, answer = (fresh_name(rows, n) for n in ("_run", "_key", "_answer"))
     leaf = rows.select(F.col(name)["run"].alias("run"), F.col(name)[key].alias(key)).distinct()
     known = leaf.join(answers, key)
-    known = known.select(F.col("run").alias("_run"), F.col(key).alias("_key"), F.struct(*[c for c in answers.columns if c != key]).alias("_answer"))
-    return rows.join(known, (F.col(name)["run"] == F.col("_run")) & (F.col(name)[key] == F.col("_key"))).drop("_run", "_key")
+    known = known.select(F.col("run").alias(run_), F.col(key).alias(key_), F.struct(*[c for c in answers.columns if c != key]).alias(answer))
+    return rows.join(known, (F.col(name)["run"] == F.col(run_)) & (F.col(name)[key] == F.col(key_))).drop(run_, key_), answer
 
 
 def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,6 +34,8 @@ SHARDS = 2
 #: Bytes of text in a chunk, about; one longer text makes a longer chunk.
 CHUNK = 16 << 20
 UNKNOWN = "und"
+#: Parts of a language that are ranked apart before they are ranked together.
+PARTS = 16
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _SEPARATORS + b"\t", bytes(range(97, 123)) + b"." * len(_SEPARATORS) + b" ")
@@ -288,6 +290,9 @@ def collocations(docs: DataFrame, least: int = 10, cover: int = 50, top: int = 2
     three = three.join(word("a"), "a").join(word("b"), "b").join(word("c"), "c")
     three = three.select("lang", F.concat_ws(" ", "wa", "wb", "wc").alias("phrase"), F.col("f").alias("a"), "fa", "fab", "fbc", "fc")
     three = three.select("lang", "phrase", "a", F.least(_cut(F.col("fa"), F.col("fbc"), 1), _cut(F.col("fab"), F.col("fc"), 2)).alias("cut"))
-    best = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = F.col("cut.score").desc(), F.col("a").desc(), "phrase"
+    # the first of each of some parts of a language, then of the language: one task sees top * PARTS rows of it at most
+    found = two.unionByName(three).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")

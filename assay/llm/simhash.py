@@ -298,8 +298,8 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: l
         rooted = staged(rooted, "rooted")
         best = rooted.groupBy("root").agg(F.min("least").alias("least"))
         answers = staged(rooted.select("bits", "root").join(best, "root").select("bits", "least"), "components")
-    found = brought(rows, name, "bits", answers)
-    answer = F.col("_answer")["least"]
+    found, answer = brought(rows, name, "bits", answers)
+    answer = F.col(answer)["least"]
     made = F.struct(
         F.lower(F.lpad(F.hex(of["bits"]), 16, "0")).alias("fingerprint"),
         answer["id"].alias("component_id"),

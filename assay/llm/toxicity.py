@@ -23,9 +23,8 @@ from assay.session import staged
 
 #: Labelled rows that features and classifier are fitted on, at most: those with the smallest hash.
 LABELLED = 1 << 16
-#: Learned features, at most, and the evidence each needs: log-likelihood ratio, share of toxic texts
-#: were both kinds equally many, toxic texts. From SURE on one such word is a vote, below it two are.
-FEATURES = 4096
+#: Evidence that a learned feature needs: log-likelihood ratio, share of toxic texts were both kinds
+#: equally many, toxic texts. From SURE on one such word is a vote, below it two are.
 EVIDENCE = 24.0
 SHARE = 0.75
 SURE = 0.9
@@ -55,12 +54,23 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{n}:{word[:n]}" for n in STEMS if len(word) > n)]
 
 
+#: Odd multipliers of the hashes of three words; fixed values.
+_MIXES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
 def signature(words: list[str]) -> int:
-    """Smallest hash of three words in a row: near copies mostly share it."""
-    if not words:
-        return 0
+    """Smallest hashes of three words in a row, in four orders: texts that are nearly the same mostly share all of them.
+
+    One shared passage makes them agree in some orders at most, unless it is most of both texts.
+    """
     digest = xxhash.xxh64_intdigest
-    return min(digest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))) - (1 << 63)
+    own = np.array([digest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
+    return digest((own[:, None] * _MIXES).min(axis=0).tobytes()) - (1 << 63)
+
+
+def id_key(column: str, kind: str):
+    """Whole numbers as they are, ids of any other type by a hash of their text."""
+    return F.col(column).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column).cast("string")))
 
 
 class Features:
@@ -201,16 +211,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """The classifier for docs, from labels (id, 0 or 1) that may be learned from.
 
     Labels with a null id or value are not used; of ids labelled both ways the label is toxic. Without
-    labelled rows the word lists and patterns alone make the classifier.
+    labelled rows the word lists and patterns alone make the classifier. Of labelled near copies one counts as
+    evidence for features, while the classifier learns from them all.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
+    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(id_key(doc_id, dict(labels.dtypes)[doc_id]).alias("id")).agg(F.max(label).alias("y"))
     rows = known.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     order = np.argsort(rows.column("id").to_numpy())
     ids, ys = rows.column("id").to_numpy()[order], rows.column("y").to_numpy()[order].astype(np.int64)
     picked = spark.sparkContext.broadcast((ids, ys))
-    bare = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    bare = docs.select(id_key(doc_id, dict(docs.dtypes)[doc_id]).alias("id"), F.col(text).alias("text"))
 
     def labelled(batch, ids, ys):
         own = batch.column("id").fill_null(-1).to_numpy()
@@ -265,21 +276,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         ratio = 2 * (part(a, F.lit(na), a / na) + part(b, F.lit(nb), b / nb) - part(a, F.lit(na), p) - part(b, F.lit(nb), p))
         share = (a / na) / (a / na + b / nb)
         best = counts.where(a >= LEAST_TOXIC).select("feature", ratio.alias("ratio"), share.alias("share")).where((F.col("ratio") >= EVIDENCE) & (F.col("share") >= SHARE))
-        learned = [(r.feature, r.share) for r in best.orderBy(F.desc("ratio"), "feature").limit(FEATURES).collect()]
+        learned = [(r.feature, r.share) for r in best.orderBy(F.desc("ratio"), "feature").collect()]
     features = Features(learned)
     shared = spark.sparkContext.broadcast(features)
 
     def vote(batches):
         own = shared.value
-        (all_ids, all_ys), (ids, ys) = picked.value, chosen.value
+        ids, ys = picked.value
         held: Counter = Counter()
         for batch in slices(batches, "text"):
-            y, single = labelled(batch, all_ids, all_ys), labelled(batch, ids, ys)
-            for t, v, one in zip(batch.column("text").to_pylist(), y, single):
+            for t, v in zip(batch.column("text").to_pylist(), labelled(batch, ids, ys)):
                 t = t or ""
                 found = own.of(t.lower())
                 votes = bytes(own.votes(t, found, v))
-                held[votes, None if one is None else tuple(sorted(found))] += 1
+                held[votes, None if v is None else tuple(sorted(found))] += 1
         keys = list(held)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.list_(pa.int64())), pa.array([held[k] for k in keys], pa.int64())], names=["votes", "features", "n"])
 

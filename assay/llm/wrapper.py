@@ -45,36 +45,36 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def _names(reference: str) -> list[str]:
-    """A name for each node of a tree: labels from the root, numbered among equal siblings."""
+def _names(reference: str) -> list[int]:
+    """A name for each node of a tree: a hash of its parent's name and its label, numbered among equal siblings."""
     labels, children = children_of(reference)
-    names = [""] * len(labels)
+    names = [0] * len(labels)
     for i, own in enumerate(children):
         seen: Counter = Counter()
         for c in own:
-            names[c] = f"{names[i]}/{labels[c]}[{seen[labels[c]]}]"
+            names[c] = _hash(f"{names[i]}/{labels[c]}[{seen[labels[c]]}]")
             seen[labels[c]] += 1
     return names
 
 
-def place_names(skeleton: str, tree: str) -> list[str]:
+def place_names(skeleton: str, tree: str) -> list[int]:
     """Names of the nodes of a page in the tree of its host."""
     match, names = aligned(skeleton, tree), _names(tree)
-    out: list[str] = []
+    out: list[int] = []
     seen: Counter = Counter()
     for i, line in enumerate(["", *(skeleton.split("\n") if skeleton else [])]):
         if i in match:
             out.append(names[match[i]])
         else:  # not in the common tree: named after its parent, apart from the names there
             parent, label = line.split("\t", 1)
-            name = f"{out[int(parent)]}+{label}"
-            out.append(f"{name}[{seen[name]}]")
-            seen[name] += 1
+            key = (out[int(parent)], label)
+            out.append(_hash(f"{key[0]}+{label}[{seen[key]}]"))
+            seen[key] += 1
     return out
 
 
 class Places:
-    """place_names of the trees seen last, as hashes."""
+    """place_names of the trees seen last."""
 
     def __init__(self):
         self.known: dict[tuple[str, str], list[int]] = {}
@@ -84,7 +84,7 @@ class Places:
         if key not in self.known:
             if len(self.known) > 5000:
                 self.known.clear()
-            self.known[key] = [_hash(name) for name in place_names(*key)]
+            self.known[key] = place_names(*key)
         return self.known[key]
 
 
@@ -171,10 +171,13 @@ def wrappers(pages: DataFrame, host: str, html: str) -> DataFrame:
 
     def align(batches):
         for batch in batches:
-            rows = [(h, i, [_hash(name) for name in place_names(own, tree)]) for h, i, own, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "tree_id", "skeleton", "tree")))]
+            rows = [(h, i, place_names(own, tree)) for h, i, own, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "tree_id", "skeleton", "tree")))]
             yield _rows("host string, tree_id long, names array<long>", rows)
 
-    named = staged(trees.join(common, "host").select("host", "tree_id", "skeleton", "tree").mapInArrow(align, "host string, tree_id long, names array<long>"), "names")
+    # few bytes and much work: the trees of one host are dealt over all tasks
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = trees.join(common, "host").select("host", "tree_id", "skeleton", "tree").repartition(parts, "host", "tree_id")
+    named = staged(both.mapInArrow(align, "host string, tree_id long, names array<long>"), "names")
 
     def sums(batches):
         total: Counter = Counter()

@@ -28,7 +28,7 @@ def odd(spark):
         (1, "", "a"), (2, None, "b"), (3, " \t\n", None), (4, "one", "d"), (5, f"start {passage} end", "e"), (6, f"Other words {passage}", "f"),
         (7, LONG, "g"), (8, f"{LONG} tail", "h"), (9, f"start {passage} end", "i"), (10, f"start  {passage}\nend", "j"), (None, f"null id {passage}", "k"), (4, "one", "l"),
     ]
-    return spark.createDataFrame([(d, t, x, x, x) for d, t, x in rows], "doc_id long, text string, found string, near string, exact string")
+    return spark.createDataFrame([(d, t, *[x] * 8) for d, t, x in rows], "doc_id long, text string, found string, near string, exact string, _run string, _key string, _answer string, place string, digest string")
 
 
 @pytest.fixture

@@ -112,5 +112,5 @@ def test_hot_key_is_answered_per_run(spark):
     docs = spark.range(300).withColumn("k", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1)).repartition(6)
     rows, name = groups.numbered(docs, {"k": F.col("k")}, ["id"], "own")
     answers = docs.groupBy("k").agg(F.count("*").alias("n"))
-    got = groups.brought(rows, name, "k", answers)
-    assert got.count() == 300 and got.where("_answer.n = 200").count() == 200
+    got, answer = groups.brought(rows, name, "k", answers)
+    assert got.count() == 300 and got.where(f"{answer}.n = 200").count() == 200

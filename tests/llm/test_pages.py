@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -106,3 +108,95 @@ def test_tree_matching():
     labels = lambda s: ["", *(line.split("\t")[1] for line in s.split("\n"))]
     assert {(labels(one)[a], labels(two)[b]) for a, b in match.items()} == {("", ""), ("div", "div"), ("section", "section"), ("p", "p")}
     assert aligned(one, one) == {i: i for i in range(6)}
+
+
+def plain_matching(a, b):
+    """Size of the largest matching of two trees (label, children), by definition."""
+    if a[0] != b[0]:
+        return 0
+    rows = [[0] * (len(b[1]) + 1)]
+    for x in a[1]:
+        row = [0]
+        for k, y in enumerate(b[1]):
+            row.append(max(rows[-1][k + 1], row[k], rows[-1][k] + plain_matching(x, y)))
+        rows.append(row)
+    return rows[-1][-1] + 1
+
+
+def test_alignment_is_a_largest_matching():
+    rng = random.Random(2)
+
+    def made(depth):
+        return rng.choice("ab"), [made(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+
+    def lines(tree):
+        out = []
+
+        def walk(node, parent):
+            out.append(f"{parent}\t{node[0]}")
+            own = len(out)
+            for c in node[1]:
+                walk(c, own)
+        for c in tree[1]:
+            walk(c, 0)
+        return "\n".join(out)
+
+    for _ in range(400):
+        a, b = ("", [made(3) for _ in range(3)]), ("", [made(3) for _ in range(3)])
+        one, two = lines(a), lines(b)
+        match = aligned(one, two)
+        assert len(match) == plain_matching(a, b)
+        parent = lambda s: [(-1, "")] + [(int(p), label) for p, label in (line.split("\t") for line in s.split("\n"))]
+        pa_, pb = parent(one), parent(two)
+        assert all(pa_[i][1] == pb[j][1] and (i == 0 or match[pa_[i][0]] == pb[j][0]) for i, j in match.items())
+        order = [j for _, j in sorted(match.items())]
+        assert order == sorted(order)
+
+
+def test_thousands_of_siblings_and_levels(spark):
+    """Cards, all alike or all with names of their own, and deep nesting take seconds."""
+    start = time.time()
+    for card in ("<div><div>a {1}-{0}</div></div>", "<div class='c{0}'>a {1}-{0}</div>"):
+        pages = [f"<body><div><p>Site</p></div>{''.join(card.format(i + k, k) for i in range(n))}</body>" for k, n in ((0, 20_000), (3, 20_001), (9, 20_000))]
+        assert [t.count("\n\n") for t in extract(spark, pages)] == [19_999, 20_000, 19_999]
+    deep = ["<div>" * 3000 + f"x{i}" for i in range(3)]
+    assert extract(spark, deep) == ["x0", "x1", "x2"]
+    assert time.time() - start < 90
+
+
+PROBE = "<body><{0}><div class='post-header'><h1>Title {1}</h1></div><div class='cookie-notice'>We use cookies</div><div class='entry'><p>Body {1} of the text</p></div>" \
+    "<div class='search-results'><p>Found {1}</p></div><div class='content related-content'><p>More {1}</p></div><div class='no-sidebar'>Wide {1}</div>" \
+    "<div class='sidebar'>Side {1}</div><div class='ad-slot'>Buy {1}</div><div class='comment-body'>Reader {1}</div><div class='post-comments'>They {1}</div></{0}></body>"
+
+
+@pytest.mark.parametrize("tag", ["main", "div", "article"])
+@pytest.mark.parametrize("n", [5, 12])
+def test_names_that_tell(spark, tag, n):
+    """Parts of names for content keep their text; notices, sidebars, adverts and comments go, whatever they stand in."""
+    got = extract(spark, [PROBE.format(tag, i) for i in range(n)])
+    assert got == [f"Title {i}\n\nBody {i} of the text\n\nFound {i}\n\nMore {i}\n\nWide {i}" for i in range(n)]
+
+
+def test_main_is_a_container(spark):
+    page = "<body><main><div><p>Site name</p></div><header><h1>Title {0}</h1></header><div><p>Body {0}</p></div><div><p>All rights</p></div></main></body>"
+    assert extract(spark, [page.format(i) for i in range(5)]) == [f"Title {i}\n\nBody {i}" for i in range(5)]
+
+
+def test_against_a_plain_wrapper(spark):
+    """Pages without telling tags or names: what stands at one place of all pages with the same words goes, the rest stays, whole texts compared."""
+    rng = random.Random(8)
+    layout = [("div", "site"), ("section", None), ("ul", "links"), ("div", None), ("table", "foot")]
+    sources, want, removed = [], [], 0
+    for i in range(9):
+        parts, kept = [], []
+        for tag, fixed in layout:
+            if fixed:
+                text, removed = f"Fixed {fixed} words", removed + 1
+            else:
+                text = f"Own {i} {rng.randint(0, 10 ** 6)} {tag}"
+                kept.append(text)
+            inner = {"ul": f"<li>{text}</li>", "table": f"<tr><td>{text}</td></tr>"}.get(tag, f"<p>{text}</p>")
+            parts.append(f"<{tag}>{inner}</{tag}>")
+        sources.append(f"<body>{''.join(parts)}</body>")
+        want.append("\n\n".join(kept))
+    assert extract(spark, sources) == want and removed == 27
