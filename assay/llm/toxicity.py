@@ -54,18 +54,16 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{n}:{word[:n]}" for n in STEMS if len(word) > n)]
 
 
-#: Odd multipliers of the hashes of three words; fixed values.
-_MIXES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-
-
 def signature(words: list[str]) -> int:
-    """Smallest hashes of three words in a row, in four orders: texts that are nearly the same mostly share all of them.
-
-    One shared passage makes them agree in some orders at most, unless it is most of both texts.
-    """
+    """Smallest hash of three words in a row: near copies mostly share it."""
+    if not words:
+        return 0
     digest = xxhash.xxh64_intdigest
-    own = np.array([digest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
-    return digest((own[:, None] * _MIXES).min(axis=0).tobytes()) - (1 << 63)
+    return min(digest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))) - (1 << 63)
+
+
+#: A labelled row weighs this much as evidence, divided by the rows of its label that share its signature.
+WHOLE = 1 << 20
 
 
 def id_key(column: str, kind: str):
@@ -211,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """The classifier for docs, from labels (id, 0 or 1) that may be learned from.
 
     Labels with a null id or value are not used; of ids labelled both ways the label is toxic. Without
-    labelled rows the word lists and patterns alone make the classifier. Of labelled near copies one counts as
-    evidence for features, while the classifier learns from them all.
+    labelled rows the word lists and patterns alone make the classifier. Labelled near copies share
+    the weight of one row as evidence for features, while the classifier learns from each of them.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -237,10 +235,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             i, s, v = zip(*of) if of else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (i, s, v)], names=["id", "sig", "y"])
 
-    # of near copies one row counts, or the words of a text that is often copied would look like evidence
-    once = bare.mapInArrow(sign, "id long, sig long, y long").groupBy("sig", "y").agg(F.min("id").alias("id")).select("id", "y").toArrow()
-    order = np.argsort(once.column("id").to_numpy())
-    single = (once.column("id").to_numpy()[order], once.column("y").to_numpy()[order])
+    # near copies share the weight of one row, or the words of a text that is often copied would look like evidence
+    signed = bare.mapInArrow(sign, "id long, sig long, y long").groupBy("id", "y").agg(F.min("sig").alias("sig")).toArrow()
+    order = np.argsort(signed.column("id").to_numpy())
+    known_ids, known_ys, sigs = (signed.column(c).to_numpy()[order] for c in ("id", "y", "sig"))
+    _, group, sizes = np.unique(np.stack([sigs, known_ys]), axis=1, return_inverse=True, return_counts=True)
+    weights = np.rint(WHOLE / sizes[group.ravel()]).astype(np.int64) if len(order) else np.zeros(0, np.int64)
+    # the label of a row is its weight here, negative where it is not toxic
+    single = (known_ids, np.where(known_ys == 1, weights, -weights))
     chosen = spark.sparkContext.broadcast(single)
 
     def count(batches):
@@ -257,15 +259,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in slices(batches, "text"):
             for t, v in zip(batch.column("text").to_pylist(), labelled(batch, ids, ys)):
                 if v is not None and t:
-                    found[v].update({f for w in set(WORDS(t.lower())) for f in features_of(w)})
+                    own, weight = found[v > 0], abs(v)
+                    for f in {f for w in set(WORDS(t.lower())) for f in features_of(w)}:
+                        own[f] += weight
             if len(found[0]) + len(found[1]) > CACHED:
                 yield rows()
         yield rows()
 
-    na, nb = int((single[1] == 1).sum()), int((single[1] == 0).sum())
+    na, nb = (float(single[1][single[1] * sign_ > 0].sum() * sign_ / WHOLE) for sign_ in (1, -1))
     learned: list[tuple[str, float]] = []
     if na and nb:
-        counts = bare.mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        counts = bare.mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg((F.sum("a") / WHOLE).alias("a"), (F.sum("b") / WHOLE).alias("b"))
         p = (F.col("a") + F.col("b")) / (na + nb)
 
         def part(k, n, q):
@@ -275,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         a, b = F.col("a"), F.col("b")
         ratio = 2 * (part(a, F.lit(na), a / na) + part(b, F.lit(nb), b / nb) - part(a, F.lit(na), p) - part(b, F.lit(nb), p))
         share = (a / na) / (a / na + b / nb)
-        best = counts.where(a >= LEAST_TOXIC).select("feature", ratio.alias("ratio"), share.alias("share")).where((F.col("ratio") >= EVIDENCE) & (F.col("share") >= SHARE))
+        best = counts.where(a >= LEAST_TOXIC - 1e-3).select("feature", ratio.alias("ratio"), share.alias("share")).where((F.col("ratio") >= EVIDENCE) & (F.col("share") >= SHARE))
         learned = [(r.feature, r.share) for r in best.orderBy(F.desc("ratio"), "feature").collect()]
     features = Features(learned)
     shared = spark.sparkContext.broadcast(features)
