@@ -6,6 +6,7 @@ rand(seed) depends on how rows are partitioned and on task retries; these do not
 from __future__ import annotations
 
 from decimal import Decimal, localcontext
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
@@ -38,7 +39,7 @@ def md5_uniform_sql(seed, *cols) -> str:
 
 
 def unit_key(unit: Column) -> tuple[Column, Column]:
-    """Two 28-bit integers from the md5 of a unit's text: any type is a unit, and NULL is one."""
+    """Two 28-bit integers from the md5 of a unit's text: any type is a unit. NULL is one, the same as the empty text."""
     digest = F.md5(F.coalesce(unit.cast("string"), F.lit("")))
     return tuple(F.conv(F.substring(digest, at, 7), 16, 10).cast("bigint") for at in (1, 8))
 
@@ -97,6 +98,7 @@ def mix_sql(high: str, low: str, rep: str, name: str) -> str:
     return ", ".join([*items, f"mf * {MIX_MODULUS} + mg as {name}"])
 
 
+@lru_cache(None)
 def poisson_cuts() -> list[int]:
     """Mixer values at which a Poisson(1) weight steps from k to k + 1, as far as its 62 bits tell them apart."""
     with localcontext() as context:
@@ -117,8 +119,33 @@ def poisson_weight(mixed: Column) -> Column:
     return sum(((mixed >= F.lit(cut)).cast("int") for cut in poisson_cuts()), F.lit(0))
 
 
+@lru_cache(None)
+def _cells() -> tuple[np.ndarray, np.ndarray]:
+    """Weight at the start of each of 2**16 equal cells of the mixer's range, and whether a cut lies inside the cell."""
+    cuts, edges = np.array(poisson_cuts()), np.arange((1 << 16) + 1) << 46
+    weights = np.searchsorted(cuts, edges, side="right")
+    return weights[:-1].astype(np.int8), np.searchsorted(cuts, edges[1:] - 1, side="right") != weights[:-1]
+
+
+#: Rows that are mixed together, so that the steps stay in the processor's cache.
+_ROWS = 1024
+
+
 def poisson_weight_array(high: np.ndarray, low: np.ndarray, rep: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.asarray(poisson_cuts()), mix_array(high, low, rep), side="right").astype(np.int64)
+    """Weights; the arguments broadcast, as columns of rows and a row of replicates do."""
+    weights, open_ = _cells()
+    cuts = np.array(poisson_cuts())
+    shape = np.broadcast_shapes(high.shape, low.shape, rep.shape)
+    out = np.empty(shape, np.int8)
+    for at in range(0, shape[0], _ROWS):
+        mixed = mix_array(*(x[at : at + _ROWS] if x.ndim == len(shape) and len(x) == shape[0] else x for x in (high, low, rep)))
+        cell = mixed >> 46
+        own = weights[cell]
+        # only in a cell that holds a cut the whole number decides
+        near = open_[cell]
+        own[near] = np.searchsorted(cuts, mixed[near], side="right")
+        out[at : at + _ROWS] = own
+    return out
 
 
 def poisson_weight_sql(mixed: str) -> str:

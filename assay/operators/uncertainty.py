@@ -13,7 +13,7 @@ from assay.operators.metrics import ranking_metrics
 from assay.operators.splits import exact_draws
 
 CHUNK_ROWS = 32_768
-BLOCK_CELLS = 2_000_000  # rows x replicates held at once
+BLOCK_CELLS = 1 << 18  # rows x replicates held at once: a few megabytes stay in the processor's cache
 
 
 def _chunked(df: DataFrame, keys: list[str], score: str, unit: str, rows: int) -> tuple[DataFrame, bool]:
@@ -56,16 +56,24 @@ def bootstrap_auroc(df: DataFrame, keys: list[str], unit: str, reps: int, score:
         if pdf.empty:
             return pd.DataFrame(columns=[*group, "rep", "_p", "_n", "_pairs"])
         s, truth, highs, lows = (pdf[c].to_numpy() for c in ("_s", "_y", "_uh", "_ul"))
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        first = np.r_[True, s[1:] != s[:-1]]
+        # a row is a positive, a negative, or by a share of its label both
+        pos, neg = np.flatnonzero(truth != 0), np.flatnonzero(truth != 1)
+        own, rest = (None if np.isin(truth, (0, 1)).all() else x[:, None] for x in (truth[pos], 1 - truth[neg]))
+        # negatives before the rows that share a positive's score, and before those after them
+        place = np.cumsum(first) - 1
+        starts = np.append(np.flatnonzero(first), len(s))
+        low, high = (np.searchsorted(neg, starts[place[pos] + k]) for k in (0, 1))
         parts = []
         block = max(1, BLOCK_CELLS // len(pdf))
         for lo in range(0, reps, block):
             rep = np.arange(lo, min(lo + block, reps))
-            w = poisson_weight_array(highs[:, None], lows[:, None], rep[None, :]).astype(float)
-            pos = np.add.reduceat(w * truth[:, None], first, axis=0)
-            neg = np.add.reduceat(w * (1 - truth)[:, None], first, axis=0)
-            pairs = (pos * (np.cumsum(neg, axis=0) - neg / 2)).sum(axis=0)
-            parts.append(pd.DataFrame({"rep": rep, "_p": pos.sum(axis=0), "_n": neg.sum(axis=0), "_pairs": pairs}))
+            w = poisson_weight_array(highs[:, None], lows[:, None], rep[None, :])
+            up, down = (w[pos], w[neg]) if own is None else (w[pos] * own, w[neg] * rest)
+            below = np.zeros((len(neg) + 1, len(rep)), np.int64 if own is None else float)
+            np.cumsum(down, axis=0, out=below[1:])
+            pairs = (up * (below[low] + below[high])).sum(axis=0) / 2
+            parts.append(pd.DataFrame({"rep": rep, "_p": up.sum(axis=0, dtype=float), "_n": below[-1].astype(float), "_pairs": pairs}))
         out = pd.concat(parts, ignore_index=True)
         for k in group:
             out[k] = pdf[k].iloc[0]
