@@ -30,6 +30,11 @@ def md5_uniform(seed, *cols) -> Column:
     return F.conv(F.substring(md5_key(seed, *cols), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def md5_bits(key: Column) -> Column:
+    """The first 32 bits of an md5 text as a number."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
+
+
 def md5_key_sql(seed, *cols) -> str:
     return "md5(concat_ws(':', '%s', %s))" % (seed, ", ".join(f"cast({c} as varchar)" for c in cols))
 

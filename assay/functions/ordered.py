@@ -9,7 +9,8 @@ inside each range and completed by the running value over the range totals. The
 
 Cuts have two levels: one cut in ``FAN`` is coarse, and a row meets the coarse cuts of its group and
 the fine ones of its coarse range, so no array and no window over ranges grows beyond a few
-thousand entries. The cuts are written first; where none was drawn, all groups are one range.
+thousand entries. The cuts are written first; where none was drawn, all groups are one range. So is the group
+with a NULL key: its result is exact, but it is one task.
 """
 
 from __future__ import annotations
@@ -83,20 +84,22 @@ def place(df: DataFrame, cuts: DataFrame, keys: list[str], value: str, name: str
     return rows.withColumn(name, number).drop("_list", "_high", "_low", *([] if keys else ["_all"])), deep
 
 
-def before_ranges(totals: DataFrame, keys: list[str], number: str, before: dict[str, tuple[str, str]], deep: bool) -> DataFrame:
+def before_ranges(totals: DataFrame, keys: list[str], number: str, before: dict[str, tuple[str, str]], deep: bool, back: bool = False) -> DataFrame:
     """(keys, number, and per new column the aggregate over earlier ranges), from one row per range.
 
     With coarse ranges, their totals are ordered on their own, so that a window holds the ranges of one of them.
+    ``back`` aggregates over later ranges instead.
     """
     high = F.shiftright(F.col(number), _SHIFT)
+    by = (lambda c: F.col(c).desc()) if back else F.col
     if not deep:
-        w = Window.partitionBy(*keys).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(*keys).orderBy(by(number)).rowsBetween(Window.unboundedPreceding, -1)
         return totals.select(*keys, number, *[_over(kind, col, w).alias(new) for new, (kind, col) in before.items()])
     totals = settled(totals.withColumn("_high", high), "totals")
     tops = totals.groupBy(*keys, "_high").agg(*[_total(kind, col, number).alias(f"_s_{new}") for new, (kind, col) in before.items()])
-    w = Window.partitionBy(*keys).orderBy("_high").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(by("_high")).rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select(*keys, "_high", *[_over(kind, f"_s_{new}", w).alias(f"_s_{new}") for new, (kind, _) in before.items()])
-    w = Window.partitionBy(*keys, "_high").orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys, "_high").orderBy(by(number)).rowsBetween(Window.unboundedPreceding, -1)
     inner = totals.select(*keys, "_high", number, *[_over(kind, col, w).alias(new) for new, (kind, col) in before.items()])
     both = inner.join(tops, [*keys, "_high"])
     return both.select(*keys, number, *[_merge(kind, F.col(f"_s_{new}"), F.col(new)).alias(new) for new, (kind, _) in before.items()])
@@ -157,6 +160,42 @@ def running(
     return out.select(*df.columns, *[_merge(kind, F.col(f"_o_{name}"), _over(kind, col, inside)).alias(name) for name, (kind, col) in before.items()])
 
 
+def two_sided(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    before: dict[str, tuple[str, str]],
+    after: dict[str, tuple[str, str]],
+    rows_per_range: int | None = None,
+    stored: bool = False,
+) -> DataFrame:
+    """running, with aggregates over the rows that come strictly after a row as well (sum, max or min).
+
+    Both sides share the cuts and the one shuffle into ranges; a range is sorted once each way.
+    """
+    if any(kind == "last" for kind, _ in after.values()):
+        raise ValueError("rows after a row have no last value: use min or max")
+    source = df if stored else settled(df, "rows")
+    cuts = settled(drawn_cuts(source, keys, order, rows_per_range or ROWS_PER_RANGE), "drawn")
+    ranged, deep = place(source, cuts, keys, order)
+    part = Window.partitionBy(*keys, "_range")
+    # A frame that ends at the last row would be aggregated anew for every row: the other order makes it a running one.
+    sides = ((before, False, part.orderBy(order)), (after, True, part.orderBy(F.col(order).desc())))
+    out, values = ranged, []
+    if not cuts.isEmpty():
+        sums = [_total(kind, col, order).alias(f"_t_{name}") for aggs, _, _ in sides for name, (kind, col) in aggs.items()]
+        totals = settled(ranged.groupBy(*keys, "_range").agg(*sums), "totals")
+        for aggs, back, _ in sides:
+            offsets = before_ranges(totals, keys, "_range", {f"_o_{name}": (kind, f"_t_{name}") for name, (kind, _) in aggs.items()}, deep, back)
+            out = out.join(settled(offsets, "offsets"), keys + ["_range"], "left")
+    for aggs, _, window in sides:
+        frame = window.rowsBetween(Window.unboundedPreceding, -1)
+        for name, (kind, col) in aggs.items():
+            elsewhere = F.lit(None) if cuts.isEmpty() else F.col(f"_o_{name}")
+            values.append(_merge(kind, elsewhere, _over(kind, col, frame)).alias(name))
+    return out.select(*df.columns, *values)
+
+
 def row_index(df: DataFrame, keys: list[str], order: str, name: str = "row_index", rows_per_range: int | None = None, stored: bool = False) -> DataFrame:
     """Add the 0-based position of each row in its group."""
     return running(df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {name: ("sum", "_one")}, rows_per_range, stored).drop("_one")

@@ -21,6 +21,8 @@ CLIP = 1e-6
 TIE = 1e-9
 SPACES = ("prob", "logit", "rank")
 LATTICE_LIMIT = 200_000
+#: Bins of a histogram that bounds an AUROC; more make fewer vectors worth ordering.
+BINS = 1_024
 
 
 def logit(p: Column, clip: float = CLIP) -> Column:
@@ -179,34 +181,75 @@ def fold_auroc(df: DataFrame, keys: list[str], score: str, y: str, fold: str, fo
     One histogram and one order serve all folds: per distinct score there are counts per fold.
     Undefined scores (NULL, NaN) are left out, as in ranking_metrics. ``weight`` holds row counts.
     """
-    w = F.col(weight) if weight else F.lit(1)
-    each = [F.when(F.col(fold) == f, w).otherwise(0).cast("double") for f in range(folds)]
-    counts = df.groupBy(*keys, score).agg(
-        *[F.sum(e * F.col(y)).alias(f"_p{f}") for f, e in enumerate(each)], *[F.sum(e * (1 - F.col(y))).alias(f"_n{f}") for f, e in enumerate(each)]
-    ).filter(F.col(score).isNotNull() & ~F.isnan(score))
+    counts = df.groupBy(*keys, score).agg(*_fold_counts(weight, y, fold, folds)).filter(F.col(score).isNotNull() & ~F.isnan(score))
     seen = running(settled(counts, "scores"), keys, score, {f"_b{f}": ("sum", f"_n{f}") for f in range(folds)}, stored=True, **kw)
-
-    def others(prefix, f):
-        return sum((F.col(f"{prefix}{g}") for g in range(folds) if g != f), F.lit(0.0))
-
     aggs = []
     for f in range(folds):
-        p, n, below = others("_p", f), others("_n", f), others("_b", f)
+        p, n, below = (_others(c, f, folds) for c in ("_p", "_n", "_b"))
         ps, ns = F.sum(p), F.sum(n)
         aggs.append(F.when((ps > 0) & (ns > 0), F.sum(p * (below + n / 2)) / (ps * ns)).alias(f"_a{f}"))
     wide = seen.groupBy(*keys).agg(*aggs)
     return wide.select(*keys, F.inline(F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"_a{f}").alias("auroc")) for f in range(folds)])))
 
 
+def _fold_counts(weight: str | None, y: str, fold: str, folds: int) -> list[Column]:
+    w = F.col(weight) if weight else F.lit(1)
+    each = [F.when(F.col(fold) == f, w).otherwise(0).cast("double") for f in range(folds)]
+    return [*[F.sum(e * F.col(y)).alias(f"_p{f}") for f, e in enumerate(each)], *[F.sum(e * (1 - F.col(y))).alias(f"_n{f}") for f, e in enumerate(each)]]
+
+
+def _others(prefix: str, fold: int, folds: int) -> Column:
+    return sum((F.col(f"{prefix}{g}") for g in range(folds) if g != fold), F.lit(0.0))
+
+
+def score_span(wide: DataFrame, members: list[str]) -> tuple[float, float]:
+    """Least and greatest defined member score: every blend with weights that sum to 1 lies between them."""
+    defined = [F.when(F.abs(F.col(m)) < float("inf"), F.col(m).cast("double")) for m in members]  # neither NaN nor infinite
+    ends = [v for v in wide.agg(*[F.min(d) for d in defined], *[F.max(d) for d in defined]).first() if v is not None]
+    return (min(ends), max(ends)) if ends else (0.0, 0.0)
+
+
+def fold_bounds(df: DataFrame, keys: list[str], score: str, y: str, fold: str, folds: int, span: tuple[float, float], weight: str | None = None) -> DataFrame:
+    """(keys, fold, least, most): bounds of fold_auroc from BINS equal bins of the score.
+
+    Pairs in different bins are ordered as their scores are; a pair inside one bin may count for nothing or
+    whole. Counts combine map-side, so a task sends at most BINS rows per group, and no score is sorted.
+    """
+    low, high = span
+    scale = min(BINS / (high - low), 1e300) if high > low else 1.0  # infinite scores fall into the outer bins
+    bin_no = F.floor(F.least(F.greatest((F.col(score) - low) * scale, F.lit(0.0)), F.lit(BINS - 1.0))).cast("int")
+    defined = df.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    counts = defined.groupBy(*keys, bin_no.alias("_bin")).agg(*_fold_counts(weight, y, fold, folds))
+    w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows
+    seen = counts.select("*", *[F.coalesce(F.sum(f"_n{f}").over(w), F.lit(0.0)).alias(f"_b{f}") for f in range(folds)])
+    aggs = []
+    for f in range(folds):
+        p, n, below = (_others(c, f, folds) for c in ("_p", "_n", "_b"))
+        pairs = F.sum(p) * F.sum(n)
+        aggs += [F.when(pairs > 0, F.sum(p * below) / pairs).alias(f"_l{f}"), F.when(pairs > 0, F.sum(p * (below + n)) / pairs).alias(f"_m{f}")]
+    each = [F.struct(F.lit(f).alias("fold"), F.col(f"_l{f}").alias("least"), F.col(f"_m{f}").alias("most")) for f in range(folds)]
+    return seen.groupBy(*keys).agg(*aggs).select(*keys, F.inline(F.array(*each)))
+
+
 def counted_rows(wide: DataFrame, members: list[str], fold: str, y: str) -> DataFrame:
     """Equal rows of a search as one row with their number: what every weight vector would repeat is done once."""
     return settled(wide.groupBy("task", fold, y, *members).agg(F.count(F.lit(1)).alias("_rows")), "search")
 
 
 def grid_search(wide: DataFrame, members: list[str], units: int, fold: str, folds: int, y: str = "y", **kw) -> DataFrame:
-    """Best lattice vector per (task, fold); within 1e-9 of the best the most even vector wins."""
+    """Best lattice vector per (task, fold); within 1e-9 of the best the most even vector wins.
+
+    Histograms bound every vector's AUROC first. Only vectors that can reach the best lower bound of some fold
+    are scored on ordered scores, so only those are shuffled row by row; the result is that of scoring all.
+    """
     us = [f"u{i}" for i in range(len(members))]
-    scored = each_lattice_vector(counted_rows(wide, members, fold, y), len(members), units).withColumn("_score", lattice_blend(members, units))
+    base = counted_rows(wide, members, fold, y)
+    every = each_lattice_vector(base, len(members), units).withColumn("_score", lattice_blend(members, units))
+    bounds = settled(fold_bounds(every, ["task", *us], "_score", y, fold, folds, score_span(base, members), "_rows"), "bounds")
+    reach = bounds.groupBy("task", "fold").agg(F.max("least").alias("_reach"))
+    worth = bounds.join(reach, ["task", "fold"]).filter(F.col("most") >= F.col("_reach") - 2 * TIE)
+    left = settled(worth.groupBy("task").agg(F.collect_set(F.struct(*us)).alias("_left")), "left")  # at most the lattice
+    scored = base.join(left, "task").select(*base.columns, F.inline("_left")).withColumn("_score", lattice_blend(members, units))
     aucs = fold_auroc(scored, ["task", *us], "_score", y, fold, folds, "_rows", **kw)
     w = Window.partitionBy("task", "fold")  # one row per lattice vector, bounded by LATTICE_LIMIT
     near = aucs.withColumn("_max", F.max("auroc").over(w)).filter(F.col("auroc") >= F.col("_max") - TIE)
@@ -218,10 +261,9 @@ def grid_search(wide: DataFrame, members: list[str], units: int, fold: str, fold
 def greedy_search(wide: DataFrame, members: list[str], rounds: int, fold: str, folds: int, tasks: list[str], y: str = "y", **kw) -> DataFrame:
     """Forward selection per (task, fold): each round adds the member that lifts the AUROC most.
 
-    A round is one Spark job. Folds that hold the same counts share their candidates, and one
-    score table per candidate serves all folds, so a round sorts as many blends as there are
-    different candidate count vectors, not folds x members. The driver keeps only the counts:
-    tasks x folds x members integers.
+    Folds that hold the same counts share their candidates, and one score table per candidate serves all
+    folds. In each round histograms bound the candidates first; scores are ordered only of candidates that can
+    be the best of a fold that has several such, and in the last round. The driver keeps only the counts: tasks x folds x members integers.
     """
     spark, size = wide.sparkSession, len(members)
     counts = {(t, f): (0,) * size for t in tasks for f in range(folds)}
@@ -231,22 +273,41 @@ def greedy_search(wide: DataFrame, members: list[str], rounds: int, fold: str, f
     def plus(c, i):
         return c[:i] + (c[i] + 1,) + c[i + 1:]
 
-    for _ in range(rounds):
-        wanted = {t: sorted({plus(counts[(t, f)], i) for f in range(folds) for i in range(size)}) for t in tasks}
-        options = F.create_map(*[x for t in tasks for x in (F.lit(t), F.array(*[F.array(*[F.lit(u) for u in v]) for v in wanted[t]]))])
-        tries = base.withColumn("vec", F.explode(options[F.col("task")]))
+    span = score_span(base, members)
+
+    def tries(wanted, total):
+        options = F.create_map(*[x for t in tasks for x in (F.lit(t), F.array(*[F.array(*[F.lit(u) for u in v]) for v in wanted[t]]).cast("array<array<int>>"))])
+        rows = base.withColumn("vec", F.explode(options[F.col("task")]))
         score = F.col("vec")[0] * F.col(members[0])
         for i, m in enumerate(members[1:], 1):
             score = score + F.col("vec")[i] * F.col(m)
-        aucs = fold_auroc(tries.withColumn("_score", score), ["task", "vec"], "_score", y, fold, folds, "_rows", **kw)
-        seen = {(r["task"], r["fold"], tuple(r["vec"])): r["auroc"] for r in aucs.collect()}  # one row per candidate and fold
+        return rows.withColumn("_score", score / total) if total else rows.withColumn("_score", score)
+
+    for done in range(rounds):
+        every = {t: sorted({plus(counts[(t, f)], i) for f in range(folds) for i in range(size)}) for t in tasks}
+        bounds = fold_bounds(tries(every, done + 1), ["task", "vec"], "_score", y, fold, folds, span, "_rows")
+        known = {(r["task"], r["fold"], tuple(r["vec"])): r for r in bounds.collect()}  # one row per candidate and fold
+        chances, wanted = {}, {t: set() for t in tasks}
+        for (t, f), c in counts.items():
+            own = [(i, r) for i in range(size) if (r := known.get((t, f, plus(c, i)))) is not None and r["least"] is not None]
+            reach = max((r["least"] for _, r in own), default=0.0)
+            chances[(t, f)] = [i for i, r in own if r["most"] >= reach - 2 * TIE]
+            # A sole candidate is the best whatever it scores; the last round reports its score.
+            if len(chances[(t, f)]) > 1 or done == rounds - 1:
+                wanted[t].update(plus(c, i) for i in chances[(t, f)])
+        seen = {}
+        if any(wanted.values()):
+            aucs = fold_auroc(tries({t: sorted(v) for t, v in wanted.items()}, None), ["task", "vec"], "_score", y, fold, folds, "_rows", **kw)
+            seen = {(r["task"], r["fold"], tuple(r["vec"])): r["auroc"] for r in aucs.collect()}
         for (t, f), c in counts.items():
-            scored = [(i, seen[(t, f, plus(c, i))]) for i in range(size)]
-            scored = [(i, a) for i, a in scored if a is not None]
-            if scored:
-                top = max(a for _, a in scored)
-                pick = min((c[i], i) for i, a in scored if a >= top - TIE)[1]
-                counts[(t, f)], last[(t, f)] = plus(c, pick), top
+            left = chances[(t, f)]
+            if not left:
+                continue
+            if len(left) > 1 or done == rounds - 1:
+                scored = [(i, seen[(t, f, plus(c, i))]) for i in left]
+                last[(t, f)] = max(a for _, a in scored)
+                left = [i for i, a in scored if a >= last[(t, f)] - TIE]
+            counts[(t, f)] = plus(c, min((c[i], i) for i in left)[1])
     out = [(t, f, last[(t, f)], *([x / rounds for x in c] if sum(c) else [1 / size] * size)) for (t, f), c in counts.items()]
     return small_table(spark, out, "task string, fold int, auroc double, " + ", ".join(f"{m} double" for m in members))
 

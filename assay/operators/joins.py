@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import row_index, running
+from assay.functions.ordered import row_index, running, two_sided
 from assay.operators.labels import keep_first
 
 
@@ -76,15 +76,15 @@ def fallback(sources: list[tuple[str, DataFrame]], key: str, value: str) -> Data
 def nearest(targets: DataFrame, candidates: DataFrame, keys: list[str], at: str, id_col: str, prefer: str = "earlier", **kw) -> DataFrame:
     """Closest candidate position to each target in the same group, and gap = chosen - target.
 
-    Targets and candidates are laid on one order; the neighbour on either side is a running value,
-    so no target meets more than its two neighbours.
+    Targets and candidates are laid on one order; the neighbour on either side is a running value of one
+    two-sided pass, so no target meets more than its two neighbours.
     """
     t = targets.select(*keys, F.col(at).alias("_at"), F.col(id_col).cast("string").alias("_id"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_c"))
     c = candidates.select(*keys, F.col(at).alias("_at")).distinct()
     c = c.select(*keys, "_at", F.lit("").alias("_id"), F.lit(0).alias("_side"), F.col("_at").cast("double").alias("_c"))
-    line = t.unionByName(c).withColumn("_up", F.struct("_at", "_side", "_id")).withColumn("_down", F.struct((-F.col("_at")).alias("_at"), "_side", "_id"))
-    seen = running(line, keys, "_up", {"_before": ("max", "_c")}, **kw)
-    seen = running(seen, keys, "_down", {"_after": ("min", "_c")}, **kw).filter(F.col("_side") == 1)
+    # A candidate at the target's own position comes before it.
+    line = t.unionByName(c).withColumn("_order", F.struct("_at", "_side", "_id"))
+    seen = two_sided(line, keys, "_order", {"_before": ("max", "_c")}, {"_after": ("min", "_c")}, **kw).filter(F.col("_side") == 1)
     back, ahead = F.col("_at") - F.col("_before"), F.col("_after") - F.col("_at")
     take_before = (back <= ahead) if prefer == "earlier" else (back < ahead)
     chosen = F.when(F.col("_after").isNull() | take_before, F.col("_before")).otherwise(F.col("_after"))

@@ -101,6 +101,18 @@ def task_layout(spark: SparkSession, tasks: list[str], default: str, overrides:
     return small_table(spark, rows, "pos int, task string, policy string, width int, start int")
 
 
+def layout_of(cells: DataFrame, default: str, overrides: dict[str, str] | None = None, raw: str = "raw") -> DataFrame:
+    """task_layout of the tasks that occur in long cells (task, raw), in name order, with how each is labelled.
+
+    n_labelled and n_unsure count defined and uncertain cells. A policy for a task that no cell has raises, and so does
+    'mixed' without one for a task that occurs. The cells are read once; the driver gets one row per task.
+    """
+    found = cells.filter(F.col("task").isNotNull()).groupBy("task").agg(F.count(raw).alias("n_labelled"), F.count_if(F.col(raw) == -1).alias("n_unsure"))
+    rows = sorted(tuple(r) for r in found.collect())
+    layout = task_layout(cells.sparkSession, [r[0] for r in rows], default, overrides)
+    return layout.join(small_table(cells.sparkSession, rows, "task string, n_labelled bigint, n_unsure bigint"), "task")
+
+
 def encode(raw: Column, policy: Column) -> Column:
     """Target of a 4-state cell under a policy; NULL means masked."""
     filled = F.coalesce(raw, F.lit(0))

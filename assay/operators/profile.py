@@ -287,6 +287,31 @@ def shard_profile(df: DataFrame, keys: list[str], size: str, mode: str, bad: Col
     )
 
 
+def profile_state(df: DataFrame, shard: str, keys: list[str], size: str, mode: str, bad: Column) -> DataFrame:
+    """What a shard's profile needs to be merged later: one typed row per (shard, keys, mode value), NULL modes too."""
+    return df.groupBy(shard, *keys, F.col(mode).alias("mode")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(size).cast("decimal(38,0)")).alias("size"), F.min(size).alias("least"), F.max(size).alias("most"), F.count_if(bad).alias("n_bad")
+    )
+
+
+def store_profile(state: DataFrame, path: str, shard: str) -> None:
+    """Add shards to a stored profile; a shard that is there already is replaced, all others stay."""
+    state.repartition(F.col(shard), F.pmod(F.xxhash64(*state.columns), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(path)
+
+
+def merged_profile(state: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, sizes, number of modes and commonest mode (the larger among equals) over all stored shards.
+
+    The work is that of the states, not of the files behind them. A NULL mode counts as rows but is no mode.
+    """
+    modes = state.groupBy(*keys, "mode").agg(*[F.sum(c).alias(c) for c in ("n", "size", "n_bad")], F.min("least").alias("least"), F.max("most").alias("most"))
+    common = F.max(F.when(F.col("mode").isNotNull(), F.struct("n", "mode")))["mode"]
+    return modes.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("size").alias("total_size"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n_bad").alias("n_bad"),
+        F.count("mode").alias("n_modes"), common.alias("top_mode"),
+    )
+
+
 def tree_totals(files: DataFrame, path: str = "path", size: str = "length", pattern: str = r"^([^/]+)/") -> DataFrame:
     top = F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).alias("top")
     return files.groupBy(top).agg(F.count(F.lit(1)).alias("n_files"), F.sum(size).alias("bytes"))

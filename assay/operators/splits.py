@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import md5_key, poisson_cuts, poisson_weight, unit_key, with_mixed
+from assay.functions.hashing import md5_bits, md5_key, poisson_cuts, poisson_weight, unit_key, with_mixed
 from assay.functions.ordered import row_index, running, settled
 
 
@@ -42,6 +44,44 @@ def kfold(df: DataFrame, unit: str, k: int, seed, name: str = "fold", **kw) -> D
     return df.withColumn(name, sum(passed, F.lit(0)))
 
 
+def balanced_group_folds(df: DataFrame, group: str, labels: list[str], k: int, seed, name: str = "fold", groups_per_bucket: int = 4096) -> DataFrame:
+    """Folds over whole groups with about equal rows and positives of every label (a label column is 1 or not).
+
+    Groups become histograms (rows, positives per label), dealt by hash into buckets of about ``groups_per_bucket``.
+    In a bucket, groups with the rarest label come first, those with most of it before others; each goes to the
+    fold that has least of that label, then fewest rows, then the first one counted from the bucket's own number. A
+    group without positives goes by rows. A task holds a bucket's histograms and k of the folds, whatever the input.
+    Between two folds of a bucket, the label that was dealt last differs by no more than its largest count in a
+    group unless an earlier deal left more; over buckets differences cancel out. A NULL group is one group.
+    """
+    sums = [F.count_if(F.col(c) == 1).alias(f"_c{i}") for i, c in enumerate(labels)]
+    groups = settled(df.groupBy(F.col(group).alias("_group")).agg(*sums, F.count(F.lit(1)).alias("_rows")), "groups")
+    totals = groups.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(labels))]).first()
+    buckets = max(1, -(-totals["n"] // groups_per_bucket))
+    rare = sorted(range(len(labels)), key=lambda i: (totals[f"_c{i}"] or 0, i))
+    at = F.lit(len(labels))
+    for place in range(len(labels) - 1, -1, -1):
+        at = F.when(F.col(f"_c{rare[place]}") > 0, F.lit(place)).otherwise(at)
+    key = md5_key(seed, F.coalesce(F.col("_group").cast("string"), F.lit("")))
+    dealt = groups.withColumns({"_rarest": at, "_key": key, "_bucket": F.pmod(md5_bits(key), F.lit(buckets)).cast("int")})
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(pdf["_bucket"].iloc[0])
+        counts = pdf[[*[f"_c{i}" for i in rare], "_rows"]].to_numpy(np.int64)
+        own = pdf["_rarest"].to_numpy()
+        most = counts[np.arange(len(pdf)), own]
+        have, turn = np.zeros((k, len(rare) + 1), np.int64), (np.arange(k) + bucket) % k
+        folds = np.empty(len(pdf), np.int32)
+        for row in np.lexsort((pdf["_key"].to_numpy(), -counts[:, -1], -most, own)):
+            f = np.lexsort((turn, have[:, -1], have[:, own[row]]))[0]
+            folds[row] = f
+            have[f] += counts[row]
+        return pd.DataFrame({"_group": pdf["_group"], "_fold": folds})
+
+    folds = settled(dealt.groupBy("_bucket").applyInPandas(deal, f"_group {dict(groups.dtypes)['_group']}, _fold int"), "folds")
+    return df.join(folds, F.col(group).eqNullSafe(F.col("_group"))).select(*df.columns, F.col("_fold").alias(name))
+
+
 def simple_sample(df: DataFrame, unit: str, n: int, seed, **kw) -> DataFrame:
     """Exactly n rows (all when there are fewer), in seeded hash order of the unit; NULL is a unit.
 
@@ -91,6 +131,52 @@ def exact_draws(df: DataFrame, unit: str, reps: int, **kw) -> DataFrame:
     return counts.join(placed, "_pos").select("rep", unit, "weight")
 
 
+def _node_draws(draws: np.ndarray, leaf: int, leaves: int, size: int, units: int, seed: int) -> np.ndarray:
+    """Of ``draws`` per replicate, those that reach ``leaf`` in a binary tree of ``leaves`` ranges of ``size`` units (the last may be shorter).
+
+    Each inner node splits its draws by a binomial that is a function of seed, node and replicates alone, so all
+    leaves agree on it without meeting.
+    """
+    low, high = 0, leaves
+    while high - low > 1:
+        mid = (low + high) // 2
+        here, left = min(high * size, units) - low * size, (mid - low) * size
+        to_left = np.random.Generator(np.random.Philox(np.random.SeedSequence((seed, low, high)))).binomial(draws, left / here)
+        low, high, draws = (low, mid, to_left) if leaf < mid else (mid, high, draws - to_left)
+    return draws
+
+
+def tree_draws(df: DataFrame, unit: str, reps: int, seed: int = 0, units_per_leaf: int = 4096, **kw) -> DataFrame:
+    """(unit, draws): per unit the times it is drawn in each of ``reps`` replicates of N draws of N units, as an array.
+
+    The draws of a replicate go down a binary tree of ranges of units, split by binomials, and a range hands its
+    own out evenly: the counts are multinomial and add up to N exactly. Neither draws nor (replicate, unit)
+    rows are shuffled; a task holds the counts of one range, 2 bytes a replicate and unit. The unit is unique and not NULL.
+    """
+    size = int(units_per_leaf)
+    placed = settled(row_index(df.select(unit), [], unit, "_pos", stored=True, **kw), "placed")
+    n = placed.count()
+    leaves = max(1, -(-n // size))
+
+    def hand_out(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf = int(pdf["_leaf"].iloc[0])
+        first, here = leaf * size, min(size, n - leaf * size)
+        reach = _node_draws(np.full(reps, n, np.int64), leaf, leaves, size, n, seed)
+        random = np.random.Generator(np.random.Philox(np.random.SeedSequence((seed, leaf, leaves, 1))))
+        counts = np.empty((here, reps), np.int16)
+        for rep in range(reps):
+            counts[:, rep] = np.bincount(random.integers(0, here, reach[rep]), minlength=here)
+        return pd.DataFrame({unit: pdf[unit], "draws": list(counts[pdf["_pos"].to_numpy() - first])})
+
+    leaf = F.floor(F.col("_pos") / size).alias("_leaf")
+    return placed.select("*", leaf).groupBy("_leaf").applyInPandas(hand_out, f"{unit} {dict(df.dtypes)[unit]}, draws array<smallint>")
+
+
+def each_draw(draws: DataFrame, unit: str) -> DataFrame:
+    """(rep, unit, weight > 0) of tree_draws, generated in place."""
+    return draws.select(unit, F.posexplode("draws").alias("rep", "weight")).filter("weight > 0").select("rep", unit, "weight")
+
+
 def poisson_draws(df: DataFrame, key: str, reps: int) -> DataFrame:
     """(rep, key, weight > 0) with independent Poisson(1) weights: no shuffle at all."""
     each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))

@@ -103,12 +103,10 @@ def flt_4(spark, sf):
 
 
 @query("lab_1_task_layout", f"""
-select k.t as pos, k.task, {POLICY_SQL} as policy, case when k.task = 't2' then 3 else 1 end as width, case when k.t > 2 then k.t + 2 else k.t end as start, count(raw) as n_labelled
+select k.t as pos, k.task, {POLICY_SQL} as policy, case when k.task = 't2' then 3 else 1 end as width, case when k.t > 2 then k.t + 2 else k.t end as start, count(raw) as n_labelled, count(*) filter (where raw = -1) as n_unsure
 from tasks k join label_cells c using (task) group by all""")
 def lab_1(spark, sf):
-    layout = L.task_layout(spark, TASKS, "mixed", POLICY)
-    counts = label_cells(spark, sf).groupBy("task").agg(F.count("raw").alias("n_labelled"))
-    return layout.join(counts, "task")
+    return L.layout_of(label_cells(spark, sf), "mixed", POLICY)
 
 
 def _encoded(name, policy):

@@ -7,6 +7,7 @@ from assay.operators import profile as P
 from assay.plans import sqltext as Q
 from assay.plans.registry import query
 from assay.plans.views import MEMBERS, TASKS, finding_sets, image_sizes, items, label_cells, predictions, soft_labels, wide_labels, wide_predictions
+from assay.session import fresh_path
 
 
 def rounded(df, *keep):
@@ -203,6 +204,21 @@ def agg_24(spark, sf):
     return P.shard_profile(df, ["split"], "kib", "mode", F.col("image_id") % 50 == 0)
 
 
+@query("agg_24_incremental_profile", """
+with m as (select h as split, w as mode, count(*) as n, sum(kib) as size, min(kib) as least, max(kib) as most, count(*) filter (where image_id % 50 = 0) as bad from image_sizes group by 1, 2)
+select split, sum(n)::bigint as n, sum(size)::bigint as total_size, min(least) as least, max(most) as most, sum(bad)::bigint as n_bad, count(*) as n_modes, arg_max(mode, (n, mode)) as top_mode from m group by split""")
+def agg_24_incremental(spark, sf):
+    """Shards arrive in three steps, one of them first with wrong sizes; the stored states give the profile of all."""
+    path = fresh_path(spark, "profile")
+    df = image_sizes(spark, sf).selectExpr("h as split", "w as mode", "kib", "image_id", "cast(image_id % 6 as int) as shard")
+    steps = [df.where("shard < 3").withColumn("kib", F.when(F.col("shard") == 1, 0).otherwise(F.col("kib"))), df.where("shard in (3, 4)"), df.where("shard in (1, 5)")]
+    for step in steps:
+        state = P.profile_state(step, "shard", ["split"], "kib", "mode", F.col("image_id") % 50 == 0)
+        P.store_profile(state, path, "shard")
+    stored = spark.read.schema(state.schema).parquet(path)
+    return P.merged_profile(stored, ["split"]).withColumn("total_size", F.col("total_size").cast("bigint"))
+
+
 @query("agg_25_table_health", "select count(*) as n, count(*) filter (where item_id is null) as null_item_id, count(*) filter (where path is null) as null_path, "
        + ", ".join(f"count(*) filter (where {t} is null) as null_{t}" for t in TASKS) + ", count(*) - count(distinct path) as n_duplicates from wide_labels")
 def agg_25(spark, sf):

@@ -90,11 +90,16 @@ def src_7(spark, sf):
     return S.read_metric_log(spark, path, LOG_SCHEMA, "mean_auroc")
 
 
-@query("src_8_file_tree")
+@query("src_8_file_tree", "select p_brand as brand, count(*) as n_parts, true as has_files, true as sized from part group by p_brand")
 def src_8(spark, sf):
-    """The given table files as a tree: names and sizes, contents unread."""
-    files = S.list_files(spark, sf, "*.parquet")
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
+    """A tree with a folder per brand, written from the parts; its entries (names and sizes, contents unread) meet the parts by brand."""
+    path = fresh_path(spark, "tree")
+    parts = table(spark, sf, "part")
+    parts.select("p_brand", "p_partkey", "p_name").write.partitionBy("p_brand").parquet(path)
+    files = S.list_files(spark, path, "*.parquet").select(F.url_decode(F.regexp_extract("path", r"p_brand=([^/]+)/", 1)).alias("brand"), "length")
+    tree = files.groupBy("brand").agg(F.count(F.lit(1)).alias("n_files"), F.min("length").alias("least"))
+    listed = parts.groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n_parts")).join(tree, "brand", "full")
+    return listed.select("brand", "n_parts", (F.coalesce("n_files", F.lit(0)) > 0).alias("has_files"), F.coalesce(F.col("least") > 0, F.lit(False)).alias("sized"))
 
 
 @query("src_9_cache_misses", "select distinct split, member from predictions where not (split in ('train', 'val19k') and member in ('m0', 'm1'))")

@@ -7,7 +7,7 @@ from assay.operators import joins as J
 from assay.operators import splits as S
 from assay.plans.profile_q import rounded
 from assay.plans.registry import query
-from assay.plans.views import MEMBERS, SPLITS, image_sizes, items, label_cells, metric_log, predictions, run_scores, soft_labels, table, wide_predictions
+from assay.plans.views import MEMBERS, SPLITS, TASKS, image_sizes, items, label_cells, metric_log, predictions, run_scores, soft_labels, table, wide_labels, wide_predictions
 
 HELD = f"""with g as (select group_id, row_number() over (order by {md5_key_sql(42, 'group_id')}) as rn, count(*) over () as n from (select distinct group_id from items)),
 held as (select group_id from g where rn <= ceil(n * 0.1::double))"""
@@ -49,6 +49,43 @@ def spl_5(spark, sf):
     return S.kfold(items(spark, sf).select("item_id"), "item_id", 5, 42)
 
 
+def _group_folds_sql(k=5, size=256, n=5):
+    """The deal, one group of every bucket a step; ``have`` lists k folds of n labels and the rows."""
+    counts = ", ".join(f"count(*) filter (where t{i} = 1) as c{i}" for i in range(n))
+    totals = " union all ".join(f"select {i} as i, sum(c{i}) as total from h" for i in range(n))
+    cell = "case l.i " + " ".join(f"when {i} then c{i}" for i in range(n)) + " end"
+    return f"""with recursive h as materialized (select group_id, {md5_key_sql(42, 'group_id')} as key, count(*) as n_rows, {counts} from wide_labels group by group_id),
+l as materialized (select i, row_number() over (order by total, i) - 1 as place from ({totals})),
+c as (select h.group_id, min(key) as key, min(n_rows) as n_rows, coalesce(min(place) filter (where {cell} > 0), {n}) as own, list_append(list({cell} order by place), min(n_rows)) as cnt from h, l group by h.group_id),
+g as materialized (select *, row_number() over (partition by bucket order by own, cnt[own + 1] desc, n_rows desc, key) as pos
+ from (select *, (('0x' || substr(key, 1, 8))::bigint % ceil((select count(*) from h) / {size}.0)::bigint)::int as bucket from c)),
+r(bucket, pos, group_id, fold, have) as (
+ select distinct bucket, 0::bigint, null::bigint, 0, list_transform(range({k * (n + 1)}), lambda x: 0::bigint) from g
+ union all
+ select bucket, pos, group_id, fold, list_transform(have, lambda x, i: x + case when (i - 1) // {n + 1} = fold then cnt[(i - 1) % {n + 1} + 1] else 0 end) from (
+  select g.bucket, g.pos, g.group_id, g.cnt, r.have,
+   list_sort(list_transform(range({k}), lambda f: {{'a': r.have[f * {n + 1} + g.own + 1], 'b': r.have[f * {n + 1} + {n + 1}], 'c': (f + g.bucket) % {k}, 'f': f::int}}))[1].f as fold
+  from r join g on g.bucket = r.bucket and g.pos = r.pos + 1))
+select group_id, fold from r where pos > 0"""
+
+
+def _balanced(spark, sf):
+    return S.balanced_group_folds(wide_labels(spark, sf).select("item_id", "group_id", *TASKS), "group_id", TASKS, 5, 42, groups_per_bucket=256)
+
+
+@query("spl_5_group_folds", f"select w.item_id, w.group_id, d.fold from wide_labels w join ({_group_folds_sql()}) d using (group_id)")
+def spl_5_group_folds(spark, sf):
+    """Folds of whole groups with like shares of every label."""
+    return _balanced(spark, sf).select("item_id", "group_id", "fold")
+
+
+@query("spl_5_fold_balance", f"select d.fold, count(*) as n_rows, count(distinct group_id) as n_groups, {', '.join(f'count(*) filter (where {t} = 1) as {t}' for t in TASKS)} from wide_labels join ({_group_folds_sql()}) d using (group_id) group by d.fold")
+def spl_5_balance(spark, sf):
+    """Rows, groups and positives per fold of the folds above."""
+    per = _balanced(spark, sf).groupBy("fold", "group_id").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(t) == 1).alias(t) for t in TASKS])
+    return per.groupBy("fold").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), *[F.sum(t).alias(t) for t in TASKS])
+
+
 @query("spl_6_epoch_order", f"select item_id, position from (select item_id, row_number() over (order by {md5_key_sql(45, 'item_id')}, item_id) - 1 as position from items) where position >= 1000")
 def spl_6(spark, sf):
     return S.epoch_order(items(spark, sf).select("item_id"), "item_id", 42, 3, skip=1000)
@@ -73,6 +110,12 @@ def spl_8_poisson(spark, sf):
     return d.groupBy("rep").agg(F.count(F.lit(1)).alias("n_drawn"), F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("weight")).alias("squares"))
 
 
+@query("spl_8_tree_draws")
+def spl_8_tree(spark, sf):
+    """(rep, item_id, weight): N draws handed down a tree of ranges; tested against the moments of the multinomial."""
+    return S.each_draw(S.tree_draws(items(spark, sf).select("item_id"), "item_id", 20), "item_id")
+
+
 @query("spl_9_round_robin", "select item_id, (row_number() over (order by item_id) - 1) % 7 as shard from items")
 def spl_9(spark, sf):
     return S.round_robin(items(spark, sf).select("item_id"), "item_id", 7)
