@@ -23,6 +23,8 @@ from assay.session import staged
 ROWS_PER_RANGE = 65_536
 #: Fine ranges in a coarse one, about.
 FAN = 4_096
+#: Rows of one value that meet its rank in one task; those of a commoner value are spread.
+HOT_ROWS = 1_048_576
 _SEARCH_STEPS = 20
 _SHIFT = 24  # a range number is the coarse number, shifted, plus the fine one
 
@@ -259,7 +261,7 @@ def _neighbour(df, keys, order, columns, rows_per_range, behind):
 
 
 def value_ranks(df: DataFrame, keys: list[str], values: list[str], rows_per_range: int | None = None) -> DataFrame:
-    """(keys, _column, _value, avg_rank, group_rows): one row per distinct value of each column.
+    """(keys, _column, _value, avg_rank, group_rows, value_rows): one row per distinct value of each column.
 
     All columns are unpivoted and counted in one pass, so their ranks are running sums over one table.
     """
@@ -270,37 +272,58 @@ def value_ranks(df: DataFrame, keys: list[str], values: list[str], rows_per_rang
     counts = settled(long.groupBy(*own, "_value").agg(F.count(F.lit(1)).alias("_c")), "values")
     placed = running(counts, own, "_value", {"_below": ("sum", "_c")}, rows_per_range, stored=True)
     sizes = settled(counts.groupBy(*own).agg(F.sum("_c").alias("group_rows")), "sizes")
-    ranks = placed.select(*own, "_value", (F.col("_below") + (F.col("_c") + 1) / 2).alias("avg_rank"))
+    ranks = placed.select(*own, "_value", (F.col("_below") + (F.col("_c") + 1) / 2).alias("avg_rank"), F.col("_c").alias("value_rows"))
     return settled(ranks.join(sizes, own), "ranks")
 
 
-def with_ranks(df: DataFrame, keys: list[str], values: dict[str, str], rows_per_range: int | None = None, share: bool = False) -> DataFrame:
+def _with_answers(df: DataFrame, ranks: DataFrame, keys: list[str], answers: dict[str, tuple[str, Column]], hot_rows: int) -> DataFrame:
+    """Add to each row what its values have in ``ranks``: answers maps the i-th ranked column to (new name, expression).
+
+    Rows meet their answer by (keys, value, salt). The salt is 0 but for values that more than ``hot_rows`` rows
+    share: those rows are spread over one salt for every ``hot_rows`` of them, by a hash of the whole row, and the answer is there
+    once per salt. Which values these are a row finds like its range, in a sorted list. Rows without an answer (NULL
+    value or key) are spread as well. Rows that are equal in every column share a salt.
+    """
+    salts = F.ceil(F.col("value_rows") / hot_rows)
+    coarse = F.pmod(F.xxhash64(F.lit(17), "_value"), F.lit(FAN)) == 0
+    hot = ranks.filter(F.col("value_rows") > hot_rows).select(*keys, "_column", F.col("_value").alias("_cut"), coarse.alias("_coarse"), salts.alias("_extra"))
+    hot = settled(hot, "hot")
+    crowded = {r["_column"] for r in hot.select("_column").distinct().collect()}  # at most one entry per ranked column
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    out = df.withColumn("_spread", F.xxhash64(F.lit(29), *hashed))
+    own = [F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)]
+    for i, (c, (name, answer)) in enumerate(answers.items()):
+        one = ranks.filter(F.col("_column") == i)
+        salt = F.lit(0).cast("bigint")
+        if i in crowded:
+            out, _ = place(out, hot.filter(F.col("_column") == i).drop("_column"), keys, c, "_near", "_salts")
+            salt = F.when(F.col("_salts").isNotNull(), F.pmod("_spread", "_salts")).otherwise(salt)
+        none = F.col(c).isNull()
+        for k in keys:
+            none = none | F.col(k).isNull()
+        out = out.withColumn("_salt", F.when(none, F.pmod("_spread", F.lit(FAN))).otherwise(salt))
+        one = one.select(*own, F.col("_value").alias("_v"), answer.alias(name), F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("_s"))
+        same = (F.col(c) == F.col("_v")) & (F.col("_salt") == F.col("_s"))
+        for j, k in enumerate(keys):
+            same = same & (F.col(k) == F.col(f"_k{j}"))
+        out = out.join(one, same, "left").drop("_v", "_s", "_salt", "_near", "_salts", *[f"_k{j}" for j in range(len(keys))])
+    return out.select(*df.columns, *[name for name, _ in answers.values()])
+
+
+def with_ranks(df: DataFrame, keys: list[str], values: dict[str, str], rows_per_range: int | None = None, share: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add average ranks (ties share the mean rank, NULL has none): values maps a column to its rank's name.
 
     With ``share`` ranks are divided by the values of the group.
-
-    The rows pick the ranks up by equi-joins whose ranked side has one row per (group, value).
     """
-    columns = list(values)
-    ranks = value_ranks(df, keys, columns, rows_per_range)
+    ranks = value_ranks(df, keys, list(values), rows_per_range)
     rank = F.col("avg_rank") / F.col("group_rows") if share else F.col("avg_rank")
-    out = df
-    for i, c in enumerate(columns):
-        one = ranks.filter(F.col("_column") == i).select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_value").alias("_v"), rank.alias(f"_rank{i}"))
-        same = F.col(c) == F.col("_v")
-        for j, k in enumerate(keys):
-            same = same & (F.col(k) == F.col(f"_k{j}"))
-        out = out.join(one, same, "left").drop("_v", *[f"_k{j}" for j in range(len(keys))])
-    return out.withColumns({name: F.col(f"_rank{i}") for i, name in enumerate(values.values())}).drop(*[f"_rank{i}" for i in range(len(columns))])
+    out = _with_answers(df, ranks, keys, {c: (f"_rank{i}", rank) for i, c in enumerate(values)}, hot_rows)
+    return out.withColumns({name: F.col(f"_rank{i}") for i, name in enumerate(values.values())}).drop(*[f"_rank{i}" for i in range(len(values))])
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, rows_per_range: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], value: str, rows_per_range: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``avg_rank`` (ties share the mean rank) and ``group_rows`` to each row."""
     ranks = value_ranks(df, keys, [value], rows_per_range)
     sizes = settled(ranks.groupBy(*keys).agg(F.max("group_rows").alias("group_rows")), "sizes")
-    one = ranks.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_value").alias("_v"), "avg_rank")
-    same = F.col(value) == F.col("_v")
-    for j, k in enumerate(keys):
-        same = same & (F.col(k) == F.col(f"_k{j}"))
-    out = df.join(one, same, "left").drop("_v", *[f"_k{j}" for j in range(len(keys))])
+    out = _with_answers(df, ranks, keys, {value: ("avg_rank", F.col("avg_rank"))}, hot_rows)
     return out.join(sizes, keys, "left") if keys else out.withColumn("group_rows", sizes.select("group_rows").scalar())

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from assay.functions.ordered import running
+from assay.functions.durations import duration_text, iso_text
+from assay.functions.ordered import running, settled
 from assay.operators import windows as W
 from assay.plans.profile_q import rounded
 from assay.plans.registry import query
@@ -134,6 +135,24 @@ def win_15(spark, sf):
     return log.select("run", "step", F.round(W.eta(F.col("done") * 1.5, F.col("done"), F.lit(100)), 9).alias("eta"))
 
 
+def _duration_sql(c):
+    return (f"case when {c} is null then '?' when {c} < 60 then {c} || 's' when {c} < 3600 then ({c} // 60) || 'm ' || lpad(({c} % 60)::varchar, 2, '0') || 's'"
+            f" when {c} < 86400 then ({c} // 3600) || 'h ' || lpad(({c} % 3600 // 60)::varchar, 2, '0') || 'm' else ({c} // 86400) || 'd ' || lpad(({c} % 86400 // 3600)::varchar, 2, '0') || 'h' end")
+
+
+@query("win_15_eta_text", f"""with timed as (select run, step, ts, (epoch_us(ts) - epoch_us(min(ts) over (partition by run))) / 1e6::double as elapsed from metric_log),
+ due as (select *, case when step > 1 then elapsed / (step - 1) * greatest(0, 100 - (step - 1)) end as eta from timed),
+ whole as (select run, step, ts, round_even(elapsed, 0)::bigint as gone, round_even(eta, 0)::bigint as due from due)
+select run, step, strftime(ts, '%Y-%m-%dT%H:%M:%S') as logged_at, {_duration_sql('gone')} as elapsed_text, {_duration_sql('due')} as eta_text from whole""")
+def win_15_text(spark, sf):
+    """Time since a run's first row and time left to its 100th, as text; the first step has no pace yet."""
+    log = metric_log(spark, sf).select("run", "step", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+    begins = settled(log.groupBy("run").agg(F.min("_at").alias("_begin")), "begins")
+    timed = log.join(begins, "run").withColumn("elapsed", (F.col("_at") - F.col("_begin")) / F.lit(1e6))
+    left = W.eta(F.col("elapsed"), F.col("step") - 1, F.lit(100))
+    return timed.select("run", "step", iso_text(F.col("ts")).alias("logged_at"), duration_text(F.col("elapsed")).alias("elapsed_text"), duration_text(left).alias("eta_text"))
+
+
 COUNTERS = """(select run, step, sum(32) over w as images, sum(1000000 + event_id % 7919) over w as bytes, sum(event_id % 31 + 1) over w * 1000000 as busy, sum(1 + event_id % 4) over w as elapsed
  from (select *, (step - 1) // 37 as job from metric_log) window w as (partition by run, job order by step))"""
 

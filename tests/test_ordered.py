@@ -52,11 +52,39 @@ def test_index_trailing_and_neighbours(log, rows):
 @pytest.mark.parametrize("rows", [None, 13])
 def test_average_rank(log, rows):
     df, pdf = log
-    got = collect(O.ranked(df, ["run"], "v", rows))
+    got = collect(O.ranked(df, ["run"], "v", rows, hot_rows=rows or O.HOT_ROWS))
     np.testing.assert_allclose(got["avg_rank"].astype(float), pdf.groupby("run")["v"].rank(), atol=1e-9)
     np.testing.assert_array_equal(got["group_rows"].fillna(0), pdf.groupby("run")["v"].transform("count"))
 
 
+@pytest.mark.parametrize("fan", [O.FAN, 3])
+def test_ranks_of_hot_values_are_met_in_many_tasks(spark, monkeypatch, fan):
+    """A third of all rows share one score and a tenth have none: no task meets much more than its share of the rows."""
+    rng = np.random.default_rng(8)
+    n = 40_000
+    draw = rng.random(n)
+    a = np.where(draw < 1 / 3, 0.5, np.round(rng.random(n), 4))
+    pdf = pd.DataFrame({"id": np.arange(n), "task": np.where(rng.random(n) < 0.9, "t", "u"), "a": a, "b": np.round(rng.random(n), 2)})
+    pdf.loc[draw > 0.9, "a"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("a", F.when(~F.isnan("a"), F.col("a"))).withColumn("m", F.create_map(F.lit("k"), F.col("id")))
+    monkeypatch.setattr(O, "FAN", fan)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = O.with_ranks(df, ["task"], {"b": "rb", "a": "ra"}, hot_rows=100)
+        got = out.withColumn("at", F.spark_partition_id()).toPandas().sort_values("id")
+        assert list(out.columns) == [*df.columns, "rb", "ra"]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    for c in "ab":
+        np.testing.assert_allclose(got[f"r{c}"].astype(float).to_numpy(), pdf.groupby("task")[c].rank().to_numpy())
+    if fan > 3:  # rows without a score are spread over FAN salts
+        assert got["at"].value_counts().max() < 1.8 * n / 16
+
+
 def test_global_index(log):
     df, pdf = log
     got = O.row_index(df, [], "at", "i", 50).toPandas()
