@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.hashing import md5_uniform
-from assay.session import staged, staged_files
+from assay.session import NUMBER_DIGITS, staged, staged_files
 
 # Color types of the PNG header and JPEG frame markers without the three tables.
 PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
@@ -93,33 +93,36 @@ def header_profile(files: DataFrame, key: str, content: str = "content") -> Data
     return files.select(key, content).mapInPandas(read, f"{key} {kind}, width int, height int, mode string, kib bigint, readable boolean")
 
 
-def decode_folder(spark: SparkSession, path: str, numbers: bool = False) -> DataFrame:
-    """Decode with Spark's image source; a corrupt file keeps its row with ``ok`` false.
-
-    With ``numbers`` the files lie in folders number=.., as staged_files writes them, and ``number`` is a column.
-    """
-    found = spark.read.format("image").option("dropInvalid", "false")
-    images = (found.schema(f"{IMAGE}, number long") if numbers else found).load(path)
-    return images.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data", (F.col("image.width") > 0).alias("ok"), *["number"] * numbers)
+def decode_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Decode with Spark's image source; a corrupt file keeps its row with ``ok`` false."""
+    images = spark.read.format("image").option("dropInvalid", "false").schema(IMAGE).load(path)
+    return images.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data", (F.col("image.width") > 0).alias("ok"))
 
 
 def decode_check(files: DataFrame, key: str, fraction: float, seed, content: str = "content") -> DataFrame:
     """Decode a seeded fraction of files with Spark's image source and flag the corrupt ones.
 
-    The picked files are written to the shared folder, one each. The decoder fills what a cut JPEG lacks and
+    The picked files are written to the shared folder, one each and thousands to a folder. The decoder fills what a cut JPEG lacks and
     reads PNG chunks with wrong checksums, so a file must decode and be whole.
     """
-    kind = dict(files.dtypes)[key]
+    spark = files.sparkSession
+    picked = files.filter(md5_uniform(seed, key) < fraction).select(F.monotonically_increasing_id().alias("number"), F.col(key), F.col(content).alias("content"))
+    picked = staged(picked, "picked")
+    path = staged_files(picked, "number", "content")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = NUMBER_DIGITS + 1
         for pdf in batches:
-            yield pd.DataFrame({"number": pdf["number"], key: pdf[key], "whole": [c is not None and is_whole(bytes(c)) for c in pdf["content"]]})
+            both = [bytes(c) for c in pdf["content"]]
+            yield pd.DataFrame({"name": pdf["name"], "number": [int(c[-tail:-1]) for c in both], "whole": [is_whole(c[:-tail]) for c in both]})
 
-    picked = files.filter(md5_uniform(seed, key) < fraction).select(F.monotonically_increasing_id().alias("number"), F.col(key), F.col(content).alias("content"))
-    picked = staged(picked, "picked")
-    decoded = decode_folder(files.sparkSession, staged_files(picked, "number", "content"), numbers=True).select("number", "ok")
-    whole = picked.mapInPandas(check, f"number bigint, {key} {kind}, whole boolean")
-    return whole.join(decoded, "number", "left").select(key, (~(F.col("whole") & F.coalesce("ok", F.lit(False)))).alias("corrupt"))
+    def name(column: str) -> Column:
+        return F.substring_index(column, "/", -2).alias("name")  # a task's files have the same names in every folder
+
+    raw = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    whole = raw.select(name("path"), "content").mapInPandas(check, "name string, number bigint, whole boolean")
+    sound = whole.join(decode_folder(spark, path).select(name("origin"), "ok"), "name").select("number", (F.col("whole") & F.col("ok")).alias("sound"))
+    return picked.select("number", key).join(sound, "number", "left").select(key, (~F.coalesce("sound", F.lit(False))).alias("corrupt"))
 
 
 def fit_geometry(w: Column, h: Column, width: int, height: int) -> dict[str, Column]:

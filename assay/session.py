@@ -33,6 +33,10 @@ def build_session(app: str = "assay", master: str | None = None, shuffle_partiti
     return spark
 
 
+#: Files that staged_files writes to one folder, and digits of the number that ends each.
+FOLDER_FILES = 10_000
+NUMBER_DIGITS = 20
+
 _LOCAL_FOLDERS: dict[str, str] = {}
 _STAGED: dict[str, list[str]] = {}
 
@@ -63,13 +67,16 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def staged_files(df: DataFrame, number: str, content: str) -> str:
-    """Write the bytes of every row to a file of its own in the shared folder, under number=..; and their path.
+    """Write the bytes of every row to a file of its own in the shared folder, up to FOLDER_FILES in a folder; and their path.
 
-    The text writer copies bytes as they are and adds a line feed, which follows the end of an image.
+    The text writer copies bytes as they are. After them come the row's number in NUMBER_DIGITS digits and a line feed, so that
+    whoever reads a file knows its row: what follows the end of an image does not matter to a decoder. NULL bytes are none.
+    Numbers of neighbouring rows should be neighbours, as those of monotonically_increasing_id are.
     """
     path = fresh_path(df.sparkSession, "files")
-    lines = df.select(F.col(number), F.col(content).cast("string").alias("value"))
-    lines.write.partitionBy(number).option("compression", "none").text(path)
+    body = F.concat(F.coalesce(F.col(content).cast("string"), F.lit("")), F.lpad(F.col(number).cast("string"), NUMBER_DIGITS, "0"))
+    lines = df.select(F.floor(F.col(number) / FOLDER_FILES).alias("folder"), body.alias("value"))
+    lines.write.partitionBy("folder").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
     _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return path
 
