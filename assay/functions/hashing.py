@@ -9,6 +9,7 @@ from decimal import Decimal, localcontext
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,6 +81,31 @@ def with_mixed(df, high: Column, low: Column, rep: Column, name: str):
     return df.withColumn(name, F.col("_mf") * MIX_MODULUS + F.col("_mg")).drop("_high", "_low", "_rep", *[f"_{s}" for s, _ in MIX_STEPS])
 
 
+def _each_rep(make, kind: pa.DataType, ddl: str, high: Column, low: Column, reps: int) -> Column:
+    """Array over the replicates of make(high, low, replicates): one row in, one out, whatever their number."""
+    @F.arrow_udf(ddl)
+    def rows(highs: pa.Array, lows: pa.Array) -> pa.Array:
+        values = make(highs.to_numpy(zero_copy_only=False)[:, None], lows.to_numpy(zero_copy_only=False)[:, None], np.arange(reps)[None, :])
+        starts = np.arange(0, values.size + 1, reps, dtype=np.int32)
+        return pa.ListArray.from_arrays(starts, pa.array(values.ravel(), kind))
+
+    return rows(high, low)
+
+
+def mixed_each(high: Column, low: Column, reps: int) -> Column:
+    """A number in [0, MIX_TOP) per replicate 0, 1, ..., each a function of the unit and the replicate.
+
+    The steps name one another, so as columns they would be written out into one expression of hundreds of terms for every
+    use; numpy takes each once.
+    """
+    return _each_rep(mix_array, pa.int64(), "array<bigint>", high, low, reps)
+
+
+def poisson_each(high: Column, low: Column, reps: int) -> Column:
+    """Poisson(1) weights of a unit per replicate 0, 1, ..."""
+    return _each_rep(poisson_weight_array, pa.int8(), "array<tinyint>", high, low, reps)
+
+
 def mix_array(high: np.ndarray, low: np.ndarray, rep: np.ndarray) -> np.ndarray:
     """The same for numpy integers; the arguments broadcast."""
     at = {"high": high.astype(np.int64), "low": low.astype(np.int64), "rep": rep.astype(np.int64)}

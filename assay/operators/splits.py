@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import md5_bits, md5_key, poisson_cuts, poisson_weight, unit_key, with_mixed
+from assay.functions.hashing import md5_bits, md5_key, poisson_each, unit_key, with_mixed
 from assay.functions.ordered import row_index, running, settled
 
 
@@ -179,10 +179,9 @@ def each_draw(draws: DataFrame, unit: str) -> DataFrame:
 
 def poisson_draws(df: DataFrame, key: str, reps: int) -> DataFrame:
     """(rep, key, weight > 0) with independent Poisson(1) weights: no shuffle at all."""
-    each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    # The weight is above 0 exactly when the mixer value passes the first cut: one cheap predicate.
-    mixed = with_mixed(each, *unit_key(F.col(key)), F.col("rep"), "_mixed").filter(F.col("_mixed") >= poisson_cuts()[0])
-    return mixed.withColumn("weight", poisson_weight(F.col("_mixed"))).drop("_mixed")
+    weighed = df.withColumn("_weights", poisson_each(*unit_key(F.col(key)), reps))
+    each = weighed.select(*df.columns, F.posexplode("_weights").alias("rep", "weight"))
+    return each.filter(F.col("weight") > 0).withColumn("weight", F.col("weight").cast("int"))
 
 
 def size_tier(size: Column, tiers: list[tuple[float, str]]) -> Column:
