@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import md5_bits, md5_key, poisson_each, unit_key, with_mixed
+from assay.functions.hashing import md5_bits, md5_key, mixed_each, poisson_each, unit_key
 from assay.functions.ordered import row_index, running, settled
 
 
@@ -123,11 +123,12 @@ def chunks(df: DataFrame, order: str, size: int, **kw) -> DataFrame:
 
 def exact_draws(df: DataFrame, unit: str, reps: int, **kw) -> DataFrame:
     """(rep, unit, weight): how often each unit is drawn in N draws with replacement per replicate."""
-    placed = row_index(df.select(unit), [], unit, "_pos", stored=True, **kw)
-    n = df.select(F.count(F.lit(1))).scalar()
-    draws = placed.select("_pos", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    drawn = with_mixed(draws, *unit_key(F.col("_pos")), F.col("rep"), "_mixed")
-    counts = drawn.select("rep", F.pmod(F.col("_mixed"), n).alias("_pos")).groupBy("rep", "_pos").agg(F.count(F.lit(1)).alias("weight"))
+    placed = settled(row_index(df.select(unit), [], unit, "_pos", stored=True, **kw), "placed")
+    n = placed.count()
+    drawn = placed.select(F.posexplode(mixed_each(*unit_key(F.col("_pos")), reps)).alias("rep", "_mixed"))
+    # Draws of a position seldom meet before the shuffle: one shuffle by position serves both the count and the join.
+    spread = drawn.select("rep", F.pmod(F.col("_mixed"), F.lit(n)).alias("_pos")).repartition("_pos")
+    counts = spread.groupBy("rep", "_pos").agg(F.count(F.lit(1)).alias("weight"))
     return counts.join(placed, "_pos").select("rep", unit, "weight")
 
 

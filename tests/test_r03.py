@@ -20,3 +20,13 @@ def test_mixer_steps_are_not_written_out(spark):
     want = H.poisson_weight_array(keys[:, :1], keys[:, 1:], np.arange(7)[None, :])
     got = {(r["item"], r["rep"]): r["weight"] for r in draws.collect()}
     assert got == {(i, r): int(w) for (i, r), w in np.ndenumerate(want) if w}
+
+
+def test_exact_draws_shuffle_positions_once(spark):
+    units = spark.range(400).withColumnRenamed("id", "item")
+    draws = S.exact_draws(units, "item", 4)
+    assert len(plan_text(draws)) < 40_000
+    got = {(r["rep"], r["item"]): r["weight"] for r in draws.collect()}
+    keys = units.orderBy("item").select(*H.unit_key(F.col("item"))).toPandas().to_numpy()
+    mixed = H.mix_array(keys[:, :1], keys[:, 1:], np.arange(4)[None, :]) % 400
+    assert got == {(r, i): n for r in range(4) for i, n in enumerate(np.bincount(mixed[:, r], minlength=400).tolist()) if n}
