@@ -1,13 +1,14 @@
 """Metric logs as streams: ingest, trackers, boards, rolling values, event-time windows.
 
-Step-ordered trackers are state machines, one per run, whose small state Spark keeps in its state store and
-checkpoint (processors.py). They add their rows to a folder exactly once: a batch that is run again after a
+Step-ordered trackers are state machines, one per run and BUCKETS calls at most a batch, whose small state Spark keeps in
+its state store and checkpoint (processors.py). They add their rows to a folder exactly once: a batch that is run again after a
 failure starts from the state that it started from before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,24 +57,33 @@ def _each_batch(stream: DataFrame, out: str, fn: Callable[[DataFrame, int], None
 #: State that grows with the runs lives on the executors' disks and in the checkpoint, not on the heap.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Groups into which runs are dealt by hash: what a batch costs beside its rows does not grow with the runs.
+BUCKETS = 1_024
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
 def keyed(stream: DataFrame, run: str, step: str, columns: dict[str, str | Column], processor: StatefulProcessor, output: str, ttl: bool = False) -> DataFrame:
     """Rows of each run in a state machine of its own; columns maps the processor's names to those of the stream, output names what follows the run."""
-    output = f"run {stream.schema[run].dataType.simpleString()}, {output}"
-    rows = stream.select(F.col(run).alias("run"), F.col(step).cast("bigint").alias("step"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
-    return rows.groupBy("run").transformWithStateInPandas(processor, output, "Append", "ProcessingTime" if ttl else "None")
+    kind = stream.schema[run].dataType
+    bucket = F.pmod(F.xxhash64(run), F.lit(BUCKETS)).cast("int").alias("_bucket")
+    rows = stream.select(bucket, F.col(run).cast("string").alias("run"), F.col(step).cast("bigint").alias("step"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+    out = rows.groupBy("_bucket").transformWithStateInPandas(processor, f"run string, {output}", "Append", "ProcessingTime" if ttl else "None")
+    return out.withColumn("run", F.col("run").cast(kind))
 
 
 def run_keyed(rows: DataFrame, out: str, once: bool) -> None:
     """Append what the state machines give to ``out``, exactly once, until all that has arrived is read."""
-    spark = rows.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, STATE_STORE)
-    try:
+    with _state_on_disk(rows.sparkSession):
         run_to_end(rows, out, once=once)
-    finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
 def track_best(

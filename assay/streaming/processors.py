@@ -1,9 +1,10 @@
 """Keyed state of the metric-log streams: what a run needs to go on, kept in Spark's state store.
 
-Each processor sees the new rows of one run in one micro-batch, brings them in step order, and keeps a bounded
-state: a tracker its best row, a window its last rows, a difference the last values. A step that is not above
-the run's last one was seen before (a log written twice after a restart) and is skipped. State goes when the run
-has been silent for the time to live, if one is given.
+Runs are dealt into buckets by hash, and a bucket is the group that Spark calls with its new rows of one micro-batch: a
+call costs milliseconds, so one for every run would outweigh the rows. The processor brings the rows of each run in step
+order, and keeps a bounded state per run: a tracker its best row, a window its last rows, a difference the last values. A step
+that is not above the run's last one was seen before (a log written twice after a restart) and is skipped. State goes
+when the run has been silent for the time to live, if one is given.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class _Ordered(StatefulProcessor):
-    """Rows of a run in step order, after the last step that was seen."""
+    """Rows of each run of a bucket in step order, after the run's last step that was seen."""
 
     schema = ""
 
@@ -24,21 +25,49 @@ class _Ordered(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", self.schema, self.ttl_ms)
+        self.state = handle.getValueState("runs", f"runs array<struct<run string, at bigint, {self.schema}>>", self.ttl_ms)
 
     def close(self) -> None:
         """Nothing is held outside the state."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else None
-        new = pd.concat(list(rows)).drop_duplicates("step").sort_values("step")
-        if old is not None:
-            new = new[new["step"] > old[0]]
-        if len(new):
-            out, state = self.work(new, old)
-            self.state.update((int(new["step"].iloc[-1]), *state))
-            out.insert(0, "run", key[0])
-            yield out
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = self.state.get()
+        states = {e[0]: tuple(e) for e in (held[0] if held else []) if self.ttl_ms is None or e[1] + self.ttl_ms > now}
+        new = pd.concat(list(rows))
+        codes, names = pd.factorize(new["run"], use_na_sentinel=False)
+        steps = new["step"].to_numpy()
+        order = np.lexsort((steps, codes))
+        twice = (np.diff(codes[order]) == 0) & (np.diff(steps[order]) == 0)
+        order = order[np.r_[True, ~twice]]
+        codes, columns = codes[order], {c: new[c].to_numpy()[order] for c in new.columns if c not in ("run", "_bucket")}
+        ends = np.searchsorted(codes, np.arange(len(names) + 1))
+        parts, owners = [], []
+        for name, low, high in zip(names.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            run = name if isinstance(name, str) else None
+            old = states[run][2:] if run in states else None
+            if old is not None:
+                low += int(np.searchsorted(columns["step"][low:high], old[0], side="right"))
+            if low < high:
+                out, state = self.follow({c: v[low:high] for c, v in columns.items()}, old)
+                states[run] = (run, now, int(columns["step"][high - 1]), *state)
+                parts.append(out)
+                owners += [run] * len(out["step" if "step" in out else "last_step"])
+        self.state.update((list(states.values()),))
+        if parts:
+            yield self.frame({"run": owners} | {c: [v for part in parts for v in part[c]] for c in parts[0]})
+
+    def frame(self, columns: dict[str, list]) -> pd.DataFrame:
+        return pd.DataFrame(columns)
+
+    def work(self, new: pd.DataFrame, old) -> tuple[pd.DataFrame, tuple]:
+        """follow, for the rows of one run as a table."""
+        out, state = self.follow({c: new[c].to_numpy() for c in new.columns}, old)
+        return pd.DataFrame(out), state
+
+    def follow(self, new: dict[str, np.ndarray], old) -> tuple[dict, tuple]:
+        """Output columns and state after new rows of one run, which are in step order; old is None or (last step, state...)."""
+        raise NotImplementedError
 
 
 class BestTracker(_Ordered):
@@ -50,13 +79,12 @@ class BestTracker(_Ordered):
         super().__init__(ttl_ms)
         self.patience, self.sign, self.stops_from, self.sets = patience, sign, stops_from, sets
 
-    def work(self, new: pd.DataFrame, old) -> tuple[pd.DataFrame, tuple]:
+    def follow(self, new: dict[str, np.ndarray], old) -> tuple[dict, tuple]:
         none = [None] * len(self.sets)
         _, best, best_step, idle, phase, stop, at_best, seen_at_best, seen = old or (None, None, None, 0, None, None, none, none, none)
         at_best, seen_at_best, seen = list(at_best), list(seen_at_best), list(seen)
-        values = new["value"].to_numpy(float)
-        scored = new[self.sets].to_numpy(float) if self.sets else np.zeros((len(new), 0))
-        for step, own, value, row in zip(new["step"].tolist(), new["phase"].tolist(), values.tolist(), scored.tolist()):
+        scored = zip(*(new[c].astype(float).tolist() for c in self.sets)) if self.sets else [()] * len(new["step"])
+        for step, own, value, row in zip(new["step"].tolist(), new["phase"].tolist(), new["value"].astype(float).tolist(), scored):
             if stop is not None:
                 break
             if phase is not None and own > phase:
@@ -71,8 +99,11 @@ class BestTracker(_Ordered):
             if phase >= self.stops_from and idle >= self.patience:
                 stop = step
         state = (best, best_step, idle, phase, stop, at_best, seen_at_best, seen)
-        out = {"last_step": [int(new["step"].iloc[-1])], "best": [best], "best_step": [best_step], "idle": [idle], "stop_step": [stop], "at_best": [at_best], "seen_at_best": [seen_at_best]}
-        return pd.DataFrame(out).astype({"best": "float64", "best_step": "Int64", "stop_step": "Int64"}), state
+        out = {"last_step": [int(new["step"][-1])], "best": [best], "best_step": [best_step], "idle": [idle], "stop_step": [stop], "at_best": [at_best], "seen_at_best": [seen_at_best]}
+        return out, state
+
+    def frame(self, columns: dict[str, list]) -> pd.DataFrame:
+        return pd.DataFrame(columns).astype({"best": "float64", "best_step": "Int64", "stop_step": "Int64"})
 
 
 class Rolling(_Ordered):
@@ -83,17 +114,18 @@ class Rolling(_Ordered):
         self.columns, self.width = columns, width
         self.schema = "last_step bigint, " + ", ".join(f"{c} array<double>" for c in columns)
 
-    def work(self, new: pd.DataFrame, old) -> tuple[pd.DataFrame, tuple]:
-        out, state = {"step": new["step"].to_numpy()}, []
+    def follow(self, new: dict[str, np.ndarray], old) -> tuple[dict, tuple]:
+        out, state = {"step": new["step"]}, []
+        front = np.full(self.width - 1, np.nan)
         for i, c in enumerate(self.columns):
-            before = np.array(old[i + 1] if old else [], float)
-            line = np.concatenate([before, new[c].to_numpy(float)])
-            known = np.nan_to_num(line)
+            line = np.concatenate([front, np.array(old[i + 1] if old else [], float), new[c].astype(float)])
+            none = np.isnan(line)
+            windows = lambda x: np.lib.stride_tricks.sliding_window_view(x, self.width)[-len(new["step"]):]
             # each sum on its own, so that a value that has left leaves no rounding behind
-            low = np.maximum(np.arange(len(before), len(line)) + 1 - self.width, 0)
-            out[f"sum_{c}"] = [known[a:b].sum() if not np.isnan(line[a:b]).all() else None for a, b in zip(low, range(len(before) + 1, len(line) + 1))]
-            state.append(line[max(0, len(line) - self.width + 1) :].tolist())
-        return pd.DataFrame(out), tuple(state)
+            out[f"sum_{c}"] = np.where(windows(none).all(axis=1), np.nan, windows(np.where(none, 0.0, line)).sum(axis=1))
+            have = len(line) - len(front)
+            state.append(line[len(line) - min(have, self.width - 1):].tolist())
+        return out, tuple(state)
 
 
 class Deltas(_Ordered):
@@ -101,12 +133,12 @@ class Deltas(_Ordered):
 
     schema = "last_step bigint, value double"
 
-    def work(self, new: pd.DataFrame, old) -> tuple[pd.DataFrame, tuple]:
-        line = pd.concat([pd.Series([old[1] if old else None], dtype=float), new["value"].astype(float)], ignore_index=True)
-        last = line.ffill()
-        delta = (line - last.shift()).iloc[1:]
-        end = last.iloc[-1]
-        return pd.DataFrame({"step": new["step"].to_numpy(), "delta": delta.to_numpy()}), (None if end != end else float(end),)
+    def follow(self, new: dict[str, np.ndarray], old) -> tuple[dict, tuple]:
+        line = np.r_[np.nan if old is None or old[1] is None else old[1], new["value"].astype(float)]
+        # the place of the last defined value up to each row; the one in front may be undefined
+        at = np.maximum.accumulate(np.where(np.isnan(line), 0, np.arange(len(line))))
+        delta, end = line[1:] - line[at[:-1]], float(line[at[-1]])
+        return {"step": new["step"], "delta": delta}, (None if end != end else end,)
 
 
 class Counters(_Ordered):
@@ -117,11 +149,11 @@ class Counters(_Ordered):
         self.columns = columns
         self.schema = "last_step bigint, " + ", ".join(f"{c} double" for c in columns)
 
-    def work(self, new: pd.DataFrame, old) -> tuple[pd.DataFrame, tuple]:
-        out, state = {"step": new["step"].to_numpy()}, []
+    def follow(self, new: dict[str, np.ndarray], old) -> tuple[dict, tuple]:
+        out, state = {"step": new["step"]}, []
         for i, c in enumerate(self.columns):
-            own = new[c].to_numpy(float)
+            own = new[c].astype(float)
             before = np.concatenate([[old[i + 1] if old else 0.0], own[:-1]])
             out[c] = np.where(own < before, own, own - before)
             state.append(float(own[-1]))
-        return pd.DataFrame(out), tuple(state)
+        return out, tuple(state)

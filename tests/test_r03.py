@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from assay.functions import hashing as H
 from assay.operators import splits as S
+from assay.session import small_table
+from assay.streaming import jobs
 
 
 def plan_text(df):
@@ -30,3 +32,20 @@ def test_exact_draws_shuffle_positions_once(spark):
     keys = units.orderBy("item").select(*H.unit_key(F.col("item"))).toPandas().to_numpy()
     mixed = H.mix_array(keys[:, :1], keys[:, 1:], np.arange(4)[None, :]) % 400
     assert got == {(r, i): n for r in range(4) for i, n in enumerate(np.bincount(mixed[:, r], minlength=400).tolist()) if n}
+
+
+def test_runs_share_calls_but_not_state(spark, tmp_path, monkeypatch):
+    """Hundreds of runs in a few calls; a run that is silent in a batch keeps its state, big run numbers stay whole."""
+    monkeypatch.setattr(jobs, "BUCKETS", 3)
+    folder, out, first = str(tmp_path / "log"), str(tmp_path / "out"), 2**60 + 1
+    schema = "run long, step long, v double"
+    for steps, runs in (((1, 2), range(200)), ((3,), range(0, 200, 2)), ((4,), range(200))):
+        small_table(spark, [(first + r, s, float(r * s)) for r in runs for s in steps] + [(None, s, float(s)) for s in steps], schema).write.mode("append").parquet(folder)
+        jobs.delta_stream(jobs.read_log_stream(spark, folder, schema), out, "run", "step", "v")
+    got = {(r["run"], r["step"]): r["delta"] for r in spark.read.parquet(out).collect()}
+    want = {}
+    for r in range(200):
+        steps = (1, 2, 3, 4) if r % 2 == 0 else (1, 2, 4)
+        want |= {(first + r, s): None if i == 0 else float(r * (s - steps[i - 1])) for i, s in enumerate(steps)}
+    want |= {(None, s): None if s == 1 else 1.0 for s in (1, 2, 3, 4)}
+    assert got == want
