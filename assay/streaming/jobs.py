@@ -135,34 +135,48 @@ def board_stream(stream: DataFrame, out: str, run: str, step: str, value: str, k
     """Top-k board per run as keyed state of at most k entries.
 
     A run is spread over salts of its step, so a run with a third of all rows is not one state
-    machine; a step logged again meets its own entry and replaces it. Rows are folded into the
-    board batch by batch, the group is never held whole. ``order`` is a numeric place in the log: of a
+    machine; a step logged again meets its own entry and replaces it. Boards of (run, salt) are dealt into buckets by hash, and a
+    bucket's new rows of a batch are folded into its boards together: a call of their own for boards of a few rows
+    would outweigh the rows. ``order`` is a numeric place in the log: of a
     step logged twice in one batch the later value stands. Without it the higher value does.
     """
     later = F.col(order).cast("double") if order else F.col(value).cast("double")
-    keyed = stream.select(F.col(run).cast("bigint").alias("run"), F.pmod(F.col(step), F.lit(BOARD_SALTS)).cast("int").alias("salt"), F.col(step).cast("bigint").alias("step"), F.col(value).cast("double").alias("score"), later.alias("at"))
+    salt = F.pmod(F.col(step), F.lit(BOARD_SALTS)).cast("int")
+    keyed = stream.select(
+        F.pmod(F.xxhash64(run, salt), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.col(run).cast("bigint").cast("string").alias("run"), F.coalesce(salt, F.lit(0)).alias("salt"), F.col(step).cast("bigint").alias("step"),
+        F.col(value).cast("double").alias("score"), later.alias("at"),
+    )
+    entry, kinds = ["run", "salt", "step"], {"run": object, "salt": "int64", "step": "int64", "score": float}
 
     def fold(key, frames, state: GroupState):
-        steps, scores = state.get if state.exists else ([], [])
-        board = dict(zip(steps, scores))
-        newest: dict[int, tuple[float, float]] = {}
+        held = pd.DataFrame(dict(zip(kinds, state.get)) if state.exists else {c: [] for c in kinds}).astype(kinds)
+        newest, touched = [], []
         for pdf in frames:
-            pdf = pdf.dropna(subset=["score"])
-            for s, score, at in zip(pdf["step"].tolist(), pdf["score"].tolist(), pdf["at"].tolist()):
-                newest[s] = max(newest.get(s, (at, score)), (at, score))
-        board.update({s: score for s, (_, score) in newest.items()})
-        board = dict(sorted(board.items(), key=lambda e: (-e[1], e[0]))[:k])
-        state.update((list(board), list(board.values())))
-        yield pd.DataFrame({"run": key[0], "salt": key[1], "step": list(board), "score": list(board.values())})
-
-    boards = keyed.groupBy("run", "salt").applyInPandasWithState(
-        fold, "run bigint, salt int, step bigint, score double", "steps array<bigint>, scores array<double>", "update", GroupStateTimeout.NoTimeout
-    )
+            touched.append(pdf[["run", "salt"]].drop_duplicates())
+            newest.append(pdf[[*kinds, "at"]].dropna(subset=["step", "score"]))
+            if len(newest) > 1:  # one row per step so far, and the next frame
+                newest = [_latest(pd.concat(newest), entry)]
+        newest, touched = _latest(newest[0], entry).drop(columns="at").astype(kinds), pd.concat(touched).drop_duplicates()
+        both = pd.concat([held, newest]).drop_duplicates(entry, keep="last")
+        board = both.sort_values(["score", "step"], ascending=[False, True]).groupby(["run", "salt"], dropna=False, sort=False).head(k)
+        state.update(tuple([None if v != v else v for v in board[c].tolist()] for c in kinds))
+        yield board.merge(touched, on=["run", "salt"])
+
+    boards = keyed.groupBy("bucket").applyInPandasWithState(
+        fold, "run string, salt int, step bigint, score double", "runs array<string>, salts array<int>, steps array<bigint>, scores array<double>", "update", GroupStateTimeout.NoTimeout
+    ).withColumn("run", F.col("run").cast("bigint"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
         _put(df, f"{out}/rows/batch={batch_id}")
 
-    _each_batch(boards, out, batch, "update")
+    with _state_on_disk(stream.sparkSession):
+        _each_batch(boards, out, batch, "update")
+
+
+def _latest(rows: pd.DataFrame, entry: list[str]) -> pd.DataFrame:
+    """Of each entry the row with the latest place, of one place the highest score."""
+    return rows.sort_values(["at", "score"], na_position="first").drop_duplicates(entry, keep="last")
 
 
 def merged_board(spark: SparkSession, out: str, k: int) -> DataFrame:

@@ -34,6 +34,41 @@ def test_exact_draws_shuffle_positions_once(spark):
     assert got == {(r, i): n for r in range(4) for i, n in enumerate(np.bincount(mixed[:, r], minlength=400).tolist()) if n}
 
 
+def board_brute(parts, k, salts):
+    """Boards per (run, salt): later batches replace a step's entry, what was evicted stays away."""
+    boards = {}
+    for part in parts:
+        newest = {}
+        for run, step, score, at in part:
+            if score is not None:
+                newest[run, step] = max(newest.get((run, step), (at, score)), (at, score))
+        for (run, step), (_, score) in newest.items():
+            boards.setdefault((run, step % salts), {})[step] = score
+        boards = {key: dict(sorted(b.items(), key=lambda e: (-e[1], e[0]))[:k]) for key, b in boards.items()}
+    out = []
+    for run in sorted({r for r, _ in boards}):
+        whole = sorted(((-v, s) for (r, _), b in boards.items() if r == run for s, v in b.items()))[:k]
+        out += [(run, s, -v, i + 1) for i, (v, s) in enumerate(whole)]
+    return sorted(out)
+
+
+def test_boards_of_many_runs_share_a_call(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    monkeypatch.setattr(jobs, "BUCKETS", 2)
+    monkeypatch.setattr(jobs, "BOARD_SALTS", 3)
+    folder, out, parts = str(tmp_path / "log"), str(tmp_path / "out"), []
+    schema = "run string, step long, v double, at long"
+    for n in range(3):
+        part = [(r, rng.randint(1, 12), rng.choice([None, *range(6)]), 100 * n + i) for r in range(9) for i in range(rng.randint(0, 7))]
+        parts.append(part)
+        small_table(spark, [(str(r), s, None if v is None else float(v), at) for r, s, v, at in part], schema).repartition(3).write.mode("append").parquet(folder)
+        jobs.board_stream(jobs.read_log_stream(spark, folder, schema), out, "run", "step", "v", 2, "at")
+    got = sorted((r["run"], r["step"], r["score"], r["rank"]) for r in jobs.merged_board(spark, out, 2).collect())
+    assert got == board_brute(parts, 2, 3)
+
+
 def test_runs_share_calls_but_not_state(spark, tmp_path, monkeypatch):
     """Hundreds of runs in a few calls; a run that is silent in a batch keeps its state, big run numbers stay whole."""
     monkeypatch.setattr(jobs, "BUCKETS", 3)
