@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from assay.functions.ordered import settled
+
 METRICS = "auroc double, auprc double, f1 double, precision double, recall double, specificity double, n_pos bigint, n_excluded bigint, threshold double"
 REPORT_SCHEMA = f"macro map<string,double>, per_task map<string,struct<{METRICS.replace(' double', ': double').replace(' bigint', ': bigint')}>>"
 WEIGHT_SCHEMA = "combine_space string, members array<string>, weights_per_class map<string,map<string,double>>, class_weights map<string,map<string,double>>"
@@ -91,7 +93,8 @@ def fill_predictions(spark: SparkSession, path: str, expected: DataFrame, score,
     ``score`` maps the expected rows of the missing partitions to rows of ``schema``.
     """
     cached = read_optional(spark, path, schema)
-    miss = missing_predictions(expected, cached, list(keys))
+    # Stored, so that its size is known and the rows are not shuffled onto the few keys that are partitions.
+    miss = settled(missing_predictions(expected, cached, list(keys)), "missing")
     todo = expected.join(miss, list(keys), "left_semi")
     score(todo).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
     return spark.read.schema(schema).parquet(path)

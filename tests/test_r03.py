@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from assay.functions import hashing as H
 from assay.operators import splits as S
 from assay.session import small_table
+from assay.sources import readers as R
 from assay.streaming import jobs
 
 
@@ -84,3 +85,16 @@ def test_runs_share_calls_but_not_state(spark, tmp_path, monkeypatch):
         want |= {(first + r, s): None if i == 0 else float(r * (s - steps[i - 1])) for i, s in enumerate(steps)}
     want |= {(None, s): None if s == 1 else 1.0 for s in (1, 2, 3, 4)}
     assert got == want
+
+
+def test_missing_partitions_are_scored_without_a_shuffle(spark, tmp_path):
+    """Rows meet the list of missing partitions where they are: by key, a third of them would meet in one task."""
+    schema = "item long, prob double, split string, member string"
+    rows = small_table(spark, [(i, i / 64, "train" if i % 3 else "test", f"m{i % 2}") for i in range(60)], schema)
+    path, plans = str(tmp_path / "cache"), []
+    rows.where("split = 'train' and member = 'm0'").write.partitionBy("split", "member").parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    given = rows.withColumn("prob", F.col("prob") + 0.0)
+    full = R.fill_predictions(spark, path, given, lambda todo: (plans.append(todo._jdf.queryExecution().executedPlan().toString()), todo)[1], schema)
+    assert "Exchange hashpartitioning" not in plans[0] and "BroadcastHashJoin" in plans[0]
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, rows.collect())) and stored.columns == full.columns
