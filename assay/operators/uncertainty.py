@@ -94,7 +94,7 @@ def bootstrap_auroc(df: DataFrame, keys: list[str], unit: str, reps: int, score:
 
 def bootstrap_exact(df: DataFrame, keys: list[str], unit: str, reps: int, score: str = "prob", y: str = "y") -> DataFrame:
     """The same with N draws of N units per replicate; for up to about a million units."""
-    draws = exact_draws(df.select(unit).distinct(), unit, reps)
+    draws = exact_draws(settled(df.select(unit).distinct(), "units"), unit, reps)
     return ranking_metrics(df.join(draws, unit), [*keys, "rep"], score, y, weight="weight").select(*keys, "rep", "auroc")
 
 

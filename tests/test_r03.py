@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import hashing as H
 from assay.operators import splits as S
+from assay.operators import uncertainty as U
 from assay.session import small_table
 from assay.sources import readers as R
 from assay.streaming import jobs
@@ -98,3 +99,26 @@ def test_missing_partitions_are_scored_without_a_shuffle(spark, tmp_path):
     full = R.fill_predictions(spark, path, given, lambda todo: (plans.append(todo._jdf.queryExecution().executedPlan().toString()), todo)[1], schema)
     assert "Exchange hashpartitioning" not in plans[0] and "BroadcastHashJoin" in plans[0]
     assert sorted(map(tuple, full.collect())) == sorted(map(tuple, rows.collect())) and stored.columns == full.columns
+
+
+def test_exact_bootstrap_plans_stay_small(spark):
+    """The mixer's steps were written out here too, and the distinct units were found anew for every use."""
+    rows = spark.range(240).selectExpr("id as item", "concat('t', id % 2) as task", "id % 3 = 0 as up", "double(id * 37 % 101) as prob").selectExpr("*", "int(up) as y")
+    boot = U.bootstrap_exact(rows, ["task"], "item", 3)
+    assert len(plan_text(boot)) < 60_000
+    draws = S.exact_draws(rows.select("item"), "item", 3).toPandas()
+    data = rows.toPandas().merge(draws, on="item")
+    for r in boot.collect():
+        own = data[(data["task"] == r["task"]) & (data["rep"] == r["rep"])]
+        pos, neg = (own[own["y"] == v] for v in (1, 0))
+        wins = np.sign(pos["prob"].to_numpy()[:, None] - neg["prob"].to_numpy()[None, :]) / 2 + 0.5
+        pairs = pos["weight"].to_numpy()[:, None] * neg["weight"].to_numpy()[None, :]
+        assert abs(r["auroc"] - (wins * pairs).sum() / pairs.sum()) < 1e-9
+    found = []
+    held = U.exact_draws
+    try:
+        U.exact_draws = lambda units, *a, **kw: (found.append(plan_text(units)), held(units, *a, **kw))[1]
+        U.bootstrap_exact(rows, ["task"], "item", 3)
+    finally:
+        U.exact_draws = held
+    assert "Aggregate" not in found[0]
