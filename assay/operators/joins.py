@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from assay.functions.ordered import row_index, running, two_sided
 from assay.operators.labels import keep_first
 
+#: Runs that one Python call of assign_distinct takes: a call costs milliseconds, a run has a few rows.
+RUNS_PER_CALL = 256
+
 
 def left_first(left: DataFrame, right: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """Left join that meets only the first right row of each key."""
@@ -96,10 +99,11 @@ def assign_distinct(targets: DataFrame, candidates: DataFrame, run: str, at: str
     """Per run, targets in rank order each take the nearest candidate not yet taken; NULL where none is left.
 
     With ``most`` targets in the largest run, a target loses at most ``most - 1`` candidates to better ranks, so
-    its ``most`` neighbours on either side decide: a run's group has at most 2 * most * most rows. Targets
-    are meant to be few per run (a top-k list); their number is taken from the data.
+    its ``most`` neighbours on either side decide: a run has at most 2 * most * most rows. About RUNS_PER_CALL runs share a
+    Python call. Targets are meant to be few per run (a top-k list); their number is taken from the data.
     """
-    most = targets.groupBy(run).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    sizes = targets.groupBy(run).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("runs")).first()
+    most, buckets = sizes["most"] or 1, max(1, -(-sizes["runs"] // RUNS_PER_CALL))
     cand = row_index(candidates.select(run, F.col(at).alias("_c")).distinct(), [run], "_c", "_pos", **kw)
     line = targets.select(run, F.struct(F.col(at).alias("a"), F.lit(1).alias("s"), F.col(rank).alias("r")).alias("_o"), F.lit(None).cast("bigint").alias("_pos"))
     line = line.unionByName(cand.select(run, F.struct(F.col("_c").alias("a"), F.lit(0).alias("s"), F.lit(0).alias("r")).alias("_o"), "_pos"))
@@ -107,21 +111,28 @@ def assign_distinct(targets: DataFrame, candidates: DataFrame, run: str, at: str
     near = F.sequence(F.coalesce("_prev", F.lit(-1)) - (most - 1), F.coalesce("_prev", F.lit(-1)) + most)
     options = placed.select(run, F.col("_o.a").alias("target"), F.col("_o.r").alias("rank"), F.explode(near).alias("_pos")).join(cand, [run, "_pos"], "left")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for (r, t), g in pdf.sort_values("_c").groupby(["rank", "target"], sort=True):
-            free = g[g["_c"].notna() & ~g["_c"].isin(taken)]
-            if not len(free):
-                rows.append((pdf[run].iloc[0], r, t, None, None))
-            else:
-                best = free["_c"].iloc[int((free["_c"] - t).abs().to_numpy().argmin())]
-                taken.add(best)
-                rows.append((pdf[run].iloc[0], r, t, best, best - t))
-        return pd.DataFrame(rows, columns=[run, "rank", "target", "chosen", "gap"])
-
     kinds = dict(options.dtypes)
-    schema = f"{run} {kinds[run]}, rank {kinds['rank']}, target {kinds['target']}, chosen {kinds['_c']}, gap {kinds['_c']}"
-    return options.groupBy(run).applyInPandas(greedy, schema)
+    # A missing candidate is told by a column of its own: NULLs would turn whole numbers of the bucket into doubles.
+    known = F.col("_c").isNotNull()
+    dealt = options.select(
+        F.pmod(F.xxhash64(run), F.lit(buckets)).alias("_bucket"), F.col(run).cast("string").alias("_run"), "rank", "target", known.alias("_known"), F.coalesce("_c", F.col("target").cast(kinds["_c"])).alias("_c")
+    )
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_run", "rank", "target", "_c"])
+        rows, taken, last = [], set(), None
+        options = zip(*(pdf[c].tolist() for c in ("_run", "rank", "target", "_known", "_c")))
+        for (own, r, t), near in groupby(options, key=lambda o: o[:3]):
+            if not rows or own != last:
+                taken, last = set(), own
+            best = min((c for *_, known, c in near if known and c not in taken), key=lambda c: abs(c - t), default=None)
+            taken.add(best)
+            rows.append((own, r, t, best, None if best is None else best - t))
+        return pd.DataFrame(rows, columns=["_run", "rank", "target", "chosen", "gap"], dtype=object)
+
+    schema = f"_run string, rank {kinds['rank']}, target {kinds['target']}, chosen {kinds['_c']}, gap {kinds['_c']}"
+    out = dealt.groupBy("_bucket").applyInPandas(greedy, schema)
+    return out.select(F.col("_run").cast(kinds[run]).alias(run), "rank", "target", "chosen", "gap")
 
 
 def pair_differences(wide: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

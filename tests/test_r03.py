@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from assay.functions import hashing as H
+from assay.operators import joins as J
 from assay.operators import splits as S
 from assay.operators import uncertainty as U
 from assay.session import small_table
@@ -122,3 +123,22 @@ def test_exact_bootstrap_plans_stay_small(spark):
     finally:
         U.exact_draws = held
     assert "Aggregate" not in found[0]
+
+
+def test_runs_with_few_targets_share_a_call(spark, monkeypatch):
+    """Whole numbers stay whole beside runs without candidates; a run without a name is one run."""
+    monkeypatch.setattr(J, "RUNS_PER_CALL", 50)
+    big = 2**60
+    targets = [(r, big + 2 * s, s) for r in range(120) for s in (1, 2, 3)] + [(None, big, 1)]
+    candidates = [(r, big + c) for r in range(120) if r % 4 for c in (1, 3, 4, 5)[: r % 4 + 1]]
+    t, c = small_table(spark, targets, "run long, step long, rank int"), small_table(spark, candidates, "run long, step long")
+    out = J.assign_distinct(t, c, "run", "step", "rank")
+    assert "pmod(xxhash64(run" in plan_text(out)
+    want = set()
+    for run in {r for r, _, _ in targets}:
+        free = sorted(s for r, s in candidates if r == run)
+        for rank, at in sorted((k, s) for r, s, k in targets if r == run):
+            best = min(free, key=lambda s: (abs(s - at), s), default=None)
+            free = [s for s in free if s != best]
+            want.add((run, rank, at, best, None if best is None else best - at))
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
