@@ -12,8 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from assay.functions.hashing import md5_uniform
 from assay.session import NUMBER_DIGITS, staged, staged_files
@@ -23,6 +26,8 @@ PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 JPEG_FRAMES = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 IMAGE = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+#: Images that a task holds as Python objects at once.
+IMAGES_AT_ONCE = 256
 JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
 
 
@@ -142,18 +147,29 @@ def to_channels(img: np.ndarray, mean: tuple, std: tuple) -> np.ndarray:
 def map_pixels(images: DataFrame, fn: Callable[[np.ndarray], list[dict]], schema: str, key: str = "image_id", extra: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``fn`` to the gray pixels of every image; it returns any number of rows.
 
-    With ``extra`` columns, ``fn`` also gets the image's row.
+    With ``extra`` columns, ``fn`` also gets the image's row. Batches are cut where they lie in Arrow: a task holds
+    IMAGES_AT_ONCE images as Python objects.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                img = np.frombuffer(r["pixels"], np.uint8).reshape(r["h"], r["w"])
-                rows += [{key: r[key], **row} for row in (fn(img, r) if extra else fn(img))]
-            if rows:
-                yield pd.DataFrame(rows)
-
-    return images.select(key, "w", "h", "pixels", *extra).mapInPandas(run, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, IMAGES_AT_ONCE):
+                rows = []
+                for r in batch.slice(at, IMAGES_AT_ONCE).to_pylist():
+                    img = np.frombuffer(r["pixels"], np.uint8).reshape(r["h"], r["w"])
+                    rows += [{key: r[key], **row} for row in (fn(img, r) if extra else fn(img))]
+                if rows:
+                    yield pa.RecordBatch.from_pandas(pd.DataFrame(rows), schema=arrow, preserve_index=False)
+
+    return images.select(key, "w", "h", "pixels", *extra).mapInArrow(run, schema)
+
+
+def in_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """IMAGES_AT_ONCE rows at a time, so that a task holds few images whatever the batches are."""
+    for pdf in batches:
+        for at in range(0, len(pdf), IMAGES_AT_ONCE):
+            yield pdf.iloc[at : at + IMAGES_AT_ONCE]
 
 
 def intensity_row(img: np.ndarray, bins: int = 50) -> dict:

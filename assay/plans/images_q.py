@@ -26,7 +26,7 @@ def pixels(spark, sf):
     base = base.repartition(spark.sparkContext.defaultParallelism, "image_id")  # few bytes per row, much work
 
     def draw(batches):
-        for pdf in batches:
+        for pdf in I.in_pieces(batches):
             shots = [((i * 31 + np.arange(h)[:, None] * 7 + np.arange(w) * 13) % 256).astype(np.uint8).tobytes() for i, w, h in zip(pdf["image_id"], pdf["w"], pdf["h"])]
             yield pdf.assign(pixels=shots)
 
@@ -45,7 +45,7 @@ def encode_png(img: np.ndarray) -> bytes:
 def files(spark, sf):
     """The same images as PNG files: every 50th is cut in half, every 101st has no header."""
     def encode(batches):
-        for pdf in batches:
+        for pdf in I.in_pieces(batches):
             out = []
             for r in pdf.to_dict("records"):
                 data = encode_png(np.frombuffer(r["pixels"], np.uint8).reshape(r["h"], r["w"]))

@@ -1,9 +1,11 @@
 """Faults that showed on larger tables: what grew faster than the input stays bounded."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from assay.functions import hashing as H
+from assay.operators import images as I
 from assay.operators import joins as J
 from assay.operators import splits as S
 from assay.operators import uncertainty as U
@@ -142,3 +144,12 @@ def test_runs_with_few_targets_share_a_call(spark, monkeypatch):
             free = [s for s in free if s != best]
             want.add((run, rank, at, best, None if best is None else best - at))
     assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+
+
+def test_few_images_are_held_at_once(spark):
+    """A batch of thousands of images is cut: what is drawn or mapped comes in pieces, and nothing is lost."""
+    n = 3 * I.IMAGES_AT_ONCE + 7
+    assert [len(p) for p in I.in_pieces(iter([pd.DataFrame({"a": range(n)})]))] == [I.IMAGES_AT_ONCE] * 3 + [7]
+    images = spark.range(n).selectExpr("id as image_id", "2 as w", "1 as h", "unhex(lpad(hex(id), 4, '0')) as pixels").coalesce(1)
+    out = I.map_pixels(images, lambda img: [{"v": int(img[0, 0]) * 256 + int(img[0, 1])}] if img[0, 1] % 2 else [], "image_id bigint, v bigint")
+    assert [tuple(r) for r in out.orderBy("image_id").collect()] == [(i, i) for i in range(n) if i % 2]
