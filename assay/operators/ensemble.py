@@ -391,9 +391,14 @@ def mean_correlation(pairs: DataFrame) -> DataFrame:
     return both.groupBy("member").agg(F.avg("corr").alias("mean_corr"))
 
 
-def view_average(df: DataFrame, cell: list[str], score: str = "prob", carry: list[str] = ("y",)) -> DataFrame:
-    """Mean over the views of an item, before any blending."""
-    return flat_blend(df, cell, score, carry)
+def view_average(df: DataFrame, cell: list[str], score: str = "prob", carry: list[str] = ("y",), together: list[str] = ()) -> DataFrame:
+    """Mean over the views of an item, before any blending.
+
+    ``together`` names the part of ``cell`` that a later blend groups by: rows are spread by it alone, so that one shuffle
+    serves both means. Cells are about as many as rows, so counting them before the shuffle would save little and hold much.
+    """
+    rows = df.select(*dict.fromkeys([*cell, score, *carry])).repartition(*together) if together else df
+    return flat_blend(rows, cell, score, carry)
 
 
 def promotions(history: DataFrame, split: str, order: str, score: str, reusable: Column, **kw) -> DataFrame:

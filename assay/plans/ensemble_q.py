@@ -257,7 +257,7 @@ def ens_16_mean(spark, sf):
 a as (select item_id, task, member, avg(prob) as prob from v group by 1, 2, 3) select item_id, task, round(avg(prob), 9) as prob from a group by 1, 2""")
 def ens_17(spark, sf):
     views = predictions(spark, sf).select("item_id", "task", "member", "y", F.explode(F.array(*[F.col("prob") * (1 - F.lit(0.01) * v) for v in range(3)])).alias("prob"))
-    per_member = E.view_average(views, ["item_id", "task", "member"])
+    per_member = E.view_average(views, ["item_id", "task", "member"], together=CELL)
     return rounded(E.flat_blend(per_member, CELL, carry=[]))
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from assay.functions import hashing as H
+from assay.operators import ensemble as E
 from assay.operators import images as I
 from assay.operators import joins as J
 from assay.operators import splits as S
@@ -153,3 +154,12 @@ def test_few_images_are_held_at_once(spark):
     images = spark.range(n).selectExpr("id as image_id", "2 as w", "1 as h", "unhex(lpad(hex(id), 4, '0')) as pixels").coalesce(1)
     out = I.map_pixels(images, lambda img: [{"v": int(img[0, 0]) * 256 + int(img[0, 1])}] if img[0, 1] % 2 else [], "image_id bigint, v bigint")
     assert [tuple(r) for r in out.orderBy("image_id").collect()] == [(i, i) for i in range(n) if i % 2]
+
+
+def test_views_and_members_share_a_shuffle(spark):
+    rows = small_table(spark, [(i, t, m, i % 2, (i + v) / 8 + len(m)) for i in range(6) for t in ("a", "b") for m in ("m", "mm") for v in range(i % 3 + 1)], "item long, task string, member string, y int, prob double")
+    per = E.view_average(rows, ["item", "task", "member"], together=["item", "task"])
+    out = E.flat_blend(per, ["item", "task"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    want = E.flat_blend(E.view_average(rows, ["item", "task", "member"]), ["item", "task"])
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
