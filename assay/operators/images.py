@@ -26,6 +26,8 @@ PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 JPEG_FRAMES = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 IMAGE = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+#: Files that one task of decode_check reads, one after another.
+FILES_PER_TASK = 2_000
 #: Images that a task holds as Python objects at once.
 IMAGES_AT_ONCE = 256
 JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
@@ -114,6 +116,8 @@ def decode_check(files: DataFrame, key: str, fraction: float, seed, content: str
     picked = files.filter(md5_uniform(seed, key) < fraction).select(F.monotonically_increasing_id().alias("number"), F.col(key), F.col(content).alias("content"))
     picked = staged(picked, "picked")
     path = staged_files(picked, "number", "content")
+    # Spark plans about 32 small files a task, and every task reports kilobytes to the driver.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-picked.count() // FILES_PER_TASK))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = NUMBER_DIGITS + 1
@@ -124,9 +128,9 @@ def decode_check(files: DataFrame, key: str, fraction: float, seed, content: str
     def name(column: str) -> Column:
         return F.substring_index(column, "/", -2).alias("name")  # a task's files have the same names in every folder
 
-    raw = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    raw = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).coalesce(tasks)
     whole = raw.select(name("path"), "content").mapInPandas(check, "name string, number bigint, whole boolean")
-    sound = whole.join(decode_folder(spark, path).select(name("origin"), "ok"), "name").select("number", (F.col("whole") & F.col("ok")).alias("sound"))
+    sound = whole.join(decode_folder(spark, path).coalesce(tasks).select(name("origin"), "ok"), "name").select("number", (F.col("whole") & F.col("ok")).alias("sound"))
     return picked.select("number", key).join(sound, "number", "left").select(key, (~F.coalesce("sound", F.lit(False))).alias("corrupt"))
 
 

@@ -163,3 +163,17 @@ def test_views_and_members_share_a_shuffle(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     want = E.flat_blend(E.view_average(rows, ["item", "task", "member"]), ["item", "task"])
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_files_are_checked_in_few_tasks(spark):
+    """400 files of a few bytes were 400 / 32 tasks and more; each task reports kilobytes to the driver."""
+    n, before = 400, spark.conf.get("spark.sql.files.openCostInBytes")
+    files = spark.range(n).selectExpr("id as image_id", "cast('no image' as binary) as content")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    try:
+        out = I.decode_check(files, "image_id", 1.0, 7)
+        reads = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Coalesce " in line]
+        assert len(reads) == 2
+        assert sorted(map(tuple, out.collect())) == [(i, True) for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
