@@ -57,8 +57,10 @@ def aligned(predictions: DataFrame, cell: list[str], members: list[str], score:
     members are not looked at.
     """
     mine = [F.col("member") == m for m in members]
+    # Where a second score raises, the sum of one is its mean, and holds one number in place of two.
+    only = F.sum if strict and dict(predictions.dtypes)[score] == "double" else F.avg
     wide = predictions.filter(F.col("member").isin(members)).groupBy(*cell).agg(
-        *[F.avg(F.when(c, F.col(score))).alias(m) for c, m in zip(mine, members)],
+        *[only(F.when(c, F.col(score))).alias(m) for c, m in zip(mine, members)],
         *[F.first(c).alias(c) for c in carry],
         F.array(*[F.count_if(c) for c in mine]).alias("_n"),
     )
@@ -232,18 +234,22 @@ def fold_bounds(df: DataFrame, keys: list[str], score: str, y: str, fold: str, f
 
 
 def counted_rows(wide: DataFrame, members: list[str], fold: str, y: str) -> DataFrame:
-    """Equal rows of a search as one row with their number: what every weight vector would repeat is done once."""
+    """Equal rows of a search as one row with their number: what every weight vector would repeat is done once.
+
+    They are written, so that the search and what is scored after it need neither align nor fold the rows again.
+    """
     return settled(wide.groupBy("task", fold, y, *members).agg(F.count(F.lit(1)).alias("_rows")), "search")
 
 
-def grid_search(wide: DataFrame, members: list[str], units: int, fold: str, folds: int, y: str = "y", **kw) -> DataFrame:
+def grid_search(wide: DataFrame, members: list[str], units: int, fold: str, folds: int, y: str = "y", counted: bool = False, **kw) -> DataFrame:
     """Best lattice vector per (task, fold); within 1e-9 of the best the most even vector wins.
 
     Histograms bound every vector's AUROC first. Only vectors that can reach the best lower bound of some fold
     are scored on ordered scores, so only those are shuffled row by row; the result is that of scoring all.
+    ``counted`` says that wide comes from counted_rows.
     """
     us = [f"u{i}" for i in range(len(members))]
-    base = counted_rows(wide, members, fold, y)
+    base = wide if counted else counted_rows(wide, members, fold, y)
     every = each_lattice_vector(base, len(members), units).withColumn("_score", lattice_blend(members, units))
     bounds = settled(fold_bounds(every, ["task", *us], "_score", y, fold, folds, score_span(base, members), "_rows"), "bounds")
     reach = bounds.groupBy("task", "fold").agg(F.max("least").alias("_reach"))
@@ -319,11 +325,11 @@ def _weighted_columns(members: list[str]) -> Column:
     return total
 
 
-def out_of_fold(wide: DataFrame, fold_weights: DataFrame, members: list[str], fold: str, y: str = "y") -> DataFrame:
-    """AUROC of each fold's weights on its held-out rows, averaged per task over defined folds."""
+def out_of_fold(wide: DataFrame, fold_weights: DataFrame, members: list[str], fold: str, y: str = "y", weight: str | None = None) -> DataFrame:
+    """AUROC of each fold's weights on its held-out rows, averaged per task over defined folds. ``weight`` holds row counts."""
     w = fold_weights.select("task", F.col("fold").alias(fold), *[F.col(m).alias(f"_w_{m}") for m in members])
     scored = wide.join(settled(w, "weights"), ["task", fold]).withColumn("_score", _weighted_columns(members))
-    per = ranking_metrics(scored, ["task", fold], "_score", y)
+    per = ranking_metrics(scored, ["task", fold], "_score", y, weight)
     return per.groupBy("task").agg(F.avg("auroc").alias("oof_auroc"))
 
 
@@ -332,13 +338,13 @@ def fold_average(fold_weights: DataFrame, members: list[str]) -> DataFrame:
     return means.select("task", F.inline(F.array(*[F.struct(F.lit(m).alias("member"), F.col(m).alias("w")) for m in members])))
 
 
-def search_summary(wide: DataFrame, fold_weights: DataFrame, members: list[str], fold: str, y: str = "y") -> DataFrame:
-    """Out-of-fold, in-sample and flat AUROC per task, with the gain of the search over flat."""
+def search_summary(wide: DataFrame, fold_weights: DataFrame, members: list[str], fold: str, y: str = "y", weight: str | None = None) -> DataFrame:
+    """Out-of-fold, in-sample and flat AUROC per task, with the gain of the search over flat. ``weight`` holds row counts."""
     mean_w = fold_weights.groupBy("task").agg(*[F.avg(m).alias(f"_w_{m}") for m in members])
-    fitted = ranking_metrics(wide.join(settled(mean_w, "weights"), "task").withColumn("_score", _weighted_columns(members)), ["task"], "_score", y)
-    flat = ranking_metrics(wide.withColumn("_score", mean_of(members)), ["task"], "_score", y)
+    fitted = ranking_metrics(wide.join(settled(mean_w, "weights"), "task").withColumn("_score", _weighted_columns(members)), ["task"], "_score", y, weight)
+    flat = ranking_metrics(wide.withColumn("_score", mean_of(members)), ["task"], "_score", y, weight)
     return (
-        out_of_fold(wide, fold_weights, members, fold, y)
+        out_of_fold(wide, fold_weights, members, fold, y, weight)
         .join(fitted.select("task", F.col("auroc").alias("in_sample")), "task")
         .join(flat.select("task", F.col("auroc").alias("flat")), "task")
         .withColumn("gain", F.col("oof_auroc") - F.col("flat"))

@@ -17,9 +17,13 @@ from assay.functions.hashing import md5_bits, md5_key, mixed_each, poisson_each,
 from assay.functions.ordered import row_index, running, settled
 
 
+def _unit_keys(df: DataFrame, unit: str, seed) -> DataFrame:
+    """One key per distinct unit that is not NULL, written once."""
+    return settled(df.select(unit).filter(F.col(unit).isNotNull()).distinct().select(md5_key(seed, unit).alias("_key")), "keys")
+
+
 def _placed_keys(df: DataFrame, unit: str, seed, **kw) -> DataFrame:
-    keys = df.select(unit).filter(F.col(unit).isNotNull()).distinct().select(md5_key(seed, unit).alias("_key"))
-    return row_index(settled(keys, "keys"), [], "_key", "_pos", stored=True, **kw)
+    return row_index(_unit_keys(df, unit, seed), [], "_key", "_pos", stored=True, **kw)
 
 
 def _count_units(df: DataFrame, unit: str) -> Column:
@@ -34,10 +38,14 @@ def group_holdout(df: DataFrame, group: str, fraction: float, seed, name: str =
 
 
 def kfold(df: DataFrame, unit: str, k: int, seed, name: str = "fold", **kw) -> DataFrame:
-    """Near-equal folds over the units in seeded hash order: fold of position i is i * k div N."""
-    n = _count_units(df, unit)
-    placed = _placed_keys(df, unit, seed, **kw).withColumn("_fold", F.floor(F.col("_pos") * k / n))
-    starts = placed.groupBy("_fold").agg(F.min("_key").alias("_key")).filter(F.col("_fold") > 0)  # k - 1 rows
+    """Near-equal folds over the units in seeded hash order: fold of position i is i * k div N.
+
+    The cuts are written: the folded rows may be read by many jobs, and each would place all units anew.
+    """
+    keys = _unit_keys(df, unit, seed)
+    n = keys.select(F.count(F.lit(1))).scalar()
+    placed = row_index(keys, [], "_key", "_pos", stored=True, **kw).withColumn("_fold", F.floor(F.col("_pos") * k / n))
+    starts = settled(placed.groupBy("_fold").agg(F.min("_key").alias("_key")).filter(F.col("_fold") > 0), "folds")  # k - 1 rows
     cuts = starts.agg(F.collect_list("_key")).scalar()
     key = md5_key(seed, unit)
     passed = [F.coalesce((F.get(cuts, F.lit(i)) <= key).cast("int"), F.lit(0)) for i in range(k - 1)]

@@ -162,15 +162,15 @@ MEAN_W = "(select task, avg(w0) as a0, avg(w1) as a1, avg(w2) as a2, avg(w3) as
 
 
 def _searched(spark, sf):
-    """Folded rows and the weights that the grid search finds on them."""
-    rows = _folded(spark, sf)
-    return rows, settled(E.grid_search(rows, MEMBERS, UNITS, "fold", FOLDS).select("task", "fold", *MEMBERS), "weights")
+    """Folded rows, equal ones counted, and the weights that the grid search finds on them."""
+    rows = E.counted_rows(_folded(spark, sf), MEMBERS, "fold", "y")
+    return rows, settled(E.grid_search(rows, MEMBERS, UNITS, "fold", FOLDS, counted=True).select("task", "fold", *MEMBERS), "weights")
 
 
 @query("ens_11_out_of_fold", f"{WITH_FOUND} select task, round(avg(auroc), 9) as oof_auroc from {Q.ranking(BLENDED, ['task', 'fold'])} group by task")
 def ens_11(spark, sf):
     rows, found = _searched(spark, sf)
-    return rounded(E.out_of_fold(rows, found, MEMBERS, "fold"))
+    return rounded(E.out_of_fold(rows, found, MEMBERS, "fold", weight="_rows"))
 
 
 @query("ens_12_fold_average", f"{WITH_FOUND} " + " union all ".join(f"select task, 'm{i}' as member, round(a{i}, 9) as w from {MEAN_W}" for i in range(4)))
@@ -185,7 +185,7 @@ MEAN_BLEND = f"(select p.task, p.y, a0 * m0 + a1 * m1 + a2 * m2 + a3 * m3 as pro
  from (select task, avg(auroc) as oof from {Q.ranking(BLENDED, ['task', 'fold'])} group by task) join {Q.ranking(MEAN_BLEND, ['task'])} i using (task) join {Q.ranking(f'(select task, y, {FLAT} as prob from wide_predictions)', ['task'])} f using (task)""")
 def ens_13(spark, sf):
     rows, found = _searched(spark, sf)
-    return rounded(E.search_summary(rows, found, MEMBERS, "fold"))
+    return rounded(E.search_summary(rows, found, MEMBERS, "fold", weight="_rows"))
 
 
 CUT = [m for m in REPORT if m in ("f1", "precision", "recall", "specificity")]

@@ -1,5 +1,7 @@
 """Faults that showed on larger tables: what grew faster than the input stays bounded."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -176,3 +178,26 @@ def test_files_are_checked_in_few_tasks(spark):
         assert sorted(map(tuple, out.collect())) == [(i, True) for i in range(n)]
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_folds_are_cut_once(spark):
+    """Every job that read the folded rows placed all units anew."""
+    rows = spark.range(300).selectExpr("if(id % 50 = 7, null, id % 90) as unit", "id")
+    out = S.kfold(rows, "unit", 4, 42, rows_per_range=16)
+    assert "Window" not in plan_text(out) and "distinct" not in plan_text(out).lower()
+    found = out.collect()
+    order = sorted({r["unit"] for r in found} - {None}, key=lambda u: hashlib.md5(f"42:{u}".encode()).hexdigest())
+    want = {u: i * 4 // len(order) for i, u in enumerate(order)}
+    assert len(found) == 300 and all(r["fold"] == want[r["unit"]] for r in found if r["unit"] is not None)
+
+
+def test_search_summary_of_counted_rows(spark):
+    """The search writes its counted rows; what scores its weights reads those, and gives what all rows give."""
+    rows = spark.range(400).selectExpr("concat('t', id % 2) as task", "int(id * 7 % 3) as fold", "int(id * 31 % 10 < 4) as y", "double(id * 37 % 11 % 4) / 4 as a", "double(id * 53 % 7 % 3) / 3 as b")
+    base = E.counted_rows(rows, ["a", "b"], "fold", "y")
+    assert base.count() < 400
+    found = E.grid_search(base, ["a", "b"], 3, "fold", 3, counted=True).localCheckpoint()
+    assert sorted(found.collect()) == sorted(E.grid_search(rows, ["a", "b"], 3, "fold", 3).collect())
+    got, want = (sorted(E.search_summary(df, found.select("task", "fold", "a", "b"), ["a", "b"], "fold", weight=w).collect()) for df, w in ((base, "_rows"), (rows, None)))
+    assert [r["task"] for r in got] == ["t0", "t1"]
+    np.testing.assert_allclose([r[1:] for r in got], [r[1:] for r in want], rtol=0, atol=1e-12)
