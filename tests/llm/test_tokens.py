@@ -1,4 +1,5 @@
 import base64
+import copy
 
 import brute
 import numpy as np
@@ -105,3 +106,43 @@ def test_batches_are_bounded(spark, odd):
     byte_bpe.encode(odd, P.path(RANKS), P.PATTERN)
     assert int(spark.conf.get(BATCH).rstrip("b")) == 1000
     spark.conf.unset(BATCH)
+
+
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.one_of(TEXT, st.text("aernioth ", max_size=60)), max_size=30))
+def test_texts_side_by_side(codec, library, texts):
+    """Few places, short runs and a small cache: what is overwritten or forgotten is found again."""
+    with pytest.MonkeyPatch.context() as patch:
+        for name, value in (("PLACES", 8), ("SIDE_BY_SIDE", 5), ("SPLIT", 40), ("CACHED", 12)):
+            patch.setattr(byte_bpe, name, value)
+        codec.encode("its tables are made once")
+        own = copy.copy(codec)
+        own.known, own.pairs, own.verdicts = {}, np.full(8, -1, np.int64), np.zeros(8, bool)
+        for _ in range(2):
+            coded = own.encode_all(texts)
+            assert [np.frombuffer(c, "<u4").tolist() for c in coded] == [library.encode_ordinary(t) for t in texts]
+        assert own.decode_all(coded) == [t.encode() for t in texts] and len(own.known) <= 12
+
+
+def test_short_words_are_encoded_side_by_side(library, monkeypatch):
+    """Each unknown word took its own steps in Python, most of the CPU time of op8_byte_bpe."""
+    alone = []
+    one = byte_bpe.Codec.encode_piece
+    monkeypatch.setattr(byte_bpe.Codec, "encode_piece", lambda self, piece: (alone.append(piece), one(self, piece))[1])
+    with open(P.path(RANKS), "rb") as file:
+        own = byte_bpe.Codec(file.read(), P.PATTERN)
+    texts = [" ".join(f"{a}{b}{c}" for b in ("onth", "éau", "ß", "heit") for c in ("er", "中", "xq")) + " " + "z" * 60 for a in ("th", "", "Ü", "qu")]
+    assert [np.frombuffer(c, "<u4").tolist() for c in own.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert alone == [" " + "z" * 60]
+
+
+def test_tokens_that_no_merges_make():
+    """A vocabulary with a token that merging never gives, and one without all single bytes."""
+    tokens = [b"a", b"b", b"c", b" ", b"ab", b"bc", b"abc", b"cab", b"bcab"]
+    lines = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
+    own = byte_bpe.Codec(lines, P.PATTERN)
+    few = tiktoken.Encoding("few", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    words = ["".join("abc"[n // 3**i % 3] for i in range(1 + n % 7)) for n in range(700)]
+    assert [np.frombuffer(c, "<u4").tolist() for c in own.encode_all(words)] == [few.encode_ordinary(w) for w in words]
+    with pytest.raises(ValueError, match="lacks single bytes"):
+        own.encode_all(["ab", "abx"])
