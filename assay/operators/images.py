@@ -19,15 +19,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from assay.functions.hashing import md5_uniform
-from assay.session import NUMBER_DIGITS, staged, staged_files
+from assay.session import staged
 
 # Color types of the PNG header and JPEG frame markers without the three tables.
 PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 JPEG_FRAMES = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 IMAGE = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+#: The object whose ``decode`` Spark's image source calls with the bytes of every file.
+DECODER = "org.apache.spark.ml.image.ImageSchema$"
 #: Files that one task of decode_check reads, one after another.
 FILES_PER_TASK = 2_000
+#: Bytes of staged images that a task collects before it writes them, and the least that one task reads.
+ROW_GROUP = 16 << 20
 #: Images that a task holds as Python objects at once.
 IMAGES_AT_ONCE = 256
 JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
@@ -106,31 +110,52 @@ def decode_folder(spark: SparkSession, path: str) -> DataFrame:
     return images.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data", (F.col("image.width") > 0).alias("ok"))
 
 
+def decodes(spark: SparkSession, content: str) -> Column:
+    """Does the decoder of Spark's image source make pixels of the bytes in this column? NULL bytes give false.
+
+    The source takes only paths, and a file for every image costs milliseconds and a place in the driver's list. What it calls with
+    the bytes of a file is called here with those of a row. ImageIO would copy them to a file of its own to read them from, which is
+    switched off in the JVM of the task before the first call; a full disk can then not pass for a corrupt image either.
+    """
+    jvm = spark._jvm
+    objects, functions = jvm.org.apache.spark.sql.catalyst.expressions, jvm.org.apache.spark.sql.classic.ExpressionUtils
+    load = jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass
+
+    def kind(name: str):
+        return jvm.org.apache.spark.sql.types.ObjectType(load(name))
+
+    def fixed(value, name: str):
+        return objects.Literal(value, kind(name))
+
+    def call(on, method: str, gives, *given):
+        """NULL arguments are passed on; the result may be NULL and depends on the arguments alone."""
+        return objects.objects.Invoke(on, method, gives, jvm.PythonUtils.toSeq(list(given)), jvm.PythonUtils.toSeq([]), False, True, True)
+
+    uncached = F.reflect(F.lit("javax.imageio.ImageIO"), F.lit("setUseCache"), F.lit(False))
+    origin = call(functions.expression(uncached._jc), "toString", kind("java.lang.String"))  # evaluated first; goes into the decoded row only
+    decoder = call(fixed(load(DECODER), "java.lang.Class"), "getField", kind("java.lang.reflect.Field"), fixed("MODULE$", "java.lang.String"))
+    decoder = call(decoder, "get", kind(DECODER), fixed(None, "java.lang.Object"))
+    image = call(decoder, "decode", kind("scala.Option"), origin, functions.expression(F.col(content)._jc))
+    return Column(functions.column(call(image, "isDefined", jvm.org.apache.spark.sql.types.DataType.fromDDL("boolean"))))
+
+
 def decode_check(files: DataFrame, key: str, fraction: float, seed, content: str = "content") -> DataFrame:
-    """Decode a seeded fraction of files with Spark's image source and flag the corrupt ones.
+    """Decode a seeded fraction of files with the decoder of Spark's image source and flag the corrupt ones.
 
-    The picked files are written to the shared folder, one each and thousands to a folder. The decoder fills what a cut JPEG lacks and
-    reads PNG chunks with wrong checksums, so a file must decode and be whole.
+    The picked rows are staged and decoded where they lie, so no file is written for an image and the driver lists none. The decoder
+    fills what a cut JPEG lacks and reads PNG chunks with wrong checksums, so a file must decode and be whole. Keys stay out of Python.
     """
     spark = files.sparkSession
     picked = files.filter(md5_uniform(seed, key) < fraction).select(F.monotonically_increasing_id().alias("number"), F.col(key), F.col(content).alias("content"))
-    picked = staged(picked, "picked")
-    path = staged_files(picked, "number", "content")
-    # Spark plans about 32 small files a task, and every task reports kilobytes to the driver.
-    tasks = max(spark.sparkContext.defaultParallelism, -(-picked.count() // FILES_PER_TASK))
+    picked = staged(picked, "picked", **{"parquet.block.size": ROW_GROUP})
+    # However many small parts were staged, few tasks read them: each task reports kilobytes to the driver.
+    picked = picked.coalesce(max(spark.sparkContext.defaultParallelism, -(-picked.count() // FILES_PER_TASK)))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = NUMBER_DIGITS + 1
         for pdf in batches:
-            both = [bytes(c) for c in pdf["content"]]
-            yield pd.DataFrame({"name": pdf["name"], "number": [int(c[-tail:-1]) for c in both], "whole": [is_whole(c[:-tail]) for c in both]})
-
-    def name(column: str) -> Column:
-        return F.substring_index(column, "/", -2).alias("name")  # a task's files have the same names in every folder
+            yield pd.DataFrame({"number": pdf["number"], "sound": [ok and is_whole(bytes(c)) for ok, c in zip(pdf["ok"], pdf["content"])]})
 
-    raw = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path).coalesce(tasks)
-    whole = raw.select(name("path"), "content").mapInPandas(check, "name string, number bigint, whole boolean")
-    sound = whole.join(decode_folder(spark, path).coalesce(tasks).select(name("origin"), "ok"), "name").select("number", (F.col("whole") & F.col("ok")).alias("sound"))
+    sound = picked.select("number", "content", decodes(spark, "content").alias("ok")).mapInPandas(check, "number bigint, sound boolean")
     return picked.select("number", key).join(sound, "number", "left").select(key, (~F.coalesce("sound", F.lit(False))).alias("corrupt"))
 
 

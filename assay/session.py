@@ -7,7 +7,6 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -33,10 +32,6 @@ def build_session(app: str = "assay", master: str | None = None, shuffle_partiti
     return spark
 
 
-#: Files that staged_files writes to one folder, and digits of the number that ends each.
-FOLDER_FILES = 10_000
-NUMBER_DIGITS = 20
-
 _LOCAL_FOLDERS: dict[str, str] = {}
 _STAGED: dict[str, list[str]] = {}
 
@@ -58,29 +53,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str = "stage", **options) -> DataFrame:
+    """Write df to the shared folder, with these options of the writer, and read it back: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def staged_files(df: DataFrame, number: str, content: str) -> str:
-    """Write the bytes of every row to a file of its own in the shared folder, up to FOLDER_FILES in a folder; and their path.
-
-    The text writer copies bytes as they are. After them come the row's number in NUMBER_DIGITS digits and a line feed, so that
-    whoever reads a file knows its row: what follows the end of an image does not matter to a decoder. NULL bytes are none.
-    Numbers of neighbouring rows should be neighbours, as those of monotonically_increasing_id are.
-    """
-    path = fresh_path(df.sparkSession, "files")
-    body = F.concat(F.coalesce(F.col(content).cast("string"), F.lit("")), F.lpad(F.col(number).cast("string"), NUMBER_DIGITS, "0"))
-    lines = df.select(F.floor(F.col(number) / FOLDER_FILES).alias("folder"), body.alias("value"))
-    lines.write.partitionBy("folder").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
-    _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    return path
-
-
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables that this session has staged so far; call it when no result that reads them is needed any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
